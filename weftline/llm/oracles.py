@@ -32,4 +32,15 @@ SELECT d.doc_id, d.size, r.source_size, r.target,
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source
 """
 
-ORACLES: dict[str, str] = {"op6_mixing": OP6}
+OP3 = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (
+  SELECT payload_digest, max(page_id) AS holder FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN f.holder <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.holder <> p.page_id THEN f.holder END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 1000
+"""
+
+ORACLES: dict[str, str] = {"op3_warc": OP3, "op6_mixing": OP6}

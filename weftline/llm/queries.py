@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import media, mixing, pieces, sharding, simhash, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -14,6 +14,14 @@ from .oracles import ORACLES
 SHARDS = 40
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -22,8 +30,16 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.as_media(table(spark, sf_dir, "documents")))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_sharding, op6_mixing)
+    f.__name__: f for f in (op1_simhash, op3_warc, op4_sharding, op6_mixing, op8_jpeg, op10_pieces)
 }
 
 
