@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import knn, media, mixing, pieces, quality, sharding, simhash, toxicity, warc
+from . import knn, media, mixing, pieces, pii, quality, sharding, simhash, toxicity, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -31,6 +31,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_quality, op3_warc, op4_sharding, op6_mixing, op7_knn, op8_jpeg, op9_toxicity, op10_pieces)
+    f.__name__: f for f in (op1_simhash, op2_quality, op3_warc, op4_sharding, op5_pii, op6_mixing, op7_knn, op8_jpeg, op9_toxicity, op10_pieces)
 }
 
 

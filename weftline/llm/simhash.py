@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -237,9 +237,15 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its class's smallest; repeats of that row go.
+    """One row of each class: that with the smallest doc_id.
 
-    Rows with a null doc_id stay only where the class has no other.
+    Rows that repeat this doc_id go, whatever their text. Rows with a null
+    doc_id cannot be told apart; all of them stay.
     """
-    keep = classes(docs, block).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "keep")
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep"))).drop("keep").dropDuplicates(["doc_id"])
+    ids = classes(docs, block).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    keep = stored(ids, "kept")
+    rows = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
+    if keep.where("n > 1").limit(1).count():
+        one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        rows = rows.withColumn("_nth", one).where("_nth = 1").drop("_nth")
+    return rows.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
