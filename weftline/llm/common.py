@@ -50,3 +50,15 @@ def text_or_empty(text: Column | str = "text") -> Column:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, after seeing to it that the session sends Python at most ``rows`` rows at a time.
+
+    Texts are long; Spark's usual 10,000 of them would fill a worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df

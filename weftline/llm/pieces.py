@@ -23,14 +23,15 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 #: Where the public vocabularies lie; every function takes another path.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -39,9 +40,9 @@ SPACE = "▁"
 #: Stands for a literal U+2581; no text has this code point.
 LITERAL = 0x110000
 #: Filtered places that a worker keeps at most.
-KEPT = 2_000_000
-#: Words that are sampled at a time.
-BATCH = 1 << 19
+KEPT = 500_000
+#: Words that are sampled at a time, and new ones that are filtered at a time.
+BATCH, FRESH = 1 << 17, 1 << 13
 GOLDEN, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -200,48 +201,46 @@ class Sampler:
 
     def keep(self, chunks: list[str]) -> None:
         """Filter the lattices of new chunks forward, all at once."""
-        text = "".join(SPACE * (len(c) - len(x)) + x if (x := c.lstrip(" ")) != SPACE else "\0" for c in chunks)
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        code[code == ord(SPACE)] = LITERAL
+        code[code == ord(" ")] = ord(SPACE)
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         ends = np.cumsum(size)
         starts = ends - size
-        literal = [k for k, c in enumerate(chunks) if c == SPACE]
-        code[starts[literal]] = LITERAL
         number, limit, origin = self.trie.of[code], np.repeat(ends, size), np.repeat(starts, size)
-        # walks from every character
-        src, dst, what, weight = [], [], [], []
+        # walks from every character; no two hits of one step end at the same place
+        hits = []
         at, node = np.arange(len(code)), np.zeros(len(code), np.int64)
-        own = np.zeros(len(code), bool)
+        bare = np.ones(len(code), bool)
         for k in range(self.v.longest):
-            node = self.trie.step(node, number[at + k])
-            ok = node >= 0
+            node = self.trie.step(node, number[at + k] if k else number)
+            ok = np.flatnonzero(node >= 0)
             at, node = at[ok], node[ok]
-            hit = self.trie.piece[node] >= 0
-            src.append(at[hit])
-            dst.append(at[hit] + k)
-            what.append(self.trie.piece[node[hit]])
-            weight.append(self.trie.weight[node[hit]])
+            ok = np.flatnonzero(self.trie.piece[node] >= 0)
+            hits.append((at[ok], k, self.trie.piece[node[ok]], self.trie.weight[node[ok]]))
             if not k:
-                own[at[hit]] = True
-            ok = at + k + 1 < limit[at]
+                bare[at[ok]] = False
+            ok = np.flatnonzero(at + (k + 1) < limit[at])
             at, node = at[ok], node[ok]
             if not len(at):
                 break
-        bare = np.flatnonzero(~own)
+        bare = np.flatnonzero(bare)
         for c in np.unique(code[bare]).tolist():
             if c not in self.spelled_at:
                 self.spelled_at[c] = len(self.spelled)
                 self.spelled.append(self.v.spell(SPACE if c == LITERAL else chr(c)))
-        src.append(bare)
-        dst.append(bare)
-        what.append(np.array([-1 - self.spelled_at[c] for c in code[bare].tolist()], np.int32))
-        weight.append(np.full(len(bare), math.exp(self.v.spelled)))
-        src, dst, what, weight = (np.concatenate(x) for x in (src, dst, what, weight))
-        order = np.lexsort((src, dst))
-        src, dst, what, weight = src[order], dst[order], what[order], weight[order]
+        hits.insert(0, (bare, 0, np.array([-1 - self.spelled_at[c] for c in code[bare].tolist()], np.int32), math.exp(self.v.spelled)))
+        many = np.zeros(len(code), np.int64)
+        for src, k, _, _ in hits:
+            many[src + k] += 1
+        first = np.cumsum(many) - many
+        free, total_ways = first.copy(), int(many.sum())
+        src, what, weight = np.empty(total_ways, np.int64), np.empty(total_ways, np.int32), np.empty(total_ways)
+        for s, k, piece, w in reversed(hits):  # the longest first
+            slot = free[s + k]
+            free[s + k] += 1
+            src[slot], what[slot], weight[slot] = s, piece, w
         # sums of all paths, by place in the word; each is kept with a power of two, so long words do not vanish
-        first = np.searchsorted(dst, np.arange(len(code)))
-        many = np.diff(np.r_[first, len(dst)])
         total, power = np.ones(len(code) + 1), np.zeros(len(code) + 1, np.int64)
         whole = src == origin[src]
         before = np.where(whole, len(code), src - 1)
@@ -262,23 +261,25 @@ class Sampler:
             total[place], shift = np.frexp(sums)
             power[place] = top + shift
         upto = np.cumsum(share)
-        base = np.r_[0.0, upto[first[1:] - 1]]
+        base = np.concatenate([[0.0], upto[first[1:] - 1]])
         upto = np.repeat(np.arange(len(code)) - base, many) + upto + self.places
         upto[first + many - 1] = np.arange(1, len(code) + 1) + self.places
         place0, way0 = self.places, len(self.upto)
-        self.upto = np.r_[self.upto, upto]
-        self.piece = np.r_[self.piece, what]
-        self.back = np.r_[self.back, np.where(whole, -1, src - 1 + place0)]
-        self.first = np.r_[self.first, first + way0]
+        for name, more in (("upto", upto), ("piece", what), ("back", np.where(whole, -1, src - 1 + place0)), ("first", first + way0)):
+            setattr(self, name, np.concatenate([getattr(self, name), more]))
         self.last.update(zip(chunks, (ends - 1 + place0).tolist(), strict=True))
 
     def sample(self, chunks: list[str], state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids drawn for chunks with their random states, and each chunk's count."""
         if not chunks:
             return np.empty(0, np.int32), np.empty(0, np.int64)
-        if new := [c for c in set(chunks) if c not in self.last]:
-            self.keep(new)
-        at = np.fromiter(map(self.last.__getitem__, chunks), np.int64, len(chunks))
+        at = np.fromiter(map(self.last.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = list({chunks[k] for k in missing})
+            for k in range(0, len(new), FRESH):
+                self.keep(new[k : k + FRESH])
+            at[missing] = [self.last[chunks[k]] for k in missing]
         drawn, alive, step = [], np.arange(len(chunks)), 0
         count = np.zeros(len(chunks), np.int64)
         while len(alive):
@@ -320,7 +321,7 @@ def states(key: int, chunks: int, seed: int = SEED) -> np.ndarray:
     return mixed(base + np.arange(chunks, dtype=np.uint64) * GOLDEN)
 
 
-def segment(sampler: Sampler, keys: list[int | None], texts: list[str | None], seed: int = SEED) -> Iterator[tuple[int, np.ndarray]]:
+def segment(sampler: Sampler, keys: Iterable[int | None], texts: Iterable[str | None], seed: int = SEED) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids) of each text in order."""
     rows: list[int] = []
     chunks: list[str] = []
@@ -352,15 +353,27 @@ def segment(sampler: Sampler, keys: list[int | None], texts: list[str | None], s
     yield from flush()
 
 
+_vocabularies: dict[tuple[int, float], Vocabulary] = {}
+
+
+def vocabulary_of(model: bytes, alpha: float) -> Vocabulary:
+    """A worker keeps its last vocabulary."""
+    key = hash(model), alpha
+    if key not in _vocabularies:
+        _vocabularies.clear()
+        _vocabularies[key] = Vocabulary(model, alpha)
+    return _vocabularies[key]
+
+
 _samplers: dict[tuple[int, float], Sampler] = {}
 
 
 def sampler_of(model: bytes, alpha: float) -> Sampler:
-    """A worker keeps the sampler of its last vocabulary."""
+    """A worker keeps its last sampler."""
     key = hash(model), alpha
     if key not in _samplers:
         _samplers.clear()
-        _samplers[key] = Sampler(Vocabulary(model, alpha))
+        _samplers[key] = Sampler(vocabulary_of(model, alpha))
     return _samplers[key]
 
 
@@ -370,8 +383,8 @@ def model_bytes(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``ids``, the sampled pieces of each row's text."""
+def encode(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, seed: int = SEED, text: bool = True) -> DataFrame:
+    """``docs`` with ``ids``, the sampled pieces of each row's text; without the text if ``text`` is false."""
     model = model_bytes(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,7 +394,7 @@ def encode(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, seed: int =
             held: list[np.ndarray] = []
             size = 0
             keys = b.column("_key").to_pylist()
-            keep = [n for n in b.schema.names if n != "_key"]
+            keep = [f.name for f in kept]
 
             def part(held: list[np.ndarray], done: int) -> pa.RecordBatch:
                 offsets = np.r_[0, np.cumsum([len(x) for x in held])].astype(np.int32)
@@ -389,7 +402,7 @@ def encode(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, seed: int =
                 rows = b.slice(done, len(held))
                 return pa.record_batch([*(rows.column(n) for n in keep), ids], names=[*keep, "ids"])
 
-            for _, ids in segment(s, keys, b.column("text").to_pylist(), seed):
+            for _, ids in segment(s, keys, (t.as_py() for t in b.column("text")), seed):
                 held.append(ids)
                 size += len(ids)
                 if size >= 1 << 20:
@@ -399,9 +412,10 @@ def encode(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, seed: int =
                 yield part(held, done)
 
     src = docs.withColumn("text", F.col("text").cast("string")).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
-    kept = [f for f in src.schema.fields if f.name not in ("_key", "ids")]
+    kept = [f for f in src.schema.fields if f.name not in ("_key", "ids") and (text or f.name != "text")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", ids array<int>"
-    return src.select(*(f"`{f.name}`" for f in kept), "_key").mapInArrow(run, schema)
+    names = [f"`{f.name}`" for f in kept] + ([] if text else ["text"])
+    return small_batches(src).select(*names, "_key").mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str = MODEL, out: str = "decoded") -> DataFrame:
@@ -409,7 +423,7 @@ def decode(encoded: DataFrame, path: str = MODEL, out: str = "decoded") -> DataF
     model = model_bytes(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sampler_of(model, ALPHA).v.bytes.__getitem__
+        table = vocabulary_of(model, ALPHA).bytes.__getitem__
         for b in batches:
             texts = []
             for ids in b.column("ids"):
@@ -424,6 +438,6 @@ def decode(encoded: DataFrame, path: str = MODEL, out: str = "decoded") -> DataF
 def round_trip(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """doc_id, n_pieces, ids, text_sha256 of the decoded text, and whether it equals the text."""
     src = docs.select("doc_id", text_or_empty().alias("text")).withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
-    # the text ends its way at the encoder; only its digest goes on
-    both = decode(encode(src, path, alpha, seed).drop("text"), path).withColumn("text_sha256", F.sha2(F.col("decoded").cast("binary"), 256))
+    # the text goes no further than the encoder; only its digest does
+    both = decode(encode(src, path, alpha, seed, text=False), path).withColumn("text_sha256", F.sha2(F.col("decoded").cast("binary"), 256))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "text_sha256", (F.col("text_sha256") == F.col("sha")).alias("lossless"))
