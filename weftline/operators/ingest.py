@@ -47,15 +47,18 @@ def matched(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     """Candidates with the stored article they are, as struct ``old``; null if they are new.
 
     By address first, then by source, title and content; of several the smallest
-    id. Two equi-joins and a union, never a join on a disjunction.
+    id. Two equi-joins over keys alone and a union, never a join on a
+    disjunction; whole stored rows move once, to the candidate they belong to.
     """
     keyed = candidates.withColumn("_key", F.xxhash64("source_name", "url", "content_hash"))
-    old = F.struct(*(F.col(f"o.{c}") for c in stored.columns))
-    by_url = keyed.select("_key", "url", F.explode(url_candidates(F.col("url"))).alias("_u")).alias("c").join(stored.alias("o"), F.col("c._u") == F.col("o.url")).select("_key", F.lit(0).alias("_way"), old.alias("old"))
-    same = (F.col("c.source_name") == F.col("o.source_name")) & (F.substring("c.title", 1, TITLE_LIMIT) == F.col("o.title")) & (F.col("c.content_hash") == F.col("o.content_hash"))
-    by_content = keyed.alias("c").join(stored.alias("o"), same).select("_key", F.lit(1).alias("_way"), old.alias("old"))
-    first = by_url.union(by_content).groupBy("_key").agg(F.min_by("old", F.struct("_way", "old.id")).alias("old"))
-    return keyed.join(first, "_key", "left").drop("_key")
+    keys = keyed.select("_key", "source_name", F.substring("title", 1, TITLE_LIMIT).alias("title"), "content_hash", "url")
+    known = stored.select(F.col("id").alias("_id"), F.col("url").alias("_url"), "source_name", "title", "content_hash")
+    by_url = keys.select("_key", F.explode(url_candidates(F.col("url"))).alias("_url")).join(known.select("_id", "_url"), "_url").select("_key", F.lit(0).alias("_way"), "_id")
+    by_content = keys.join(known, ["source_name", "title", "content_hash"]).select("_key", F.lit(1).alias("_way"), "_id")
+    first = by_url.union(by_content).groupBy("_key").agg(F.min(F.struct("_way", "_id"))["_id"].alias("_id"))
+    old = stored.select(F.col("id").alias("_old_id"), F.struct(*stored.columns).alias("old"))
+    found = first.join(old, F.col("_id") == F.col("_old_id")).select("_key", "old")
+    return keyed.join(found, "_key", "left").drop("_key")
 
 
 def _valid(tier: Column) -> Column:
