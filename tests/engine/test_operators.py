@@ -226,3 +226,38 @@ def test_relevance_is_demoted_without_evidence(spark):
     assert [t for t, _ in got] == ["core", "contextual", "contextual", None]
     assert got[1][1] == providers.UNSUPPORTED_CORE and "pending retry" in got[3][1]
     assert len(providers.HashedEmbedder(8).embed(["a b"])[0]) == 8
+
+
+def test_model_cards_keep_valid_fields(spark):
+    payloads = ['{"display_headline": " New  head ", "primary_topic": "Nonsense", "event_type": "Alert", "key_points": ["a", " "]}', "not json", None, '{"event_types": ["guide"], "primary_topic": "DATA-search-retrieval"}']
+    rows = candidate(spark).crossJoin(spark.createDataFrame([(k, p) for k, p in enumerate(payloads)], "k int, payload string"))
+    got = {r.k: r.card for r in ingest.model_card(rows).collect()}
+    assert (got[0].display_headline, got[0].primary_topic, got[0].event_types, got[0].key_points, got[0].summary_generated_by) == ("New head", "vision-speech-robotics", ["alert"], ["a"], "model")
+    assert got[0].summary.startswith("This sentence")
+    assert got[1].summary_generated_by == got[2].summary_generated_by == "deterministic-fallback"
+    assert got[3].primary_topic == "data-search-retrieval" and got[3].event_types == ["guide"]
+
+
+def test_totals_leave_failed_sources_out(spark):
+    runs = spark.createDataFrame([("a", 1, 2, 3, 4, 5, None), ("b", 1, 1, 1, 1, 1, "boom")], "s string, updates_created int, updates_changed int, updates_unchanged int, updates_quarantined int, chunks_written int, error string")
+    assert tuple(ingest.collection_totals(runs).first()) == (1, 1, 2, 3, 4, 5, 1, "partial_success")
+
+
+def test_answers(spark):
+    from weftline.operators import answer
+
+    rows = [(k, f"d{k % 2}", f"T{k}", "s", f"u{k % 2}", "tool", "2024-01-01", f"content {k}", 0.9 - k / 10, k + 1) for k in range(4)]
+    results = spark.createDataFrame(rows, "chunk_id long, document_id string, title string, source_name string, url string, tool string, published string, content string, similarity double, rank int")
+    seen = []
+
+    def model(question, text):
+        seen.append(text)
+        return answer.Generated("It is so [2][9].", "length", 1_000_000, 0)
+
+    out = answer.ask(results, answer.AskRequest("Compare a and b"), model).first()
+    assert out.citations == ["1"] and out.estimated_cost == 0.4 and out.context_tokens > 0
+    assert out.warnings == ["Answer referenced unknown citation [9].", answer.CUT]
+    assert seen[0].index("T1") < seen[0].index("T2") and "[4] T3" in seen[0]
+    weak = answer.ask(results, answer.AskRequest("x", min_similarity=0.95), model).first()
+    assert weak.answer == "" and "0.900" in weak.warnings[0] and len(seen) == 1
+    assert answer.ask(results.limit(0), answer.AskRequest("x"), model).first().warnings == [answer.NOTHING_FOUND]

@@ -182,3 +182,24 @@ def test_stream_of_candidates_goes_through_the_router(spark, tmp_path):
     # the same candidates again change nothing but dates
     again = ingest.routed(relevance(ingest.matched(rows, stored)))
     assert {r.status for r in again.select("status").distinct().collect()} <= {"unchanged", "quarantined"}
+
+
+def test_silence_is_told_once(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    def write(name, rows):
+        spark.createDataFrame([(s, start + dt.timedelta(seconds=t)) for s, t in rows], "source string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    write("1", [("a", 0), ("b", 0), ("a", 30)])
+    stream = lambda: spark.readStream.schema("source string, ts timestamp").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def run():
+        jobs.started(jobs.silences(stream(), 600), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+
+    run()
+    write("2", [("a", 3000)])
+    run()
+    write("3", [("a", 3100)])
+    run()
+    got = sorted((r.key, r.last_seen) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert ("b", start) in got and all(k in "ab" for k, _ in got)
+    assert len(got) == len(set(got))

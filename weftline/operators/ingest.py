@@ -13,10 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.taxonomy import events, topic
-from ..functions.text import content_detail, fallback_points, fallback_summary, shorten
+from ..functions.taxonomy import clean_labels, events, topic
+from ..functions.text import clean_list, clean_text, content_detail, fallback_points, fallback_summary, falsy, shorten
 from ..functions.urls import normalize_url, url_candidates
-from ..schemas import FIELD_DEFAULTS, RELEVANCE_TIERS, TITLE_LIMIT, managed
+from ..schemas import FIELD_DEFAULTS, PRIMARY_TOPICS, RELEVANCE_TIERS, TITLE_LIMIT, managed
 from .gate import failure_codes, full_evidence, gate_status
 
 # The version of the relevance policy, and a card's standing sentence.
@@ -120,6 +120,30 @@ def fallback_card(rows: DataFrame) -> DataFrame:
     )
 
 
+PAYLOAD = "display_headline string, summary string, why_it_matters string, key_points array<string>, primary_topic string, event_type string, event_types array<string>"
+
+
+def model_card(rows: DataFrame, payload: str = "payload", model: str = "model") -> DataFrame:
+    """Cards from a model's JSON in column ``payload``: valid fields count, the fallback fills the others.
+
+    JSON that cannot be read leaves the whole fallback.
+    """
+    with_fallback = fallback_card(rows)
+    old, got = F.col("card"), F.from_json(F.col(payload), PAYLOAD, {"mode": "PERMISSIVE"})
+    read = with_fallback.withColumn("_got", got)
+    g = F.col("_got")
+    asked = F.lower(F.trim(falsy(g["primary_topic"], old["primary_topic"])))
+    named = clean_labels(F.when(F.length(g["event_type"]) > 0, F.array(g["event_type"])).otherwise(g["event_types"]), limit=1)
+    any_field = F.coalesce(*(g[c].cast("string") for c in ("display_headline", "summary", "why_it_matters", "primary_topic", "event_type")), g["key_points"].cast("string"), g["event_types"].cast("string")).isNotNull()
+    card = F.struct(
+        clean_text(g["display_headline"], old["display_headline"], 90).alias("display_headline"), clean_text(g["summary"], old["summary"], 600).alias("summary"),
+        clean_text(g["why_it_matters"], old["why_it_matters"], 320).alias("why_it_matters"), clean_list(g["key_points"], old["key_points"], 4, 180).alias("key_points"),
+        F.when(asked.isin(*PRIMARY_TOPICS), asked).otherwise(old["primary_topic"]).alias("primary_topic"),
+        F.when(F.size(named) > 0, named).otherwise(old["event_types"]).alias("event_types"), F.lit(model).alias("summary_generated_by"),
+    )
+    return read.withColumn("card", F.when(any_field, card).otherwise(old)).drop("_got")
+
+
 def written(rows: DataFrame, columns: list[str], summarize: Summarizer = fallback_card) -> DataFrame:
     """The article rows that the routes write, with ``route`` and whether chunks go (``drops_chunks``)."""
     old = F.col("old")
@@ -173,6 +197,14 @@ def run_totals(rows: DataFrame, by: str = "source_name") -> DataFrame:
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("matched_items"), *map(count, ("created", "changed", "unchanged", "quarantined")))
 
 
+def collection_totals(runs: DataFrame) -> DataFrame:
+    """One row over the sources of a run (with column ``error``, null where none): what went through, and errors."""
+    fine = F.col("error").isNull()
+    sums = [F.sum(F.when(fine, F.col(c)).otherwise(0)).alias(c) for c in ("updates_created", "updates_changed", "updates_unchanged", "updates_quarantined", "chunks_written")]
+    totals = runs.agg(F.count(F.when(fine, 1)).alias("sources_processed"), *sums, F.count("error").alias("errors"))
+    return totals.withColumn("status", run_status(F.col("sources_processed"), F.col("errors")))
+
+
 def run_status(processed: Column, errors: Column) -> Column:
     """success, partial_success, or failed where no source went through."""
     return F.when(errors == 0, F.lit("success")).when(processed > 0, F.lit("partial_success")).otherwise(F.lit("failed"))

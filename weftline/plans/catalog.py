@@ -11,7 +11,7 @@ from ..functions import dates, display, documents, redact, scores, taxonomy, tex
 from ..functions.chunking import chunks as chunked
 from ..functions.quotes import quote_supported
 from ..operators import context, feed, gate, ingest, search
-from ..sources import fetch, html
+from ..sources import feeds, fetch, html, logs
 from ..streaming import windows
 from . import fixtures as X
 
@@ -445,6 +445,47 @@ def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.col("event_id").alias("run"), F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("source_slug"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("finished_unix"))
 
 
+@query(
+    with_cte(
+        X.ARTICLES_SQL,
+        r"whole AS (SELECT *, lower(lower(regexp_replace(title, '^\s+|\s+$', '', 'g')) || ' ' || raw_text) AS w FROM articles)",
+        r"""kept AS (SELECT * FROM whole WHERE NOT starts_with(lower(regexp_replace(title, '^\s+|\s+$', '', 'g')), 'the') AND coalesce(event, '') <> 'alert'
+  AND (list_contains(string_split_regex(w, '[^a-z0-9]+'), 'que') OR regexp_matches(w, '(^|[^a-z0-9])of\s+the($|[^a-z0-9])') OR list_contains(string_split_regex(w, '[^a-z0-9]+'), 'und')))""",
+    )
+    + "SELECT doc_id, source_name FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY doc_id) AS n FROM kept) WHERE n <= 12"
+)
+def entry_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that a source's filter lets pass, twelve a source at most."""
+    rows = X.articles(spark, sf_dir)
+    ok = feeds.matches_source(F.col("title"), F.col("event_types"), F.col("raw_text"), prefixes=["The "], excluded=["Alert"], terms=["que", "of the", "und"])
+    return feeds.capped(rows.where(ok), 12, position="doc_id").select("doc_id", "source_name")
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {X.FIRST} + (doc_id % 28) * 86400 AS day FROM documents)
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN day + 36000 WHEN 1 THEN day + 28800 WHEN 2 THEN day WHEN 3 THEN day WHEN 4 THEN day END AS published_unix FROM d"""
+)
+def entry_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry times in five spellings, and one that is none."""
+    d = F.col("doc_id")
+    day = F.timestamp_seconds(F.lit(X.FIRST) + (d % 28) * 86400)
+    spelled = (
+        F.when(d % 6 == 0, F.date_format(day, "yyyy-MM-dd'T10:00:00Z'")).when(d % 6 == 1, F.date_format(day, "yyyy-MM-dd'T10:00:00+02:00'")).when(d % 6 == 2, F.date_format(day, "yyyy-MM-dd"))
+        .when(d % 6 == 3, F.date_format(day, "MMM d, yyyy")).when(d % 6 == 4, F.date_format(day, "MMMM d, yyyy")).otherwise(F.lit("some day"))
+    )
+    docs = X.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.unix_seconds(dates.entry_datetime(F.lit(None).cast("timestamp"), spelled, F.lit(None))).alias("published_unix"))
+
+
+@query(
+    """SELECT event_id, '{"api_key":"[REDACTED]","event":"' || event_type || '","level":"INFO","logger":"app","note":"token=1 password=[REDACTED]","timestamp":"2024-01-01T00:00:00.000000Z","user":"' || user_id || '"}' AS line FROM events"""
+)
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("api_key"), F.lit("k"), F.lit("note"), F.lit("token=1 password=x"), F.lit("none"), F.lit(None).cast("string"))
+    line = logs.record(F.timestamp_seconds(F.lit(X.FIRST)), F.lit("info"), F.lit("app"), F.col("event_type"), fields)
+    return X.table(spark, sf_dir, "events").select("event_id", line.alias("line"))
+
+
 # --- operations -----------------------------------------------------------
 
 def _bucket(seconds: int) -> str:
