@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,11 +18,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
     Only where a session names none (single-machine tests) a temporary folder
-    is made and kept for the life of the session.
+    is made, and removed when the process ends.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("weftline.shared.dir", None)
     if not named:
         named = tempfile.mkdtemp(prefix="weftline-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("weftline.shared.dir", named)
     return named
 

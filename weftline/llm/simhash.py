@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -75,39 +75,44 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def keyed(prints: DataFrame) -> DataFrame:
-    """(key, fp) for the eight keys of each fingerprint: which segment is whole,
+def keys(fp: Column, number: int | Column = 0) -> Column:
+    """The eight keys of a fingerprint: the table's number, which segment is whole,
     which half of the next agrees, and those 24 bits."""
-    keys = []
+    base = F.shiftleft((F.lit(number) if isinstance(number, int) else number).cast("long"), 32)
+    out = []
     for i in range(4):
-        whole = F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
-        after = F.shiftrightunsigned("fp", 16 * ((i + 1) % 4)).bitwiseAND(F.lit(0xFFFF))
+        whole = F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))
+        after = F.shiftrightunsigned(fp, 16 * ((i + 1) % 4)).bitwiseAND(F.lit(0xFFFF))
         for half in range(2):
             part = F.shiftright(after, 8 * half).bitwiseAND(F.lit(0xFF))
-            keys.append(F.lit((2 * i + half) << 24) + F.shiftleft(whole, 8) + part)
-    return prints.select("fp", F.explode(F.array(*keys)).alias("key"))
+            out.append(base + F.lit((2 * i + half) << 24) + F.shiftleft(whole, 8) + part)
+    return F.array(*out)
 
 
-def met(prints: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(key, pair, fp): the groups within which fingerprints are compared.
+def met(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(key, pair, node, fp): the groups within which fingerprints are compared.
 
-    Keys of one fingerprint go. A key of more than ``block`` is split by hash
-    into blocks, and each of them goes to every pair of blocks that it is in.
+    ``rows``: key, node, fp. Keys of one row go. A key of more than ``block`` is
+    split by hash into blocks, and each of them goes to every pair of blocks
+    that it is in.
     """
-    rows = keyed(prints)
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "k")
-    both = rows.join(counts, F.col("key") == F.col("k")).select("key", "fp", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int")
+    both = rows.join(counts, F.col("key") == F.col("k")).select("key", "node", "fp", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
+    return dealt(both, ["key"], "node").select("key", "pair", "node", "fp")
+
+
+def dealt(rows: DataFrame, group: list[str], by: str) -> DataFrame:
+    """``rows`` (with ``blocks``, how many blocks their group has) at each pair of blocks that they are in."""
+    mine = F.pmod(F.xxhash64(by, *group), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = both.withColumn("mine", mine).withColumn("other", other)
-    pair = F.least("mine", "other").cast("long") * 0x7FFFFFFF + F.greatest("mine", "other")
-    return dealt.select("key", pair.alias("pair"), "fp")
+    out = rows.withColumn("mine", mine).withColumn("other", other)
+    return out.withColumn("pair", F.least("mine", "other").cast("long") * 0x7FFFFFFF + F.greatest("mine", "other"))
 
 
 def chained(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
     """The pairs whose chains from the key's segment stay within 0, 1, 2 and 3 bits;
     the chain of all four segments is the full Hamming check."""
-    x, at = a ^ b, (key >> 25).astype(np.uint64)
+    x, at = a ^ b, (key >> 25 & 3).astype(np.uint64)
     left, spent = np.arange(len(x)), np.zeros(len(x), np.uint8)
     for step in range(4):
         spent = spent + np.bitwise_count(x >> (np.uint64(16) * ((at + np.uint64(step)) % np.uint64(4))) & SEGMENT)
@@ -136,8 +141,8 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
-def links_of(key: np.ndarray, pair: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links in rows sorted by key and pair."""
+def links_of(key: np.ndarray, pair: np.ndarray, node: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between nodes in rows sorted by key and pair."""
     u, left, right = fp.view(np.uint64), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
     size = np.diff(np.r_[starts, len(key)])
@@ -150,8 +155,8 @@ def links_of(key: np.ndarray, pair: np.ndarray, fp: np.ndarray) -> tuple[np.ndar
             break
         ok = chained(u[at], u[at + gap], key[at])
         if ok.any():
-            left.append(fp[at[ok]])
-            right.append(fp[at[ok] + gap])
+            left.append(node[at[ok]])
+            right.append(node[at[ok] + gap])
             held += int(ok.sum())
             if held > 1 << 20:  # keep only a forest of what is known so far
                 a, b = roots(np.concatenate(left), np.concatenate(right))
@@ -159,35 +164,47 @@ def links_of(key: np.ndarray, pair: np.ndarray, fp: np.ndarray) -> tuple[np.ndar
     return roots(np.concatenate(left), np.concatenate(right))
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key and pair; a group may go over batches."""
+def whole_groups(batches: Iterator[pa.RecordBatch], group: tuple[str, ...], least: int) -> Iterator[pa.Table]:
+    """Tables of at least ``least`` rows (but the last) that cut no group; batches come sorted by group."""
     held: list[pa.RecordBatch] = []
-
-    def out(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        if rows.num_rows:
-            a, b = links_of(*(rows.column(n).to_numpy() for n in ("key", "pair", "fp")))
-            if len(a):
-                yield pa.record_batch([pa.array(a), pa.array(b)], names=["src", "dst"])
-
+    size = 0
     for b in batches:
         if not b.num_rows:
             continue
         held.append(b)
-        rows = pa.Table.from_batches(held)
-        if rows.num_rows < 1 << 16:
+        size += b.num_rows
+        if size < least:
             continue
-        key, pair = rows.column("key").to_numpy(), rows.column("pair").to_numpy()
-        whole = int(np.flatnonzero((key == key[-1]) & (pair == pair[-1]))[0])
-        yield from out(rows.slice(0, whole))
-        held = rows.slice(whole).combine_chunks().to_batches()
+        rows = pa.Table.from_batches(held)
+        same = np.ones(rows.num_rows, bool)
+        for g in group:
+            c = rows.column(g).to_numpy()
+            same &= c == c[-1]
+        cut = int(np.flatnonzero(same)[0])
+        if cut:
+            yield rows.slice(0, cut)
+        held = rows.slice(cut).combine_chunks().to_batches()
+        size = rows.num_rows - cut
     if held:
-        yield from out(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in whole_groups(batches, ("key", "pair"), 1 << 16):
+        a, b = links_of(*(rows.column(n).to_numpy() for n in ("key", "pair", "node", "fp")))
+        if len(a):
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["src", "dst"])
+
+
+def links(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(src, dst): links between the nodes of (key, node, fp) rows, a forest from each task."""
+    placed = met(rows, block).repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
+    return placed.mapInArrow(_links, "src long, dst long")
 
 
-def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(src, dst): links between distinct fingerprints, a forest from each task."""
-    dealt = met(prints, block).repartition("key", "pair").sortWithinPartitions("key", "pair", "fp")
-    return dealt.mapInArrow(_links, "src long, dst long")
+def print_links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(src, dst) over distinct fingerprints ``fp``, which are their own nodes."""
+    return links(prints.select(F.explode(keys(F.col("fp"))).alias("key"), F.col("fp").alias("node"), "fp"), block)
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
@@ -220,12 +237,17 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def print_roots(prints: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(fp, root): every distinct fingerprint and its component's smallest."""
+    found = components(print_links(prints, block))
+    return prints.join(found, F.col("fp") == F.col("node"), "left").select(*prints.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, fp and component_id of every row."""
     prints = stored(fingerprints(docs), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    found = components(links(distinct.select("fp"), block))
-    rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = print_roots(distinct, block)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("fp").alias("f"), "component_id")
     return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
@@ -234,18 +256,3 @@ def classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     return classes(docs, block).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def deduplicated(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row of each class: that with the smallest doc_id.
-
-    Rows that repeat this doc_id go, whatever their text. Rows with a null
-    doc_id cannot be told apart; all of them stay.
-    """
-    ids = classes(docs, block).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    keep = stored(ids, "kept")
-    rows = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
-    if keep.where("n > 1").limit(1).count():
-        one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        rows = rows.withColumn("_nth", one).where("_nth = 1").drop("_nth")
-    return rows.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
