@@ -51,7 +51,7 @@ def test_reliabilities_follow_agreement():
 
 
 def test_redaction_keeps_columns_and_the_rest_of_the_text(spark):
-    rows = [(1, "a jo@b.co, 1.1.1.1!", 19, "s", 0), (2, "nothing", 7, "s", 0), (3, None, None, None, 0), (None, "+1 234 567 8901 4111111111111111", 32, "s", 0)]
+    rows = [(1, "a jo@b.co, 1.1.1.1!", 19, "s", 0), (2, "nothing", 7, "s", 0), (3, None, None, None, 0), (None, "+1 234 567 8901, 4111111111111111", 33, "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, source string, base int")
     got = {r.doc_id: r for r in pii.redacted(docs).collect()}
     assert got[1].text == "a <EMAIL>, <IP>!" and got[1].n_chars == 16
