@@ -31,16 +31,36 @@ EVENT_WORDS: dict[str, tuple[str, ...]] = {
 }
 
 
+def bounded(word: str) -> bool:
+    """Whether a word counts only where it stands alone; phrases count anywhere."""
+    return bool(re.fullmatch(r"[^\W_]+", word.replace("-", "")))
+
+
 def occurrences(low: Column, word: str) -> Column:
     """How often a word stands in lower-cased text: between other characters than letters and digits, phrases anywhere."""
-    if re.fullmatch(r"[^\W_]+", word.replace("-", "")):
+    if bounded(word):
         return F.regexp_count(low, F.lit(rf"(?<![a-z0-9])\Q{word}\E(?![a-z0-9])"))
     return ((F.length(low) - F.length(F.replace(low, F.lit(word), F.lit("")))) / len(word)).cast("int")
 
 
 def topic_scores(text: Column, words: dict[str, tuple[str, ...]] = TOPIC_WORDS) -> dict[str, Column]:
+    """Occurrences of each topic's words.
+
+    Words of letters and digits alone cannot overlap, so one pass finds all of
+    them; the few others are counted one by one.
+    """
     low = F.lower(text)
-    return {topic: reduce(lambda a, b: a + b, (occurrences(low, w) for w in ws)) for topic, ws in words.items()}
+    plain = sorted({w for ws in words.values() for w in ws if re.fullmatch("[a-z0-9]+", w)})
+    hits = F.regexp_extract_all(low, F.lit(rf"(?<![a-z0-9])(?:{'|'.join(plain)})(?![a-z0-9])"), F.lit(0)) if plain else F.array().cast("array<string>")
+
+    def among(found: Column, ws: tuple[str, ...]) -> Column:
+        own = [w for w in ws if w in plain]
+        return F.size(F.filter(found, lambda h: h.isin(*own))) if own else F.lit(0)
+
+    # one expression for all topics, so that the text is searched once
+    counts = F.transform(F.array(hits), lambda found: F.struct(*(among(found, ws).alias(f"n{k}") for k, ws in enumerate(words.values()))))
+    rest = [[occurrences(low, w) for w in ws if w not in plain] for ws in words.values()]
+    return {topic: reduce(lambda a, b: a + b, rest[k], F.get(counts, F.lit(0))[f"n{k}"]) for k, topic in enumerate(words)}
 
 
 def topic(text: Column, default: Column, words: dict[str, tuple[str, ...]] = TOPIC_WORDS) -> Column:

@@ -18,7 +18,8 @@ INSUFFICIENT = (
     "no information about",
     "cannot be determined from the context",
 )
-WORD = r"(?U)\b[\w+#.-]+\b"
+#: From a run's first word character to its last; the run may hold + # . and - besides.
+WORD = r"(?U)\w(?:[\w+#.-]*\w)?"
 
 
 def strip(text: Column) -> Column:
@@ -86,10 +87,19 @@ def clean_list(values: Column, fallback: Column, count: int, limit: int) -> Colu
 
 
 def content_detail(title: Column, raw: Column) -> Column:
-    """``sparse`` below 50 words or two sentences of six words, else ``detailed``."""
-    text = body(title, raw)
-    sentences = F.filter(F.split(text, r"(?U)(?<=[.!?])\s+|\n+"), lambda s: F.regexp_count(s, F.lit(WORD)) >= SENTENCE_WORDS)
-    sparse = (F.regexp_count(text, F.lit(WORD)) < SPARSE_WORDS) | (F.size(sentences) < SPARSE_SENTENCES)
+    """``sparse`` below 50 words or two sentences of six words, else ``detailed``.
+
+    A sentence's end is white space or comes before it, so no word is cut and
+    the body's words are the sum of its sentences'.
+    """
+    parts = F.split(body(title, raw), r"(?U)(?<=[.!?])\s+|\n+")
+
+    def add(a: Column, s: Column) -> Column:
+        n = F.regexp_count(s, F.lit(WORD))
+        return F.struct((a["words"] + n).alias("words"), (a["long"] + F.when(n >= SENTENCE_WORDS, 1).otherwise(0)).alias("long"))
+
+    start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("long"))
+    sparse = F.aggregate(parts, start, add, lambda a: (a["words"] < SPARSE_WORDS) | (a["long"] < SPARSE_SENTENCES))
     return F.when(sparse, F.lit("sparse")).otherwise(F.lit("detailed"))
 
 
