@@ -90,3 +90,16 @@ def test_run_returns_the_last_stage(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "lang", "source", "n_chars", "n_pieces", "ids"]
     assert np.all([len(r.ids) == r.n_pieces for r in out.collect()])
+
+
+def test_stages_keep_columns_that_clash_with_their_own(spark):
+    names = ["_spans", "_row", "new", "size", "h", "s", "source_size", "target", "passes", "threshold", "share", "nth", "node", "root", "n", "_key", "predicted", "score", "label", "fp"]
+    rows = [(k, f"text {k} of mail jo{k}@b.co " + "word " * (k % 5), "en", f"s{k % 3}", 0, *range(len(names))) for k in range(30)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns[5:] == names, name
+        got = docs.collect()
+        assert got and all(tuple(r)[5:] == tuple(range(len(names))) for r in got)
+    assert all("@" not in r.text for r in got)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(got)

@@ -55,6 +55,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_of(df: DataFrame) -> Column:
+    """The whole row as one column ``_row``, so that working columns beside it clash with none of its own."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+
+
+def rows_again(df: DataFrame, like: DataFrame, **changed: Column) -> DataFrame:
+    """The rows kept in ``_row``, with the columns of ``like`` and those that changed."""
+    return df.select(*(changed[c].alias(c) if c in changed else F.col(f"_row.`{c}`").alias(c) for c in like.columns))
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df``, after seeing to it that the session sends Python at most ``rows`` rows at a time.
 

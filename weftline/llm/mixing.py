@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, text_or_empty
+from .common import WORD, row_of, rows_again, stored, text_or_empty
 
 #: Bits of the record hash, and the bits that each histogram adds.
 BITS, STEPS = 60, (12, 24)
@@ -112,12 +112,11 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFra
     The row at a source's threshold is taken once more if at least half of its
     words are.
     """
-    marked = docs.select("*", size_of().alias("_size"), hash_of().alias("_h"))
-    records = marked.select("source", F.col("_size").alias("size"), F.col("_h").alias("h"))
-    plan = plan_mix(stored(records, "mix-records"), weights).withColumnRenamed("source", "_s")
-    joined = marked.join(plan, F.col("source").eqNullSafe(F.col("_s")), "left")
-    once = (F.col("_h") < F.col("threshold")) | ((F.col("_h") == F.col("threshold")) & (F.col("share") * 2 >= F.col("_size")))
+    marked = docs.select(row_of(docs), "source", size_of().alias("size"), hash_of().alias("h"))
+    plan = plan_mix(stored(marked.drop("_row"), "mix-records"), weights).withColumnRenamed("source", "s")
+    joined = marked.join(plan, F.col("source").eqNullSafe(F.col("s")), "left")
+    once = (F.col("h") < F.col("threshold")) | ((F.col("h") == F.col("threshold")) & (F.col("share") * 2 >= F.col("size")))
     times = F.col("passes") + F.when(once, 1).otherwise(0)
     # a row without words weighs nothing: it stays once
-    times = F.when(F.col("_size") == 0, F.lit(1)).otherwise(times).cast("int")
-    return joined.withColumn("_times", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(times).cast("int")
+    return rows_again(joined.select("_row", F.explode(F.array_repeat(F.lit(1), times))), docs)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import small_batches, stored
+from .common import row_of, rows_again, small_batches, stored
 
 #: Similarity of five-word shingles from which texts are near copies.
 SIMILARITY, SHINGLE = 0.8, 5
@@ -173,9 +173,9 @@ def deduplicated(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     nodes, found = copies(docs, block)
     keep = stored(nodes.distinct().join(found.select("node"), "node", "left_anti"), "kept")
     # texts move once, at every size
-    rows = docs.join(keep.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi")
+    rows = docs.join(keep.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if ids.limit(1).count():
         one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        rows = rows.withColumn("_nth", one).where("_nth = 1").drop("_nth")
-    return rows.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+        rows = rows_again(rows.select(row_of(rows), "doc_id", "text").withColumn("nth", one).where("nth = 1"), docs)
+    return rows.union(docs.where(F.col("doc_id").isNull()))

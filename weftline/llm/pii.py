@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import row_of, rows_again, stored, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: A match starts where the one before ended, or where a run of its characters does.
@@ -279,6 +279,9 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] >= a["at"], F.concat(a["out"], gap, name)).otherwise(a["out"]).alias("out"))
 
     done = F.aggregate(final_spans(model), start, cut, lambda a: F.concat(a["out"], text.substr(a["at"].cast("int") + 1, F.length(text))))
-    out = with_spans(docs).withColumn("text", F.when(F.size("_spans") > 0, done).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
-
+    found = F.size("_spans") > 0
+    changed = {"text": F.when(found, F.col("new")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(found, F.length("new").cast("long")).otherwise(F.col("_row.n_chars"))
+    rows = with_spans(docs.select(row_of(docs), "text")).select("_row", "text", "_spans", F.when(found, done).alias("new"))
+    return rows_again(rows, docs, **changed)
