@@ -12,6 +12,11 @@ Equal texts join by their digest first, so every group of copies is one node
 from then on. Large components are dealt into pairs of blocks, and a task that
 knows two texts to be connected does not compare them, so a dense group costs
 little more than its size.
+
+Defined results: null and empty texts are equal texts; texts of fewer than five
+words have one shingle; a group keeps the row with its smallest doc_id, rows
+that repeat this id go, and rows with a null doc_id all stay; an empty table
+gives an empty result; extra columns are kept as they are.
 """
 
 from __future__ import annotations
