@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, text_or_empty
+from .common import shared_path, stored, text_or_empty
 
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 #: An empty skippable frame: magic 0x184D2A50 and length 0, all of it ASCII.
@@ -36,6 +36,8 @@ REVISIT_BYTES = 1000
 #: Records sampled for an archive's dictionary, in bytes; and the dictionary's size.
 SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 1 << 15
 LEVEL = 3
+#: Bytes handed to the decompressor at a time; what is over goes to the next record.
+PIECE = 1 << 13
 
 ROWS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -50,6 +52,7 @@ def routed(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     rows = pages.select("page_id", text_or_empty("url").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     large = rows.where(F.octet_length("payload") >= least)
     first = large.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1 and holder is not null").select(F.col("digest").alias("d"), "holder")
+    first = stored(first, "payload-holders")  # a frequent payload's rows can then be split in the join
     joined = rows.join(first, (F.col("digest") == F.col("d")) & (F.octet_length("payload") >= least), "left")
     other = F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
     return joined.select("page_id", "url", F.when(~other, F.col("payload")).alias("payload"), F.octet_length("payload").cast("long").alias("bytes"), "digest", F.when(other, F.col("holder")).alias("refers_to"))
@@ -148,12 +151,14 @@ def records_of(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
                 reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=kind))
             at += 8 + size
         else:
-            one = reader.decompressobj()
-            data = one.decompress(view[at:])
-            if not one.eof:
-                raise ValueError("an archive ends inside a record")
-            at = len(view) - len(one.unused_data)
-            yield parse_record(data)
+            one, parts = reader.decompressobj(), []
+            while not one.eof:
+                if at == len(view):
+                    raise ValueError("an archive ends inside a record")
+                parts.append(one.decompress(view[at : at + PIECE]))
+                at = min(at + PIECE, len(view))
+            at -= len(one.unused_data)
+            yield parse_record(b"".join(parts))
 
 
 def _number(urn: str) -> int | None:
