@@ -157,14 +157,14 @@ def copies(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     keyed = texts.select("node", F.posexplode("prints").alias("number", "fp")).select(F.explode(simhash.keys(F.col("fp"), F.col("number"))).alias("key"), "node", "fp")
     near = stored(simhash.components(simhash.links(keyed)), "candidates")
     members = near.union(near.select(F.col("root").alias("node"), "root").distinct())
-    size = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    size = stored(members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")), "component-sizes")
     sketches = profile.select(F.col("doc_id").alias("node"), "shingles", "sketch")
     # merge joins at every size: what moves is in proportion to the input
     placed = simhash.dealt(sketches.join(members.hint("merge"), "node").join(size, "root"), ["root"], "node").select("root", "pair", "node", "shingles", "sketch")
     verified = placed.repartition("root", "pair").sortWithinPartitions("root", "pair", "node").mapInArrow(_alike, "src long, dst long")
     # texts that the shingle fingerprints link
     prints = simhash.print_roots(stored(texts.groupBy("fp").agg(F.min("node").alias("first")), "distinct-fingerprints"))
-    least = prints.groupBy("root").agg(F.min("first").alias("dst"))
+    least = stored(prints.groupBy("root").agg(F.min("first").alias("dst")), "first-of-prints")
     by_print = texts.select("fp", "node").join(prints.select("fp", "root"), "fp").join(least, "root").select(F.col("node").alias("src"), "dst")
     return texts.select("node"), simhash.components(verified.union(by_print))
 

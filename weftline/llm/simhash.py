@@ -96,7 +96,8 @@ def met(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     split by hash into blocks, and each of them goes to every pair of blocks
     that it is in.
     """
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "k")
+    # a table of its own: a hot key's rows can then be split, or the counts broadcast if they are few
+    counts = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "k"), "key-counts")
     both = rows.join(counts, F.col("key") == F.col("k")).select("key", "node", "fp", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
     return dealt(both, ["key"], "node").select("key", "pair", "node", "fp")
 
@@ -219,6 +220,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         """Link each node's neighbours (larger ones, or smaller ones and itself) to its least neighbour."""
         both = e.union(e.select(F.col("dst"), F.col("src"))) if large else e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("least")).withColumnRenamed("src", "node")
+        least = stored(least, "least")  # so that the rows of a hub can be split in the join
         joined = both.join(least, F.col("src") == F.col("node"))
         if large:
             out = joined.where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
@@ -248,7 +250,7 @@ def classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     prints = stored(fingerprints(docs), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     rooted = print_roots(distinct, block)
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
     named = rooted.join(least, "root").select(F.col("fp").alias("f"), "component_id")
     return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
