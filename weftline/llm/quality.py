@@ -24,6 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .labelled import Curve, remainder, sample
 
 #: Dictionary bytes, and compression level.
@@ -94,4 +95,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(found), pa.array((found >= LIMIT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     src = docs.select(F.col("doc_id").cast("long"), (remainder(FOLDS) == HELD).alias("held_out"), F.col("text").cast("string"))
-    return src.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return small_batches(src).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

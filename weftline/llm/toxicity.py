@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .labelled import Curve, remainder, sample
 
 FOLDS, HELD, LIMIT = 5, 0, 0.5
@@ -44,13 +46,15 @@ TARGETS = "you your yours they them he him she her toi vous tu du ihr dich euch
 NEGATIONS = "not never no nobody isn't aren't don't doesn't wasn't pas jamais nicht kein keine nunca tampoco".split()
 REPORTS = "said says called calls wrote writes claimed reported quoted dit écrit sagte schrieb dijo escribió".split()
 WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-CLAUSE = re.compile(r"[^.!?;:\n]+")
+BETWEEN = re.compile(r"[.!?;:\n]")
 #: A lexicon entry needs so many occurrences in toxic texts and so high log-odds.
 LEAST, ODDS = 4, 2.5
 #: Letters of a word beginning in the lexicon; and entries at most.
 SHORTEST, LONGEST_STEM, ENTRIES = 4, 8, 4000
 #: Weight of a threat before the grammar.
 THREAT_WEIGHT = 4.0
+#: Words whose symbols a worker remembers.
+SEEN = 50_000
 
 
 @dataclass(frozen=True)
@@ -164,7 +168,7 @@ class Grammar:
         if (hit := self.seen.get(word)) is None:
             w = next((self.lexicon[s] for s in stems(word) if s in self.lexicon), 0.0)
             hit = (INSULT, w) if w > 0 else (MARKS.get(word, OTHER), THREAT_WEIGHT)
-            if len(self.seen) > 100_000:
+            if len(self.seen) > SEEN:
                 self.seen.clear()
             self.seen[word] = hit
         return hit
@@ -183,17 +187,18 @@ class Grammar:
         """(start, end, score) of the lower-cased text's clauses that score."""
         if self.finder is None:
             self.ready()
-        out, end = [], -1
-        if not text:
-            return out
-        for at, size in self.finder.iter(text):
+        out: list[tuple[int, int, float]] = []
+        ends: list[int] = []
+        end = -1
+        for at, size in self.finder.iter(text) if text else ():
             start = at - size + 1
             if start < end or start and text[start - 1].isalpha():
                 continue
-            begin = max(text.rfind(c, 0, start) for c in ".!?;:\n") + 1
-            m = CLAUSE.match(text, begin)
-            end = m.end()
-            if (score := self.clause(WORDS.findall(m.group()))) > 0:
+            if not ends:  # the places between clauses, found once and only where something matched
+                ends = [-1, *(m.start() for m in BETWEEN.finditer(text)), len(text)]
+            k = bisect_left(ends, start)
+            begin, end = ends[k - 1] + 1, ends[k]
+            if (score := self.clause(WORDS.findall(text, begin, end))) > 0:
                 out.append((begin, end, score))
         return out
 
@@ -235,7 +240,7 @@ def scored(model: Model, columns: list[str], schema: str, docs: DataFrame) -> Da
             found = model.score([t or "" for t in b.column("text").to_pylist()])
             yield pa.record_batch([*(b.column(c) for c in columns), pa.array(found), pa.array((found >= LIMIT).astype(np.int32))], names=[*columns, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -252,4 +257,4 @@ def kept(docs: DataFrame, model: Model) -> DataFrame:
             found = model.score([t or "" for t in b.column("text").to_pylist()])
             yield b.filter(pa.array(found < LIMIT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
