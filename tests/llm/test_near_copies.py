@@ -107,3 +107,36 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 6]
     assert sum(r.doc_id is None for r in kept.collect()) == 2
     assert near_copies.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_copies_that_differ_by_a_block_meet(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    line = some(30)  # which many texts have
+    texts = []
+    for k in range(60):
+        base = some(rng.randrange(50, 400)) + (line if k % 2 else [])
+        n = len(base) * 16 // 100
+        at = len(base) // 2
+        texts += [base, (base + some(n), base[: len(base) - n], base[:at] + some(n) + base[at:])[k % 3]]
+    texts += [some(k) for k in (1, 2, 4, 5, 6, 9)]
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for block in (near_copies.BLOCK, 4):
+        got = classes(spark, docs, block)
+        pairs = [(a, b) for a in range(len(texts)) for b in range(a) if alike(texts[a], texts[b]) >= 0.8]
+        assert len(pairs) > 30
+        assert [p for p in pairs if got[p[0]] != got[p[1]]] == []
+
+
+def test_prefixes_of_alike_sets_meet():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        x = np.unique(rng.integers(0, 1 << 40, n))
+        y = np.unique(np.r_[x[rng.random(len(x)) < 0.9], rng.integers(0, 1 << 40, int(rng.integers(0, 1 + n // 8)))])
+        common = np.unique(rng.choice(x, max(1, n // 3)))
+        if 9 * len(np.intersect1d(x, y)) >= 4 * (len(x) + len(y)):
+            weight = common % 5 + 1
+            assert len(np.intersect1d(near_copies.prefix(x, common, weight), near_copies.prefix(y, common, weight)))

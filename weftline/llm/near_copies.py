@@ -4,7 +4,13 @@ Texts are near copies if their sets of five-word shingles are alike to 0.8 or
 more. Such texts differ in a few words, so fingerprints of their sets of words
 are close. ``PRINTS`` independent fingerprints meet under the keys of
 ``simhash.keys``; two texts are candidates if any of the prints differ in 3 bits
-at most. Candidates' components are then looked into: shingle sketches (the
+at most. This joins most copies cheaply; what it misses (copies with a block of
+text more or less) is found by exact prefix filtering of the shingle sets: sets
+alike to 0.8 share one of their first n - ceil(0.8 n) + 1 shingles in any common
+order, and each pair of texts that do, and are not yet in one class, is decided
+by its whole sets. So no pair alike to 0.8 is missed, whatever the prints say.
+
+The prints' candidates' components are looked into: shingle sketches (the
 ``SKETCH`` smallest hashes; the whole set of a shorter text) give the
 similarity, exactly for sets within the sketch, else to about 0.025.
 
@@ -40,6 +46,8 @@ PRINTS, SKETCH, BLOCK = 12, 256, 512
 ALLOWANCE = 0.03
 #: Words hashed at a time.
 CHUNK = 1 << 13
+#: Most frequent shingles that the order of prefixes puts last; which ones changes the work, not the result.
+COMMON = 1 << 16
 _STEPS = (np.arange(PRINTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 
 
@@ -83,6 +91,126 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return len(common) / max(1, len(both))
 
 
+def shingle_set(words: list[bytes]) -> np.ndarray:
+    """The hashes of all distinct shingles, ascending."""
+    if not words:
+        return np.empty(0, np.int64)
+    flat = b" ".join(words)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(size + 1) - 1
+    n = min(SHINGLE, len(words))
+    starts, ends = (ends - size)[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(flat[a:b]) for a, b in zip(starts, ends, strict=True)], np.uint64).view(np.int64))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles that several different texts of a batch have, and how many."""
+    for b in batches:
+        sets = [shingle_set(words_of(t)) for t in {t.as_py() for t in b.column("text")}]
+        key, n = np.unique(np.concatenate([np.empty(0, np.int64), *sets]), return_counts=True)
+        yield pa.record_batch([pa.array(key[n > 1]), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
+
+
+def prefix(hashes: np.ndarray, last: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, in an order that is the same for all texts.
+
+    Two sets alike to SIMILARITY share at least one of them: what is left of a
+    set of n is too small to hold the 4n/5 shingles that they must share.
+    ``last`` (ascending) come after all others, by ``weight``; this only saves work.
+    """
+    n = len(hashes)
+    if len(last):
+        at = np.minimum(np.searchsorted(last, hashes), len(last) - 1)
+        hashes = hashes[np.lexsort((hashes, np.where(last[at] == hashes, weight[at], 0)))]
+    return hashes[: n - (4 * n + 4) // 5 + 1]
+
+
+def pairs_of(key: np.ndarray, pair: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray, reach: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes with different roots that share a key and may be alike; rows come
+    sorted by key, pair and n. ``reach``: how far apart in this order at most."""
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
+    size = np.diff(np.r_[starts, len(key)])
+    last = np.repeat(starts + size, size)
+    at = np.flatnonzero(np.repeat(np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts), size))
+    left, right, held = [], [], 0
+    for gap in range(1, min(reach or len(key), int(size.max(initial=1)) - 1) + 1):
+        at = at[at + gap < last[at]]
+        at = at[5 * n[at] >= 4 * n[at + gap]]
+        if not len(at):
+            break
+        # at the first shingle that two sets share, both must have enough left
+        ok = at[(root[at] != root[at + gap]) & (9 * np.minimum(n[at] - place[at], n[at + gap] - place[at + gap]) >= 4 * (n[at] + n[at + gap]))]
+        left.append(np.minimum(node[ok], node[ok + gap]))
+        right.append(np.maximum(node[ok], node[ok + gap]))
+        held += len(ok)
+        if held > 1 << 20:
+            yield np.concatenate(left), np.concatenate(right)
+            left, right, held = [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def _shared(block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows whose key another text has, and into how many blocks the key is dealt."""
+        for rows in simhash.whole_groups(batches, ("key",), 1 << 16):
+            key = rows.column("key").to_numpy()
+            _, which, n = np.unique(key, return_inverse=True, return_counts=True)
+            n = n[which]
+            rows = rows.append_column("blocks", pa.array(-(-n // block), pa.int32())).filter(pa.array(n > 1))
+            yield from rows.to_batches()
+
+    return run
+
+
+def _pairs(reach: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in simhash.whole_groups(batches, ("key", "pair"), 1 << 16):
+            for a, b in pairs_of(*(rows.column(c).to_numpy() for c in ("key", "pair", "node", "root", "n", "place")), reach):
+                yield pa.Table.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"]).group_by(["src", "dst"]).aggregate([]).combine_chunks().to_batches()[0]
+
+    return run
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.record_batch([b.column("node"), pa.array([shingle_set(words_of(t.as_py())).tobytes() for t in b.column("text")], pa.binary())], names=["node", "hashes"])
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose whole sets are alike."""
+    for b in batches:
+        ok = []
+        for x, y in zip(b.column("a"), b.column("b"), strict=True):
+            x, y = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
+            ok.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+        yield b.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+
+
+def prefixes(src: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """key, node, n, place, blocks: the prefix shingles that several of the nodes' texts have."""
+    counts = small_batches(src).mapInArrow(_common, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    common = counts.orderBy(F.desc("n"), "key").limit(COMMON).collect()  # so many rows at most; they set the order only
+    common = np.array(sorted((r["key"], r["n"]) for r in common), np.int64).reshape(-1, 2)
+    last, weight = common[:, 0].copy(), common[:, 1].copy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(words_of(t.as_py())) for t in b.column("text")]
+            first = [prefix(s, last, weight) if len(s) else s for s in sets]
+            yield pa.record_batch([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["node", "n", "keys"])
+
+    # a repeated doc_id with different texts has a row for each
+    own = src.mapInArrow(run, "node long, n long, keys array<bigint>").join(nodes.select("node").distinct().hint("merge"), "node", "left_semi")
+    rows = own.select(F.posexplode("keys").alias("place", "key"), "node", "n").select("key", "node", "n", F.col("place").cast("long").alias("place"))
+    return stored(rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_shared(block), "key long, node long, n long, place long, blocks int"), "prefixes")
+
+
 PROFILE = "doc_id long, fp long, hi long, lo long, prints array<bigint>, shingles long, sketch binary"
 
 
@@ -166,7 +294,20 @@ def copies(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     prints = simhash.print_roots(stored(texts.groupBy("fp").agg(F.min("node").alias("first")), "distinct-fingerprints"))
     least = stored(prints.groupBy("root").agg(F.min("first").alias("dst")), "first-of-prints")
     by_print = texts.select("fp", "node").join(prints.select("fp", "root"), "fp").join(least, "root").select(F.col("node").alias("src"), "dst")
-    return texts.select("node"), simhash.components(verified.union(by_print))
+    found = stored(simhash.components(verified.union(by_print)), "classes")
+    # every other pair that is alike shares a shingle of its prefixes: neighbours under a key first, so that
+    # dense groups are one class when all pairs of different classes are looked at
+    shared = prefixes(src, texts, block)
+    needed = stored(shared.select("node").distinct(), "needed")
+    sets = stored(small_batches(src.withColumnRenamed("doc_id", "node").join(needed.hint("merge"), "node")).mapInArrow(_sets, "node long, hashes binary"), "sets")
+    for reach in (1, None):
+        rooted = shared.join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = simhash.dealt(rooted, ["key"], "node").select("key", "pair", "node", "root", "n", "place")
+        pairs = placed.repartition("key", "pair").sortWithinPartitions("key", "pair", "n", "node").mapInArrow(_pairs(reach), "src long, dst long")
+        pairs = stored(pairs.distinct(), "pairs")
+        both = pairs.join(sets.select(F.col("node").alias("src"), F.col("hashes").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("hashes").alias("b")), "dst")
+        found = stored(simhash.components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")).union(both.mapInArrow(_judged, "src long, dst long"))), "classes")
+    return texts.select("node"), found
 
 
 def deduplicated(docs: DataFrame, block: int = BLOCK) -> DataFrame:
