@@ -140,3 +140,27 @@ def test_prefixes_of_alike_sets_meet():
         if 9 * len(np.intersect1d(x, y)) >= 4 * (len(x) + len(y)):
             weight = common % 5 + 1
             assert len(np.intersect1d(near_copies.prefix(x, common, weight), near_copies.prefix(y, common, weight)))
+
+
+def test_long_texts_are_decided_at_the_threshold(spark):
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    texts = []
+    for k in range(40):
+        base = [rng.choice(vocabulary) for _ in range(2000)]
+        words = list(base)
+        for at in range(20, 2000, 2000 // (45 if k % 2 else 50))[: 43 if k % 2 else 49]:
+            words[at] = rng.choice(vocabulary)
+        texts += [" ".join(base), " ".join(words)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = classes(spark, docs)
+    above = below = 0
+    for k in range(0, len(texts), 2):
+        true = alike(texts[k], texts[k + 1])
+        if true >= 0.8:
+            above += 1
+            assert got[k] == got[k + 1]
+        elif (brute.fingerprint(texts[k]) ^ brute.fingerprint(texts[k + 1])).bit_count() > 3:
+            below += true > 0.77
+            assert got[k] != got[k + 1]
+    assert above >= 10 and below >= 10

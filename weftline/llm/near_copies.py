@@ -10,9 +10,9 @@ alike to 0.8 share one of their first n - ceil(0.8 n) + 1 shingles in any common
 order, and each pair of texts that do, and are not yet in one class, is decided
 by its whole sets. So no pair alike to 0.8 is missed, whatever the prints say.
 
-The prints' candidates' components are looked into: shingle sketches (the
-``SKETCH`` smallest hashes; the whole set of a shorter text) give the
-similarity, exactly for sets within the sketch, else to about 0.025.
+The prints' candidates' components are looked into, also by whole sets (64-bit
+hashes of all shingles); the threshold is 0.8 exactly. Sketches (the ``SKETCH``
+smallest hashes) only estimate a similarity; nothing is decided by them.
 
 Equal texts join by their digest first, so every group of copies is one node
 from then on. Large components are dealt into pairs of blocks, and a task that
@@ -40,10 +40,10 @@ from .common import row_of, rows_again, small_batches, stored
 
 #: Similarity of five-word shingles from which texts are near copies.
 SIMILARITY, SHINGLE = 0.8, 5
-#: Fingerprints of the words, smallest shingle hashes kept, texts of a component in one block.
+#: Fingerprints of the words, smallest shingle hashes of a sketch, texts of a component in one block.
 PRINTS, SKETCH, BLOCK = 12, 256, 512
-#: Where sketches do not hold whole sets, an estimate this far below SIMILARITY still counts: its error is 0.025.
-ALLOWANCE = 0.03
+#: Bytes of shingle hashes a text of a block may have on average; components of longer texts get more blocks.
+SET_BYTES = 1 << 13
 #: Words hashed at a time.
 CHUNK = 1 << 13
 #: Most frequent shingles that the order of prefixes puts last; which ones changes the work, not the result.
@@ -211,53 +211,48 @@ def prefixes(src: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
     return stored(rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_shared(block), "key long, node long, n long, place long, blocks int"), "prefixes")
 
 
-PROFILE = "doc_id long, fp long, hi long, lo long, prints array<bigint>, shingles long, sketch binary"
+PROFILE = "doc_id long, fp long, hi long, lo long, prints array<bigint>"
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "fp", "hi", "lo", "prints", "shingles", "sketch"]
+    names = ["doc_id", "fp", "hi", "lo", "prints"]
     for b in batches:
         n = b.num_rows
-        fp, digest, prints, count, kept = np.empty(n, np.uint64), np.empty((n, 2), np.uint64), np.empty((n, PRINTS), np.int64), np.empty(n, np.int64), []
+        fp, digest, prints = np.empty(n, np.uint64), np.empty((n, 2), np.uint64), np.empty((n, PRINTS), np.int64)
         for k, t in enumerate(b.column("text")):
             text = t.as_py() or ""
             raw = text.encode("utf-8", "surrogatepass")
             d = xxhash.xxh3_128_intdigest(raw)
-            words = raw.lower().split()
-            fp[k], digest[k], prints[k] = simhash.fingerprint(text), (d >> 64, d & 0xFFFFFFFFFFFFFFFF), word_prints(words)
-            count[k], smallest = sketch(words)
-            kept.append(smallest.tobytes())
+            fp[k], digest[k], prints[k] = simhash.fingerprint(text), (d >> 64, d & 0xFFFFFFFFFFFFFFFF), word_prints(raw.lower().split())
         lists = pa.ListArray.from_arrays(np.arange(0, (n + 1) * PRINTS, PRINTS, dtype=np.int32), pa.array(prints.ravel()))
-        columns = [b.column("doc_id"), *(pa.array(x.view(np.int64)) for x in (fp, digest[:, 0].copy(), digest[:, 1].copy())), lists, pa.array(count), pa.array(kept, pa.binary())]
+        columns = [b.column("doc_id"), *(pa.array(x.view(np.int64)) for x in (fp, digest[:, 0].copy(), digest[:, 1].copy())), lists]
         yield pa.record_batch(columns, names=names)
 
 
 def alike(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the near copies within each (root, pair) group of the rows."""
-    root, pair, node, count = (rows.column(c).to_numpy() for c in ("root", "pair", "node", "shingles"))
-    sketches = [np.frombuffer(s.as_py(), np.uint32) for s in rows.column("sketch")]
+    """A forest of the near copies within each (root, pair) group of the rows, by their whole sets."""
+    root, pair, node = (rows.column(c).to_numpy() for c in ("root", "pair", "node"))
+    sets = [np.frombuffer(s.as_py(), np.int64) for s in rows.column("hashes")]
     starts = np.flatnonzero(np.r_[True, (root[1:] != root[:-1]) | (pair[1:] != pair[:-1])])
     src, dst = [], []
     for a, b in zip(starts, np.r_[starts[1:], len(root)], strict=True):
-        own = sketches[a:b]
-        flat = np.concatenate(own) if own else np.empty(0, np.uint32)
-        _, code = np.unique(flat, return_inverse=True)
+        own = sets[a:b]
+        _, code = np.unique(np.concatenate(own), return_inverse=True)
         size = np.array([len(s) for s in own])
         which = np.repeat(np.arange(len(own)), size)
         first = np.cumsum(size) - size
         part = np.arange(len(own))  # which texts are known to be connected
-        total = count[a:b]
         for i in range(len(own) - 1):
-            # not yet connected, of like size, and with enough hashes in common
-            open_ = (part != part[i]) & (np.minimum(total, total[i]) >= SIMILARITY * np.maximum(total, total[i]))
+            # not yet connected, and of like size
+            open_ = (part != part[i]) & (5 * np.minimum(size, size[i]) >= 4 * np.maximum(size, size[i]))
             open_[: i + 1] = False
             if not open_.any():
                 continue
             flag = np.zeros(int(code.max(initial=-1)) + 1, bool)
             flag[code[first[i] : first[i] + size[i]]] = True
             shared = np.bincount(which[flag[code]], minlength=len(own))
-            for j in np.flatnonzero(open_ & (2 * shared >= np.minimum(size, size[i]))).tolist():
-                if part[j] != part[i] and similarity(own[i], own[j]) >= SIMILARITY - (ALLOWANCE if max(size[i], size[j]) == SKETCH else 0):
+            for j in np.flatnonzero(open_ & (9 * shared >= 4 * (size + size[i]))).tolist():
+                if part[j] != part[i]:
                     src.append(node[a + j])
                     dst.append(node[a + i])
                     part[part == part[j]] = part[i]
@@ -265,7 +260,7 @@ def alike(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in simhash.whole_groups(batches, ("root", "pair"), 1 << 12):
+    for rows in simhash.whole_groups(batches, ("root", "pair"), 1 << 10):
         a, b = alike(rows)
         if len(a):
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["src", "dst"])
@@ -285,10 +280,15 @@ def copies(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     keyed = texts.select("node", F.posexplode("prints").alias("number", "fp")).select(F.explode(simhash.keys(F.col("fp"), F.col("number"))).alias("key"), "node", "fp")
     near = stored(simhash.components(simhash.links(keyed)), "candidates")
     members = near.union(near.select(F.col("root").alias("node"), "root").distinct())
-    size = stored(members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")), "component-sizes")
-    sketches = profile.select(F.col("doc_id").alias("node"), "shingles", "sketch")
+    # whole sets of every text that has a candidate, by fingerprints or by prefixes
+    shared = prefixes(src, texts, block)
+    needed = stored(shared.select("node").union(members.select("node")).distinct(), "needed")
+    sets = stored(small_batches(src.withColumnRenamed("doc_id", "node").join(needed.hint("merge"), "node")).mapInArrow(_sets, "node long, hashes binary"), "sets")
     # merge joins at every size: what moves is in proportion to the input
-    placed = simhash.dealt(sketches.join(members.hint("merge"), "node").join(size, "root"), ["root"], "node").select("root", "pair", "node", "shingles", "sketch")
+    rooted = sets.join(members.hint("merge"), "node")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum(F.length("hashes")) / F.lit(block * SET_BYTES)))
+    size = stored(rooted.groupBy("root").agg(blocks.cast("int").alias("blocks")).where("blocks > 0"), "component-sizes")
+    placed = simhash.dealt(rooted.join(size, "root"), ["root"], "node").select("root", "pair", "node", "hashes")
     verified = placed.repartition("root", "pair").sortWithinPartitions("root", "pair", "node").mapInArrow(_alike, "src long, dst long")
     # texts that the shingle fingerprints link
     prints = simhash.print_roots(stored(texts.groupBy("fp").agg(F.min("node").alias("first")), "distinct-fingerprints"))
@@ -297,9 +297,6 @@ def copies(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     found = stored(simhash.components(verified.union(by_print)), "classes")
     # every other pair that is alike shares a shingle of its prefixes: neighbours under a key first, so that
     # dense groups are one class when all pairs of different classes are looked at
-    shared = prefixes(src, texts, block)
-    needed = stored(shared.select("node").distinct(), "needed")
-    sets = stored(small_batches(src.withColumnRenamed("doc_id", "node").join(needed.hint("merge"), "node")).mapInArrow(_sets, "node long, hashes binary"), "sets")
     for reach in (1, None):
         rooted = shared.join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         placed = simhash.dealt(rooted, ["key"], "node").select("key", "pair", "node", "root", "n", "place")
