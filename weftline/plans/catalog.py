@@ -607,11 +607,16 @@ def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the article of a benchmark item's number has the item's first words, or its own."""
+    """Whether an article has quotes from all over its own text, and the whole benchmark item of its number, if there is one."""
     items = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("item"))
-    rows = X.articles(spark, sf_dir).join(items, "doc_id")
-    own = F.concat(F.substring("raw_text", 1, 80), F.lit(" ... "), F.substring("raw_text", 100, 60))
-    return rows.select("doc_id", quote_supported("title", "raw_text", F.substring("item", 1, 120)).alias("item_supported"), quote_supported("title", "raw_text", own).alias("own_supported"))
+    rows = X.articles(spark, sf_dir).join(items, "doc_id", "left")
+    size = F.length("raw_text")
+    starts = [F.greatest(F.lit(1), F.floor((size - 119) * k / 4).cast("int")) for k in range(5)]
+    # without the words that the cuts go through
+    cut = (r"(?U)\w+$", *[r"(?U)^\w+|\w+$"] * 3, r"(?U)^\w+")
+    parts = [F.when(size <= 120, F.col("raw_text")).otherwise(F.regexp_replace(F.col("raw_text").substr(p, F.lit(120)), c, "")) for p, c in zip(starts, cut, strict=True)]
+    item = F.when(F.col("item").isNotNull(), quote_supported("title", "raw_text", "item")).alias("item_supported")
+    return rows.select("doc_id", item, quote_supported("title", "raw_text", F.concat_ws(" ... ", *parts)).alias("own_supported"))
 
 
 def queries() -> dict[str, Query]:
