@@ -50,3 +50,18 @@ def test_wide_products_stay_exact():
     assert knn.products(a, b).tolist() == [[(1 << 63) - 1, (1 << 40) + 3]]
     c = np.array([[(1 << 29) + 1, 3]], np.int64)
     assert knn.products(c, c).tolist() == [[((1 << 29) + 1) ** 2 + 9]]
+
+
+def test_a_query_with_many_rows_of_its_own(spark):
+    rng = np.random.default_rng(5)
+    rows = [(0, [1.0, 0.0])] * 30 + [(k, [float(x), float(y)]) for k, (x, y) in enumerate(np.array([0.0, 0.9]) + rng.normal(size=(40, 2)) * 0.001, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r.vec_id, r.score) for r in knn.top_k(df, 100).orderBy("rank").collect()]
+    low = [(i, 1024 * int(np.floor(1024 * float(np.float32(v[0]))))) for i, v in rows if i]
+    assert got == sorted(low, key=lambda x: (-x[1], x[0]))[:10]
+
+
+def test_bounds_allow_for_own_rows():
+    pivots = np.array([[1000, 0], [0, 1000]])
+    cells = [(0, 0, 15, 0.0), (1, 0, 50, 0.0)]
+    assert knn.bounds(pivots, cells, [(0, 1, 0.0)], 10, {0: 12}) == [(0, 0), (0, 1)]

@@ -89,11 +89,12 @@ def assigned(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, v array<bigint>, cell int, far double")
 
 
-def bounds(pivots: np.ndarray, cells: list, groups: list, k: int) -> list[tuple[int, int]]:
+def bounds(pivots: np.ndarray, cells: list, groups: list, k: int, own: dict[int, int] | None = None) -> list[tuple[int, int]]:
     """The (group, cell) pairs that may hold a result.
 
     ``cells``: (cell, bin, n, farthest) rows; ``groups``: (cell, n, radius) rows
-    of the queries. A score of group i and cell j lies within
+    of the queries; ``own``: the most rows that a query of the group has itself,
+    one unless given. A score of group i and cell j lies within
     p_i.p_j -+ (r_i |p_j| + (|p_i| + r_i) d), d the distance from p_j.
     """
     p = pivots.astype(np.float64)
@@ -104,7 +105,7 @@ def bounds(pivots: np.ndarray, cells: list, groups: list, k: int) -> list[tuple[
     pairs = []
     for i, _, radius in groups:
         sure = sorted(((dot[i, j] - radius * norm[j] - (norm[i] + radius) * min(2 ** (b / BINS), reach[j]), n) for j, b, n, _ in cells), reverse=True)
-        left, limit = k + 1, -np.inf  # one more, for the query's own row
+        left, limit = k + (own or {}).get(i, 1), -np.inf  # more, for the query's own rows
         for low, n in sure:
             left -= n
             if left <= 0:
@@ -150,13 +151,14 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, pivots: int = PIVOTS
         return spark.createDataFrame([], empty)
     p = np.unique(np.array([r["v"] for r in chosen], np.int64), axis=0)
     cells = stored(assigned(rows, p), "cells")
-    asked = cells.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("cell", "far", "v")).alias("x")).select(F.col("vec_id").alias("query_id"), "x.*")
+    asked = cells.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("cell", "far", "v")).alias("x"), F.count(F.lit(1)).alias("own")).select(F.col("vec_id").alias("query_id"), "own", "x.*")
     asked = stored(asked.withColumnRenamed("v", "q"), "queries")
     # summaries: at most pivots * 512 rows, and pivots rows
     bins = F.ceil(F.log2(F.greatest("far", F.lit(1.0))) * BINS).cast("int")
     by_bin = [tuple(r) for r in cells.groupBy("cell", bins.alias("bin")).agg(F.count(F.lit(1)), F.max("far")).collect()]
-    by_group = [tuple(r) for r in asked.groupBy("cell").agg(F.count(F.lit(1)), F.max("far")).collect()]
-    pairs = bounds(p, by_bin, by_group, k)
+    grouped = asked.groupBy("cell").agg(F.count(F.lit(1)), F.max("far"), F.max("own")).collect()
+    by_group, own = [tuple(r)[:3] for r in grouped], {r[0]: r[3] for r in grouped}
+    pairs = bounds(p, by_bin, by_group, k, own)
     if not pairs:
         return spark.createDataFrame([], empty)
     size = dict.fromkeys((j for _, j in pairs), 0)
