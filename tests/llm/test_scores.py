@@ -2,10 +2,12 @@
 
 import math
 import pickle
+import random
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from weftline.llm import labelled, quality, toxicity
 
@@ -49,43 +51,152 @@ def test_odd_rows_and_labels(spark, op, column):
     assert op.score(docs.limit(0), op.train(docs, some)).count() == 0
 
 
-def test_the_smaller_dictionary_size_wins():
+def test_the_smaller_compressed_size_wins():
     good = [f"calm sentence number {k} with ordinary words and a full stop." for k in range(200)]
     bad = [f"BUY {k} !!! ### $$$ BUY {k} !!! ### $$$" for k in range(200)]
     rows = [{"doc_id": k, "text": t, "label": int(t in good)} for k, t in enumerate(good + bad)]
     model = quality.Model(rows, (200, 200))
-    a, b = model.score(["calm sentence number 999 with ordinary words and a full stop.", "BUY 999 !!! ### $$$ BUY 999 !!! ### $$$"])
+    probes = ["calm sentence number 999 with ordinary words and a full stop.", "BUY 999 !!! ### $$$ BUY 999 !!! ### $$$"]
+    a, b = model.score(probes)
     assert a > 0.7 > b
-    gap = quality.features(["calm sentence number 999"], model.good, model.bad)[0, 0]
-    assert gap > 0
+    gap = quality.features(probes, model.good, model.bad)[:, 0]
+    assert gap[0] > 0 > gap[1]
+
+
+def test_quality_equals_the_plain_version(spark, tables):
+    """Scores from compressed sizes, one text and one dictionary at a time."""
+    docs, labels = tables
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert 1 < len(model.good) <= quality.PARTS and 1 < len(model.bad) <= quality.PARTS
+    for r in docs.where("doc_id % 9 = 0").collect():
+        raw = (r.text or "").encode()
+        best = []
+        for dictionaries in (model.good, model.bad):
+            shortest = None
+            for d in dictionaries:
+                made = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(raw)
+                back = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(d)).decompressobj().decompress(made)
+                assert back == raw
+                shortest = len(made) if shortest is None else min(shortest, len(made))
+            best.append(shortest)
+        x, y, n, v = *best, len(raw), math.log(len(raw) + 1)
+        gap, share = (y - x) / (x + y), (y - x) / (n + 20)
+        z = [gap, gap * v, share, share * v, math.tanh(30 * gap), math.tanh(60 * share)]
+        z = [min(8, max(-8, (q - m) / s)) for q, m, s in zip(z, model.curve.mean, model.curve.scale)]
+        total = model.curve.w[0] + sum(q * w for q, w in zip(z, model.curve.w[1:]))
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-total))) < 0.02
+
+
+def test_dictionaries_of_parts():
+    texts = [f"alpha beta gamma {k} delta epsilon zeta".encode() for k in range(80)] + [f"<td>{k}</td><td>{k * k}</td><tr/>".encode() for k in range(80)]
+    found = quality.dictionaries(texts, parts=3)
+    assert 1 <= len(found) <= 3 and found == quality.dictionaries(texts, parts=3)
+    assert len(quality.dictionaries([])) == 1
+
+
+def kinds(text):
+    """What the machine makes of a clause's matches: (insult or threat, targeted, negated, reported)."""
+    g = toxicity.Grammar({"idiot ": 4.0, "scum": 3.0})
+    return [("threat" if c & 8 else "insult", bool(c & 1), bool(c & 2), bool(c & 4)) for _, _, found in g.clauses(text) for c, _ in sorted(found)]
+
+
+def plain_kinds(text):
+    """The same, by looking around each match."""
+    out = []
+    for clause in toxicity.BETWEEN.split(text):
+        words = toxicity.WORDS.findall(clause)
+        here = []
+        hit = {}
+        for k, w in enumerate(words):
+            if w == "idiot" or w.startswith("scum"):
+                hit[k] = "insult"
+        for phrase in toxicity.THREATS:
+            p = phrase.split()
+            for k in range(len(words) - len(p) + 1):
+                if words[k : k + len(p)] == p:
+                    hit[k] = "threat"
+        for k, kind in hit.items():
+            plain = lambda j: j not in hit
+            targeted = any(words[j] in toxicity.TARGETS and plain(j) for j in [*range(max(0, k - 5), k), *range(k + 1, min(len(words), k + 3))])
+            negated = any(words[j] in toxicity.NEGATIONS and plain(j) for j in range(max(0, k - 3), k))
+            here.append((8 * (kind == "threat") + targeted + 2 * negated + 4 * any(words[j] in toxicity.REPORTS and plain(j) for j in range(k)), kind, targeted, negated, any(words[j] in toxicity.REPORTS and plain(j) for j in range(k))))
+        out += [x[1:] for x in sorted(here)]
+    return out
+
+
+def test_transducers_equal_the_plain_version():
+    rng = random.Random(4)
+    words = ["idiot", "scummy", "a", "the", "plain", "you", "her", "not", "never", "said", "wrote", "i", "will", "kill", "pay", "regret", "know", "where", "live", ".", ";"]
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(14)))
+        assert kinds(text) == plain_kinds(text), text
+    assert kinds("i know where you live") == [("threat", True, False, False)]
+    assert kinds("she said you will pay") == [("threat", True, False, True)]
 
 
 def test_grammar_composes_its_transducers():
     assert len(toxicity.GRAMMAR.arcs) == 6 * 4 * 2
-    g = toxicity.Grammar({"idiot ": 4.0})
-    g.ready()
-    plain = g.clause("what an idiot".split())
-    assert plain == pytest.approx(4.0)
-    assert g.clause("you are an idiot".split()) == pytest.approx(4.0 * 1.25)
-    assert g.clause("not an idiot".split()) == pytest.approx(4.0 * 0.5)
-    assert g.clause("not a b c d an idiot".split()) == pytest.approx(4.0)
-    assert g.clause("she said an idiot".split()) == pytest.approx(4.0 * 1.25 * 0.6)
-    assert g.clause("you will kill".split()) > g.clause("kill the process".split())
+    first, second = toxicity.marker(toxicity.TARGET, 5, 1), toxicity.marker(toxicity.NEGATION, 3, 2)
+    rng = random.Random(1)
+    for _ in range(200):
+        s = bytes(rng.choice([0, 1, 2, 3, 4, 12]) for _ in range(30))
+        assert (first >> second).run(s) == second.run(first.run(s))
+
+
+def test_the_marks_decide():
+    """Labels that depend on the marks alone: the grammar tells them apart, without its marks nothing does."""
+    rng = random.Random(7)
+    filler = ["the", "day", "was", "long", "and", "bright", "we", "went", "home"]
+    rows = []
+    for k in range(600):
+        around = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+        insult = rng.choice(["idiot", "moron", "clown"])
+        bad = k % 2
+        core = f"you are an {insult}" if bad else rng.choice([f"you are not an {insult}", f"he said you are an {insult}"])
+        rows.append({"doc_id": k, "text": f"{around(6)}. {core}. {around(6)}. he said so. not a day", "label": bad})
+    # clean texts with the same words but the insults, so that only these have odds
+    rows += [{"doc_id": 1000 + k, "text": f"{' '.join(rng.choice(filler) for _ in range(12))}. you are an x. he said so. not a day", "label": 0} for k in range(8000)]
+    label = np.array([r["label"] for r in rows[:600]])
+
+    def accuracy(model):
+        return np.mean((model.score([r["text"] for r in rows[:600]]) >= 0.5) == label)
+
+    model = toxicity.Model(rows, (8300, 300))
+    grammar = toxicity.marked
+    try:
+        toxicity.marked = bytearray  # no marks
+        plain = toxicity.Model(rows, (8300, 300))
+        without = accuracy(plain)
+    finally:
+        toxicity.marked = grammar
+    assert accuracy(model) > 0.97 and without < 0.7
 
 
 def test_clauses_are_scored_not_words():
     g = toxicity.Grammar({"idiot ": 4.0, "scum": 3.0})
     low = "nice day. you idiot! not an idiot; scummy pond\nplain"
-    found = g.clauses(low)
+    found = list(g.clauses(low))
     assert [low[a:b].strip() for a, b, _ in found] == ["you idiot", "not an idiot", "scummy pond"]
-    assert [round(s, 2) for _, _, s in found] == [5.0, 2.0, 3.0]
+    assert [f for _, _, f in found] == [[(1, 4.0)], [(2, 4.0)], [(0, 3.0)]]
     again = pickle.loads(pickle.dumps(g))
-    assert again.clauses(low) == found
+    assert list(again.clauses(low)) == found
+    weights = np.log([2.0, 0.5, 1.0, 1.0])
+    sums = np.array([g.sums(low)])
+    assert toxicity.features(sums, weights)[0, 0] == pytest.approx(math.log1p(8.0 + 2.0 + 3.0))
+
+
+def test_a_long_text_with_many_clauses():
+    g = toxicity.Grammar({"idiot ": 4.0})
+    assert g.sums("a. " * 300_000 + "you idiot. " + "b;" * 300_000)[1] == 4.0
+    assert g.sums("word " * 200_000 + "idiot")[0] == 4.0
 
 
 def test_lexicon_has_log_odds():
-    texts = ["you blorkish one"] * 10 + ["a fine blork day"] * 2 + ["a fine day"] * 28
+    texts = [f"you blorkish one {k}" for k in "abcdefghij"] + ["a fine blork day", "a fine blork days"] + [f"a fine day {k}" for k in range(28)]
     counts = toxicity.tally(texts, [1] * 10 + [0] * 30)
     found = toxicity.learn(counts)
-    assert found["blorkish "] == pytest.approx(math.log(10.5 / 31) - math.log(0.5 / (8 + 84 + 1)))
-    assert "fine " not in found
+    assert set(found) >= {"blorkish ", "blorki"} and "fine " not in found
+    texts = [f"you blorkish one {'x' * k}" for k in range(10)] * 3 + [f"a fine day {'y' * k}" for k in range(30)]
+    counts = toxicity.tally(texts, [1] * 30 + [0] * 30)  # repeated texts count once
+    assert toxicity.learn(counts)["blorkish "] == pytest.approx(math.log(10.5 / 11) - math.log(0.5 / 31))

@@ -17,11 +17,15 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where a session names none (single-machine tests) a temporary folder
-    is made, and removed when the process ends.
+    Where a session names none, a local master (tests on one machine) gets a
+    temporary folder, removed when the process ends; on any other master that
+    folder would be each machine's own, so it is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("weftline.shared.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="weftline-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("weftline.shared.dir", named)
@@ -42,7 +46,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._weftline_path = path
+    return out
+
+
+def children(spark: SparkSession, path: str, holding: str) -> list[str]:
+    """Names of the folders under a path, in any file system, that hold a file of that name."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(place):
+        return []
+    return [s.getPath().getName() for s in fs.listStatus(place) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), holding))]
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` that nothing still to be computed reads."""
+    for df in tables:
+        path = getattr(df, "_weftline_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def text_or_empty(text: Column | str = "text") -> Column:

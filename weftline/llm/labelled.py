@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import forget, stored, text_or_empty
 
-#: Labelled rows sampled of each class, and the longest text among them in bytes.
-PER_CLASS, LONGEST = 2000, 1 << 16
+#: Labelled rows sampled of each class, and the bytes of text after which a class's sample ends, whatever their lengths.
+PER_CLASS, SAMPLE_BYTES = 2000, 1 << 24
 
 
 def remainder(folds: int, doc_id: str = "doc_id"):
@@ -20,18 +20,23 @@ def remainder(folds: int, doc_id: str = "doc_id"):
 def sample(docs: DataFrame, labels: DataFrame, column: str, folds: int, held: int, per_class: int = PER_CLASS) -> tuple[list[Row], tuple[int, int]]:
     """(rows with text and label, counts of labelled rows by class), the held-out fold left out.
 
-    The rows of each class with the smallest hash of their id; of labels that
-    repeat an id, the larger counts. Only ids are ranked; the texts of at most
-    2 * ``per_class`` rows come to the driver.
+    The rows of each class with the smallest hash of their id, until there are
+    ``per_class`` of them or their texts come to SAMPLE_BYTES; of labels that
+    repeat an id, the larger counts, of documents that do, the smallest text.
+    Only ids are ranked; the sample's texts come to the driver whole.
     """
     known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(folds) != held))
     known = known.groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
     classes = [known.where(F.col("label") == k) for k in (0, 1)]
     counts = dict(known.groupBy("label").count().collect())
-    ids = stored(classes[0].orderBy(F.xxhash64("doc_id")).limit(per_class).union(classes[1].orderBy(F.xxhash64("doc_id")).limit(per_class)), "labelled")
+    ids = stored(classes[0].orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).union(classes[1].orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)), "labelled")
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")  # 2 * per_class rows of two numbers
-    rows = rows.where(F.octet_length("text") <= LONGEST).dropDuplicates(["doc_id"]).limit(2 * per_class)
-    found = sorted(rows.collect(), key=lambda r: r["doc_id"])
+    rows = stored(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled-texts")
+    # at most 2 * per_class rows from here on
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = rows.select("doc_id", upto.alias("upto")).where(F.col("upto") <= SAMPLE_BYTES).select("doc_id")
+    found = sorted(rows.join(F.broadcast(chosen), "doc_id").collect(), key=lambda r: r["doc_id"])
+    forget(ids, rows)
     return found, (counts.get(0, 0), counts.get(1, 0))
 
 
@@ -40,7 +45,7 @@ class Curve:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, counts: tuple[int, int], ridge: float = 1.0):
         self.mean, self.scale = (x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1.0)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
-        self.w = np.zeros(x.shape[1] + 1)
+        self.w, self.loss = np.zeros(x.shape[1] + 1), 0.0
         if len(set(y.tolist())) < 2:
             self.w[0] = 0.0 if not len(y) else 4.0 if y[0] else -4.0
             return
@@ -63,6 +68,7 @@ class Curve:
             last, now = now, loss(self.w)
             if last - now < 1e-9 * (1 + abs(now)):
                 break
+        self.loss = now
 
     @staticmethod
     def squash(v: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, small_batches, stored
 
 #: Fingerprints with this many differing bits or fewer link.
 DIFFERING = 3
@@ -72,7 +72,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp, the fingerprint's bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def keys(fp: Column, number: int | Column = 0) -> Column:
@@ -216,8 +216,8 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     is written to the shared folder. Raises if ``limit`` steps do not do.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        """Link each node's neighbours (larger ones, or smaller ones and itself) to its least neighbour."""
+    def star(e: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+        """Link each node's neighbours (larger ones, or smaller ones and itself) to its least neighbour; and the table of those."""
         both = e.union(e.select(F.col("dst"), F.col("src"))) if large else e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("least")).withColumnRenamed("src", "node")
         least = stored(least, "least")  # so that the rows of a hub can be split in the join
@@ -226,16 +226,22 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
             out = joined.where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
         else:
             out = joined.select(F.col("dst").alias("src"), F.col("least").alias("dst")).union(least.select(F.col("node").alias("src"), F.col("least").alias("dst")))
-        return out.where("src != dst").distinct()
+        return out.where("src != dst").distinct(), least
 
     now = stored(edges.where("src != dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "links")
     seen = None
     for _ in range(limit):
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
-            return now.select(F.col("src").alias("node"), F.col("dst").alias("root"))
+            out = now.select(F.col("src").alias("node"), F.col("dst").alias("root"))
+            out._weftline_path = now._weftline_path
+            return out
         seen = tuple(state)
-        now = stored(star(star(now, True), False), "links")
+        before = now
+        large, used = star(now, True)
+        small, more = star(large, False)
+        now = stored(small, "links")
+        forget(before, used, more)
     raise RuntimeError("components did not settle")
 
 
