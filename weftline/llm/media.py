@@ -7,6 +7,8 @@ one for AC, and a restart after every block. The restarts let the decoder read
 all blocks of a batch side by side, one symbol of each at a time. From the
 decoded DC coefficients comes a luminance thumbnail, a pixel a block, without
 any inverse transform; dimensions and a hash of the thumbnail are the features.
+Baseline JPEGs of other makers (DC prediction, any restart interval, colour at
+any sampling, several scans) are decoded block by block, their luminance alone.
 
 Blocks fill rows of a near-square picture; blocks of zeros complete the last
 row, and a comment segment holds the payload's length.
@@ -29,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Coefficients a block; and blocks that are coded at a time.
 BLOCK, SLICE = 64, 1 << 14
 #: Code lengths 1, 2, ... of the categories that text bytes use most.
@@ -166,38 +170,151 @@ def encode(payload: bytes) -> bytes:
     return b"".join([head, *parts, b"\xff\xd9"])
 
 
-def markers(media: bytes) -> tuple[dict, memoryview]:
-    """The tables and sizes in a JPEG's segments, and its entropy-coded data."""
+def segments(media: bytes) -> tuple[dict, list[dict]]:
+    """A JPEG's sizes and comment, and its scans with the tables that hold for them.
+
+    ``components``: (name, columns and rows of blocks in an MCU, quantisation
+    table) in the frame's order. A scan: its components as (place in the frame,
+    DC table, AC table), ``restart`` (MCUs an interval, 0: none) and ``data``.
+    """
     if media[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
-    found: dict = {"huffman": {}, "comment": b""}
-    at = 2
+    raw = np.frombuffer(media, np.uint8)
+    # where entropy-coded data ends: a marker that is neither a stuffed byte nor a restart
+    marks = np.flatnonzero((raw[:-1] == 0xFF) & (raw[1:] != 0) & (raw[1:] != 0xFF) & ((raw[1:] & 0xF8) != 0xD0))
+    found: dict = {"comment": b""}
+    quant, huffman, restart, scans, at = {}, {}, 0, [], 2
     while True:
-        flag, marker, length = struct.unpack_from(">BBH", media, at)
+        if at + 2 > len(media) or media[at] != 0xFF:
+            raise ValueError("a marker is missing")
+        while at + 1 < len(media) and media[at + 1] == 0xFF:  # fill bytes
+            at += 1
+        marker = media[at + 1]
+        if marker == 0xD9:
+            return found, scans
+        (length,) = struct.unpack_from(">H", media, at + 2)
         body = media[at + 4 : at + 2 + length]
         at += 2 + length
-        if flag != 0xFF:
-            raise ValueError("a marker is missing")
         if marker == 0xC0:
-            depth, found["height"], found["width"], parts = struct.unpack_from(">BHHB", body)
-            if depth != 8 or parts != 1:
-                raise ValueError("only grey pictures of 8 bits are read")
-        elif marker in (0xC1, 0xC2, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xD0)):
+            depth, found["height"], found["width"], n = struct.unpack_from(">BHHB", body)
+            found["components"] = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)]
+            if depth != 8 or n not in (1, 3) or not found["height"] or not found["width"]:
+                raise ValueError("only pictures of 8 bits, grey or YCbCr, with their height in the frame are read")
+        elif marker in (0xC1, 0xC2, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)):
             raise ValueError("only baseline JPEG is read")
         elif marker == 0xC4:
             while body:
                 size = 17 + sum(body[1:17])
-                found["huffman"][body[0]] = bytes(body[1:size])
+                huffman[body[0]] = bytes(body[1:size])
                 body = body[size:]
         elif marker == 0xDB:
-            found["dc_scale"] = body[1]
+            while body:
+                wide = 1 + (body[0] >> 4)
+                quant[body[0] & 15] = [int.from_bytes(body[1 + wide * k : 1 + wide * (k + 1)], "big") for k in range(64)]
+                body = body[1 + 64 * wide :]
         elif marker == 0xDD:
-            (found["restart"],) = struct.unpack(">H", body)
+            (restart,) = struct.unpack(">H", body)
         elif marker == 0xFE:
             found["comment"] = bytes(body)
+        elif marker == 0xEE and body[:5] == b"Adobe" and body[11] != 1:
+            found["transform"] = body[11]
         elif marker == 0xDA:
-            end = media.rindex(b"\xff\xd9")
-            return found, memoryview(media)[at:end]
+            if "components" not in found:
+                raise ValueError("a scan before its frame")
+            if len(found["components"]) == 3 and found.get("transform") is not None:
+                raise ValueError("only YCbCr has its luminance apart")
+            names = [c[0] for c in found["components"]]
+            parts = [(names.index(body[1 + 2 * k]), huffman[body[2 + 2 * k] >> 4], huffman[0x10 | body[2 + 2 * k] & 15]) for k in range(body[0])]
+            k = int(np.searchsorted(marks, at))
+            end = int(marks[k]) if k < len(marks) else len(media)
+            scans.append({"parts": parts, "restart": restart, "data": memoryview(media)[at:end]})
+            found.setdefault("dc_scale", quant[found["components"][0][3]][0])
+            at = end
+
+
+def grid(info: dict, place: int = 0) -> tuple[int, int]:
+    """Columns and rows of blocks that a component's samples need."""
+    most = max(c[1] for c in info["components"]), max(c[2] for c in info["components"])
+    _, h, v, _ = info["components"][place]
+    return -(-(-(-info["width"] * h // most[0])) // 8), -(-(-(-info["height"] * v // most[1])) // 8)
+
+
+def markers(media: bytes) -> tuple[dict, memoryview]:
+    """Sizes, first scan's tables (``huffman``: 0x00 DC, 0x10 AC) and its entropy-coded data."""
+    found, scans = segments(media)
+    if not scans:
+        raise ValueError("a picture without a scan")
+    _, dc, ac = scans[0]["parts"][0]
+    return found | {"huffman": {0x00: dc, 0x10: ac}, "restart": scans[0]["restart"], "scans": scans}, scans[0]["data"]
+
+
+def plain(info: dict) -> np.ndarray:
+    """The luminance coefficients of any baseline JPEG, block by block: with DC
+    prediction, any restart interval, colour at any sampling, one scan or several."""
+    for scan in info["scans"]:
+        if any(place == 0 for place, _, _ in scan["parts"]):
+            break
+    else:
+        raise ValueError("no scan of the luminance")
+    cols, rows = grid(info)
+    if len(scan["parts"]) == 1:
+        wide, high, units = cols, rows, [(0, *scan["parts"][0][1:], 1, 1)]
+    else:
+        most = max(c[1] for c in info["components"]), max(c[2] for c in info["components"])
+        wide, high = -(-info["width"] // (8 * most[0])), -(-info["height"] // (8 * most[1]))
+        units = [(place, dc, ac, *info["components"][place][1:3]) for place, dc, ac in scan["parts"]]
+    # blocks of an MCU in order: component, place in the MCU, tables
+    order = [(place, x, y, table_of(dc).tolist(), table_of(ac).tolist()) for place, dc, ac, h, v in units for y in range(v) for x in range(h)]
+    _, _, _, h0, v0 = next(u for u in units if u[0] == 0)
+    raw = np.frombuffer(scan["data"], np.uint8)
+    mark = np.flatnonzero((raw[:-1] == 0xFF) & (raw[1:] & 0xF8 == 0xD0)) if len(raw) > 1 else np.empty(0, np.int64)
+    parts = [raw[a:b] for a, b in zip(np.r_[0, mark + 2], np.r_[mark, len(raw)], strict=True)]
+    out = np.zeros((rows, cols, BLOCK), np.int16)
+    mcu, total = 0, wide * high
+    for part in parts:
+        keep = np.ones(len(part), bool)
+        keep[1:] &= ~((part[:-1] == 0xFF) & (part[1:] == 0))
+        data = np.r_[part[keep], np.full(8, 0xFF, np.uint8)].astype(np.int64)
+        quad = memoryview(data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:])
+        end, bit, last = 8 * int(keep.sum()), 0, [0] * len(info["components"])
+        for _ in range(min(scan["restart"] or total, total - mcu)):
+            for place, x, y, dc, ac in order:
+                k, look, block = 0, dc, {}
+                while k < BLOCK:
+                    if bit > end:
+                        raise ValueError("a picture's blocks are not complete")
+                    hit = look[quad[bit >> 3] >> (16 - (bit & 7)) & 0xFFFF]
+                    if not hit:
+                        raise ValueError("a code that no table has")
+                    bit += hit >> 8
+                    size = hit & 15
+                    value = (quad[bit >> 3] >> (32 - (bit & 7) - size)) & ((1 << size) - 1) if size else 0
+                    if size and not value >> (size - 1):
+                        value -= (1 << size) - 1
+                    bit += size
+                    if not k:
+                        last[place] += value
+                        block[0], look = last[place], ac
+                    elif not size:
+                        if hit & 0xF0 != 0xF0:
+                            break
+                        k += 15
+                    else:
+                        k += hit >> 4 & 15
+                        if k >= BLOCK:
+                            raise ValueError("a block with too many coefficients")
+                        block[k] = value
+                    k += 1
+                if place == 0:
+                    row, col = mcu // wide * v0 + y, mcu % wide * h0 + x
+                    if row < rows and col < cols:  # others only fill an MCU
+                        out[row, col, list(block)] = list(block.values())
+            mcu += 1
+        if bit > end:
+            raise ValueError("a picture's blocks are not complete")
+    if mcu < total:
+        raise ValueError("a picture's blocks are not complete")
+    return out.reshape(-1, BLOCK)
 
 
 def unscan(raw: np.ndarray, dc: np.ndarray, ac: np.ndarray) -> np.ndarray:
@@ -250,26 +367,34 @@ def table_of(body: bytes) -> np.ndarray:
     return _tables[body]
 
 
+def side_by_side(info: dict) -> bool:
+    """Whether the blocks can be read all at once: grey, a restart after each, codes and values within 25 bits."""
+    tables = info["huffman"].values()
+    return len(info["components"]) == 1 and info["restart"] == 1 and all(int((t >> 8).max() + (t & 15).max()) <= 25 for t in map(table_of, tables))
+
+
 def decode(media: list[bytes]) -> list[tuple[dict, np.ndarray]]:
-    """Segments and coefficients of JPEGs with a restart after each block.
+    """Segments and luminance coefficients of baseline JPEGs.
 
-    Pictures that share their Huffman tables are decoded side by side.
+    Grey pictures with a restart after each block that share their Huffman
+    tables are decoded side by side, any others block by block.
     """
     found = [markers(m) for m in media]
     out: list = [None] * len(media)
     groups: dict[tuple[bytes, bytes], list[int]] = {}
     for k, (info, _) in enumerate(found):
-        if info.get("restart") != 1:
-            raise ValueError("a restart after each block is needed")
-        groups.setdefault((info["huffman"][0x00], info["huffman"][0x10]), []).append(k)
+        if side_by_side(info):
+            groups.setdefault((info["huffman"][0x00], info["huffman"][0x10]), []).append(k)
+        else:
+            out[k] = info, plain(info)
     for (dc, ac), ks in groups.items():
         glue = b"\xff\xd0".join(bytes(found[k][1]) for k in ks)
         blocks = np.concatenate([unscan(part, table_of(dc), table_of(ac)) for part in slices(np.frombuffer(glue, np.uint8))])
         at = 0
         for k in ks:
-            n = -(-found[k][0]["width"] // 8) * -(-found[k][0]["height"] // 8)
-            out[k] = found[k][0], blocks[at : at + n]
-            at += n
+            cols, rows = grid(found[k][0])
+            out[k] = found[k][0], blocks[at : at + cols * rows]
+            at += cols * rows
         if at != len(blocks):
             raise ValueError("a picture's blocks are not complete")
     return out
@@ -292,7 +417,7 @@ def slices(raw: np.ndarray, size: int = 1 << 20) -> Iterator[np.ndarray]:
 def thumbnail(info: dict, blocks: np.ndarray) -> np.ndarray:
     """Luminance by block from the DC coefficients alone."""
     light = blocks[:, 0].astype(np.int64) * info["dc_scale"] // 8 + 128
-    return np.clip(light, 0, 255).astype(np.uint8).reshape(-(-info["height"] // 8), -(-info["width"] // 8))
+    return np.clip(light, 0, 255).astype(np.uint8).reshape(grid(info)[::-1])
 
 
 def thumb_hash(thumb: np.ndarray) -> str:
@@ -354,7 +479,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def as_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: each text's bytes as a JPEG."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    return small_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
