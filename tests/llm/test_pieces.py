@@ -16,6 +16,31 @@ def spelled(sampler, ids):
     return b"".join(sampler.v.bytes[i] for i in ids).decode("utf-8", "surrogatepass")
 
 
+def edges(v, chunk):
+    """For each place of a chunk's lattice, the (start, piece or spelled character, weight) that end there."""
+    if chunk == pieces.SPACE or chunk == "\n":
+        return [[], [(0, chunk, v.spelled)]]
+    word = chunk.replace(" ", pieces.SPACE)
+    out = [[] for _ in range(len(word) + 1)]
+    for end in range(1, len(word) + 1):
+        for start in range(max(0, end - v.longest), end):
+            if hit := v.learned.get(word[start:end]):
+                out[end].append((start, *hit))
+        if word[end - 1] not in v.learned:
+            out[end].append((end - 1, chunk[end - 1], v.spelled))
+    return out
+
+
+def forward(lattice):
+    """Log of the summed weight of all paths to each place."""
+    sums = [0.0]
+    for end in lattice[1:]:
+        ways = [sums[start] + w for start, _, w in end]
+        top = max(ways)
+        sums.append(top + math.log(sum(math.exp(x - top) for x in ways)))
+    return sums
+
+
 TEXTS = ["", " ", "  a\n\n▁b ▁▁ x", "\x00é😀 𝔘", " lead", "x" * 5000, "The quick brown fox.", "▁", "\n", "a  b   c ", "日本語 テスト", "\t\r\n mixed\tblank"]
 
 
@@ -27,8 +52,8 @@ def test_decoding_is_lossless(sampler, text):
 
 def test_filters_equal_the_plain_version(sampler):
     for chunk in [" inging", " the", "   word", "é!?x9", " internationalization"]:
-        lattice = pieces.edges(sampler.v, chunk)
-        sums = pieces.forward(lattice)
+        lattice = edges(sampler.v, chunk)
+        sums = forward(lattice)
         sampler.clear()
         sampler.keep([chunk])
         last = sampler.last[chunk]
@@ -45,8 +70,8 @@ def test_draws_follow_the_lattice(sampler):
     ids, count = sampler.sample([chunk] * n, pieces.mixed(np.arange(n, dtype=np.uint64)))
     ends = np.cumsum(count)
     seen = Counter(tuple(ids[e - c : e].tolist()) for e, c in zip(ends, count))
-    lattice = pieces.edges(sampler.v, chunk)
-    total = pieces.forward(lattice)[-1]
+    lattice = edges(sampler.v, chunk)
+    total = forward(lattice)[-1]
 
     def paths(end):
         if not end:
@@ -77,6 +102,44 @@ def test_query_over_odd_rows(spark):
     assert len({tuple(r.ids) for r in out if r.doc_id == 2}) == 1
     kept = pieces.encode(docs)
     assert kept.columns == ["doc_id", "text", "ids"]
+    other = pieces.encode(docs, out="_key")
+    assert other.columns == ["doc_id", "text", "ids", "_key"] and {r.ids for r in other.collect()} == {"x"}
     back = pieces.decode(kept).collect()
     assert sorted(r.decoded for r in back) == sorted(t or "" for _, t, _ in rows)
     assert pieces.round_trip(docs.select("doc_id", "text").limit(0)).count() == 0
+
+
+def test_long_words_fall_apart_only_where_no_piece_goes_over(sampler):
+    rng = np.random.default_rng(3)
+    base = "".join(rng.choice(list("ABCDEFabcdef0123456789+/"), 3000))
+    for word in (base, "日本語のテキスト" * 300, "internationalization" * 90):
+        parts = sampler.split(word)
+        assert "".join(parts) == word and len(parts) > 3
+        lattice = edges(sampler.v, word)
+        cuts = set(np.cumsum([len(p) for p in parts])[:-1].tolist())
+        assert not any(start < cut < end for end, ways in enumerate(lattice) for start, _, _ in ways for cut in cuts if start < cut < end)
+        # so the sums over all paths are those of the parts
+        whole = forward(lattice)[-1]
+        assert abs(sum(forward(edges(sampler.v, p))[-1] for p in parts) - whole) < 1e-6 * abs(whole)
+        for _, ids in pieces.segment(sampler, [1], [word]):
+            assert spelled(sampler, ids)[1:] == word
+
+
+def test_few_words_are_drawn_as_many_are(sampler, monkeypatch):
+    words = [" internationalization" * k for k in (1, 2, 5, 9)] + ["=" * 500, "ab" * 200]
+    state = pieces.states(7, len(words))
+    got = [x.tolist() for x in sampler.sample(words, state)]
+    monkeypatch.setattr(pieces, "ALONE", 0)
+    assert [x.tolist() for x in sampler.sample(words, state)] == got
+
+
+def test_long_words_are_filtered_as_short_ones_are(sampler, monkeypatch):
+    word = " internationalization" + "=-" * 40
+    sampler.clear()
+    sampler.keep([word])
+    alone = sampler.upto
+    monkeypatch.setattr(pieces, "LONG", 10_000)
+    sampler.clear()
+    sampler.keep([word])
+    assert np.allclose(sampler.upto, alone, atol=1e-9)
+    sampler.clear()

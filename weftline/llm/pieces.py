@@ -8,7 +8,9 @@ alike on every run, whatever the partitions.
 
 A piece weighs (rank + 2) ** -alpha by its rank among the vocabulary's learned
 pieces. No learned piece has a space after another character, so the lattice
-falls apart before each run of spaces, and filters are kept by word. Characters
+falls apart before each run of spaces, and filters are kept by word. Long words,
+as of scripts without spaces, are cut where no piece goes over a place, which
+changes no path's probability. Characters
 without a piece of their own, line ends and literal U+2581 are spelled in byte
 pieces. A space is put before every text that is not empty and taken off again,
 as the vocabulary expects words to start with one.
@@ -16,7 +18,7 @@ as the vocabulary expects words to start with one.
 Defined results: null and empty texts have no pieces and decode to the empty
 text; a null doc_id counts as key 0; repeated rows get equal pieces; a text of
 any length is taken whole; an empty table gives an empty result; extra columns
-are carried along by ``encode`` unless they are named ``ids`` or ``_key``.
+are carried along by ``encode``, but for one named like its result.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches, text_or_empty
 
@@ -43,6 +46,10 @@ LITERAL = 0x110000
 KEPT = 500_000
 #: Words that are sampled at a time, and new ones that are filtered at a time.
 BATCH, FRESH = 1 << 17, 1 << 13
+#: Longer chunks are cut where no piece goes over a place; characters that a part of one has at least.
+LONG, PART = 64, 16
+#: So few words are drawn one by one.
+ALONE, ALL = 3, (1 << 64) - 1
 GOLDEN, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -92,29 +99,12 @@ class Vocabulary:
 CHUNK = re.compile(f"[{SPACE}\n]| *[^ {SPACE}\n]+| +")
 
 
-def edges(v: Vocabulary, chunk: str) -> list[list[tuple[int, int | str, float]]]:
-    """For each place of a chunk's lattice, the (start, piece or spelled character, weight) that end there."""
-    if chunk == SPACE or chunk == "\n":
-        return [[], [(0, chunk, v.spelled)]]
-    word = chunk.replace(" ", SPACE)
-    out: list[list[tuple[int, int | str, float]]] = [[] for _ in range(len(word) + 1)]
-    for end in range(1, len(word) + 1):
-        for start in range(max(0, end - v.longest), end):
-            if hit := v.learned.get(word[start:end]):
-                out[end].append((start, *hit))
-        if word[end - 1] not in v.learned:
-            out[end].append((end - 1, chunk[end - 1], v.spelled))
-    return out
-
-
-def forward(lattice: list[list[tuple[int, int | str, float]]]) -> list[float]:
-    """Log of the summed weight of all paths to each place."""
-    sums = [0.0]
-    for end in lattice[1:]:
-        ways = [sums[start] + w for start, _, w in end]
-        top = max(ways)
-        sums.append(top + math.log(sum(math.exp(x - top) for x in ways)))
-    return sums
+def codes(text: str) -> np.ndarray:
+    """A text's characters as the trie counts them: blanks as in pieces, a literal U+2581 as no piece's."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    code[code == ord(SPACE)] = LITERAL
+    code[code == ord(" ")] = ord(SPACE)
+    return code
 
 
 class Trie:
@@ -176,6 +166,27 @@ class Trie:
         return out
 
 
+def shares_of(many: list[int], before: list[int], weight: list[float]) -> list[float]:
+    """The probability of each way into the places of one word, by sums of all paths.
+
+    ``many`` ways lead into each place; they start after place ``before``, -1
+    for the word's start. Sums are kept with a power of two, so long words do
+    not vanish.
+    """
+    total, power, out, at = [], [], [], 0
+    for n in many:
+        ways = range(at, at + n)
+        top = max([power[before[j]] if before[j] >= 0 else 0 for j in ways])
+        values = [math.ldexp(total[b] * weight[j], max(power[b] - top, -1000)) if (b := before[j]) >= 0 else math.ldexp(weight[j], max(-top, -1000)) for j in ways]
+        whole = sum(values)
+        out += [x / whole for x in values]
+        mantissa, shift = math.frexp(whole)
+        total.append(mantissa)
+        power.append(top + shift)
+        at += n
+    return out
+
+
 class Sampler:
     """Keeps the filtered lattices of words and draws paths for many at once.
 
@@ -199,11 +210,34 @@ class Sampler:
     def places(self) -> int:
         return len(self.first)
 
+    def split(self, chunk: str) -> list[str]:
+        """A long chunk in parts, cut wherever no piece goes over the place: its lattice falls apart there."""
+        out = []
+        code = codes(chunk)
+        number, size = self.trie.of[code], len(code)
+        far = np.arange(1, size + 1)  # the farthest end of a piece from each place
+        at, node = np.arange(size), np.zeros(size, np.int64)
+        for k in range(self.v.longest):
+            node = self.trie.step(node, number[at + k])
+            ok = np.flatnonzero(node >= 0)
+            at, node = at[ok], node[ok]
+            hit = at[self.trie.piece[node] >= 0]
+            far[hit] = np.maximum(far[hit], hit + k + 1)
+            ok = np.flatnonzero(at + k + 1 < size)
+            at, node = at[ok], node[ok]
+            if not len(at):
+                break
+        ends = np.flatnonzero(np.maximum.accumulate(far) == np.arange(1, size + 1)) + 1
+        begin = 0
+        for end in ends.tolist():
+            if end - begin >= PART or end == size:
+                out.append(chunk[begin:end])
+                begin = end
+        return out
+
     def keep(self, chunks: list[str]) -> None:
         """Filter the lattices of new chunks forward, all at once."""
-        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        code[code == ord(SPACE)] = LITERAL
-        code[code == ord(" ")] = ord(SPACE)
+        code = codes("".join(chunks))
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         ends = np.cumsum(size)
         starts = ends - size
@@ -245,9 +279,11 @@ class Sampler:
         whole = src == origin[src]
         before = np.where(whole, len(code), src - 1)
         share = np.empty(len(src))
+        # words side by side, place by place; long ones by themselves
         rank = np.arange(len(code)) - origin
-        by_rank = np.argsort(rank, kind="stable")
-        cut = np.searchsorted(rank[by_rank], np.arange(int(size.max(initial=0)) + 1))
+        short = np.flatnonzero(np.repeat(size <= LONG, size))
+        by_rank = short[np.argsort(rank[short], kind="stable")]
+        cut = np.searchsorted(rank[by_rank], np.arange(int(size[size <= LONG].max(initial=0)) + 1))
         for k in range(len(cut) - 1):
             place = by_rank[cut[k] : cut[k + 1]]
             n = many[place]
@@ -260,6 +296,11 @@ class Sampler:
             share[way] = value / np.repeat(sums, n)
             total[place], shift = np.frexp(sums)
             power[place] = top + shift
+        for c in np.flatnonzero(size > LONG).tolist():
+            ways = slice(int(first[starts[c]]), int(first[ends[c] - 1] + many[ends[c] - 1]))
+            local = np.where(whole[ways], -1, before[ways] - starts[c])
+            share[ways] = shares_of(many[starts[c] : ends[c]].tolist(), local.tolist(), weight[ways].tolist())
+        # summed by place, so that no place's sums depend on what was filtered before it
         upto = np.cumsum(share)
         base = np.concatenate([[0.0], upto[first[1:] - 1]])
         upto = np.repeat(np.arange(len(code)) - base, many) + upto + self.places
@@ -269,6 +310,21 @@ class Sampler:
             setattr(self, name, np.concatenate([getattr(self, name), more]))
         self.last.update(zip(chunks, (ends - 1 + place0).tolist(), strict=True))
 
+    def walk(self, at: int, state: int, step: int) -> list[int]:
+        """The pieces that ``sample`` draws from a place on, last first."""
+        out, first, upto, piece, back = [], self.first.item, self.upto.item, self.piece.item, self.back.item
+        while at >= 0:
+            x = (state + (step + 1) * int(GOLDEN)) & ALL
+            x = (x ^ x >> 30) * int(MIX_A) & ALL
+            x = (x ^ x >> 27) * int(MIX_B) & ALL
+            x = ((x ^ x >> 31) >> 11) / (1 << 53) + at
+            way = first(at)
+            while upto(way) <= x:
+                way += 1
+            out.append(piece(way))
+            at, step = back(way), step + 1
+        return out
+
     def sample(self, chunks: list[str], state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids drawn for chunks with their random states, and each chunk's count."""
         if not chunks:
@@ -282,7 +338,7 @@ class Sampler:
             at[missing] = [self.last[chunks[k]] for k in missing]
         drawn, alive, step = [], np.arange(len(chunks)), 0
         count = np.zeros(len(chunks), np.int64)
-        while len(alive):
+        while len(alive) > ALONE:
             x = uniform(state, step) + at
             way = self.first[at]
             todo = np.flatnonzero(self.upto[way] <= x)
@@ -294,6 +350,12 @@ class Sampler:
             at = self.back[way]
             more = at >= 0
             alive, at, state, step = alive[more], at[more], state[more], step + 1
+        if len(alive):  # the longest few, one by one: the same draws
+            rest = [self.walk(int(a), int(r), step) for a, r in zip(at, state, strict=True)]
+            count[alive] = step + np.fromiter(map(len, rest), np.int64, len(rest))
+            for k in range(max(map(len, rest))):
+                on = [j for j, r in enumerate(rest) if k < len(r)]
+                drawn.append((alive[on], np.array([rest[j][k] for j in on], np.int32)))
         # the last piece of a chunk was drawn first
         ends = np.cumsum(count)
         ids = np.empty(int(ends[-1]), np.int32)
@@ -321,6 +383,14 @@ def states(key: int, chunks: int, seed: int = SEED) -> np.ndarray:
     return mixed(base + np.arange(chunks, dtype=np.uint64) * GOLDEN)
 
 
+def chunked(sampler: Sampler, text: str) -> list[str]:
+    """The parts of a text, with the blank before it, over whose places no piece goes."""
+    own = CHUNK.findall(" " + text)
+    if len(max(own, key=len)) <= LONG:
+        return own
+    return [part for c in own for part in (sampler.split(c) if len(c) > LONG else (c,))]
+
+
 def segment(sampler: Sampler, keys: Iterable[int | None], texts: Iterable[str | None], seed: int = SEED) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids) of each text in order."""
     rows: list[int] = []
@@ -330,7 +400,11 @@ def segment(sampler: Sampler, keys: Iterable[int | None], texts: Iterable[str |
 
     def flush() -> Iterator[tuple[int, np.ndarray]]:
         # a text longer than a batch goes through in parts; its lists of ids are joined at the end
-        parts = [sampler.sample(chunks[k : k + BATCH], state[k : k + BATCH]) for state in [np.concatenate(rand)] for k in range(0, len(chunks), BATCH)] if chunks else []
+        parts, state = [], np.concatenate(rand)
+        for k in range(0, len(chunks), BATCH):
+            parts.append(sampler.sample(chunks[k : k + BATCH], state[k : k + BATCH]))
+            if sampler.places > KEPT:
+                sampler.clear()
         ids = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int32)
         count = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.int64)
         upto = np.r_[0, np.cumsum(count)]
@@ -340,7 +414,7 @@ def segment(sampler: Sampler, keys: Iterable[int | None], texts: Iterable[str |
             at += n
 
     for row, (key, text) in enumerate(zip(keys, texts, strict=True)):
-        own = CHUNK.findall(" " + text) if text else []
+        own = chunked(sampler, text) if text else []
         rows.append(row)
         sizes.append(len(own))
         chunks += own
@@ -348,9 +422,8 @@ def segment(sampler: Sampler, keys: Iterable[int | None], texts: Iterable[str |
         if len(chunks) >= BATCH:
             yield from flush()
             rows, chunks, sizes, rand = [], [], [], []
-            if sampler.places > KEPT:
-                sampler.clear()
-    yield from flush()
+    if rows:
+        yield from flush()
 
 
 _vocabularies: dict[tuple[int, float], Vocabulary] = {}
@@ -383,26 +456,25 @@ def model_bytes(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, seed: int = SEED, text: bool = True) -> DataFrame:
-    """``docs`` with ``ids``, the sampled pieces of each row's text; without the text if ``text`` is false."""
+def encode(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, seed: int = SEED, text: bool = True, out: str = "ids") -> DataFrame:
+    """``docs`` with ``out``, the sampled pieces of each row's text; without the text if ``text`` is false.
+
+    A column of ``docs`` that is named like ``out`` gives way to it.
+    """
     model = model_bytes(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sampler_of(model, alpha)
         for b in batches:
-            done = 0
+            done, size = 0, 0
             held: list[np.ndarray] = []
-            size = 0
-            keys = b.column("_key").to_pylist()
-            keep = [f.name for f in kept]
 
             def part(held: list[np.ndarray], done: int) -> pa.RecordBatch:
                 offsets = np.r_[0, np.cumsum([len(x) for x in held])].astype(np.int32)
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(held)))
-                rows = b.slice(done, len(held))
-                return pa.record_batch([*(rows.column(n) for n in keep), ids], names=[*keep, "ids"])
+                return pa.record_batch([b.column("_row").slice(done, len(held)), ids], names=["_row", "_ids"])
 
-            for _, ids in segment(s, keys, (t.as_py() for t in b.column("text")), seed):
+            for _, ids in segment(s, b.column("_key").to_pylist(), (t.as_py() for t in b.column("_text")), seed):
                 held.append(ids)
                 size += len(ids)
                 if size >= 1 << 20:
@@ -411,11 +483,12 @@ def encode(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, seed: int =
             if held:
                 yield part(held, done)
 
-    src = docs.withColumn("text", F.col("text").cast("string")).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
-    kept = [f for f in src.schema.fields if f.name not in ("_key", "ids") and (text or f.name != "text")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", ids array<int>"
-    names = [f"`{f.name}`" for f in kept] + ([] if text else ["text"])
-    return small_batches(src).select(*names, "_key").mapInArrow(run, schema)
+    names = [c for c in docs.columns if c != out and (text or c != "text")]
+    row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))  # never empty
+    src = docs.select(row.alias("_row"), F.col("text").cast("string").alias("_text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_key"))
+    schema = T.StructType([src.schema["_row"], T.StructField("_ids", T.ArrayType(T.IntegerType()))])
+    coded = small_batches(src).mapInArrow(run, schema)
+    return coded.select(*(F.col(f"_row.c{k}").alias(c) for k, c in enumerate(names)), F.col("_ids").alias(out))
 
 
 def decode(encoded: DataFrame, path: str = MODEL, out: str = "decoded") -> DataFrame:
@@ -431,7 +504,7 @@ def decode(encoded: DataFrame, path: str = MODEL, out: str = "decoded") -> DataF
                 texts.append(raw[1:].decode("utf-8", "surrogatepass"))
             yield pa.record_batch([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields) + f", `{out}` string"
+    schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())])
     return encoded.mapInArrow(run, schema)
 
 
