@@ -48,6 +48,8 @@ def test_wide_products_stay_exact():
     a = np.array([[1 << 40, 3]], np.int64)
     b = np.array([[1 << 40, 5], [1, 1]], np.int64)
     assert knn.products(a, b).tolist() == [[(1 << 63) - 1, (1 << 40) + 3]]
+    low = np.array([[-(1 << 63), 5]], np.int64)
+    assert knn.products(low, np.array([[-1, 7], [1, 0]], np.int64)).tolist() == [[(1 << 63) - 1, -(1 << 63)]]
     c = np.array([[(1 << 29) + 1, 3]], np.int64)
     assert knn.products(c, c).tolist() == [[((1 << 29) + 1) ** 2 + 9]]
 
@@ -65,3 +67,20 @@ def test_bounds_allow_for_own_rows():
     pivots = np.array([[1000, 0], [0, 1000]])
     cells = [(0, 0, 15, 0.0), (1, 0, 50, 0.0)]
     assert knn.bounds(pivots, cells, [(0, 1, 0.0)], 10, {0: 12}) == [(0, 0), (0, 1)]
+
+
+@pytest.mark.parametrize("block,chunk,pivots", [(8192, 4096, 64), (16, 3, 4)])
+def test_repeated_query_ids_equal_brute_force(spark, block, chunk, pivots):
+    rng = np.random.default_rng(8)
+    point = [1.0] + [0.0] * 7
+    rows = [(0, point)] * 20 + [(k, [float(x) for x in np.float32(rng.normal(size=8))]) for k in range(1, 60)] + [(30, [float(x) for x in np.float32(rng.normal(size=8))]) for _ in range(25)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in knn.top_k(df, 10, pivots=pivots, block=block, chunk=chunk).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    ints = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    for q in (0, 10, 20, 40, 50):  # ids with one vector each
+        v = next(w for i, w in ints if i == q)
+        scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ints if i != q)[:10]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert len(got[30]) == 10

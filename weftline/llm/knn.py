@@ -53,7 +53,8 @@ def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All inner products, exact: floats while they are, else wide integers."""
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    largest = lambda x: max(float(x.max(initial=0)), -float(x.min(initial=0)))  # noqa: E731  # no long has the smallest one's size
+    top = largest(a) * largest(b) * a.shape[1]
     if top < 1 << 53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     if top < float(1 << 62):
@@ -179,7 +180,9 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = K, pivots: int = PIVOTS
     def each(n: str):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    data = cells.join(plan, "cell").select("cell", split("vec_id", "blocks").alias("block"), "chunks", "vec_id", "v").select("cell", "block", each("chunks").alias("chunk"), "vec_id", "v")
+    # by place in the stored table, so that rows that share an id are dealt out like others
+    turn = F.pmod(F.monotonically_increasing_id(), F.col("blocks")).cast("int")
+    data = cells.join(plan, "cell").select("cell", turn.alias("block"), "chunks", "vec_id", "v").select("cell", "block", each("chunks").alias("chunk"), "vec_id", "v")
     ask = asked.withColumnRenamed("cell", "group").join(needs, "group").select("cell", "blocks", split("query_id", "chunks").alias("chunk"), "query_id", "q").select("cell", each("blocks").alias("block"), "chunk", "query_id", "q")
     key = ["cell", "block", "chunk"]
 
