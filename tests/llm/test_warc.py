@@ -52,16 +52,29 @@ def test_records_come_back(spark, pages):
 
 
 def test_damaged_payload_raises():
-    frames = list(warc.frames(iter([warc.record(1, "u", b"abc", 3, hashlib.sha1(b"abd").hexdigest(), None)])))
+    frames = list(warc.frames(iter([warc.record(1, "u", b"abc", 3, hashlib.sha1(b"abd").hexdigest(), None)]), b"abcdefgh"))
     with pytest.raises(ValueError):
         [warc.digest_row(*r) for r in warc.records_of(b"".join(frames))]
 
 
 def test_a_cut_archive_raises():
-    raw = b"".join(warc.frames(iter([warc.record(1, "u", b"abc" * 100, 300, hashlib.sha1(b"abc" * 100).hexdigest(), None)])))
+    raw = b"".join(warc.frames(iter([warc.record(1, "u", b"abc" * 100, 300, hashlib.sha1(b"abc" * 100).hexdigest(), None)]), b"abcdefgh"))
     with pytest.raises((ValueError, zstandard.ZstdError)):
         list(warc.records_of(raw[:-3]))
 
 
 def test_empty_table(spark, pages):
     assert warc.archive(pages[0].limit(0)).count() == 0
+
+
+def test_rows_that_repeat_the_response_revisit_it(spark):
+    rows = [(5, "http://b", BIG)] * 3 + [(5, "http://a", BIG)] * 2 + [(4, "http://a", BIG), (6, "http://z", "tiny")] + [(6, "http://z", "tiny")]
+    got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to or 0) for r in got if r.page_id < 6) == [(4, "revisit", 5), (5, "response", 0)] + [(5, "revisit", 5)] * 4
+    assert [r.record_type for r in got if r.page_id == 6] == ["response"] * 2
+
+
+def test_the_dictionary_looks_at_records_wherever_they_stand(spark):
+    rows = [(k, f"u{k}", f"<p>{'first' if k < 500 else 'second'} kind of page {k}</p>" * 9) for k in range(1000)]
+    d = warc.dictionary_of(warc.routed(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)))
+    assert b"first kind" in d and b"second kind" in d

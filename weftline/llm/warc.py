@@ -1,16 +1,18 @@
 """Dictionary-compressed WARC archives (``.warc.zst``).
 
 Each archive starts with a skippable frame (magic 0x184D2A5D) that holds a
-Zstandard dictionary built from the archive's own first records; every record
-that follows is a frame of its own, compressed with that dictionary. Spark's
-text writer puts the bytes into the shared file system and commits them, so a
-lost executor only repeats its part. The writer needs a line separator: it is
-an empty skippable frame, which any Zstandard reader passes over.
+Zstandard dictionary built from archived records; every record that follows is a
+frame of its own, compressed with that dictionary. The records it is built from
+are those whose ids have the smallest hashes, wherever they stand. Spark's text
+writer puts the bytes into the shared file system and commits them, so a lost
+executor only repeats its part. The writer needs a line separator: it is an
+empty skippable frame, which any Zstandard reader passes over. An archive holds
+a partition of the pages, so its size is bounded by that of the input's splits.
 
 Defined results: null html is an empty payload; a null url is written as an
 empty target URI; a null page_id is kept as null and never the one that others
-refer to; rows that repeat the responding page_id with the same payload are
-responses too; an empty table gives an archive without records; extra columns
+refer to; rows that repeat the responding page_id with the same payload revisit
+it but for one; an empty table gives an archive without records; extra columns
 are ignored.
 """
 
@@ -23,22 +25,23 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored, text_or_empty
+from .common import shared_path, small_batches, stored, text_or_empty
 
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 #: An empty skippable frame: magic 0x184D2A50 and length 0, all of it ASCII.
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
 #: Payloads below this many bytes are never revisits.
 REVISIT_BYTES = 1000
-#: Records sampled for an archive's dictionary, in bytes; and the dictionary's size.
-SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 1 << 15
+#: Records sampled for the dictionary, and its size in bytes.
+SAMPLES, DICTIONARY_BYTES = 256, 1 << 15
 LEVEL = 3
 #: Bytes handed to the decompressor at a time; what is over goes to the next record.
 PIECE = 1 << 13
 
+COLUMNS = ("page_id", "url", "payload", "bytes", "digest", "refers_to")
 ROWS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -46,16 +49,30 @@ def routed(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """page_id, url, payload, digest and refers_to (null for responses).
 
     The largest page_id of each digest is found from narrow partial sums; only
-    digests that occur more than once are joined back.
+    digests that occur more than once are joined back. Of rows that share it
+    and the payload, one is the response, with the smallest url.
     """
     payload = text_or_empty("html").cast("binary")
     rows = pages.select("page_id", text_or_empty("url").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     large = rows.where(F.octet_length("payload") >= least)
-    first = large.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1 and holder is not null").select(F.col("digest").alias("d"), "holder")
-    first = stored(first, "payload-holders")  # a frequent payload's rows can then be split in the join
+    by_page = large.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    first = by_page.groupBy("digest").agg(F.max(F.struct("page_id", "n")).alias("top"), F.sum("n").alias("n")).where("n > 1 and top.page_id is not null")
+    # a table of its own: a frequent payload's rows can then be split in the join
+    first = stored(first.select(F.col("digest").alias("d"), F.col("top.page_id").alias("holder"), F.col("top.n").alias("same")), "payload-holders")
     joined = rows.join(first, (F.col("digest") == F.col("d")) & (F.octet_length("payload") >= least), "left")
     other = F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
-    return joined.select("page_id", "url", F.when(~other, F.col("payload")).alias("payload"), F.octet_length("payload").cast("long").alias("bytes"), "digest", F.when(other, F.col("holder")).alias("refers_to"))
+    size = F.octet_length("payload").cast("long").alias("bytes")
+    tied = ~other & (F.coalesce("same", F.lit(1).cast("long")) > 1)
+    out = joined.select("page_id", "url", F.when(~other, F.col("payload")).alias("payload"), size, "digest", F.when(other, F.col("holder")).alias("refers_to"), tied.alias("tied"))
+    if not first.where("same > 1").limit(1).count():
+        return out.drop("tied")
+    # rows that repeat a responding one, counted before they move
+    same = out.where("tied").groupBy("digest", "page_id", "url").agg(F.count(F.lit(1)).alias("n"), F.first("payload").alias("payload"), F.first("bytes").alias("bytes"))
+    nth = F.row_number().over(Window.partitionBy("digest").orderBy("url"))
+    each = same.withColumn("nth", nth).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
+    one = (F.col("nth") == 1) & (F.col("k") == 1)
+    each = each.select("page_id", "url", F.when(one, F.col("payload")).alias("payload"), "bytes", "digest", F.when(~one, F.col("page_id")).alias("refers_to"))
+    return out.where("not tied").drop("tied").union(each)
 
 
 def record(page_id: int | None, url: str, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
@@ -88,34 +105,31 @@ def build_dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict((b"".join(samples) or b"WARC/1.1\r\n")[-DICTIONARY_BYTES:].rjust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def frames(records: Iterator[bytes]) -> Iterator[bytes]:
-    """The archive's frames: the dictionary, then one for each record."""
-    head: list[bytes] = []
-    size = 0
-    for r in records:
-        head.append(r)
-        size += len(r)
-        if size >= SAMPLE_BYTES:
-            break
-    if not head:
-        return
-    d = build_dictionary(head)
-    raw = d.as_bytes()
-    yield struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw
-    c = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=True)
-    for r in head:
-        yield c.compress(r)
-    head.clear()
+def dictionary_of(routes: DataFrame) -> bytes:
+    """A dictionary from the records with the smallest hashes of their ids: SAMPLES rows reach the driver."""
+    some = routes.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLES).select(*COLUMNS).collect()
+    return build_dictionary([record(*r) for r in sorted(some, key=lambda r: (r["page_id"] is None, r["page_id"] or 0, r["url"]))]).as_bytes()
+
+
+def frames(records: Iterator[bytes], dictionary: bytes) -> Iterator[bytes]:
+    """The archive's frames: the dictionary, then one for each record; none without a record."""
+    coder = None
     for r in records:
-        yield c.compress(r)
+        if coder is None:
+            yield struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
+            coder = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary_from(dictionary), write_checksum=True)
+        yield coder.compress(r)
 
 
-def _write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("page_id", "url", "payload", "bytes", "digest", "refers_to")
-    rows = (record(*row) for b in batches for row in zip(*(b.column(n).to_pylist() for n in names), strict=True))
+def dictionary_from(raw: bytes) -> zstandard.ZstdCompressionDict:
+    return zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT if raw[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT)
+
+
+def _write_part(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.RecordBatch]:
+    rows = (record(*(b.column(n)[k].as_py() for n in COLUMNS)) for b in batches for k in range(b.num_rows))
     held: list[bytes] = []
     size = 0
-    for f in frames(rows):
+    for f in frames(rows, dictionary):
         held.append(f)
         size += len(f)
         if size >= 1 << 22:
@@ -127,7 +141,13 @@ def _write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write(pages: DataFrame, path: str) -> None:
     """Write the pages as archives, one a partition, into folder ``path``."""
-    parts = routed(pages).mapInArrow(_write_part, "frame binary")
+    routes = routed(pages)
+    dictionary = dictionary_of(routes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _write_part(batches, dictionary)
+
+    parts = small_batches(routes).mapInArrow(run, "frame binary")
     parts.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("compression", "none").text(path)
 
 
@@ -146,9 +166,7 @@ def records_of(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if magic & 0xFFFFFFF0 == 0x184D2A50:
             (size,) = struct.unpack_from("<I", view, at + 4)
             if magic == DICTIONARY_MAGIC:
-                raw = bytes(view[at + 8 : at + 8 + size])
-                kind = zstandard.DICT_TYPE_FULLDICT if raw[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
-                reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=kind))
+                reader = zstandard.ZstdDecompressor(dict_data=dictionary_from(bytes(view[at + 8 : at + 8 + size])))
             at += 8 + size
         else:
             one, parts = reader.decompressobj(), []
