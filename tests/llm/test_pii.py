@@ -42,6 +42,19 @@ def test_supervision_adds_written_numbers_and_spelled_addresses(spark):
     assert got[0].startswith("phone:5:19") and got[1] == "email:5:27" and got[3] == ""
 
 
+def test_supervision_adds_addresses_of_both_versions(spark):
+    texts = ["server 2001:db8::ff00:42:8329 up", "host 192[.]168[.]1[.]10 seen", "at 12:30:45 or a::b", "login fe80:0:0:0:1:2:3:4, done", "10.0.0.1 here"] * 30
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_ip, r.spans) for r in pii.detect(docs).collect()}
+    assert got[0] == (0, "ip:7:29") and got[1] == (0, "ip:5:23") and got[3] == (0, "ip:6:24") and got[4] == (1, "ip:0:8")
+    assert "12:30" not in texts[2] or not got[2][1].startswith("ip:3:")
+
+
+def test_the_classifier_sees_what_no_labeler_does():
+    model = pii.Classifier([(3, "+++++5s", 500), (3, "-----2d", 500), (3, "000005s", 60), (3, "000002d", 60)])
+    assert model.belief[3, "000005s"] > model.belief[3, "000002d"]
+
+
 def test_reliabilities_follow_agreement():
     model = pii.Classifier([(3, "+++++", 500), (3, "+0+++", 200), (3, "-----", 500), (3, "-+---", 200)])
     assert model.belief[(3, "+++++")] > 0.9 > 0.1 > model.belief[(3, "-----")]

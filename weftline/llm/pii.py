@@ -1,14 +1,16 @@
 """Personal data: base patterns, and spans added by weak supervision.
 
 Base spans are what four patterns match, leftmost first. Looser patterns propose
-further spans: e-mail addresses that are spelled out, numbers that may be phones
-or cards. Labelers vote on every span, base or proposed, for, against or not at
-all: the span's shape, a gazetteer (top-level domains, card issuers, dialling
-habits), words before it, its check digits, and what touches it. Counts of the
-vote patterns, a few hundred rows whatever the input, go through
-expectation-maximisation, which estimates how reliable each labeler is; a
-logistic curve fitted to the resulting beliefs is the span classifier. Proposed
-spans that it accepts are added; base spans stay.
+further spans: e-mail addresses that are spelled out, addresses of IP version 6
+or with bracketed dots, numbers that may be phones or cards. Labelers vote on
+every span, base or proposed, for, against or not at all: the span's shape, a
+gazetteer (top-level domains, networks, card issuers, country codes), words
+before it, its check digits, and what touches it. Counts of the vote patterns,
+with how many digits and which separators the spans have, are a few hundred rows
+whatever the input. Expectation-maximisation over the votes estimates how
+reliable each labeler is; the span classifier is a logistic curve fitted to the
+resulting beliefs, which looks at the digits and separators too, as no labeler
+does. Proposed spans that it accepts are added; base spans stay.
 
 Everything that touches a text is a SQL expression. Positions come from the
 lengths of matches and of what lies between them. The patterns never back off
@@ -40,13 +42,23 @@ OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
 #: Proposals: an address spelled out; a number written like a phone's.
 SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\[dot\]|\(dot\))\x20?)[A-Za-z0-9-]++)++"
 LOOSE = r"(?<![0-9A-Za-z+.,(-])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[\x20.-][0-9]{2,5}){2,4}+(?![0-9A-Za-z]|[.,-][0-9])"
-#: Fixed word lists.
-DOMAINS = "com|org|net|edu|gov|de|fr|es|uk|io|info"
+#: Version 6, whole or with one gap; version 4 with its dots in brackets.
+HEXES = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:]|\.[0-9])"
+FANGLESS = r"(?<![0-9.\]])[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}(?![0-9]|\[\.\])"
+# Top-level domains, country codes of telephone numbers, first digits of card issuers, networks of special use.
+DOMAINS = (
+    "com|org|net|edu|gov|mil|int|info|biz|name|io|ai|app|dev|me|tv|co|cc|xyz|online|site|shop|blog|cloud|tech|eu|de|at|ch|fr|be|lu|nl|es|pt|it|uk|ie|us|ca|mx|br|ar|cl|pe|ve|uy|py|bo|ec|cr|"
+    "pl|cz|sk|hu|ro|bg|gr|tr|ru|ua|by|lt|lv|ee|fi|se|no|dk|is|si|hr|rs|ba|mk|al|md|ge|am|az|kz|il|ae|sa|qa|kw|eg|ma|tn|dz|ng|ke|gh|za|et|in|pk|bd|lk|np|cn|hk|tw|jp|kr|th|vn|my|sg|id|ph|au|nz"
+)
+COUNTRIES = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[1-368]|22[0-9]|23[0-9]|24[0-9]|25[0-8]|26[0-9]|29[017-9]|35[0-9]|37[0-8]|38[0-9]|42[013]|50[0-9]|59[0-9]|67[02-9]|68[0-9]|69[0-2]|85[02356]|88[06]|96[0-8]|97[0-9]|99[2-68]"
+ISSUERS = "4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[47]|30[0-5]|3[68]|35(?:2[89]|[3-8])|6011|64[4-9]|65|62|50|5[6-9]|6[37]"
+NETWORKS = r"10\.|127\.|169\.254\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|192\.168\.|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\."
+# Fixed word lists: what stands before such spans, and before others, in four languages.
 BEFORE = {
-    "email": ("mail|contact|write|reach|courriel|correo", "twitter|user|handle"),
-    "ip": ("ip|host|server|address|login|adresse", "version|section|chapter|release"),
-    "card": ("card|visa|mastercard|amex|credit|carte|karte|tarjeta", "order|invoice|isbn|serial|tracking|id"),
-    "phone": ("tel|phone|call|fax|mobile|cell|whatsapp|telefon|téléphone|teléfono", "order|invoice|isbn|serial|version|id"),
+    "email": ("e?mail|contact|write|reach|send|address|schreib\\w*|kontakt|adresse|courriel|écri\\w*|contacter|correo|escrib\\w*|contacto|dirección", "twitter|user|handle|nutzer|utilisateur|usuario"),
+    "ip": ("ip|host|server|address|login|gateway|network|rechner|netz\\w*|adresse|serveur|hôte|réseau|servidor|red|dirección", "version|section|chapter|release|kapitel|abschnitt|chapitre|capítulo|versión"),
+    "card": ("card|visa|mastercard|amex|maestro|credit|debit|karte|kreditkarte|carte|bancaire|tarjeta|crédito|débito", "order|invoice|isbn|serial|tracking|id|rechnung|bestellung|auftrag|facture|commande|factura|pedido"),
+    "phone": ("tel|phone|call|fax|mobile|cell|whatsapp|telefon|handy|ruf\\w*|anruf\\w*|téléphone|portable|appel\\w*|teléfono|móvil|llam\\w*", "order|invoice|isbn|serial|version|id|rechnung|bestellung|facture|commande|factura|pedido"),
 }
 #: Labelers, and which of them tests check digits: it starts out as the one to trust.
 LABELERS, CHECK = 5, 3
@@ -107,6 +119,7 @@ def proposals(text: Column) -> dict[str, Column]:
     """Each kind's proposed spans; base spans may be among them."""
     return {
         "email": only_if(text.contains("at]") | text.contains("at)"), matches(text, SPELLED)),
+        "ip": only_if(text.contains("::") | text.contains("[.]") | text.rlike("(?:[0-9A-Fa-f]{1,4}:){7}"), matches(text, f"(?:{HEXES}|{FANGLESS})")),
         "card": only_if(text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), matches(text, CARD)),
         "phone": only_if(text.rlike(r"[0-9]\)?[\x20.-][0-9]{2,5}[\x20.-][0-9]"), F.filter(matches(text, LOOSE), lambda x: F.length(digits(x["m"])).between(7, 15))),
     }
@@ -117,7 +130,8 @@ def vote(yes: Column, no: Column) -> Column:
 
 
 def votes(kind: str, text: Column, x: Column) -> Column:
-    """The labelers' votes on a span, as a string of +, - and 0."""
+    """The labelers' votes on a span, as a string of +, - and 0; then its form:
+    half its digits (9 at most) and the first of its separators."""
     m = x["m"]
     d = digits(m)
     before = F.lower(text.substr(F.greatest(x["s"] - WINDOW, F.lit(0)).cast("int") + 1, F.least(x["s"], F.lit(WINDOW)).cast("int")))
@@ -128,22 +142,26 @@ def votes(kind: str, text: Column, x: Column) -> Column:
         names = vote(m.rlike(rf"(?i)(?:\.|dot\W{{1,2}})(?:{DOMAINS})$"), never)
         check = vote(never, m.rlike(r"^[._%+-]|\.\.|[.-]@"))
     elif kind == "ip":
-        shape = vote(m.rlike(r"^[1-9][0-9]{0,2}(?:\.(?:0|[1-9][0-9]{0,2})){3}$"), m.rlike(r"^0|\.0[0-9]"))
-        names = vote(m.rlike(r"^(?:10|127|172|192)\."), m.rlike(r"^[0-9]\.[0-9]\.[0-9]\.[0-9]$"))
-        check = vote(m.rlike(OCTETS), ~m.rlike(OCTETS))
+        six, four = m.contains(":"), F.regexp_replace(m, r"[\[\]]", "")
+        groups = F.size(F.filter(F.split(m, ":"), lambda g: g != ""))
+        shape = vote(four.rlike(r"^[1-9][0-9]{0,2}(?:\.(?:0|[1-9][0-9]{0,2})){3}$") | (six & (groups >= 4)), four.rlike(r"^0+[0-9]|\.0[0-9]") | (six & (groups < 3) & ~m.startswith("::") & ~m.contains("::1")))
+        names = vote(four.rlike(f"^(?:{NETWORKS})") | m.rlike(r"(?i)^(?:fe[89ab]|f[cd]|2[0-9a-f]{3}:|::1$)"), four.rlike(r"^[0-9]\.[0-9]\.[0-9]\.[0-9]$"))
+        valid = four.rlike(OCTETS) | (six & (groups <= 8) & (F.size(F.split(m, "::")) <= 2))
+        check = vote(valid, ~valid)
     elif kind == "card":
         shape = vote(m.rlike(r"^[0-9]{15,16}$|^[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}$"), m.rlike(r"[\x20-][0-9]{1,2}[\x20-]"))
-        names = vote(d.rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)"), d.rlike("^[01]"))
+        names = vote(d.rlike(f"^(?:{ISSUERS})"), d.rlike("^[01]"))
         check = vote(luhn(m), ~luhn(m))
     else:
         shape = vote(m.rlike(r"^\+|^\([0-9]{2,5}\)"), m.rlike(r"^[0-9]{4}([\x20.-])[0-9]{2}\1[0-9]{2}$"))
-        names = vote(d.rlike("^(?:0[1-9]|[2-9][0-9]{9}$)") | m.startswith("+"), d.rlike("^(?:19|20)[0-9]{6}$"))
+        names = vote(d.rlike("^(?:0[1-9]|[2-9][0-9]{9}$)") | (m.startswith("+") & d.rlike(f"^(?:{COUNTRIES})")), d.rlike("^(?:19|20)[0-9]{6}$"))
         check = vote(F.length(d).between(10, 13), F.length(d) < 8)
     good, bad = BEFORE[kind]
     near = vote(before.rlike(rf"(?:^|\W)(?:{good})\b"), before.rlike(rf"(?:^|\W)(?:{bad})\b"))
     edge = vote(after.rlike(r"^(?:[\s.,;:!?)]|$)"), after.rlike(r"^[A-Za-z0-9_]"))
     mark = lambda v: F.element_at(F.array(F.lit("-"), F.lit("0"), F.lit("+")), v + 2)
-    return F.concat(*(mark(v) for v in (shape, names, near, check, edge)))
+    separator = F.when(m.rlike(r"[\[\](]"), F.lit("b")).when(m.contains(" "), F.lit("s")).when(m.contains("-"), F.lit("d")).when(m.contains("."), F.lit("p")).otherwise(F.lit("n"))
+    return F.concat(*(mark(v) for v in (shape, names, near, check, edge)), F.least(F.lit(9), F.floor(F.length(d) / 2)).cast("string"), separator)
 
 
 SPAN = "struct<s:bigint,k:int,e:bigint,base:boolean,votes:string>"
@@ -170,14 +188,14 @@ def spans(text: Column) -> Column:
 def with_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with column ``_spans``; texts without a digit, @ or (at) are not searched."""
     text = text_or_empty()
-    worth = text.rlike(r"[0-9@]|[\[(]at[\])]")
+    worth = text.rlike(r"[0-9@]|[\[(]at[\])]|::")
     return docs.withColumn("_spans", F.when(worth, spans(text)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)")))
 
 
 class Classifier:
     """Labeler reliabilities from expectation-maximisation, and the curve fitted to its beliefs.
 
-    Made from counts of (kind, votes), at most 4 * 3**LABELERS rows.
+    Made from counts of (kind, votes and form), at most 4 * 3**LABELERS * 50 rows.
     """
 
     def __init__(self, counts: list[tuple[int, str, int]], rounds: int = ROUNDS):
@@ -188,7 +206,8 @@ class Classifier:
         if not counts:
             return
         kind = np.array([k for k, _, _ in counts])
-        ballot = np.array([["-0+".index(c) for c in v] for _, v, _ in counts])
+        ballot = np.array([["-0+".index(c) for c in v[:LABELERS]] for _, v, _ in counts])
+        form = np.array([[int(v[LABELERS : LABELERS + 1] or 0), "nbsdp".index(v[LABELERS + 1 :] or "n")] for _, v, _ in counts])
         n = np.array([c for _, _, c in counts], float)
         # a labeler's distribution over against, silent and for, given that a span is or is not personal data
         prior = np.full(len(KINDS), 0.5)
@@ -209,21 +228,22 @@ class Classifier:
                         # the start counts like spans already seen, so classes keep their meaning
                         table[k, j, c] = (seen + start[j, c]) / (seen + start[j, c]).sum()
         self.reliability = {int(k): table[k] for k in set(kind.tolist())}
-        self.weights = self.fit(kind, ballot, n, belief)
-        score = self.design(kind, ballot) @ self.weights
+        x = self.design(kind, ballot, form)
+        self.weights = self.fit(x, n, belief)
+        score = x @ self.weights
         final = 1 / (1 + np.exp(-np.clip(score, -40, 40)))
         self.belief = {(int(k), v): float(p) for (k, v, _), p in zip(counts, final, strict=True)}
         self.accepted = sorted(x for x, p in self.belief.items() if p >= LIMIT)
 
     @staticmethod
-    def design(kind: np.ndarray, ballot: np.ndarray) -> np.ndarray:
-        """One column a kind, and two for each labeler of a kind."""
+    def design(kind: np.ndarray, ballot: np.ndarray, form: np.ndarray) -> np.ndarray:
+        """For each kind one column, two for each labeler, ten for the digits, five for the separators."""
         one = np.eye(len(KINDS))[kind]
-        signs = np.concatenate([ballot == 2, ballot == 0], axis=1).astype(float)
+        signs = np.concatenate([ballot == 2, ballot == 0, np.eye(10)[form[:, 0]], np.eye(5)[form[:, 1]]], axis=1).astype(float)
         return np.concatenate([one, (one[:, :, None] * signs[:, None, :]).reshape(len(kind), -1)], axis=1)
 
-    def fit(self, kind: np.ndarray, ballot: np.ndarray, n: np.ndarray, belief: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-        x, w = self.design(kind, ballot), np.zeros(len(KINDS) * (1 + 2 * LABELERS))
+    def fit(self, x: np.ndarray, n: np.ndarray, belief: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+        w = np.zeros(x.shape[1])
         n = n / n.sum() * len(n) + 0.1
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
