@@ -102,4 +102,13 @@ def test_stages_keep_columns_that_clash_with_their_own(spark):
         got = docs.collect()
         assert got and all(tuple(r)[5:] == tuple(range(len(names))) for r in got)
     assert all("@" not in r.text for r in got)
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(got)
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", *names, "n_pieces", "ids"]
+    last = out.collect()
+    assert len(last) == len(got) and all(tuple(r)[4:-2] == tuple(range(len(names))) for r in last)
+
+
+def test_the_last_stage_needs_no_column_but_id_and_text(spark):
+    docs = spark.createDataFrame([(1, "some words", 9, "x")], "doc_id long, text string, n_pieces int, ids string")
+    (row,) = corpus_pipeline.encode(spark, docs, SF).collect()
+    assert row.asDict().keys() == {"doc_id", "n_pieces", "ids"} and row.n_pieces == len(row.ids) > 1

@@ -49,6 +49,8 @@ def test_odd_rows_and_labels(spark, op, column):
     out = op.score(docs, op.train(docs, some)).collect()
     assert len(out) == 5 and all(0 <= r.score <= 1 for r in out)
     assert op.score(docs.limit(0), op.train(docs, some)).count() == 0
+    if op is toxicity:
+        assert op.kept(docs, op.train(docs, none)).count() == 5
 
 
 def test_the_smaller_compressed_size_wins():

@@ -278,6 +278,7 @@ class Model:
         part = [Grammar(learn(whole, f, LEAST - 1)) for f in folds]
         sums = np.array([part[k % 4].sums(t) for k, t in enumerate(texts)], float).reshape(-1, 3 * MATCHES + 1)
         label = np.array(y, float)
+        self.trained = len(set(y)) == 2
         self.weights = PRIOR.copy()
         self.curve = Curve(features(sums, self.weights), label, counts)
 
@@ -324,7 +325,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def kept(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic."""
+    """The rows of ``docs`` that are not predicted toxic; all where labels lack a class, as nothing was learned then."""
+    if not model.trained:
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
