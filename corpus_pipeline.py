@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no clause: they stay unless texts without a
     match are predicted toxic, which needs labels that say so. Without labels
-    of both classes the score is 0.5 for all, and all go.
+    of both classes all stay.
     """
     return toxicity.kept(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
