@@ -83,19 +83,12 @@ def test_classes_of_the_fixture(spark):
     assert all(link[d] != d for d in nodes if got[d] != d and not any(got[e] == got[d] and e != d and (e > d or link[d] != d) for e in nodes))
 
 
-def test_sketches():
-    rng = np.random.default_rng(1)
-    a = np.unique(rng.integers(0, 1 << 32, 5000, dtype=np.uint32))
-    b = np.unique(np.r_[a[: int(len(a) * 0.89)], rng.integers(0, 1 << 32, 600, dtype=np.uint32)])
-    rng.shuffle(a)
-    true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    # sets in random order of hashes: cut by value, not by place
-    mix = lambda x: np.unique(near_copies.mixed(x.astype(np.uint64)).astype(np.uint32))
-    x, y = mix(a), mix(b)
-    assert abs(near_copies.similarity(x[: near_copies.SKETCH], y[: near_copies.SKETCH]) - true) < 0.13
-    assert near_copies.similarity(x[:50], x[:40]) == 0.8
-    n, kept = near_copies.sketch([b"a", b"b", b"c"])
-    assert n == 1 and len(kept) == 1 and near_copies.sketch([]) [0] == 0
+def test_packed_words_keep_their_set():
+    for text in ("", "one", "a b c d e", "A  b\nc d E f g", "é " * 7000):
+        words = near_copies.words_of(text)
+        packed = near_copies.pack(words)
+        assert near_copies.unpack(packed).tolist() == near_copies.shingle_set(words).tolist()
+    assert len(near_copies.unpack(near_copies.pack(near_copies.words_of("a b c d e f")))) == 2
 
 
 def test_odd_rows(spark):

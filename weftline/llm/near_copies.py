@@ -11,8 +11,8 @@ order, and each pair of texts that do, and are not yet in one class, is decided
 by its whole sets. So no pair alike to 0.8 is missed, whatever the prints say.
 
 The prints' candidates' components are looked into, also by whole sets (64-bit
-hashes of all shingles); the threshold is 0.8 exactly. Sketches (the ``SKETCH``
-smallest hashes) only estimate a similarity; nothing is decided by them.
+hashes of all shingles); the threshold is 0.8 exactly. What moves to where two
+texts are compared is their words, compressed; their sets are made there.
 
 Equal texts join by their digest first, so every group of copies is one node
 from then on. Large components are dealt into pairs of blocks, and a task that
@@ -32,18 +32,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import row_of, rows_again, small_batches, stored
+from .common import forget, row_of, rows_again, small_batches, stored
 
 #: Similarity of five-word shingles from which texts are near copies.
 SIMILARITY, SHINGLE = 0.8, 5
-#: Fingerprints of the words, smallest shingle hashes of a sketch, texts of a component in one block.
-PRINTS, SKETCH, BLOCK = 12, 256, 512
-#: Bytes of shingle hashes a text of a block may have on average; components of longer texts get more blocks.
-SET_BYTES = 1 << 13
+#: Fingerprints of the words, and texts of a component in one block. More prints save no link, only later work.
+PRINTS, BLOCK = 4, 512
+#: Shingles a text of a block may have on average; components of longer texts get more blocks.
+SET_SIZE = 1 << 10
 #: Words hashed at a time.
 CHUNK = 1 << 13
 #: Most frequent shingles that the order of prefixes puts last; which ones changes the work, not the result.
@@ -68,29 +69,6 @@ def word_prints(words: list[bytes]) -> np.ndarray:
     return np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)
 
 
-def sketch(words: list[bytes]) -> tuple[int, np.ndarray]:
-    """How many distinct shingles there are, and their smallest hashes, ascending."""
-    if not words:
-        return 0, np.empty(0, np.uint32)
-    flat = b" ".join(words)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(size + 1) - 1
-    n = min(SHINGLE, len(words))
-    starts, ends = (ends - size)[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist()
-    digest = xxhash.xxh32_intdigest
-    h = np.unique(np.array([digest(flat[a:b]) for a, b in zip(starts, ends, strict=True)], np.uint32))
-    return len(h), h[:SKETCH]
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated from two sketches; exact where both hold whole sets."""
-    both, common = np.union1d(a, b), np.intersect1d(a, b, assume_unique=True)
-    if max(len(a), len(b)) == SKETCH and len(both) > SKETCH:
-        both = both[:SKETCH]
-        common = common[common <= both[-1]]
-    return len(common) / max(1, len(both))
-
-
 def shingle_set(words: list[bytes]) -> np.ndarray:
     """The hashes of all distinct shingles, ascending."""
     if not words:
@@ -108,6 +86,16 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def pack(words: list[bytes]) -> bytes:
+    """A text's words as they travel: a third of its shingles' hashes, or less."""
+    return zstandard.compress(b" ".join(words), 1)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    """The shingle set of packed words."""
+    return shingle_set(zstandard.decompress(packed).split())
+
+
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that several different texts of a batch have, and how many."""
     for b in batches:
@@ -177,17 +165,23 @@ def _pairs(reach: int | None):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.record_batch([b.column("node"), pa.array([shingle_set(words_of(t.as_py())).tobytes() for t in b.column("text")], pa.binary())], names=["node", "hashes"])
+        words = [words_of(t.as_py()) for t in b.column("text")]
+        size = [max(min(1, len(w)), len(w) - SHINGLE + 1) for w in words]
+        yield pa.record_batch([b.column("node"), pa.array(size, pa.int64()), pa.array(map(pack, words), pa.binary())], names=["node", "size", "words"])
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose whole sets are alike."""
+    last, x = b"", np.empty(0, np.int64)
     for b in batches:
         ok = []
-        for x, y in zip(b.column("a"), b.column("b"), strict=True):
-            x, y = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
+        for p, q in zip(b.column("a"), b.column("b"), strict=True):
+            q = q.as_py()
+            if q != last:  # pairs of one node come together
+                last, x = q, unpack(q)
+            y = unpack(p.as_py())
             ok.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
         yield b.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
 
@@ -232,11 +226,13 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def alike(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the near copies within each (root, pair) group of the rows, by their whole sets."""
     root, pair, node = (rows.column(c).to_numpy() for c in ("root", "pair", "node"))
-    sets = [np.frombuffer(s.as_py(), np.int64) for s in rows.column("hashes")]
+    packed = rows.column("words")
     starts = np.flatnonzero(np.r_[True, (root[1:] != root[:-1]) | (pair[1:] != pair[:-1])])
     src, dst = [], []
     for a, b in zip(starts, np.r_[starts[1:], len(root)], strict=True):
-        own = sets[a:b]
+        if b - a < 2:
+            continue
+        own = [unpack(packed[k].as_py()) for k in range(a, b)]
         _, code = np.unique(np.concatenate(own), return_inverse=True)
         size = np.array([len(s) for s in own])
         which = np.repeat(np.arange(len(own)), size)
@@ -278,23 +274,25 @@ def copies(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     texts = stored(profile.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("prints").alias("prints")), "texts")
     # candidates among distinct texts, and their components
     keyed = texts.select("node", F.posexplode("prints").alias("number", "fp")).select(F.explode(simhash.keys(F.col("fp"), F.col("number"))).alias("key"), "node", "fp")
-    near = stored(simhash.components(simhash.links(keyed)), "candidates")
+    near = simhash.components(simhash.links(keyed))
     members = near.union(near.select(F.col("root").alias("node"), "root").distinct())
     # whole sets of every text that has a candidate, by fingerprints or by prefixes
     shared = prefixes(src, texts, block)
     needed = stored(shared.select("node").union(members.select("node")).distinct(), "needed")
-    sets = stored(small_batches(src.withColumnRenamed("doc_id", "node").join(needed.hint("merge"), "node")).mapInArrow(_sets, "node long, hashes binary"), "sets")
+    packed = small_batches(src.withColumnRenamed("doc_id", "node")).mapInArrow(_packed, "node long, size long, words binary")
+    sets = stored(packed.join(needed.hint("merge"), "node"), "sets")
     # merge joins at every size: what moves is in proportion to the input
     rooted = sets.join(members.hint("merge"), "node")
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum(F.length("hashes")) / F.lit(block * SET_BYTES)))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("size") / F.lit(block * SET_SIZE)))
     size = stored(rooted.groupBy("root").agg(blocks.cast("int").alias("blocks")).where("blocks > 0"), "component-sizes")
-    placed = simhash.dealt(rooted.join(size, "root"), ["root"], "node").select("root", "pair", "node", "hashes")
+    placed = simhash.dealt(rooted.join(size, "root"), ["root"], "node").select("root", "pair", "node", "words")
     verified = placed.repartition("root", "pair").sortWithinPartitions("root", "pair", "node").mapInArrow(_alike, "src long, dst long")
     # texts that the shingle fingerprints link
     prints = simhash.print_roots(stored(texts.groupBy("fp").agg(F.min("node").alias("first")), "distinct-fingerprints"))
     least = stored(prints.groupBy("root").agg(F.min("first").alias("dst")), "first-of-prints")
     by_print = texts.select("fp", "node").join(prints.select("fp", "root"), "fp").join(least, "root").select(F.col("node").alias("src"), "dst")
-    found = stored(simhash.components(verified.union(by_print)), "classes")
+    found = simhash.components(verified.union(by_print))
+    forget(profile, near, needed, size, least)
     # every other pair that is alike shares a shingle of its prefixes: neighbours under a key first, so that
     # dense groups are one class when all pairs of different classes are looked at
     for reach in (1, None):
@@ -302,9 +300,13 @@ def copies(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
         placed = simhash.dealt(rooted, ["key"], "node").select("key", "pair", "node", "root", "n", "place")
         pairs = placed.repartition("key", "pair").sortWithinPartitions("key", "pair", "n", "node").mapInArrow(_pairs(reach), "src long, dst long")
         pairs = stored(pairs.distinct(), "pairs")
-        both = pairs.join(sets.select(F.col("node").alias("src"), F.col("hashes").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("hashes").alias("b")), "dst")
-        found = stored(simhash.components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")).union(both.mapInArrow(_judged, "src long, dst long"))), "classes")
-    return texts.select("node"), found
+        both = pairs.join(sets.select(F.col("node").alias("src"), F.col("words").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("words").alias("b")), "dst")
+        before, found = found, simhash.components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")).union(both.mapInArrow(_judged, "src long, dst long")))
+        forget(before, pairs)
+    forget(shared, sets)
+    nodes = texts.select("node")
+    nodes._weftline_path = texts._weftline_path
+    return nodes, found
 
 
 def deduplicated(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -315,6 +317,7 @@ def deduplicated(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     nodes, found = copies(docs, block)
     keep = stored(nodes.distinct().join(found.select("node"), "node", "left_anti"), "kept")
+    forget(nodes, found)
     # texts move once, at every size
     rows = docs.join(keep.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
