@@ -14,6 +14,8 @@ from ..schemas import EVENT_TYPES, EXTRACTION_STATUSES, PRIMARY_TOPICS
 #: 2024-01-01 and 2024-02-01.
 FIRST, AS_OF = 1704067200, 1706745600
 SOURCES = 19  # src0 to src18; src19 is not registered
+#: Characters of a passage, from one to the next, and the numbers that a document's passages have.
+WINDOW, STEP, PER_DOCUMENT = 600, 400, 1_000_000
 SOURCE_TYPES = (None, "engineering-blog", "official-release", "analysis")
 
 
@@ -43,8 +45,10 @@ def registry(spark: SparkSession) -> DataFrame:
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").withColumn("line", F.substring_index(text, "\n", 1))
-    rest = F.when(F.instr(text, "\n") > 0, text.substr(F.length("line") + 2, F.length(text))).otherwise(F.lit(""))
-    docs = docs.withColumn("title", F.substring("line", 1, 500)).withColumn("raw_text", F.regexp_replace(F.concat("title", F.lit("\n\n"), rest), r"^\s+|\s+$", ""))
+    docs = docs.withColumn("title", F.substring("line", 1, 500))
+    # all that follows the title, whether the first line goes on or ends there
+    rest = F.regexp_replace(text.substr(F.length("title") + 1, F.length(text)), r"^\n", "")
+    docs = docs.withColumn("raw_text", F.regexp_replace(F.concat("title", F.lit("\n\n"), rest), r"^\s+|\s+$", ""))
     published = F.when(d % 50 != 49, F.timestamp_seconds(F.lit(FIRST) + (d * 7919 % 43200) * 60))
     return docs.select(
         d.cast("string").alias("id"), d.alias("doc_id"), F.col("source").alias("source_name"), "title", F.concat(F.lit("https://src.example/"), d.cast("string")).alias("url"),
@@ -59,12 +63,17 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """Three passages a document: its title, its start, and what follows."""
+    """The title and the whole text of every document as passages: windows of WINDOW characters, STEP apart.
+
+    The first three passages of a document have the vectors of its number, where the table has them.
+    """
     v = F.col("vec_id")
-    rows = table(spark, sf_dir, "embeddings").select(v.alias("chunk_id"), F.floor(v / 3).cast("long").cast("string").alias("document_id"), (v % 3).cast("int").alias("chunk_index"), "embedding")
-    text = docs.select(F.col("id").alias("document_id"), F.col("title").alias("t"), F.col("raw_text").alias("r"))
-    content = F.when(F.col("chunk_index") == 0, F.col("t")).when(F.col("chunk_index") == 1, F.substring("r", 1, 600)).otherwise(F.substring("r", 401, 800))
-    return rows.join(text, "document_id").select("chunk_id", "document_id", "chunk_index", content.alias("content"), "embedding")
+    vectors = table(spark, sf_dir, "embeddings").select((F.floor(v / 3) * PER_DOCUMENT + v % 3).cast("long").alias("chunk_id"), "embedding")
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("raw_text") - (WINDOW - STEP)), F.lit(STEP))
+    windows = F.transform(starts, lambda s: F.col("raw_text").substr(s, F.lit(WINDOW)))
+    rows = docs.select("doc_id", F.col("id").alias("document_id"), F.posexplode(F.concat(F.array("title"), windows)).alias("chunk_index", "content"))
+    rows = rows.select((F.col("doc_id") * PER_DOCUMENT + F.col("chunk_index")).alias("chunk_id"), "document_id", "chunk_index", "content")
+    return rows.join(vectors, "chunk_id", "left")
 
 
 def query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +106,7 @@ REGISTRY_SQL = f"""registry AS (
 ARTICLES_SQL = rf"""lines AS (
   SELECT *, coalesce(text, '') AS t, split_part(coalesce(text, ''), chr(10), 1) AS line FROM documents),
 titled AS (
-  SELECT *, substr(line, 1, 500) AS title, CASE WHEN strpos(t, chr(10)) > 0 THEN substr(t, strpos(t, chr(10)) + 1) ELSE '' END AS rest FROM lines),
+  SELECT *, substr(line, 1, 500) AS title, CASE WHEN length(line) <= 500 THEN substr(t, length(line) + 2) ELSE substr(t, 501) END AS rest FROM lines),
 articles AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, source AS source_name, title, 'https://src.example/' || doc_id AS url,
          regexp_replace(title || chr(10) || chr(10) || rest, '^\s+|\s+$', '', 'g') AS raw_text,
