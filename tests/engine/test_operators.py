@@ -261,15 +261,3 @@ def test_answers(spark):
     weak = answer.ask(results, answer.AskRequest("x", min_similarity=0.95), model).first()
     assert weak.answer == "" and "0.900" in weak.warnings[0] and len(seen) == 1
     assert answer.ask(results.limit(0), answer.AskRequest("x"), model).first().warnings == [answer.NOTHING_FOUND]
-
-
-def test_counting_slices_equals_counting_their_texts():
-    import random
-
-    random.seed(4)
-    text = "".join(random.choice("ab é,.!-_ \n😀9") for _ in range(400))
-    over = count_words.over(text)
-    for _ in range(500):
-        a, b = sorted((random.randrange(401), random.randrange(401)))
-        assert over(a, b) == count_words(text[a:b])
-    assert chunk_text(text * 5, 40, 7) == chunk_text(text * 5, 40, 7, lambda t: count_words(t))

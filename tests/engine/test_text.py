@@ -1,11 +1,18 @@
 """Text, keyword, taxonomy, date, URL and display expressions."""
 
 import datetime as dt
+import os
+import random
+import urllib.parse
 
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions import dates, display, keywords, redact, scores, taxonomy, text, urls
+from weftline.functions import chunking, dates, display, keywords, redact, scores, taxonomy, text, urls
+
+#: Ranks of a public byte-pair encoding, where the machine has them, and a pattern of words.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def value(spark, column, **named):
@@ -47,6 +54,47 @@ def test_detail(spark):
     assert value(spark, text.content_detail(t, raw), t="T", raw="T\n\n" + "été " * 60) == "sparse"
 
 
+def test_chunks_are_parts_of_the_text():
+    text = "Updates 🇬🇧 🤖 🌷 — agent tools and evaluations. " * 300
+    counters = [chunking.count_words]
+    if os.path.exists(RANKS):
+        counters.append(chunking.BpeCounter(RANKS, PATTERN))
+    for count in counters:
+        found = chunking.chunk_text(text, 80, 12, count)
+        assert len(found) > 1 and all(c in text and n == count(c) <= 80 for _, c, n in found)
+        found = chunking.chunk_text("agent orchestration and evaluation " * 200, 20, 20, count)
+        assert len(found) > 1 and all(n <= 20 for _, _, n in found)
+    assert [c for _, c, _ in chunking.chunk_text("a b\n\nc d\n\ne f", 4, 2)] == ["a b\n\nc d", "c d\n\ne f"]
+    assert chunking.chunk_text(None) == [] and chunking.chunk_text(" \n\n ") == []
+
+
+def plain_spans(text, most, overlap):
+    """One character after the other."""
+    count = chunking.count_words
+    out, at = [], 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and count(text[at : end + 1]) <= most:
+            end += 1
+        out.append((at, end))
+        if end >= len(text):
+            return out
+        nxt = at + 1
+        while nxt < end and count(text[nxt:end]) > overlap:
+            nxt += 1
+        at = nxt if overlap else end
+    return out
+
+
+def test_spans_equal_the_plain_version():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice("ab c,.é-") for _ in range(rng.randrange(1, 60)))
+        most = rng.randrange(1, 9)
+        overlap = max(0, min(rng.randrange(0, 9), most - 1))
+        assert list(chunking.spans(text, most, overlap, chunking.count_words)) == plain_spans(text, most, overlap), (text, most, overlap)
+
+
 def test_citations(spark):
     a, n = F.col("a"), F.lit(3)
     assert value(spark, text.valid_citations(a, n), a="x [2] y [2] [9] [1]") == [1, 2]
@@ -81,7 +129,9 @@ def test_topics_and_events(spark):
 
 @pytest.mark.parametrize(
     "given,want",
-    [("2024-03-05T10:00:00Z", "2024-03-05 10:00:00"), ("2024-03-05T10:00:00+02:00", "2024-03-05 08:00:00"), ("2024-03-05", "2024-03-05 00:00:00"), ("March 5, 2024", "2024-03-05 00:00:00"), ("Mar 5, 2024", "2024-03-05 00:00:00"), ("soon", None), ("", None), ("2024-13-45", None)],
+    [("2024-03-05T10:00:00Z", "2024-03-05 10:00:00"), ("2024-03-05T10:00:00+02:00", "2024-03-05 08:00:00"), ("2024-03-05", "2024-03-05 00:00:00"), ("March 5, 2024", "2024-03-05 00:00:00"), ("Mar 5, 2024", "2024-03-05 00:00:00"), ("soon", None), ("", None), ("2024-13-45", None),
+     ("Tue, 05 Mar 2024 10:00:00 GMT", "2024-03-05 10:00:00"), ("Tue, 05 Mar 2024 10:00:00 +0100", "2024-03-05 09:00:00"), ("5 Mar 2024 10:00 EST", "2024-03-05 15:00:00"),
+     ("Tue, 5 March 24 23:59:59 -0930", "2024-03-06 09:29:59"), ("Tue, 05 Mar 2024 10:00:00", "2024-03-05 10:00:00"), ("Tue, 35 Mar 2024 10:00:00 GMT", None), ("05 Mar 99 01:02:03 Z", "1999-03-05 01:02:03")],
 )
 def test_entry_times(spark, given, want):
     out = value(spark, F.date_format(dates.entry_datetime(F.lit(None).cast("timestamp"), F.col("p"), F.lit(None)), "yyyy-MM-dd HH:mm:ss"), p=given)
@@ -105,10 +155,38 @@ def test_written_dates_and_ages(spark):
     ],
 )
 def test_urls(spark, given, want):
-    assert urls.normalize(given) == want
+    assert plain_url(given) == want
     assert value(spark, urls.normalize_url(F.col("u")), u=given) == want
 
 
+def plain_url(url):
+    """The same by the standard library's parsers."""
+    parts = urllib.parse.urlsplit(url.strip())
+    pairs = [(k, v) for k, v in urllib.parse.parse_qsl(parts.query, keep_blank_values=True) if not (k.lower().startswith("utm_") or k.lower() in urls.TRACKERS)]
+    try:
+        port = parts.port
+    except ValueError:
+        port = None
+    host = (parts.hostname or "") + (f":{port}" if port and urls.DEFAULT_PORTS.get(parts.scheme) != str(port) else "")
+    path = parts.path if parts.path in ("", "/") else parts.path.rstrip("/")
+    return urllib.parse.urlunsplit((parts.scheme, host.lower(), path, urllib.parse.urlencode(sorted(pairs)), parts.fragment))
+
+
+def test_urls_equal_the_plain_version(spark):
+    rng = random.Random(3)
+    pick = lambda *x: rng.choice(x)
+    given = []
+    for _ in range(1500):
+        query = "&".join(pick("a", "B", "utm_x", "UTM_y", "fbclid", "é", "%41", "c%2Bd", "~*") + pick("", "=", "=1", "=x+y", "=%zz", "=%20", "=a=b", "=~*-._") for _ in range(rng.randrange(4)))
+        host = pick("example.com", "Example.COM", "u:p@e.org", "a@b@c.de", "127.0.0.1", "[::1]")
+        port = pick("", "", ":80", ":443", ":8080", ":x", ":", ":0", ":00443")
+        given.append(f"{pick('http', 'HTTPS', 'ftp')}://{host}{port}{pick('', '/', '//', '/a', '/a/', '/a//b/;p=1/', '/%7E/x//')}{pick('', '?')}{query}{pick('', '#', '#F/', '#a?b')}{pick('', ' ')}")
+    rows = spark.createDataFrame([(u,) for u in given], "u string")
+    for r in rows.select("u", urls.normalize_url(F.col("u")).alias("n")).collect():
+        assert r.n == plain_url(r.u), r.u
+    assert value(spark, urls.normalize_url(F.lit(None).cast("string")), t="") is None
+
+
 def test_url_forms(spark):
     assert value(spark, urls.url_candidates(F.col("u")), u="https://e.com/a?x=1") == ["https://e.com/a?x=1", "https://e.com/a/?x=1"]
     assert value(spark, urls.url_candidates(F.col("u")), u="https://e.com") == ["https://e.com"]
@@ -131,6 +209,8 @@ def test_names(spark):
     assert value(spark, display.labelize(F.col("v")), v="api-change") == "API change"
     assert value(spark, display.labelize(F.col("v")), v="tool-use") == "Tool Use"
     assert value(spark, display.source_display_name(F.col("v"), {"x-y": "XY"}), v="some-lab-blog") == "Some Lab"
+    assert value(spark, display.source_display_name(F.col("v")), v="mcp-blog") == "MCP"
+    assert value(spark, display.labelize(F.col("v")), v="c/c++ (new.thing)") == "C/C++ (New.Thing)"
     assert value(spark, display.category_label(F.col("v")), v="data-search-retrieval") == "Data, Search & Retrieval"
     assert value(spark, display.edition("month", F.to_timestamp(F.lit("2024-02-01"))), v="") == "February 2024"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -10,24 +11,46 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Words a fragment and a quote need, and the share that must be found.
-FRAGMENT_WORDS, QUOTE_WORDS, COVERAGE = 2, 3, 0.8
+# Words a fragment and a quote need, the share that must be found, the shortest run that counts.
+FRAGMENT_WORDS, QUOTE_WORDS, COVERAGE, RUN = 2, 3, 0.8, 2
+WORD, ELLIPSIS = re.compile(r"\w+"), re.compile(r"\.\.\.|…")
+
+
+class Source:
+    """An article's words, indexed once for all fragments that are looked up in it."""
+
+    def __init__(self, title: str | None, raw: str | None):
+        self.runs = SequenceMatcher(autojunk=False)
+        self.runs.set_seq2(WORD.findall("\n".join((title or "", raw or "")).casefold()))
+
+    def share(self, fragment: list[str]) -> float:
+        """How much of a fragment lies in runs of the source's words, in order."""
+        self.runs.set_seq1(fragment)
+        return sum(n for _, _, n in self.runs.get_matching_blocks() if n >= RUN) / len(fragment)
+
+    def has(self, quote: str | None) -> bool:
+        """Whether the quote says enough, and each of its fragments is found to four fifths."""
+        parts = list(fragments(quote))
+        enough = sum(len(p) for p in parts) >= QUOTE_WORDS
+        return enough and min(map(self.share, parts)) >= COVERAGE
+
+
+def fragments(quote: str | None) -> Iterator[list[str]]:
+    """The words between a quote's ellipses, where there are enough of them."""
+    for part in ELLIPSIS.split((quote or "").casefold()):
+        words = WORD.findall(part)
+        if len(words) >= FRAGMENT_WORDS:
+            yield words
 
 
 def supported(title: str | None, raw: str | None, quote: str | None) -> bool:
-    """Each fragment between dots is found, to four fifths, in runs of two words or more."""
-    words = re.compile(r"\w+")
-    source = words.findall(f"{title or ''}\n{raw or ''}".casefold())
-    fragments = [f for f in (words.findall(part) for part in re.split(r"\.\.\.|…", (quote or "").casefold())) if len(f) >= FRAGMENT_WORDS]
-    if sum(map(len, fragments)) < QUOTE_WORDS:
-        return False
-    return all(sum(b.size for b in SequenceMatcher(None, f, source, autojunk=False).get_matching_blocks() if b.size >= 2) / len(f) >= COVERAGE for f in fragments)
+    return Source(title, raw).has(quote)
 
 
 @F.pandas_udf(T.BooleanType())
 def quote_supported(title: pd.Series, raw: pd.Series, quote: pd.Series) -> pd.Series:
     """Column form of ``supported``."""
-    return pd.Series([supported(*row) for row in zip(title, raw, quote, strict=True)], dtype="boolean")
+    return pd.Series(map(supported, title, raw, quote), dtype="boolean", index=title.index)
 
 
 def demoted(tier: Column, focus: Column, grounded: Column) -> Column:
