@@ -38,6 +38,12 @@ def test_selectors():
     page = html.parse("<div class='x'><p id=q>a</p><ul><li><p>b</p></li></ul></div><p>c</p>")
     texts = lambda s: [n.text() for n in page.select(s)]
     assert texts("p") == ["a", "b", "c"] and texts(".x p") == ["a", "b"] and texts("div li p, #q") == ["a", "b"] and texts("p[id=q]") == ["a"]
+    page = html.parse("<div class='HeroEngineering_x Hero__date_1' data-k='a-b'><span>one</span><b><span>two</span></b></div><p>x</p><ul lang=en-GB><li>y</li></ul>")
+    assert texts("[class*='HeroEngineering'][class*='__date']") == ["one two"] and texts("div > span") == ["one"] and texts("div span") == ["one", "two"]
+    assert texts("[class^='Hero']") == ["one two"] and texts('[data-k$="-b"]') == ["one two"] and texts("[lang|=en] li") == ["y"] and texts("[class~=Hero__date_1]>b>span") == ["two"]
+    assert texts("div + p") == ["x"] and texts("div ~ ul") == ["y"] and texts("p, span") == ["one", "two", "x"] and texts("[class*='']") == [] and texts("div [data-k]") == []
+    with pytest.raises(ValueError):
+        list(page.select("p:hover"))
 
 
 def test_listing():
@@ -56,6 +62,15 @@ def test_feeds(spark, tmp_path):
     rows = feeds.read_feed(spark, str(tmp_path / "f.xml")).orderBy("link").collect()
     assert [(r.title, r.link, r.html, r.published, r.tags) for r in rows] == [("A & b", "https://e.com/1", "<p>Hi</p>", "2024-03-05", ["x", "y"]), ("Two", "https://e.com/2", None, None, [])]
     df = spark.createDataFrame([("s", RSS), ("t", "<rss></rss>")], "source_name string, xml string")
+    atom = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="html">T &amp;amp; U</title><link rel="self" href="https://e.com/self"/><link href="https://e.com/9"/><id>urn:9</id>
+<updated>2024-03-06T00:00:00Z</updated><content type="html">&lt;p&gt;Long&lt;/p&gt;</content><summary>short</summary><category term="k"/></entry></feed>"""
+    more = """<rss xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><item><title>C</title><guid>https://e.com/g</guid><description>d</description><content:encoded>whole</content:encoded><pubDate>Tue, 05 Mar 2024 10:00:00 +0100</pubDate></item></channel></rss>"""
+    rows = {r.source_name: r for r in feeds.parse_feeds(spark.createDataFrame([("a", atom), ("c", more)], "source_name string, xml string")).collect()}
+    a, c = rows["a"], rows["c"]
+    assert (a.link, a.html, a.updated, a.tags, a.error) == ("https://e.com/9", "<p>Long</p>", "2024-03-06T00:00:00Z", ["k"], None) and a.title.startswith("T &")
+    assert (c.title, c.link, c.html, c.published) == ("C", "https://e.com/g", "whole", "Tue, 05 Mar 2024 10:00:00 +0100")
+    kept = feeds.dated(spark.createDataFrame([(c.published, None)], "published string, updated string"), F.lit(True))
+    assert kept.first().published_at == dt.datetime(2024, 3, 5, 9)
     got = {(r.source_name, r.position, r.title, r.error) for r in feeds.parse_feeds(df).collect()}
     assert got == {("s", 0, "A & b", None), ("s", 1, "Two", None), ("t", None, None, "could not parse feed")}
     entries = feeds.read_feed(spark, str(tmp_path / "f.xml")).withColumn("source_name", F.lit("s")).withColumn("extraction_status", F.lit(None).cast("string"))
@@ -110,6 +125,31 @@ def test_store(spark, tmp_path):
     assert store.cascaded(out, t.read().where("id <> '1'")).count() == 1
 
 
+def test_a_change_touches_its_buckets_alone(spark, tmp_path):
+    t = store.KeyedTable(spark, str(tmp_path), "docs", buckets=8)
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, v string")
+    assert t.read() is None
+    t.merge(rows(*((str(k), "a") for k in range(50))))
+    before = t.current()
+    t.merge(rows(("7", "b"), ("new", "c")))
+    after = t.current()
+    assert sum(before.get(b) != v for b, v in after.items()) <= 2
+    got = {r.id: r.v for r in t.read().collect()}
+    assert len(got) == 51 and got["7"] == "b" and got["8"] == "a" and got["new"] == "c"
+    t.replace_of(rows(("8", "")).select("id"), rows(("9", "z"), ("9", "y")))
+    got = sorted((r.id, r.v) for r in t.read().where("id in ('8', '9')").collect())
+    assert got == [("9", "y"), ("9", "z")]
+    t.merge(rows().limit(0))
+    assert t.read().count() == 51
+
+
+def test_old_versions_go(spark, tmp_path):
+    t = store.Table(spark, str(tmp_path), "docs")
+    for k in range(4):
+        t.replace(spark.createDataFrame([(k,)], "k int"))
+    assert len(t.versions()) == 4 and len(t.pruned(2)) == 2 and t.versions()[-1] == t.version and t.read().first().k == 3
+
+
 def test_lock(spark, tmp_path):
     with store.run_lock(spark, str(tmp_path)) as mine:
         assert mine
@@ -128,10 +168,23 @@ def test_embeddings_need_equal_lengths(spark):
 
 
 def test_log_lines(spark):
-    row = spark.sql("select map('b', 'Bearer x', 'a', null, 'password', 'p') as m")
-    line = row.select(logs.record(F.lit(dt.datetime(2024, 1, 1)), F.lit("info"), F.lit("app"), F.lit("done"), F.col("m")).alias("x")).first().x
-    assert list(json.loads(line)) == sorted(json.loads(line)) and json.loads(line)["password"] == "[REDACTED]"
-    assert json.loads(line)["level"] == "INFO" and "a" not in json.loads(line) and json.loads(line)["b"] == "Bearer [REDACTED]"
+    row = spark.sql(
+        """select 'sk-field-secret123' as api_key, 'postgresql://app:database-password@db/app' as database_url, 42 as prompt_tokens, 1.5D as share, true as ok, cast(null as string) as none,
+        'Bearer bearer-secret and sk-value-secret123 and postgresql://user:password@db/app' as detail, 'own' as logger, date'2024-01-02' as day,
+        named_struct('b', array(named_struct('password', 'p', 'n', 1)), 'a', map('z', 'Bearer x', 'cookie', 'y')) as deep, 'é "q" 🤖' as text"""
+    )
+    fields = row.columns
+    time = F.lit(dt.datetime(2024, 1, 1, 0, 0, 0, 250000))
+    line = row.select(logs.lines(row, time, F.lit("INFO"), F.lit("app"), F.lit("done"), fields).alias("x")).first().x
+    got = json.loads(line)
+    assert line == json.dumps(got, separators=(",", ":"), sort_keys=True)
+    assert got == {
+        "api_key": "[REDACTED]", "database_url": "[REDACTED]", "prompt_tokens": 42, "share": 1.5, "ok": True, "none": None, "level": "info", "logger": "own", "event": "done",
+        "detail": "Bearer [REDACTED] and [REDACTED] and postgresql://user:[REDACTED]@db/app", "day": "2024-01-02", "timestamp": "2024-01-01T00:00:00.250000+00:00",
+        "deep": {"a": {"cookie": "[REDACTED]", "z": "Bearer [REDACTED]"}, "b": [{"n": 1, "password": "[REDACTED]"}]}, "text": 'é "q" 🤖',
+    }
+    said = row.select(logs.lines(row, F.lit(dt.datetime(2024, 1, 1)), F.lit("ERROR"), F.lit("app"), F.lit(""), (), F.lit("password=x"), F.lit("KeyError")).alias("x")).first().x
+    assert json.loads(said) == {"exception_type": "KeyError", "level": "error", "logger": "app", "message": "password=[REDACTED]", "timestamp": "2024-01-01T00:00:00+00:00"}
 
 
 def test_json_fields(spark):
@@ -172,13 +225,20 @@ def test_stream_of_candidates_goes_through_the_router(spark, tmp_path):
     new, _ = catalog.stored_and_new(spark, "/root/testdata/sf0.001")
     rows = new.withColumn("position", F.col("doc_id"))
     rows.write.parquet(str(tmp_path / "in"))
-    table = store.Table(spark, str(tmp_path), "articles")
+    table = store.KeyedTable(spark, str(tmp_path), "articles")
     relevance = lambda df: df.withColumn("tier", F.when(ingest.reuses(), F.col("old.relevance_tier")).otherwise(F.col("answer")))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    jobs.ingesting(stream, table, relevance, str(tmp_path / "cp")).awaitTermination(120)
-    stored = table.read()
+    jobs.ingesting(stream, str(tmp_path), relevance, str(tmp_path / "cp")).awaitTermination(120)
+    stored = table.read().select(*schemas.ARTICLES.names)
     assert stored.count() == rows.select("url").distinct().count()
     assert schemas.violations(stored).count() == 0
+    # those with a card of their own have chunks with vectors; the ledger has a row a source
+    chunks = store.KeyedTable(spark, str(tmp_path), "chunks", "document_id").read()
+    carded = stored.where("summary_generated_by = 'deterministic-fallback'").select("id")
+    assert {r.document_id for r in chunks.select("document_id").distinct().collect()} == {r.id for r in carded.collect()}
+    assert chunks.where("size(embedding) = 0 or token_count > 650").count() == 0
+    runs = store.Table(spark, str(tmp_path), "runs").read()
+    assert runs.agg(F.sum("matched_items")).first()[0] == stored.count() and runs.agg(F.sum("chunks_written")).first()[0] == chunks.count()
     # the same candidates again change nothing but dates
     again = ingest.routed(relevance(ingest.matched(rows, stored)))
     assert {r.status for r in again.select("status").distinct().collect()} <= {"unchanged", "quarantined"}

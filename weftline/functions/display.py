@@ -27,6 +27,18 @@ CATEGORIES = {
     "ai-products-engineering-infrastructure": "AI Products & Infrastructure",
     "safety-evaluation-governance": "AI Safety & Evaluation",
 }
+SOURCES = {
+    "anthropic-engineering": "Anthropic Engineering",
+    "aws-machine-learning": "AWS Machine Learning",
+    "crewai-blog": "CrewAI",
+    "github-changelog": "GitHub Changelog",
+    "google-developers": "Google Developers",
+    "langchain-blog": "LangChain",
+    "letta-blog": "Letta",
+    "mcp-blog": "MCP",
+    "microsoft-foundry": "Microsoft Foundry",
+    "simon-agentic-engineering": "Simon Willison",
+}
 WINDOWS = {"day": "Today", "week": "This week", "month": "This month", "all": "All time"}
 
 
@@ -35,9 +47,9 @@ def _named(value: Column, names: dict[str, str], rest: Column) -> Column:
 
 
 def _capitals(value: Column) -> Column:
-    """Words by blanks, each with its first letter as a capital and the others as they are."""
-    words = F.split(F.replace(value, F.lit("-"), F.lit(" ")), " ", -1)
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))), " ")
+    """Hyphens as blanks; the first letter, digit or underscore of each run of them as a capital."""
+    words = F.split(F.replace(value, F.lit("-"), F.lit(" ")), r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])", -1)
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))), "")
 
 
 def labelize(value: Column) -> Column:
@@ -46,7 +58,7 @@ def labelize(value: Column) -> Column:
 
 def source_display_name(value: Column, names: dict[str, str] | None = None) -> Column:
     """A given name, else the slug without its kind of publication."""
-    return _named(value, names or {}, _capitals(F.regexp_replace(value, "-(?:blog|news|changelog|technical-blog)$", "")))
+    return _named(value, SOURCES if names is None else names, _capitals(F.regexp_replace(value, "-(?:blog|news|changelog|technical-blog)$", "")))
 
 
 def category_label(value: Column) -> Column:

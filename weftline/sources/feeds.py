@@ -23,11 +23,38 @@ def read_feed(spark: SparkSession, path: str, tag: str = "item") -> DataFrame:
     )
 
 
+_RSS = "struct<title:string,link:string,guid:string,description:string,encoded:string,pubDate:string,date:string,category:array<string>>"
+_ATOM = "struct<title:struct<_VALUE:string>,link:array<struct<_href:string,_rel:string>>,id:string,summary:struct<_VALUE:string>,content:struct<_VALUE:string>,published:string,updated:string,category:array<struct<_term:string>>>"
+
+
 def parse_feeds(feeds: DataFrame, xml: str = "xml") -> DataFrame:
-    """Entries of RSS documents held in a column; a document without any is an error."""
-    items = F.from_xml(F.col(xml), "channel struct<item: array<struct<title:string,link:string,description:string,pubDate:string,category:array<string>>>>")
-    found = feeds.withColumn("_items", items["channel"]["item"])
-    return found.select(*(c for c in feeds.columns if c != xml), F.when(F.size("_items") > 0, F.lit(None)).otherwise(F.lit("could not parse feed")).alias("error"), F.posexplode_outer("_items").alias("position", "entry")).select("*", "entry.*").drop("entry")
+    """Entries of RSS and Atom documents held in a column, one row each; a document without any is an error."""
+    rss = F.from_xml(F.col(xml), f"channel struct<item: array<{_RSS}>>, item array<{_RSS}>", {"ignoreNamespace": "true"})
+    atom = F.from_xml(F.col(xml), f"entry array<{_ATOM}>", {"ignoreNamespace": "true"})
+    none = F.array().cast("array<string>")
+
+    def item(x: Column) -> Column:
+        text = F.coalesce(F.nullif(x["encoded"], F.lit("")), x["description"])
+        return F.struct(
+            x["title"].alias("title"), F.coalesce(x["link"], x["guid"]).alias("link"), x["description"].alias("description"), text.alias("html"),
+            F.coalesce(x["pubDate"], x["date"]).alias("published"), F.lit(None).cast("string").alias("updated"), F.coalesce(x["category"], none).alias("tags"),
+        )
+
+    def entry(x: Column) -> Column:
+        first = F.filter(x["link"], lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")
+        summary, content = x["summary"]["_VALUE"], x["content"]["_VALUE"]
+        return F.struct(
+            x["title"]["_VALUE"].alias("title"), F.coalesce(F.try_element_at(first, F.lit(1))["_href"], x["id"]).alias("link"), summary.alias("description"),
+            F.coalesce(F.nullif(content, F.lit("")), summary).alias("html"), x["published"].alias("published"), x["updated"].alias("updated"),
+            F.coalesce(F.transform(x["category"], lambda c: c["_term"]), none).alias("tags"),
+        )
+
+    found = feeds.withColumn("_rss", rss).withColumn("_atom", atom)
+    kinds = [F.transform(F.col("_rss")["channel"]["item"], item), F.transform(F.col("_rss")["item"], item), F.transform(F.col("_atom")["entry"], entry)]
+    found = found.withColumn("_items", F.coalesce(*(F.when(F.size(k) > 0, k) for k in kinds)))
+    others = [c for c in feeds.columns if c != xml]
+    error = F.when(F.col("_items").isNull(), F.lit("could not parse feed")).alias("error")
+    return found.select(*others, error, F.posexplode_outer("_items").alias("position", "entry")).select(*others, "error", "position", "entry.*")
 
 
 def entry_html(content: Column, summary: Column, description: Column) -> Column:
