@@ -102,7 +102,7 @@ def items(articles: DataFrame, as_of: Column) -> DataFrame:
     excerpt = article_excerpt(F.col("title"), F.col("raw_text"))
     return articles.select(
         "id", "title", "url", "source_name",
-        F.coalesce("organization", F.lit("unknown")).alias("organization"), F.coalesce("tool", F.lit("unknown")).alias("tool"),
+        falsy(F.col("organization"), F.lit("unknown")).alias("organization"), falsy(F.col("tool"), F.lit("unknown")).alias("tool"),
         falsy(F.col("primary_topic"), F.lit(DEFAULT_TOPIC)).alias("primary_topic"), "event_types",
         source_type(F.col("source_type")).alias("source_type"), "relevance_tier",
         F.coalesce("relevance_reason", F.lit("")).alias("relevance_reason"), excerpt.alias("excerpt"),
@@ -115,12 +115,36 @@ def items(articles: DataFrame, as_of: Column) -> DataFrame:
 def page(articles: DataFrame, sources: DataFrame, request: FeedRequest) -> DataFrame:
     """One page of the feed, in order.
 
-    Rows are ranked on narrow keys first: the sort keeps offset + limit rows a
-    task, and only the page's rows are dressed.
+    Ids are ranked first, by score and time alone: the sort keeps offset + limit
+    narrow rows a task, and only the page's rows are read whole. An id names one
+    article.
     """
     rows = scored(matching(articles, sources, request), sources, request.as_of)
-    top = rows.orderBy(*ranked(rows)).offset(request.offset).limit(request.limit) if request.offset else rows.orderBy(*ranked(rows)).limit(request.limit)
-    return items(top, request.as_of)
+    keys = rows.select("id", "importance_score", "published_at")
+    top = keys.orderBy(*ranked(keys)).offset(request.offset).limit(request.limit) if request.offset else keys.orderBy(*ranked(keys)).limit(request.limit)
+    # at most 100 ids, so the page's rows are found by a broadcast of them
+    shown = articles.join(F.broadcast(top.select("id", "importance_score")), "id")
+    with_names = with_source(shown, sources, "organization", "tool", "source_type")
+    return items(with_names.orderBy(*ranked(with_names)), request.as_of)
+
+
+def after(articles: DataFrame, sources: DataFrame, request: FeedRequest, last: tuple) -> DataFrame:
+    """The page that follows a row (its importance, time or None, and id): no row before it is kept, however deep the page lies."""
+    score, time, id_ = last
+    rows = scored(matching(articles, sources, request), sources, request.as_of)
+    t = F.col("published_at")
+    later = F.lit(False) if time is None else (t < F.lit(time)) | t.isNull() | ((t == F.lit(time)) & (F.col("id") < id_))
+    if time is None:
+        later = t.isNull() & (F.col("id") < id_)
+    keys = rows.select("id", "importance_score", "published_at").where((F.col("importance_score") < score) | ((F.col("importance_score") == score) & later))
+    top = keys.orderBy(*ranked(keys)).limit(request.limit)
+    shown = with_source(articles.join(F.broadcast(top.select("id", "importance_score")), "id"), sources, "organization", "tool", "source_type")
+    return items(shown.orderBy(*ranked(shown)), request.as_of)
+
+
+def compact(page: DataFrame, first: int = 6) -> DataFrame:
+    """What a client shows of a page before it is opened: its first rows, in order."""
+    return page.orderBy(*ranked(page)).limit(first)
 
 
 def stats(articles: DataFrame, sources: DataFrame, request: FeedRequest) -> DataFrame:
@@ -150,7 +174,7 @@ def facets(articles: DataFrame, sources: DataFrame, include_contextual: bool = F
         ).alias("x")
     ).select("x.*")
     known = sources.select(F.explode(F.array(F.struct(F.lit("sources").alias("facet"), F.col("slug").alias("value")), F.struct(F.lit("tools").alias("facet"), F.col("tool").alias("value")))).alias("x")).select("x.*")
-    return held.union(known).distinct()
+    return held.union(known).distinct().orderBy("facet", "value")
 
 
 def census(articles: DataFrame) -> DataFrame:

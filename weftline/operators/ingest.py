@@ -50,7 +50,8 @@ def matched(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     id. Two equi-joins over keys alone and a union, never a join on a
     disjunction; whole stored rows move once, to the candidate they belong to.
     """
-    keyed = candidates.withColumn("_key", F.xxhash64("source_name", "url", "content_hash"))
+    key = F.struct("source_name", "url", "content_hash")  # what a candidate is known by
+    keyed = candidates.withColumn("_key", F.sha2(F.to_json(key, {"ignoreNullFields": "false"}), 256))
     keys = keyed.select("_key", "source_name", F.substring("title", 1, TITLE_LIMIT).alias("title"), "content_hash", "url")
     known = stored.select(F.col("id").alias("_id"), F.col("url").alias("_url"), "source_name", "title", "content_hash")
     by_url = keys.select("_key", F.explode(url_candidates(F.col("url"))).alias("_url")).join(known.select("_id", "_url"), "_url").select("_key", F.lit(0).alias("_way"), "_id")
@@ -145,7 +146,11 @@ def model_card(rows: DataFrame, payload: str = "payload", model: str = "model")
 
 
 def written(rows: DataFrame, columns: list[str], summarize: Summarizer = fallback_card) -> DataFrame:
-    """The article rows that the routes write, with ``route`` and whether chunks go (``drops_chunks``)."""
+    """The article rows that the routes write, with ``route`` and whether chunks go (``drops_chunks``).
+
+    Routes without a model are one projection; only the rows that need a card
+    are looked at apart.
+    """
     old = F.col("old")
     new_id = F.coalesce(old["id"], F.sha2(F.concat_ws("\n", "source_name", "url"), 256))
     base = {"primary_topic": F.col("default_topic"), "extraction_status": F.col("extraction_status"), "ingestion_status": F.col("gate")}
@@ -160,35 +165,38 @@ def written(rows: DataFrame, columns: list[str], summarize: Summarizer = fallbac
     }
     kept_url = F.coalesce(old["url"], F.col("url"))
 
-    def project(df: DataFrame, values: dict[str, Column], drops: bool | Column) -> DataFrame:
-        drop = F.lit(drops) if isinstance(drops, bool) else drops
-        return df.select(*(values[c].alias(c) for c in columns), "route", "status", drop.alias("drops_chunks"))
-
-    def of(*names: str) -> DataFrame:
-        return rows.where(F.col("route").isin(*names))
-
     stored_row = {c: old[c] for c in columns}
-    out = [
-        project(of("keep_stored", "keep_relevance"), stored_row | {"fetched_at": F.col("fetched_at")}, False),
-        project(of("await_relevance"), fresh | {"url": kept_url} | managed(base | relevance | {"primary_topic": F.col("provisional_topic"), "event_types": F.col("provisional_events")}), True),
-        project(
-            of("excluded_card"),
-            fresh | {"url": kept_url} | managed(base | relevance | {"primary_topic": F.col("provisional_topic"), "event_types": F.col("provisional_events"), "display_headline": F.substring("title", 1, 90), "summary": F.col("excerpt"), "summary_generated_by": F.lit("relevance-excluded")}),
-            True,
+    provisional = {"primary_topic": F.col("provisional_topic"), "event_types": F.col("provisional_events")}
+    shown = {k: F.when(F.col("gate") == "published", v).otherwise(old[k]) for k, v in relevance.items()}
+    # the routes that need no model: their rows, and whether chunks go
+    cases: list[tuple[tuple[str, ...], dict[str, Column], Column]] = [
+        (("keep_stored", "keep_relevance"), stored_row | {"fetched_at": F.col("fetched_at")}, F.lit(False)),
+        (("await_relevance",), fresh | {"url": kept_url} | managed(base | relevance | provisional), F.lit(True)),
+        (
+            ("excluded_card",),
+            fresh | {"url": kept_url} | managed(base | relevance | provisional | {"display_headline": F.substring("title", 1, 90), "summary": F.col("excerpt"), "summary_generated_by": F.lit("relevance-excluded")}),
+            F.lit(True),
         ),
-        project(
-            of("refresh"),
+        (
+            ("refresh",),
             stored_row | {"fetched_at": F.col("fetched_at"), "published_at": F.col("published_at")}
-            | managed({n: old[n] for n in FIELD_DEFAULTS} | {"extraction_status": F.col("extraction_status"), "ingestion_status": F.col("gate")} | {k: F.when(F.col("gate") == "published", v).otherwise(old[k]) for k, v in relevance.items()}),
+            | managed({n: old[n] for n in FIELD_DEFAULTS} | {"extraction_status": F.col("extraction_status"), "ingestion_status": F.col("gate")} | shown),
             F.col("gate") != "published",
         ),
-        project(of("quarantine"), fresh | {"url": F.col("url")} | managed(base | {"event_types": F.col("provisional_events")}), True),
+        (("quarantine",), fresh | {"url": F.col("url")} | managed(base | {"event_types": F.col("provisional_events")}), F.lit(True)),
     ]
-    card = F.col("card")
-    summarized = summarize(of("summarize"))
-    fields = ("display_headline", "summary", "why_it_matters", "key_points", "primary_topic", "event_types", "summary_generated_by")
-    out.append(project(summarized, fresh | {"url": kept_url} | managed(base | relevance | {f: card[f] for f in fields}), True))
-    return reduce(DataFrame.unionByName, out)
+
+    def by_route(values: list[Column]) -> Column:
+        """The value of a row's route."""
+        named = zip((names for names, _, _ in cases), values, strict=True)
+        return F.coalesce(*(F.when(F.col("route").isin(*names), v) for names, v in named))
+
+    without = rows.where(F.col("route") != "summarize")
+    one = without.select(*(by_route([values[c] for _, values, _ in cases]).alias(c) for c in columns), "route", "status", by_route([d for _, _, d in cases]).alias("drops_chunks"))
+    card, fields = F.col("card"), ("display_headline", "summary", "why_it_matters", "key_points", "primary_topic", "event_types", "summary_generated_by")
+    carded = fresh | {"url": kept_url} | managed(base | relevance | {f: card[f] for f in fields})
+    made = summarize(rows.where(F.col("route") == "summarize"))
+    return one.unionByName(made.select(*(carded[c].alias(c) for c in columns), "route", "status", F.lit(True).alias("drops_chunks")))
 
 
 def run_totals(rows: DataFrame, by: str = "source_name") -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import dates, display, documents, redact, scores, taxonomy, text, urls
 from ..functions.chunking import chunks as chunked
 from ..functions.quotes import quote_supported
-from ..operators import context, feed, gate, ingest, search
+from ..operators import collection, context, feed, gate, ingest, search
+from ..providers import HashedEmbedder
+from ..schemas import PRIMARY_TOPICS
 from ..sources import feeds, fetch, html, logs
 from ..streaming import windows
 from . import fixtures as X
@@ -147,10 +149,11 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS = ("that", "thing", "tion", "est", "que")
 _SUM = lambda x: " + ".join(f"CAST(contains({x}, '{t}') AS INTEGER)" for t in _TERMS)
 PASSAGES_SQL = f"""passages AS (
-  SELECT e.vec_id AS chunk_id, a.id AS document_id, CAST(e.vec_id % 3 AS INTEGER) AS chunk_index, a.title, a.source_name, a.url, a.published,
-         CASE e.vec_id % 3 WHEN 0 THEN a.title WHEN 1 THEN substr(a.raw_text, 1, 600) ELSE substr(a.raw_text, 401, 800) END AS content,
+  SELECT a.doc_id * {X.PER_DOCUMENT} + a.chunk_index AS chunk_id, a.id AS document_id, a.chunk_index, a.title, a.source_name, a.url, a.published,
+         CASE a.chunk_index WHEN 0 THEN a.title ELSE substr(a.raw_text, 1 + {X.STEP} * (a.chunk_index - 1), {X.WINDOW}) END AS content,
          round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 4) AS vs, {X.RECENCY_SQL} AS recency_score
-  FROM embeddings e JOIN (SELECT * FROM articles WHERE {X.visible_sql(True)}) a ON a.doc_id = e.vec_id // 3),
+  FROM (SELECT *, unnest(range(CAST(2 + greatest(0, length(raw_text) - {X.WINDOW - X.STEP} - 1) // {X.STEP} AS BIGINT))) AS chunk_index FROM articles WHERE {X.visible_sql(True)}) a
+  LEFT JOIN embeddings e ON a.chunk_index < 3 AND e.vec_id = 3 * a.doc_id + a.chunk_index),
 normal AS (SELECT *, {X.normalized_sql("title")} AS nt, {X.normalized_sql("content")} AS nc FROM passages),
 worded AS (
   SELECT *, round(CAST({_SUM("nc")} AS DOUBLE) / CAST(5 AS DOUBLE) + CAST({_SUM("nt")} AS DOUBLE) / CAST(5 AS DOUBLE)
@@ -231,7 +234,52 @@ def weak_retrieval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.weak(retrieved(spark, sf_dir), 0.9)
 
 
-@query()
+@query(with_cte(*RETRIEVAL, legs_sql().replace("coalesce(vector_similarity, 0) * CAST(0.60 AS DOUBLE) + share * CAST(0.25 AS DOUBLE) + recency_score * CAST(0.15 AS DOUBLE)", "coalesce(vector_similarity, 0)").replace("WHERE ks > 0", "WHERE FALSE"), DIVERSE_SQL) + RESULT_SQL + "results")
+def search_by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(retrieved(spark, sf_dir, search_mode="vector"))
+
+
+@query(with_cte(*RETRIEVAL, legs_sql().replace("coalesce(vector_similarity, 0) * CAST(0.60 AS DOUBLE) + share * CAST(0.25 AS DOUBLE) + recency_score * CAST(0.15 AS DOUBLE)", "share").replace("AS vn FROM worded)", "AS vn FROM worded WHERE FALSE)"), DIVERSE_SQL) + RESULT_SQL + "results")
+def search_by_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(retrieved(spark, sf_dir, search_mode="keyword"))
+
+
+_FILTERED = f"""filtered AS (SELECT w.* FROM worded w JOIN articles a ON w.document_id = a.id JOIN registry r ON r.slug = w.source_name
+  WHERE a.source_name IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6') AND a.primary_topic IN ('data-search-retrieval', 'safety-evaluation-governance', 'vision-speech-robotics')
+    AND a.event IN ('alert', 'guide', 'research') AND r.tool IN ('tool1', 'tool2', 'tool4', 'tool5', 'tool6') AND coalesce(r.source_type, 'official-release') IN ('official-release', 'analysis', 'engineering-blog')
+    AND a.published >= {X.FIRST + 2 * 86400} AND a.published <= {X.FIRST + 29 * 86400})"""
+
+
+@query(with_cte(*RETRIEVAL, _FILTERED, legs_sql().replace("worded", "filtered"), DIVERSE_SQL) + RESULT_SQL + "results")
+def search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every filter of a search at once, and both bounds of time."""
+    more = dict(
+        source_names=[f"src{k}" for k in range(1, 7)], categories=["data-search-retrieval", "safety-evaluation-governance", "vision-speech-robotics"], event_types=["alert", "guide", "research"],
+        tools=["tool1", "tool2", "tool4", "tool5", "tool6"], source_types=["official-release", "analysis", "engineering-blog"],
+    )
+    return results(retrieved(spark, sf_dir, start=F.timestamp_seconds(F.lit(X.FIRST + 2 * 86400)), end=F.timestamp_seconds(F.lit(X.FIRST + 29 * 86400)), **more))
+
+
+_TOKENS = r"len(regexp_extract_all(b, '[\p{L}\p{M}\p{N}\p{Pc}]+|[^\p{L}\p{M}\p{N}\p{Pc}\s]'))"
+_BLOCK = r"""chr(10) || r.title || chr(10) || 'Source: ' || r.source_name || chr(10) || 'Published: ' || coalesce(strftime(to_timestamp(r.published) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S'), 'unknown') || chr(10) || 'Tool: ' || coalesce(g.tool, 'unknown') || chr(10) || 'URL: ' || r.url || chr(10) || r.content"""
+
+
+@query(
+    with_cte(
+        *RETRIEVAL, legs_sql(), DIVERSE_SQL,
+        "again AS (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(rtrim(lower(trim(coalesce(url, ''))), '/'), ''), document_id) ORDER BY rank) > 1 AS later FROM results)",
+        "turns AS (SELECT *, row_number() OVER (ORDER BY later, rank) AS place FROM again)",
+        f"""shown AS (SELECT r.place, r.chunk_id, substr({_BLOCK}, 2) AS rest FROM turns r LEFT JOIN registry g ON g.slug = r.source_name)""",
+        f"""packed AS (
+  SELECT 0::BIGINT AS place, CAST([] AS VARCHAR[]) AS chunk_ids, 0::BIGINT AS tokens, '' AS context
+  UNION ALL
+  SELECT s.place, CASE WHEN fits THEN list_append(chunk_ids, CAST(s.chunk_id AS VARCHAR)) ELSE chunk_ids END, CASE WHEN fits THEN tokens + n ELSE tokens END, CASE WHEN fits THEN context || b ELSE context END
+  FROM (SELECT *, len(chunk_ids) = 0 OR tokens + n <= 600 AS fits FROM (SELECT *, {_TOKENS} AS n FROM (
+    SELECT p.chunk_ids, p.tokens, p.context, s.place, s.chunk_id, CASE WHEN len(p.chunk_ids) > 0 THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) ELSE '' END || '[' || (len(p.chunk_ids) + 1) || '] ' || s.rest AS b
+    FROM packed p JOIN shown s ON s.place = p.place + 1))) s)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT chunk_ids, CAST(tokens AS INTEGER) AS tokens, context FROM packed ORDER BY place DESC LIMIT 1"
+)
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is retrieved, diverse documents first, in 600 tokens."""
     rows = retrieved(spark, sf_dir).join(X.registry(spark).select(F.col("slug").alias("source_name"), "tool"), "source_name", "left")
@@ -403,7 +451,26 @@ def ingest_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes(spark, sf_dir).select("doc_id", "route", "status")
 
 
-@query()
+WRITTEN_SQL = f"""old_rows AS (
+  SELECT s.*, o.sid AS o_sid, o.sdoc, o.s_url, o.s_source, o.s_title, CASE WHEN o.sdoc % 13 = 0 THEN 'quarantined' ELSE 'published' END AS s_status,
+         {X._case("o.sdoc % 7", PRIMARY_TOPICS)} AS s_topic, {X._case("o.sdoc % 3", (None, "", "Headline"))} AS s_headline
+  FROM statuses s LEFT JOIN old o ON s.id = o.id),
+written AS (
+  SELECT coalesce(sid, sha256(source_name || chr(10) || new_url)) AS id, route, status,
+    CASE WHEN route IN ('keep_stored', 'keep_relevance', 'refresh') THEN s_source ELSE source_name END AS source_name,
+    CASE WHEN route IN ('keep_stored', 'keep_relevance', 'refresh') THEN s_title ELSE title END AS title,
+    CASE route WHEN 'quarantine' THEN new_url ELSE coalesce(s_url, new_url) END AS url,
+    CASE WHEN route IN ('keep_stored', 'keep_relevance') THEN s_status WHEN publishable THEN 'published' ELSE 'quarantined' END AS ingestion_status,
+    CASE WHEN route IN ('keep_stored', 'keep_relevance') THEN s_tier WHEN route = 'refresh' AND NOT publishable THEN s_tier WHEN route = 'quarantine' THEN NULL ELSE tier END AS relevance_tier,
+    CASE WHEN route IN ('keep_stored', 'keep_relevance', 'refresh') THEN s_topic ELSE primary_topic END AS primary_topic,
+    CASE WHEN route IN ('keep_stored', 'keep_relevance') THEN s_headline WHEN route = 'refresh' THEN nullif(s_headline, '') WHEN route = 'excluded_card' THEN nullif(substr(title, 1, 90), '')
+      WHEN route = 'summarize' THEN nullif({X.shorten_sql("title", 90)}, '') END AS display_headline,
+    CASE WHEN route IN ('keep_stored', 'keep_relevance', 'refresh') THEN 'model' WHEN route = 'excluded_card' THEN 'relevance-excluded' WHEN route = 'summarize' THEN 'deterministic-fallback' END AS summary_generated_by,
+    CASE WHEN route IN ('keep_stored', 'keep_relevance') THEN FALSE WHEN route = 'refresh' THEN NOT publishable ELSE TRUE END AS drops_chunks
+  FROM old_rows)"""
+
+
+@query(with_cte(*INGEST, WRITTEN_SQL) + "SELECT * FROM written")
 def ingest_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The article rows that the routes write."""
     _, stored = stored_and_new(spark, sf_dir)
@@ -422,6 +489,29 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.run_totals(routes(spark, sf_dir)).withColumn("run_status", ingest.run_status(1 - failed, failed))
 
 
+@query(
+    with_cte(*INGEST)
+    + """SELECT 'r1' AS run_id, source_name AS source_slug, CASE WHEN source_name = 'src3' THEN 'failed' ELSE 'completed' END AS status, CASE WHEN source_name = 'src3' THEN 'no feed' END AS error,
+  CAST(CASE WHEN source_name = 'src3' THEN 0 ELSE count(*) END AS INTEGER) AS matched_items, """
+    + ", ".join(f"CAST(CASE WHEN source_name = 'src3' THEN 0 ELSE sum(CAST(status = '{s}' AS INTEGER)) END AS INTEGER) AS updates_{s}" for s in ("created", "changed", "unchanged", "quarantined"))
+    + " FROM statuses GROUP BY source_name"
+)
+def collection_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over all candidates, one source of which failed: the ledger's rows."""
+    new, stored = stored_and_new(spark, sf_dir)
+    tiers = lambda df: df.withColumn("tier", F.when(ingest.reuses(), F.col("old.relevance_tier")).otherwise(F.col("answer")))
+    failures = spark.createDataFrame([("src3", "no feed")], "source_name string, error string")
+    now = X.as_of()
+    run = collection.collected(new.withColumn("position", F.col("doc_id")), stored, tiers, HashedEmbedder(), "r1", now, now, failures=failures)
+    return run.ledger.drop("started_at", "finished_at", "chunks_written")
+
+
+@query(page_sql(since(30) + " AND source_name IN ('src2', 'src4', 'src8', 'src19')", True, 30))
+def feed_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    request = feed.FeedRequest(X.as_of(), window="month", limit=30, include_contextual=True, source_names=["src2", "src4", "src8", "src19"])
+    return shown(feed.page(*both(spark, sf_dir), request))
+
+
 _MODEL_SQL = "CASE CAST(substr(source, 4) AS INTEGER) % 3 WHEN 0 THEN 'gpt-4.1-mini' WHEN 1 THEN 'gpt-4.1-mini-2025' ELSE 'other' END"
 
 
@@ -463,27 +553,41 @@ def entry_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH d AS (SELECT doc_id, {X.FIRST} + (doc_id % 28) * 86400 AS day FROM documents)
-SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN day + 36000 WHEN 1 THEN day + 28800 WHEN 2 THEN day WHEN 3 THEN day WHEN 4 THEN day END AS published_unix FROM d"""
+SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN day + 36000 WHEN 1 THEN day + 28800 WHEN 2 THEN day WHEN 3 THEN day WHEN 4 THEN day
+  WHEN 6 THEN day + 36000 WHEN 7 THEN day + 32400 WHEN 8 THEN day + 36000 + 5 * 3600 WHEN 9 THEN day + 36060 + 5 * 3600 + 1800 END AS published_unix FROM d"""
 )
 def entry_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entry times in five spellings, and one that is none."""
+    """Entry times in nine spellings, and one that is none."""
     d = F.col("doc_id")
     day = F.timestamp_seconds(F.lit(X.FIRST) + (d % 28) * 86400)
     spelled = (
-        F.when(d % 6 == 0, F.date_format(day, "yyyy-MM-dd'T10:00:00Z'")).when(d % 6 == 1, F.date_format(day, "yyyy-MM-dd'T10:00:00+02:00'")).when(d % 6 == 2, F.date_format(day, "yyyy-MM-dd"))
-        .when(d % 6 == 3, F.date_format(day, "MMM d, yyyy")).when(d % 6 == 4, F.date_format(day, "MMMM d, yyyy")).otherwise(F.lit("some day"))
+        F.when(d % 10 == 0, F.date_format(day, "yyyy-MM-dd'T10:00:00Z'")).when(d % 10 == 1, F.date_format(day, "yyyy-MM-dd'T10:00:00+02:00'")).when(d % 10 == 2, F.date_format(day, "yyyy-MM-dd"))
+        .when(d % 10 == 3, F.date_format(day, "MMM d, yyyy")).when(d % 10 == 4, F.date_format(day, "MMMM d, yyyy"))
+        .when(d % 10 == 6, F.date_format(day, "EEE, dd MMM yyyy '10:00:00 GMT'")).when(d % 10 == 7, F.date_format(day, "EEE, dd MMM yyyy '10:00:00 +0100'"))
+        .when(d % 10 == 8, F.date_format(day, "dd MMM yyyy '10:00:00 EST'")).when(d % 10 == 9, F.date_format(day, "EEE, d MMM yy '10:01 -0530'")).otherwise(F.lit("some day"))
     )
     docs = X.table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.unix_seconds(dates.entry_datetime(F.lit(None).cast("timestamp"), spelled, F.lit(None))).alias("published_unix"))
 
 
 @query(
-    """SELECT event_id, '{"api_key":"[REDACTED]","event":"' || event_type || '","level":"INFO","logger":"app","note":"token=1 password=[REDACTED]","timestamp":"2024-01-01T00:00:00.000000Z","user":"' || user_id || '"}' AS line FROM events"""
+    r"""SELECT event_id, '{"api_key":"[REDACTED]",' || CASE event_type WHEN 'view' THEN '' ELSE '"event":"' || event_type || '",' END || CASE event_type WHEN 'error' THEN '"exception_type":"ValueError",' ELSE '' END
+  || '"level":"' || CASE event_type WHEN 'error' THEN 'error' ELSE 'info' END || '","logger":"app",' || CASE event_type WHEN 'view' THEN '"message":"seen password=[REDACTED]",' ELSE '' END
+  || '"none":null,"note":"caf\u00e9 \ud83e\udd16 token=1 password=[REDACTED]","ok":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END
+  || ',"prompt_tokens":42,"request":{"id":' || event_id || ',"my_secret":"[REDACTED]","path":"/a"},"tags":["x","Bearer [REDACTED]"],"timestamp":"2024-01-01T00:00:0' || (event_id % 10) || CASE event_id % 2 WHEN 0 THEN '' ELSE '.500000' END || '+00:00","user":' || user_id || '}' AS line FROM events"""
 )
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("api_key"), F.lit("k"), F.lit("note"), F.lit("token=1 password=x"), F.lit("none"), F.lit(None).cast("string"))
-    line = logs.record(F.timestamp_seconds(F.lit(X.FIRST)), F.lit("info"), F.lit("app"), F.col("event_type"), fields)
-    return X.table(spark, sf_dir, "events").select("event_id", line.alias("line"))
+    """Events as log lines: typed, nested and secret fields, messages and errors."""
+    e, kind = F.col("event_id"), F.col("event_type")
+    request = F.struct(F.lit("/a").alias("path"), e.alias("id"), F.lit("s").alias("my_secret"))
+    rows = X.table(spark, sf_dir, "events").select(
+        e, kind, F.col("user_id").alias("user"), F.lit("k").alias("api_key"), F.lit("café 🤖 token=1 password=x").alias("note"), F.lit(None).cast("string").alias("none"),
+        F.lit(42).alias("prompt_tokens"), (e % 2 == 0).alias("ok"), F.array(F.lit("x"), F.lit("Bearer abc")).alias("tags"), request.alias("request"),
+    )
+    time = F.timestamp_millis(F.lit(X.FIRST * 1000) + (e % 10) * 1000 + (e % 2) * 500)
+    level, error = F.when(kind == "error", F.lit("ERROR")).otherwise(F.lit("INFO")), F.when(kind == "error", F.lit("ValueError"))
+    line = logs.lines(rows, time, level, F.lit("app"), F.when(kind != "view", kind), ("user", "api_key", "note", "none", "prompt_tokens", "ok", "tags", "request"), F.lit("seen password=x"), error)
+    return rows.select("event_id", line.alias("line"))
 
 
 # --- operations -----------------------------------------------------------
@@ -599,6 +703,23 @@ def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table(spark, sf_dir, "pages").select("page_id", urls.normalize_url(once).alias("url"))
 
 
+URL_FORMS = (
+    ("HTTPS://User:pw@Example.COM:443/P/{0}//?b=2&utm_source=x&a={0}&fbclid=1#Frag", "https://example.com/P/{0}?a={0}&b=2#Frag"),
+    ("http://example.com:8080/p/{0};v=1/?z=&A=%7Ex+y&z=1&UTM_x=2", "http://example.com:8080/p/{0};v=1?A=~x+y&z=&z=1"),
+    ("https://example.com:0443?gclid={0}", "https://example.com"),
+    (" https://example.com:x/%7E{0}/?q=a%2Bb%26c&q=%C3%A9%zz ", "https://example.com/%7E{0}?q=a%2Bb%26c&q=%C3%A9%25zz"),
+    ("http://[2001:DB8::1]:80/{0}/#", "http://2001:db8::1/{0}"),
+    ("/relative/{0}/?mc_eid=1", "/relative/{0}"),
+)
+
+
+@query("SELECT page_id, CASE page_id % 6 " + " ".join(f"WHEN {k} THEN replace('{want}', '{{0}}', CAST(page_id AS VARCHAR))" for k, (_, want) in enumerate(URL_FORMS)) + " END AS url FROM pages")
+def url_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses with users, ports, parameters, escapes and trackers, each as its one form."""
+    given = F.replace(X.pick(F.col("page_id") % 6, tuple(a for a, _ in URL_FORMS)), F.lit("{0}"), F.col("page_id").cast("string"))
+    return X.table(spark, sf_dir, "pages").select("page_id", urls.normalize_url(given).alias("url"))
+
+
 @query()
 def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunked(X.articles(spark, sf_dir).select("id", "raw_text"))

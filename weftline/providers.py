@@ -9,15 +9,17 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions.quotes import demoted, quote_supported
 from .functions.text import collapse, shorten_reason
+from .operators.ingest import model_card
 from .schemas import RELEVANCE_TIERS
 
 # Characters of a text that a model reads, the answers that count, limits of answers.
@@ -40,6 +42,11 @@ class RelevanceModel(Protocol):
         """relevance_tier, relevance_reason, agent_focus and agent_evidence_quote of each article."""
 
 
+class SummaryModel(Protocol):
+    def summarize(self, titles: list[str], texts: list[str]) -> list[str]:
+        """JSON with a card's fields of each article; anything else leaves the fallback."""
+
+
 class HashedEmbedder:
     """Word counts hashed into a unit vector."""
 
@@ -105,3 +112,24 @@ def classified(rows: DataFrame, model: RelevanceModel) -> DataFrame:
     answers = rows.mapInPandas(run, schema)
     tier, why = decided(F.col("_tier"), F.col("_reason"), F.col("_focus"), quote_supported("title", "raw_text", "_quote"))
     return answers.withColumn("tier", tier).withColumn("reason", why).drop("_tier", "_reason", "_focus", "_quote")
+
+
+def summarizer(model: SummaryModel, name: str) -> Callable[[DataFrame], DataFrame]:
+    """A summarizer for ``ingest.written``: the model's cards, the fallback's where a call fails or its JSON cannot be read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            try:
+                got = model.summarize(b["title"].tolist(), [t[:READ_CHARACTERS] for t in b["raw_text"]])
+            except Exception:  # the fallback stands in for whatever went wrong
+                got = [None] * len(b)
+            yield b.assign(_payload=got)
+
+    def summarize(rows: DataFrame) -> DataFrame:
+        flat = rows.drop("old")  # pandas takes no nested rows; they come back by key
+        keyed = rows.select("url", "source_name", "content_hash", "old")
+        schema = T.StructType([*flat.schema.fields, T.StructField("_payload", T.StringType())])
+        answered = flat.mapInPandas(run, schema).join(keyed, ["url", "source_name", "content_hash"])
+        return model_card(answered, "_payload", name).drop("_payload")
+
+    return summarize

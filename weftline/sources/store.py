@@ -7,12 +7,13 @@ cluster's own file system.
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -67,9 +68,34 @@ class Table:
         """Write a new version and make it the current one."""
         v = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.path}/{v}")
-        _put(self.spark, f"{self.path}/CURRENT", v, overwrite=True)
+        self.point(v)
         return v
 
+    def point(self, version: str) -> None:
+        """Make a version the current one; a reader sees the one before or this one, never half a pointer."""
+        aside = f"{self.path}/_CURRENT-{uuid.uuid4().hex}"
+        _put(self.spark, aside, version, overwrite=False)
+        jvm = self.spark.sparkContext._jvm
+        paths = jvm.org.apache.hadoop.fs
+        _, p = _fs(self.spark, aside)
+        context = paths.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else paths.Path(f"file://{aside}").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(p, paths.Path(f"{self.path}/CURRENT"), options)
+
+    def versions(self) -> list[str]:
+        """All versions' folders, oldest first."""
+        fs, p = _fs(self.spark, self.path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v")) if fs.exists(p) else []
+
+    def pruned(self, keep: int = 2) -> list[str]:
+        """Delete all but the newest versions and the current one; the names of those deleted."""
+        gone = [v for v in self.versions()[:-keep] if v != self.version]
+        for v in gone:
+            fs, p = _fs(self.spark, f"{self.path}/{v}")
+            fs.delete(p, True)
+        return gone
+
     def append(self, df: DataFrame) -> None:
         """Add rows to the current version, or make the first."""
         v = self.version
@@ -79,6 +105,59 @@ class Table:
             self.replace(df)
 
 
+class KeyedTable:
+    """A table dealt by its key into buckets, each of which has its own current version.
+
+    A change reads and writes the buckets of its keys and no others. The pointer
+    names the version of every bucket, so all of a change shows at once.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, name: str, key: str = "id", buckets: int = 64):
+        self.table, self.key, self.buckets = Table(spark, root, name), key, buckets
+        self.spark = spark
+
+    def current(self) -> dict[str, str]:
+        """The version of each bucket that has one."""
+        pointer = self.table.version
+        return json.loads(pointer) if pointer else {}
+
+    def read(self, only: list[int] | None = None) -> DataFrame | None:
+        """The rows of all buckets, or of some."""
+        places = [f"{self.table.path}/{v}/_bucket={b}" for b, v in self.current().items() if only is None or int(b) in only]
+        return self.spark.read.option("mergeSchema", "true").parquet(*places) if places else None
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets)).cast("int")
+
+    def touched(self, keys: DataFrame) -> list[int]:
+        """The buckets of some keys: as many numbers as there are buckets, at most."""
+        return [r[0] for r in keys.select(self.bucket()).distinct().collect()]
+
+    def _write(self, df: DataFrame, buckets: list[int]) -> None:
+        if not buckets:
+            return
+        v = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+        df.withColumn("_bucket", self.bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.table.path}/{v}")
+        fs, p = _fs(self.spark, f"{self.table.path}/{v}")
+        there = {int(s.getPath().getName()[8:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("_bucket=")}
+        now = {b: w for b, w in self.current().items() if int(b) not in buckets} | {str(b): v for b in there}
+        self.table.point(json.dumps(now, sort_keys=True))
+
+    def merge(self, changes: DataFrame) -> None:
+        """Rows in place of those with their keys, or beside them."""
+        hit = self.touched(changes)
+        self._write(upserted(self.read(hit), changes, self.key), hit)
+
+    def replace_of(self, keys: DataFrame, rows: DataFrame) -> None:
+        """All rows of some keys go, and those of ``rows`` come."""
+        hit = sorted({*self.touched(keys), *self.touched(rows)})
+        old = self.read(hit)
+        if old is not None:
+            gone = keys.select(self.key).union(rows.select(self.key)).distinct()
+            rows = old.join(gone, self.key, "left_anti").unionByName(rows, allowMissingColumns=True)
+        self._write(rows, hit)
+
+
 def upserted(stored: DataFrame | None, changes: DataFrame, key: str = "id") -> DataFrame:
     """Stored rows with those of ``changes`` in place of, or beside, them."""
     if stored is None:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ingest import last_of_batch, matched, routed, written
+from ..operators import collection
+from ..providers import Embedder, HashedEmbedder
 from ..schemas import ARTICLES
-from ..sources.store import Table, upserted
+from ..sources.store import KeyedTable, Table
 
 
 def started(df: DataFrame, path: str, checkpoint: str, mode: str = "append", once: bool = True) -> StreamingQuery:
@@ -21,26 +22,34 @@ def started(df: DataFrame, path: str, checkpoint: str, mode: str = "append", onc
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def ingest_batch(store: Table, relevance: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """What ``foreachBatch`` does with prepared candidates: route them and write the articles.
+def ingest_batch(articles: KeyedTable, chunks: KeyedTable, runs: Table, relevance: Callable[[DataFrame], DataFrame], embedder: Embedder) -> Callable[[DataFrame, int], None]:
+    """What ``foreachBatch`` does with prepared candidates: a collection run into articles, chunks and the ledger.
 
     ``relevance`` adds ``tier`` to rows; better evidence that is stored stays.
+    Only the buckets of a batch's keys are written again. A batch that is run
+    again after a failure finds its own rows and changes nothing but their dates.
     """
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stored = store.read()
-        known = stored if stored is not None else spark.createDataFrame([], ARTICLES)
-        rows = written(routed(relevance(matched(last_of_batch(batch), known))), ARTICLES.names)
-        store.replace(upserted(stored, rows.drop("route", "status", "drops_chunks")))
+        known = articles.read()
+        now = F.current_timestamp()
+        made = collection.collected(batch, known if known is not None else spark.createDataFrame([], ARTICLES), relevance, embedder, f"batch-{number}", now, now, keep=lambda df: df.persist())
+        try:
+            collection.stored(made, articles, chunks, runs)
+        finally:
+            made.chunks.unpersist()
+            made.articles.unpersist()
 
     return run
 
 
-def ingesting(candidates: DataFrame, store: Table, relevance: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Candidates that are there now go through the router in micro-batches."""
-    writer = candidates.writeStream.foreachBatch(ingest_batch(store, relevance)).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+def ingesting(candidates: DataFrame, root: str, relevance: Callable[[DataFrame], DataFrame], checkpoint: str, embedder: Embedder | None = None, every: str | None = None, buckets: int = 64) -> StreamingQuery:
+    """Candidates go through collection runs into the tables under ``root``: all that are there now, or ``every`` so often."""
+    spark = candidates.sparkSession
+    tables = KeyedTable(spark, root, "articles", "id", buckets), KeyedTable(spark, root, "chunks", "document_id", buckets), Table(spark, root, "runs")
+    writer = candidates.writeStream.foreachBatch(ingest_batch(*tables, relevance, embedder or HashedEmbedder())).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def silences(events: DataFrame, seconds: int, key: str = "source", time: str = "ts", late: str = "1 minute") -> DataFrame:
