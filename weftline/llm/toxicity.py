@@ -32,7 +32,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import product
 
@@ -298,7 +298,8 @@ class Model:
                 break
         self.grammar = Grammar(learn(whole))
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: Iterable[str]) -> np.ndarray:
+        """Scores of texts, which are gone through one by one."""
         sums = np.array([self.grammar.sums(t) for t in texts], float).reshape(-1, 3 * MATCHES + 1)
         return self.curve(features(sums, self.weights))
 
@@ -308,8 +309,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def scores_of(model: Model, b: pa.RecordBatch) -> np.ndarray:
-    """The scores of a batch's texts, one text at a time."""
-    return np.concatenate([np.empty(0), *(model.score([t.as_py() or ""]) for t in b.column("text"))])
+    return model.score(t.as_py() or "" for t in b.column("text"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
