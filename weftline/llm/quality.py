@@ -21,7 +21,7 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,11 +81,11 @@ def coders(good: list[bytes], bad: list[bytes]) -> tuple[list, list]:
     return _coders[key]
 
 
-def features(texts: list[str], good: list[bytes], bad: list[bytes]) -> np.ndarray:
-    """A row a text: the normalised size differences, and what calibrates them by length."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    a, b = (sizes(c, raw).min(axis=1, initial=np.inf) for c in coders(good, bad))
-    n = np.array([len(r) for r in raw], float)
+def features(texts: Iterable[str], good: list[bytes], bad: list[bytes]) -> np.ndarray:
+    """A row a text, taken one by one: the normalised size differences, and what calibrates them by length."""
+    with_good, with_bad = coders(good, bad)
+    rows = [(min(len(c.compress(raw)) for c in with_good), min(len(c.compress(raw)) for c in with_bad), len(raw)) for t in texts for raw in (t.encode("utf-8", "surrogatepass"),)]
+    a, b, n = np.array(rows, float).reshape(-1, 3).T
     gap, share, long = (b - a) / (a + b), (b - a) / (n + 20), np.log1p(n)
     return np.stack([gap, gap * long, share, share * long, np.tanh(30 * gap), np.tanh(60 * share)], axis=1)
 
@@ -100,7 +100,7 @@ class Model:
         rest = [(t, k) for k in (0, 1) for t in texts[k][1::2]]
         self.curve = Curve(features([t for t, _ in rest], self.good, self.bad), np.array([k for _, k in rest], float), counts)
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: Iterable[str]) -> np.ndarray:
         return self.curve(features(texts, self.good, self.bad))
 
 
@@ -113,7 +113,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.concatenate([np.empty(0), *(model.score([t.as_py() or ""]) for t in b.column("text"))])
+            found = model.score(t.as_py() or "" for t in b.column("text"))
             yield pa.record_batch([b.column("doc_id"), b.column("held_out"), pa.array(found), pa.array((found >= LIMIT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     src = docs.select(F.col("doc_id").cast("long"), (remainder(FOLDS) == HELD).alias("held_out"), F.col("text").cast("string"))
