@@ -47,7 +47,7 @@ KEPT = 500_000
 #: Words that are sampled at a time, and new ones that are filtered at a time.
 BATCH, FRESH = 1 << 17, 1 << 13
 #: Longer chunks are cut where no piece goes over a place; characters that a part of one has at least.
-LONG, PART = 64, 16
+LONG, PART = 64, 16  # LONG fits 16 bits
 #: So few words are drawn one by one.
 ALONE, ALL = 3, (1 << 64) - 1
 GOLDEN, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -95,6 +95,8 @@ class Vocabulary:
         return [self.byte_id[b] for b in char.encode("utf-8", "surrogatepass")]
 
 
+#: Whether a text may have a long chunk at all: a word and the blanks before it, each half as long.
+RUN = re.compile(f"[^ {SPACE}\n]{{{LONG // 2},}}| {{{LONG // 2},}}")
 #: A literal U+2581, a line end, or a run of spaces with the word after it.
 CHUNK = re.compile(f"[{SPACE}\n]| *[^ {SPACE}\n]+| +")
 
@@ -203,12 +205,19 @@ class Sampler:
         self.last: dict[str, int] = {}  # a chunk's last place
         self.upto, self.piece, self.back = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int64)
         self.first = np.empty(0, np.int64)  # a place's first way
+        self.places = self.ways = 0  # how much of the arrays is filled
         self.spelled: list[list[int]] = []
         self.spelled_at: dict[int, int] = {}
 
-    @property
-    def places(self) -> int:
-        return len(self.first)
+    def put(self, name: str, at: int, more: np.ndarray) -> None:
+        """Fill an array on from a place; it doubles when it is full."""
+        have = getattr(self, name)
+        if len(have) < at + len(more):
+            wide = np.empty(max(at + len(more), 2 * len(have)), have.dtype)
+            wide[:at] = have[:at]
+            setattr(self, name, wide)
+            have = wide
+        have[at : at + len(more)] = more
 
     def split(self, chunk: str) -> list[str]:
         """A long chunk in parts, cut wherever no piece goes over the place: its lattice falls apart there."""
@@ -280,10 +289,11 @@ class Sampler:
         before = np.where(whole, len(code), src - 1)
         share = np.empty(len(src))
         # words side by side, place by place; long ones by themselves
-        rank = np.arange(len(code)) - origin
-        short = np.flatnonzero(np.repeat(size <= LONG, size))
-        by_rank = short[np.argsort(rank[short], kind="stable")]
-        cut = np.searchsorted(rank[by_rank], np.arange(int(size[size <= LONG].max(initial=0)) + 1))
+        rank, long = np.arange(len(code)) - origin, size > LONG
+        short = np.flatnonzero(~np.repeat(long, size)) if long.any() else np.arange(len(code))
+        by_rank = rank[short].astype(np.uint16)  # few bits sort fast
+        cut = np.r_[0, np.cumsum(np.bincount(by_rank))] if len(short) else np.zeros(1, np.int64)
+        by_rank = short[np.argsort(by_rank, kind="stable")]
         for k in range(len(cut) - 1):
             place = by_rank[cut[k] : cut[k + 1]]
             n = many[place]
@@ -296,7 +306,7 @@ class Sampler:
             share[way] = value / np.repeat(sums, n)
             total[place], shift = np.frexp(sums)
             power[place] = top + shift
-        for c in np.flatnonzero(size > LONG).tolist():
+        for c in np.flatnonzero(long).tolist():
             ways = slice(int(first[starts[c]]), int(first[ends[c] - 1] + many[ends[c] - 1]))
             local = np.where(whole[ways], -1, before[ways] - starts[c])
             share[ways] = shares_of(many[starts[c] : ends[c]].tolist(), local.tolist(), weight[ways].tolist())
@@ -305,9 +315,11 @@ class Sampler:
         base = np.concatenate([[0.0], upto[first[1:] - 1]])
         upto = np.repeat(np.arange(len(code)) - base, many) + upto + self.places
         upto[first + many - 1] = np.arange(1, len(code) + 1) + self.places
-        place0, way0 = self.places, len(self.upto)
-        for name, more in (("upto", upto), ("piece", what), ("back", np.where(whole, -1, src - 1 + place0)), ("first", first + way0)):
-            setattr(self, name, np.concatenate([getattr(self, name), more]))
+        place0, way0 = self.places, self.ways
+        for name, more in (("upto", upto), ("piece", what), ("back", np.where(whole, -1, src - 1 + place0))):
+            self.put(name, way0, more)
+        self.put("first", place0, first + way0)
+        self.places, self.ways = place0 + len(first), way0 + len(upto)
         self.last.update(zip(chunks, (ends - 1 + place0).tolist(), strict=True))
 
     def walk(self, at: int, state: int, step: int) -> list[int]:
@@ -386,7 +398,7 @@ def states(key: int, chunks: int, seed: int = SEED) -> np.ndarray:
 def chunked(sampler: Sampler, text: str) -> list[str]:
     """The parts of a text, with the blank before it, over whose places no piece goes."""
     own = CHUNK.findall(" " + text)
-    if len(max(own, key=len)) <= LONG:
+    if not RUN.search(text):
         return own
     return [part for c in own for part in (sampler.split(c) if len(c) > LONG else (c,))]
 
