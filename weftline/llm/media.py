@@ -21,6 +21,7 @@ ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -367,10 +368,16 @@ def table_of(body: bytes) -> np.ndarray:
     return _tables[body]
 
 
+@functools.lru_cache(64)
+def short_codes(body: bytes) -> bool:
+    """Whether no code with its value is longer than 25 bits."""
+    look = table_of(body)
+    return int(((look >> 8) + (look & 15)).max()) <= 25
+
+
 def side_by_side(info: dict) -> bool:
     """Whether the blocks can be read all at once: grey, a restart after each, codes and values within 25 bits."""
-    tables = info["huffman"].values()
-    return len(info["components"]) == 1 and info["restart"] == 1 and all(int((t >> 8).max() + (t & 15).max()) <= 25 for t in map(table_of, tables))
+    return len(info["components"]) == 1 and info["restart"] == 1 and all(map(short_codes, info["huffman"].values()))
 
 
 def decode(media: list[bytes]) -> list[tuple[dict, np.ndarray]]:
