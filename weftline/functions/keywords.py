@@ -51,6 +51,11 @@ def keyword_score(query: str, title: Column, content: Column) -> Column:
     def share(text: Column) -> Column:
         return reduce(lambda a, b: a + b, (F.when(text.contains(t), 1).otherwise(0) for t in terms)).cast("double") / F.lit(float(len(terms)))
 
-    t, c = normalized(F.coalesce(title, F.lit(""))), normalized(F.coalesce(content, F.lit("")))
-    phrase = F.when(F.concat(t, F.lit("\n"), c).contains(normalize_query(query)), F.lit(0.5)).otherwise(F.lit(0.0))
-    return F.round(share(c) + share(t) + phrase, 4)
+    both = F.struct(normalized(F.coalesce(title, F.lit(""))).alias("t"), normalized(F.coalesce(content, F.lit(""))).alias("c"))
+
+    def score(x: Column) -> Column:
+        phrase = F.when(F.concat(x["t"], F.lit("\n"), x["c"]).contains(normalize_query(query)), F.lit(0.5)).otherwise(F.lit(0.0))
+        return F.round(share(x["c"]) + share(x["t"]) + phrase, 4)
+
+    # a lambda's argument is made once, however many terms look at it
+    return F.transform(F.array(both), score)[0]
