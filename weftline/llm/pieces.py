@@ -43,7 +43,7 @@ SPACE = "▁"
 #: Stands for a literal U+2581; no text has this code point.
 LITERAL = 0x110000
 #: Filtered places that a worker keeps at most.
-KEPT = 500_000
+KEPT = 1_000_000
 #: Words that are sampled at a time, and new ones that are filtered at a time.
 BATCH, FRESH = 1 << 17, 1 << 13
 #: Longer chunks are cut where no piece goes over a place; characters that a part of one has at least.
@@ -95,8 +95,6 @@ class Vocabulary:
         return [self.byte_id[b] for b in char.encode("utf-8", "surrogatepass")]
 
 
-#: Whether a text may have a long chunk at all: a word and the blanks before it, each half as long.
-RUN = re.compile(f"[^ {SPACE}\n]{{{LONG // 2},}}| {{{LONG // 2},}}")
 #: A literal U+2581, a line end, or a run of spaces with the word after it.
 CHUNK = re.compile(f"[{SPACE}\n]| *[^ {SPACE}\n]+| +")
 
@@ -398,7 +396,7 @@ def states(key: int, chunks: int, seed: int = SEED) -> np.ndarray:
 def chunked(sampler: Sampler, text: str) -> list[str]:
     """The parts of a text, with the blank before it, over whose places no piece goes."""
     own = CHUNK.findall(" " + text)
-    if not RUN.search(text):
+    if max(map(len, own)) <= LONG:
         return own
     return [part for c in own for part in (sampler.split(c) if len(c) > LONG else (c,))]
 
