@@ -43,7 +43,7 @@ SPACE = "▁"
 #: Stands for a literal U+2581; no text has this code point.
 LITERAL = 0x110000
 #: Filtered places that a worker keeps at most.
-KEPT = 1_000_000
+KEPT = 500_000
 #: Words that are sampled at a time, and new ones that are filtered at a time.
 BATCH, FRESH = 1 << 17, 1 << 13
 #: Longer chunks are cut where no piece goes over a place; characters that a part of one has at least.
