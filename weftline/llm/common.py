@@ -37,25 +37,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, in a folder for each value of ``by``, and read it back.
 
     Cuts the lineage and survives lost executors, unlike a cache. The reread
     table has true file sizes, so the planner's own size check decides whether
-    a join may broadcast it.
+    a join may broadcast it. What ``forget`` does not delete before goes when the
+    driver ends: a lazy result may read it until then.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
+    file_system(df.sparkSession, path).deleteOnExit(df.sparkSession._jvm.org.apache.hadoop.fs.Path(path))
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._weftline_path = path
     return out
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system that a path lies in."""
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def children(spark: SparkSession, path: str, holding: str) -> list[str]:
     """Names of the folders under a path, in any file system, that hold a file of that name."""
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs = file_system(spark, path)
     if not fs.exists(place):
         return []
     return [s.getPath().getName() for s in fs.listStatus(place) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), holding))]
@@ -66,9 +73,7 @@ def forget(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_weftline_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+            file_system(df.sparkSession, path).delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def text_or_empty(text: Column | str = "text") -> Column:

@@ -55,4 +55,53 @@ r AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op3_warc": OP3, "op6_mixing": OP6, "op7_knn": OP7}
+OP11 = """
+WITH s AS (
+  SELECT *, CAST(floor(100 * coalesce(total, 0) + 0.5) AS BIGINT) AS cents, arrived_at + INTERVAL 240 MINUTE AS known,
+         sold_at + to_seconds(xor(4294967295, list_reduce(
+           list_concat([CAST(4294967295 AS BIGINT)], flatten([[(ascii(ch) >> i) & 1 FOR i IN range(8)] FOR ch IN string_split(coalesce(CAST(sale_id AS VARCHAR), ''), '')])),
+           lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1)))) % 259200) AS t
+  FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+c AS (
+  SELECT *, CAST(floor(100 * coalesce(value, 0) + 0.5) AS BIGINT) AS cents, arrived_at + INTERVAL 240 MINUTE AS known FROM (SELECT DISTINCT * FROM clicks)),
+p AS (
+  SELECT sale_id, client_id, t, d, t - to_days(d) AS since FROM s, (VALUES (2), (14)) AS w(d)),
+a AS (
+  SELECT p.sale_id, p.d, count(*) AS n_clicks, count(*) FILTER (c.kind = 'purchase') AS n_purchases, sum(c.cents) AS click_cents,
+         max(struct_pack(ts := c.ts, id := coalesce(c.click_id, -9223372036854775808))).id AS last_click_id
+  FROM p JOIN c ON c.client_id = p.client_id AND c.ts > p.since AND c.ts <= p.t AND c.known <= p.t GROUP BY ALL),
+b AS (
+  SELECT p.sale_id, p.d, count(*) AS n_sales, sum(s.cents) AS sale_cents
+  FROM p JOIN s ON s.client_id = p.client_id AND s.sold_at > p.since AND s.sold_at <= p.t AND s.known <= p.t GROUP BY ALL),
+l AS (
+  SELECT s.client_id, s.sold_at, s.known, x.shipped_at, x.item_id, CAST(floor(100 * coalesce(x.amount, 0) + 0.5) AS BIGINT) AS cents FROM sale_lines AS x JOIN s USING (sale_id)),
+e AS (
+  SELECT p.sale_id, p.d, count(*) AS n_lines, count(DISTINCT l.item_id) AS n_items, sum(l.cents) AS line_cents
+  FROM p JOIN l ON l.client_id = p.client_id AND l.sold_at > p.since AND l.sold_at <= p.t AND l.known <= p.t AND l.shipped_at <= p.t GROUP BY ALL),
+f AS (
+  SELECT DISTINCT p.sale_id FROM p JOIN s ON s.client_id = p.client_id AND s.sold_at > p.t AND s.sold_at <= p.t + INTERVAL 7 DAY)
+SELECT p.sale_id, CAST(p.d AS INTEGER) AS d, epoch_us(p.t) AS t_us, f.sale_id IS NOT NULL AS label,
+       coalesce(n_clicks, 0) AS n_clicks, coalesce(n_purchases, 0) AS n_purchases, CAST(coalesce(click_cents, 0) AS BIGINT) AS click_cents,
+       nullif(last_click_id, -9223372036854775808) AS last_click_id, coalesce(n_sales, 0) AS n_sales, CAST(coalesce(sale_cents, 0) AS BIGINT) AS sale_cents,
+       coalesce(n_lines, 0) AS n_lines, coalesce(n_items, 0) AS n_items, CAST(coalesce(line_cents, 0) AS BIGINT) AS line_cents
+FROM p LEFT JOIN a USING (sale_id, d) LEFT JOIN b USING (sale_id, d) LEFT JOIN e USING (sale_id, d) LEFT JOIN f ON f.sale_id = p.sale_id
+"""
+
+OP13 = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+g AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM g GROUP BY doc_id),
+z AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+m AS (SELECT doc_id, 10 + (90 * n * docs) // terms AS m FROM n, z),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM g, z GROUP BY term),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (
+  SELECT q.item_id, g.doc_id, CAST(sum(w.w * ((1000000000 * g.tf) // (1000 * g.tf + 8 * m.m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN g USING (term) JOIN m USING (doc_id) GROUP BY ALL HAVING score > 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op3_warc": OP3, "op6_mixing": OP6, "op7_knn": OP7, "op11_point_in_time": OP11, "op13_lexical": OP13}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import knn, media, mixing, pieces, pii, quality, sharding, simhash, toxicity, warc
+from . import bytepairs, knn, lexical, media, mixing, pieces, pii, pointintime, quality, sharding, simhash, toxicity, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -56,9 +56,22 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pointintime.features(*(table(spark, sf_dir, name) for name in ("clicks", "sales", "sale_lines")))
+
+
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_quality, op3_warc, op4_sharding, op5_pii, op6_mixing, op7_knn, op8_jpeg, op9_toxicity, op10_pieces)
-}
+    f.__name__: f
+    for f in (op1_simhash, op2_quality, op3_warc, op4_sharding, op5_pii, op6_mixing, op7_knn, op8_jpeg, op9_toxicity, op10_pieces, op11_point_in_time, op12_byte_pairs, op13_lexical)
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
