@@ -140,13 +140,14 @@ def chunk_of(us: Column) -> Column:
 def grid(rows: DataFrame, windows: tuple[int, ...], ahead: int, chunk: int) -> DataFrame:
     """client, parts: of each client with more than ``chunk`` rows, the days that have more than one part and how many.
 
-    A row a busy client and an entry a busy day: bounded by the rows over
-    ``chunk`` and by the days that the input spans.
+    Counts of the days of base, start and t are made first, so a client comes to
+    no more rows than it has such days.
     """
-    many = rows.groupBy("client").count().where(F.col("count") > chunk).select("client")
-    times = F.array_compact(F.array(*ends(windows, ahead).values()))
-    busy = rows.withColumn("reach", F.lit(None).cast("long")).join(many.hint("shuffle_hash"), "client")
-    days = busy.select("client", F.explode(F.transform(times, day_of)).alias("day")).groupBy("client", "day").count()
+    daily = rows.groupBy("client", *(day_of(F.col(c)).alias(c) for c in ("base", "start", "t"))).count()
+    many = daily.groupBy("client").agg(F.sum("count").alias("all")).where(F.col("all") > chunk).select("client")
+    seen = F.array_compact(F.array(F.col("start"), F.col("t"), F.col("base"), F.col("base") - ahead, *(F.col("base") + d for d in windows)))
+    days = daily.join(many.hint("shuffle_hash"), "client").select("client", "count", F.explode(F.array_distinct(seen)).alias("day"))
+    days = days.groupBy("client", "day").agg(F.sum("count").alias("count"))
     parts = F.least(F.ceil(F.col("count") / chunk), F.lit(PARTS)).cast("int")
     full = F.when(F.col("count") > chunk, F.struct(F.col("day"), parts.alias("n")))
     return days.groupBy("client").agg(F.map_from_entries(F.sort_array(F.collect_list(full))).alias("parts"))
@@ -154,29 +155,29 @@ def grid(rows: DataFrame, windows: tuple[int, ...], ahead: int, chunk: int) -> D
 
 def reached(items: DataFrame, *keys: str) -> DataFrame:
     """``reach``: the latest sale time of the item's earlier starts among rows of the same keys, null if none."""
-    w = Window.partitionBy(*keys).orderBy("start", "base").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys).orderBy(F.col("start").asc_nulls_first(), "base").rowsBetween(Window.unboundedPreceding, -1)
     return items.withColumn("reach", F.max("base").over(w))
 
 
-def running(rows: DataFrame, keys: list[str], parts: list[str], sums: dict[str, Column], most: dict[str, Column]) -> DataFrame:
+def running(rows: DataFrame, keys: list[str], sums: dict[str, Column], most: dict[str, Column]) -> DataFrame:
     """For each chunk of some keys, the sums and maxima over the chunks before it.
 
     In two steps, days and the chunks of a day, so that no task sees all chunks
-    of a busy key.
+    of a busy key: what the days before leave stands ahead of a day's chunks.
     """
     names = [*sums, *most]
-    agg = lambda df, first: df.agg(*((F.sum(c) if k in sums else F.max(c)).alias(k) for k, c in first.items()))
-    again = {k: F.col(k) for k in names}
-    chunks = agg(rows.groupBy(*keys, *parts), sums | most).withColumn("_day", F.floor(F.col("chunk") / F.lit(float(PARTS))).cast("long"))
-    days = agg(chunks.groupBy(*keys, "_day"), again)
 
-    def before(df: DataFrame, by: list[str], order: str, tag: str) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumns({f"{tag}{k}": (F.sum(k) if k in sums else F.max(k)).over(w) for k in names}).drop(*names)
+    def agg(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+        return df.agg(*((F.sum(c) if k in sums else F.max(c)).alias(k) for k, c in columns.items()))
 
-    both = before(chunks, [*keys, "_day"], "chunk", "_in_").join(before(days, keys, "_day", "_to_").hint("merge"), [*keys, "_day"])
-    out = {k: F.coalesce(F.col(f"_in_{k}"), F.lit(0)) + F.coalesce(F.col(f"_to_{k}"), F.lit(0)) if k in sums else F.greatest(f"_in_{k}", f"_to_{k}") for k in names}
-    return both.select(*keys, *parts, *(c.alias(k) for k, c in out.items()))
+    def before(df: DataFrame, by: list[str], order: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({k: F.coalesce(F.sum(k).over(w), F.lit(0).cast("long")) if k in sums else F.max(k).over(w) for k in names})
+
+    day = F.floor(F.col("chunk") / F.lit(float(PARTS))).cast("long")
+    chunks = agg(rows.groupBy(*keys, "chunk"), sums | most).withColumn("_day", day)
+    days = before(agg(chunks.groupBy(*keys, "_day"), {k: F.col(k) for k in names}), keys, "_day").withColumn("chunk", F.lit(None).cast("long"))
+    return before(chunks.unionByName(days), [*keys, "_day"], "chunk").where(F.col("chunk").isNotNull()).drop("_day")
 
 
 def constants(rows: DataFrame, windows: tuple[int, ...]) -> DataFrame:
@@ -191,7 +192,7 @@ def constants(rows: DataFrame, windows: tuple[int, ...]) -> DataFrame:
     sums["label"] = F.when(has("label_lo"), 1).when(has("label_hi"), -1).otherwise(0).cast("long")
     click = F.col("kind").isin(CLICK, PURCHASE) & has(f"lo{max(windows)}")
     last = F.when(click, F.struct(F.col("base").alias("ts"), F.col("id").isNotNull().alias("named"), F.coalesce("id", F.lit(0).cast("long")).alias("id")))
-    out = running(rows, ["client"], ["chunk"], sums, {"last": last})
+    out = running(rows, ["client"], sums, {"last": last})
     last = [F.col("last.ts").alias("last_ts"), F.col("last.named").cast("long").alias("last_named"), F.col("last.id").alias("last_id"), F.col("last").isNotNull().cast("long").alias("last_there")]
     return out.select("client", "chunk", *sums, *last)
 
@@ -283,10 +284,10 @@ def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tup
     few, many = known.where(~F.col("busy")), known.where(F.col("busy"))
     item, no_reach = F.col("kind") == ITEM, F.lit(None).cast("long")
     few = few.where(~item).withColumn("reach", no_reach).unionByName(reached(few.where(item), "client", "item"))
-    # items of busy clients: within a chunk of starts, and from the chunks before it
+    # items of busy clients: within a chunk of starts; what the chunks before leave stands ahead as a row without a start
     own = many.where(item).withColumn("chunk", chunk_of(F.col("start")))
-    far = running(own, ["client", "item"], ["chunk"], {}, {"before": F.col("base")})
-    own = reached(own, "client", "item", "chunk").join(far.hint("merge"), ["client", "item", "chunk"]).withColumn("reach", F.greatest("reach", "before")).drop("chunk", "before")
+    far = running(own, ["client", "item"], {}, {"base": F.col("base")}).where(F.col("base").isNotNull())
+    own = reached(own.unionByName(far, allowMissingColumns=True), "client", "item", "chunk").where(F.col("start").isNotNull()).drop("chunk")
     many = many.where(~item).withColumn("reach", no_reach).unionByName(own)
     at, bit = ends(windows, ahead), bits(windows)
     forget(all_rows)
