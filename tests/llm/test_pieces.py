@@ -62,7 +62,7 @@ def test_filters_equal_the_plain_version(sampler):
             first = sampler.first[place]
             ways = sorted(lattice[end], key=lambda e: e[0])
             upto = np.cumsum([math.exp(sums[s] + w - sums[end]) for s, _, w in ways])
-            assert np.allclose(sampler.upto[first : first + len(ways)] - place, upto, atol=1e-9)
+            assert np.allclose(sampler.upto[first : first + len(ways)] / pieces.ONE, upto, atol=1e-9)
 
 
 def test_draws_follow_the_lattice(sampler):
@@ -141,5 +141,47 @@ def test_long_words_are_filtered_as_short_ones_are(sampler, monkeypatch):
     monkeypatch.setattr(pieces, "LONG", 10_000)
     sampler.clear()
     sampler.keep([word])
-    assert np.allclose(sampler.upto, alone, atol=1e-9)
+    assert np.allclose(sampler.upto / pieces.ONE, alone / pieces.ONE, atol=1e-9)
+    sampler.clear()
+
+
+def unmixed(x):
+    """The state from which SplitMix64's finaliser makes ``x``."""
+    mask, undo = pieces.ALL, lambda y, k: y ^ (y >> k) ^ (y >> 2 * k)
+    x = undo(x, 31) if 3 * 31 > 64 else x
+    x = x * pow(int(pieces.MIX_B), -1, 1 << 64) & mask
+    x = undo(x, 27)
+    x = x * pow(int(pieces.MIX_A), -1, 1 << 64) & mask
+    return undo(x, 30)
+
+
+def test_thresholds_do_not_depend_on_the_words_before(sampler):
+    """A word has the same thresholds, to the last bit, in a fresh worker and in one that holds hundreds of thousands of places."""
+    words = [" internationalization", " the", " inging", "é!?x9", " unbelievably"]
+
+    def thresholds():
+        out = []
+        for w in words:
+            last = sampler.last[w]
+            ways = slice(int(sampler.first[last - len(w) + 1]), int(sampler.first[last + 1]) if last + 1 < sampler.places else sampler.ways)
+            out.append((sampler.upto[ways].tolist(), sampler.piece[ways].tolist()))
+        return out
+
+    sampler.clear()
+    sampler.keep(words)
+    alone = thresholds()
+    # draws that fall on a threshold, and one below it
+    last = sampler.last[" inging"]
+    edge = int(sampler.upto[sampler.first[last]])
+    states = np.array([(unmixed((t << 11) & pieces.ALL) - int(pieces.GOLDEN)) & pieces.ALL for t in (edge - 1, edge)], np.uint64)
+    assert pieces.drawn_at(states, 0).tolist() == [edge - 1, edge]
+    drawn = [x.tolist() for x in sampler.sample([" inging"] * 2, states)]
+    rng = np.random.default_rng(5)
+    sampler.clear()
+    while sampler.places < 390_000:
+        sampler.keep([" " + "".join(rng.choice(list("aeioustrnl"), rng.integers(3, 12))) + str(k) for k in range(pieces.FRESH)])
+    sampler.keep(words)
+    assert thresholds() == alone
+    assert [x.tolist() for x in sampler.sample([" inging"] * 2, states)] == drawn
+    assert sampler.piece[sampler.first[sampler.last[" inging"]]] in drawn[0]
     sampler.clear()

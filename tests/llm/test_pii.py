@@ -1,5 +1,9 @@
 import hashlib
 import random
+import time
+
+import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from weftline.llm import pii
@@ -77,3 +81,31 @@ def test_redaction_keeps_columns_and_the_rest_of_the_text(spark):
 def test_digest_of_no_spans(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert pii.detect(docs).first().base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_a_text_of_very_many_spans(spark):
+    """Time follows the text's length: 200,000 spans take seconds, not hours."""
+    unit, n = "a@b.co +1 234 567 8901 ", 100_000
+    docs = spark.createDataFrame([(1, unit * n)], "doc_id long, text string")
+    start = time.perf_counter()
+    (got,) = pii.detect(docs).collect()
+    assert (got.n_email, got.n_phone, got.n_ip) == (n, n, 0)
+    want = ",".join(f"email:{k * 23}:{k * 23 + 6},phone:{k * 23 + 7}:{k * 23 + 22}" for k in range(n))
+    assert got.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert pii.redacted(docs).first().text == "<EMAIL> <PHONE> " * n
+    assert time.perf_counter() - start < 240
+
+
+def test_parts_are_cut_as_from_the_text(spark):
+    text = "".join(chr(0x1F600 + k % 50) if k % 7 == 0 else "abc\né "[k % 6] for k in range(2000))
+    places = [(0, 0), (0, 1), (255, 2), (256, 256), (1990, 10), (1999, 5), (2000, 1), (100, 1500), (511, 1)]
+    df = spark.createDataFrame([(text, a, n) for a, n in places], "text string, a long, n long")
+    got = df.select(pii.part(pii.blocks(F.col("text")), F.col("a"), F.col("n")).alias("p")).collect()
+    assert [r.p for r in got] == [text[a : a + n] for a, n in places]
+
+
+def test_scans(spark):
+    df = spark.createDataFrame([([k * 7 % 11 for k in range(n)],) for n in (0, 1, 2, 3, 17, 100)], "v array<long>")
+    for op, fold in ((lambda x, y: x + y, np.cumsum), (F.greatest, np.maximum.accumulate), (F.least, np.minimum.accumulate)):
+        for r in df.select("v", pii.scanned(F.col("v"), op).alias("w")).collect():
+            assert r.w == (fold(r.v).tolist() if r.v else [])

@@ -202,3 +202,27 @@ def test_lexicon_has_log_odds():
     texts = [f"you blorkish one {'x' * k}" for k in range(10)] * 3 + [f"a fine day {'y' * k}" for k in range(30)]
     counts = toxicity.tally(texts, [1] * 30 + [0] * 30)  # repeated texts count once
     assert toxicity.learn(counts)["blorkish "] == pytest.approx(math.log(10.5 / 11) - math.log(0.5 / 31))
+
+
+def test_a_text_longer_than_the_sample_does_not_end_it(spark):
+    """Whichever rank a text of over SAMPLE_BYTES has, each class keeps its rows before it, and itself in parts."""
+    rows = [(k, ("good words here " if k % 2 else "bad words there ") * (5 + k % 7)) for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    first = spark.createDataFrame([(k,) for k in range(40)], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) h").where("crc32(cast(cast(doc_id as string) as binary)) % 4 != 2")
+    for k in (0, 1):
+        longest = first.where(f"doc_id % 2 = {k}").orderBy("h").first().doc_id
+        docs = spark.createDataFrame([(d, t * 900_000 if d == longest else t) for d, t in rows], "doc_id long, text string")
+        got, counts = labelled.sample(docs, labels, "quality", 4, 2)
+        assert {r["label"] for r in got} == {0, 1} and len(got) == sum(counts)
+        long = next(r["text"] for r in got if r["doc_id"] == longest)
+        assert len(long) == labelled.PART * labelled.PARTS
+        model = quality.train(docs, labels)
+        assert len({round(r.score, 3) for r in quality.score(docs, model).collect()}) > 2
+
+
+def test_a_sample_that_is_full_still_has_a_row_of_each_class(spark, monkeypatch):
+    monkeypatch.setattr(labelled, "SAMPLE_BYTES", 10)
+    docs = spark.createDataFrame([(k, "some words " * 9) for k in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    got, _ = labelled.sample(docs, labels, "quality", 4, 2)
+    assert sorted(r["label"] for r in got) == [0, 1]

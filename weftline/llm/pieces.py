@@ -50,6 +50,8 @@ BATCH, FRESH = 1 << 17, 1 << 13
 LONG, PART = 64, 16  # LONG fits 16 bits
 #: So few words are drawn one by one.
 ALONE, ALL = 3, (1 << 64) - 1
+#: Probabilities as whole numbers.
+ONE = 1 << 53
 GOLDEN, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -60,9 +62,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def uniform(state: np.ndarray, step: int) -> np.ndarray:
-    """A number in [0, 1) for each state at a step."""
-    return (mixed(state + np.uint64((step + 1) * int(GOLDEN) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+def drawn_at(state: np.ndarray, step: int) -> np.ndarray:
+    """A whole number below ONE for each state at a step."""
+    return (mixed(state + np.uint64((step + 1) * int(GOLDEN) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.int64)
 
 
 class Vocabulary:
@@ -191,8 +193,9 @@ class Sampler:
     """Keeps the filtered lattices of words and draws paths for many at once.
 
     A place is the end of a character of a kept word. The ways into it lie
-    together, those of the longest pieces first; ``upto`` is the place plus the
-    summed probability of the ways up to each.
+    together, those of the longest pieces first; ``upto`` is the summed
+    probability of the place's ways up to each, in parts of ONE. It follows from
+    the word alone, whatever else a worker has met.
     """
 
     def __init__(self, v: Vocabulary):
@@ -201,7 +204,7 @@ class Sampler:
 
     def clear(self) -> None:
         self.last: dict[str, int] = {}  # a chunk's last place
-        self.upto, self.piece, self.back = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int64)
+        self.upto, self.piece, self.back = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
         self.first = np.empty(0, np.int64)  # a place's first way
         self.places = self.ways = 0  # how much of the arrays is filled
         self.spelled: list[list[int]] = []
@@ -308,11 +311,13 @@ class Sampler:
             ways = slice(int(first[starts[c]]), int(first[ends[c] - 1] + many[ends[c] - 1]))
             local = np.where(whole[ways], -1, before[ways] - starts[c])
             share[ways] = shares_of(many[starts[c] : ends[c]].tolist(), local.tolist(), weight[ways].tolist())
-        # summed by place, so that no place's sums depend on what was filtered before it
-        upto = np.cumsum(share)
-        base = np.concatenate([[0.0], upto[first[1:] - 1]])
-        upto = np.repeat(np.arange(len(code)) - base, many) + upto + self.places
-        upto[first + many - 1] = np.arange(1, len(code) + 1) + self.places
+        # summed from each place's first way on, whatever lies around it
+        upto, reached, on = np.empty(len(share), np.int64), np.zeros(len(code)), np.arange(len(code))
+        for k in range(int(many.max())):
+            on = on[many[on] > k]
+            reached[on] += share[first[on] + k]
+            upto[first[on] + k] = np.minimum(np.rint(reached[on] * ONE).astype(np.int64), ONE)
+        upto[first + many - 1] = ONE
         place0, way0 = self.places, self.ways
         for name, more in (("upto", upto), ("piece", what), ("back", np.where(whole, -1, src - 1 + place0))):
             self.put(name, way0, more)
@@ -327,7 +332,7 @@ class Sampler:
             x = (state + (step + 1) * int(GOLDEN)) & ALL
             x = (x ^ x >> 30) * int(MIX_A) & ALL
             x = (x ^ x >> 27) * int(MIX_B) & ALL
-            x = ((x ^ x >> 31) >> 11) / (1 << 53) + at
+            x = (x ^ x >> 31) >> 11
             way = first(at)
             while upto(way) <= x:
                 way += 1
@@ -349,7 +354,7 @@ class Sampler:
         drawn, alive, step = [], np.arange(len(chunks)), 0
         count = np.zeros(len(chunks), np.int64)
         while len(alive) > ALONE:
-            x = uniform(state, step) + at
+            x = drawn_at(state, step)
             way = self.first[at]
             todo = np.flatnonzero(self.upto[way] <= x)
             while len(todo):

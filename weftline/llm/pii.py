@@ -13,8 +13,10 @@ resulting beliefs, which looks at the digits and separators too, as no labeler
 does. Proposed spans that it accepts are added; base spans stay.
 
 Everything that touches a text is a SQL expression. Positions come from the
-lengths of matches and of what lies between them. The patterns never back off
-over what they have read, so long texts cost no more than their length.
+lengths of matches and of what lies between them, summed in a logarithm of their
+number many steps; what stands around a span is cut from a block of the text.
+The patterns never back off over what they have read. So a text costs its length
+and its spans times the logarithm of their number, whatever it is made of.
 
 Defined results: null and empty texts have no spans; a null doc_id is kept;
 repeated rows get equal spans; an empty table gives an empty result; extra
@@ -23,6 +25,7 @@ columns are ignored, and kept as they are by ``redacted``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -64,23 +67,51 @@ BEFORE = {
 LABELERS, CHECK = 5, 3
 #: Beliefs from which a proposed span is added, and the letters before a span that count.
 LIMIT, WINDOW = 0.5, 32
+#: Code points of the blocks that parts of a text are cut from.
+BLOCK = 256
 ROUNDS = 50
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def scanned(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """The array of each element combined with all before it, in a logarithm of its length many steps."""
+    steps = F.array(*(F.lit(1 << k) for k in range(31)))
+
+    def run(v: Column) -> Column:
+        step = lambda a, far: F.transform(a, lambda x, i: F.when(i >= far, combine(F.get(a, i - far), x)).otherwise(x))
+        return F.aggregate(F.filter(steps, lambda far: far < F.size(v)), v, step)
+
+    return let(values, run)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<s, e, m>>: code-point positions and text of all matches."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    start = F.expr("struct(0L as at, cast(array() as array<struct<s:bigint,e:bigint,m:string>>) as out)")
+    none = F.expr("cast(array() as array<struct<s:bigint,e:bigint,m:string>>)")
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + F.length(x["b"]).cast("long")
-        e = s + F.length(x["m"]).cast("long")
-        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
+    def placed(m: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), 1, F.size(m))
+        ends = scanned(F.zip_with(between, m, lambda b, x: (F.length(b) + F.length(x)).cast("long")), lambda x, y: x + y)
+        return F.zip_with(ends, m, lambda e, x: F.struct((e - F.length(x)).alias("s"), e.alias("e"), x.alias("m")))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(b.alias("b"), m.alias("m")))
-    none = F.expr("cast(array() as array<struct<s:bigint,e:bigint,m:string>>)")
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step)["out"]).otherwise(none)
+    return let(found, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(none))
+
+
+def blocks(text: Column) -> Column:
+    """A text in runs of BLOCK code points, from which parts are cut without walking the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def part(cut: Column, start: Column, size: Column) -> Column:
+    """So many code points from a place on, of a text in blocks; places from 0."""
+    first = F.floor(start / BLOCK).cast("int")
+    many = F.floor((start + size - 1) / BLOCK).cast("int") - first + 1
+    within = (start - first.cast("long") * BLOCK).cast("int")
+    return F.when(size > 0, F.array_join(F.slice(cut, first + 1, many), "").substr(within + 1, size.cast("int"))).otherwise(F.lit(""))
 
 
 def digits(m: Column) -> Column:
@@ -129,13 +160,13 @@ def vote(yes: Column, no: Column) -> Column:
     return F.when(yes, F.lit(1)).when(no, F.lit(-1)).otherwise(F.lit(0))
 
 
-def votes(kind: str, text: Column, x: Column) -> Column:
+def votes(kind: str, cut: Column, x: Column) -> Column:
     """The labelers' votes on a span, as a string of +, - and 0; then its form:
     half its digits (9 at most) and the first of its separators."""
     m = x["m"]
     d = digits(m)
-    before = F.lower(text.substr(F.greatest(x["s"] - WINDOW, F.lit(0)).cast("int") + 1, F.least(x["s"], F.lit(WINDOW)).cast("int")))
-    after = text.substr(x["e"].cast("int") + 1, F.lit(1))
+    before = F.lower(part(cut, F.greatest(x["s"] - WINDOW, F.lit(0)), F.least(x["s"], F.lit(WINDOW))))
+    after = part(cut, x["e"], F.lit(1))
     never = F.lit(False)
     if kind == "email":
         shape = vote(m.rlike(r"^[^@]{1,64}@[^@]+\.[A-Za-z]{2,}$"), m.rlike(r"@.*\.[0-9]+$"))
@@ -168,21 +199,29 @@ SPAN = "struct<s:bigint,k:int,e:bigint,base:boolean,votes:string>"
 
 
 def spans(text: Column) -> Column:
-    """array<struct<s, k, e, base, votes>> of a text's base and proposed spans.
+    """array<struct<s, k, e, base, votes>> of a text's base and proposed spans, by start.
 
     Proposed spans that touch a base span of any kind are left out.
     """
-    base = base_spans(text)
-    loose = proposals(text)
 
-    def mark(kind: str, found: Column, is_base: bool) -> Column:
-        return F.transform(
-            found, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), F.lit(is_base).alias("base"), votes(kind, text, x).alias("votes"))
-        )
+    def marked(found: dict[str, Column], is_base: bool) -> list[Column]:
+        mark = lambda k: lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), F.lit(is_base).alias("base"), x["m"].alias("m"))
+        return [F.transform(v, mark(KINDS.index(kind))) for kind, v in found.items()]
 
-    firm = F.concat(*(mark(k, v, True) for k, v in base.items()))
-    soft = F.concat(*(mark(k, v, False) for k, v in loose.items()))
-    return F.aggregate(F.array(F.struct(firm.alias("firm"), soft.alias("soft"))), F.expr(f"cast(array() as array<{SPAN}>)"), lambda _, x: F.concat(x["firm"], F.filter(x["soft"], lambda p: ~F.exists(x["firm"], lambda b: (b["s"] < p["e"]) & (p["s"] < b["e"])))))
+    def free(every: Column) -> Column:
+        """Base spans, and those proposals that end before the next base span starts and start after those before have ended."""
+        far = F.lit((1 << 62))
+        ended = scanned(F.transform(every, lambda x: F.when(x["base"], x["e"]).otherwise(F.lit(0).cast("long"))), F.greatest)
+        starts = F.reverse(scanned(F.reverse(F.transform(every, lambda x: F.when(x["base"], x["s"]).otherwise(far))), F.least))
+        beside = F.zip_with(every, F.arrays_zip(ended.alias("ended"), starts.alias("starts")), lambda x, y: F.struct(x.alias("x"), (x["base"] | ((y["ended"] <= x["s"]) & (y["starts"] >= x["e"]))).alias("ok")))
+        return F.transform(F.filter(beside, lambda y: y["ok"]), lambda y: y["x"])
+
+    def judged(every: Column) -> Column:
+        ballot = lambda cut, x: reduce(lambda rest, k: F.when(x["k"] == k, votes(KINDS[k], cut, x)).otherwise(rest), range(len(KINDS)), F.lit(None).cast("string"))
+        return let(blocks(text), lambda cut: F.transform(free(every), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["base"].alias("base"), ballot(cut, x).alias("votes"))))
+
+    found = F.concat(*marked(base_spans(text), True), *marked(proposals(text), False))
+    return let(F.sort_array(found), lambda every: F.when(F.size(every) > 0, judged(every)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)")))
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
@@ -291,14 +330,20 @@ def redacted(docs: DataFrame) -> DataFrame:
     """
     model = classifier(with_spans(docs.select("text")))
     text = text_or_empty()
-    start = F.expr("struct(0L as at, '' as out)")
+    names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
+
+    def joined(cut: Column, found: Column, ended: Column) -> Column:
+        """What lies between the spans, and the name of each that starts where those before it have ended."""
+        before = lambda i: F.when(i > 0, F.get(ended, i - 1)).otherwise(F.lit(0).cast("long"))
+        pieces = F.transform(found, lambda x, i: F.when(x["s"] >= before(i), F.concat(part(cut, before(i), x["s"] - before(i)), F.element_at(names, x["k"] + 1))).otherwise(F.lit("")))
+        last = F.element_at(ended, -1)
+        return F.concat(F.array_join(pieces, ""), part(cut, last, F.length(text) - last))
 
-    def cut(a: Column, x: Column) -> Column:
-        name = F.element_at(F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS)), x["k"] + 1)
-        gap = text.substr(a["at"].cast("int") + 1, (x["s"] - a["at"]).cast("int"))
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] >= a["at"], F.concat(a["out"], gap, name)).otherwise(a["out"]).alias("out"))
+    def cut_out(found: Column) -> Column:
+        ends = scanned(F.transform(found, lambda x: x["e"]), F.greatest)
+        return let(F.struct(blocks(text).alias("cut"), ends.alias("ended")), lambda w: joined(w["cut"], found, w["ended"]))
 
-    done = F.aggregate(final_spans(model), start, cut, lambda a: F.concat(a["out"], text.substr(a["at"].cast("int") + 1, F.length(text))))
+    done = let(final_spans(model), lambda found: F.when(F.size(found) > 0, cut_out(found)).otherwise(text))
     found = F.size("_spans") > 0
     changed = {"text": F.when(found, F.col("new")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
