@@ -157,3 +157,37 @@ def test_long_texts_are_decided_at_the_threshold(spark):
             below += true > 0.77
             assert got[k] != got[k + 1]
     assert above >= 10 and below >= 10
+
+
+def test_unlike_texts_under_one_id_both_stay(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(80))
+    near = text(1) + " more"
+    rows = [(5, text(1)), (5, text(2)), (7, near), (8, text(3)), (8, text(3)), (8, text(2)), (9, text(3).upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((r.doc_id, r.text) for r in near_copies.deduplicated(docs).collect())
+    assert kept == sorted([(5, text(1)), (5, text(2)), (8, text(3))])
+
+
+def test_a_key_of_very_many_texts_costs_its_size(spark):
+    """100,000 texts of one class and a few others under one key: rows dealt grow with the number of texts."""
+    n, block = 100_000, 512
+    rows = spark.range(n + 40).selectExpr("7L AS key", "id AS node", f"IF(id < {n}, 0L, id) AS root", "10L AS n", "0L AS place")
+    assert n <= near_copies.across(rows, block).count() <= 1.2 * n
+    assert near_copies.beside(rows, block).count() == n + 40
+    dealt = near_copies.across(rows, block)
+    largest = dealt.groupBy("key", "pair").count().agg({"count": "max"}).first()[0]
+    assert largest < 2 * block + 100
+    # every pair of different classes meets, and no block holds one class alone
+    few = spark.range(30).selectExpr("7L AS key", "id AS node", "IF(id < 20, 0L, id) AS root", "10L AS n", "0L AS place")
+    met = near_copies.across(few, 4).select("pair", "node", "root").collect()
+    by = {}
+    for r in met:
+        by.setdefault(r.pair, []).append(r)
+    pairs = {(min(a.node, b.node), max(a.node, b.node)) for g in by.values() for a in g for b in g if a.root != b.root}
+    assert pairs == {(a, b) for a in range(30) for b in range(a + 1, 30) if b >= 20}
+
+
+def test_many_unlike_texts_that_share_a_shingle(spark):
+    texts = ["one two three four five " + " ".join(f"x{k}y{j}" for j in range(4 + k % 3)) for k in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert near_copies.deduplicated(docs, 16).count() == len(texts)

@@ -14,15 +14,17 @@ The prints' candidates' components are looked into, also by whole sets (64-bit
 hashes of all shingles); the threshold is 0.8 exactly. What moves to where two
 texts are compared is their words, compressed; their sets are made there.
 
-Equal texts join by their digest first, so every group of copies is one node
-from then on. Large components are dealt into pairs of blocks, and a task that
-knows two texts to be connected does not compare them, so a dense group costs
-little more than its size.
+Texts of equal words join by their digest first, so every group of copies is one
+node from then on. Large components are dealt into pairs of blocks, and a task
+that knows two texts to be connected does not compare them; under a prefix key
+the largest class is never compared with itself. So a dense group costs little
+more than its size. Texts go through Python once; later passes read their words.
 
 Defined results: null and empty texts are equal texts; texts of fewer than five
-words have one shingle; a group keeps the row with its smallest doc_id, rows
-that repeat this id go, and rows with a null doc_id all stay; an empty table
-gives an empty result; extra columns are kept as they are.
+words have one shingle; a group keeps the row with its smallest doc_id, unlike
+texts under one doc_id are texts of their own, of rows that repeat both one
+stays, and rows with a null doc_id all stay; an empty table gives an empty
+result; extra columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -99,7 +101,7 @@ def unpack(packed: bytes) -> np.ndarray:
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that several different texts of a batch have, and how many."""
     for b in batches:
-        sets = [shingle_set(words_of(t)) for t in {t.as_py() for t in b.column("text")}]
+        sets = [unpack(w) for w in {w.as_py() for w in b.column("words")}]
         key, n = np.unique(np.concatenate([np.empty(0, np.int64), *sets]), return_counts=True)
         yield pa.record_batch([pa.array(key[n > 1]), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
 
@@ -143,19 +145,6 @@ def pairs_of(key: np.ndarray, pair: np.ndarray, node: np.ndarray, root: np.ndarr
         yield np.concatenate(left), np.concatenate(right)
 
 
-def _shared(block: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose key another text has, and into how many blocks the key is dealt."""
-        for rows in simhash.whole_groups(batches, ("key",), 1 << 16):
-            key = rows.column("key").to_numpy()
-            _, which, n = np.unique(key, return_inverse=True, return_counts=True)
-            n = n[which]
-            rows = rows.append_column("blocks", pa.array(-(-n // block), pa.int32())).filter(pa.array(n > 1))
-            yield from rows.to_batches()
-
-    return run
-
-
 def _pairs(reach: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in simhash.whole_groups(batches, ("key", "pair"), 1 << 16):
@@ -165,13 +154,6 @@ def _pairs(reach: int | None):
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        words = [words_of(t.as_py()) for t in b.column("text")]
-        size = [max(min(1, len(w)), len(w) - SHINGLE + 1) for w in words]
-        yield pa.record_batch([b.column("node"), pa.array(size, pa.int64()), pa.array(map(pack, words), pa.binary())], names=["node", "size", "words"])
-
-
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose whole sets are alike."""
     last, x = b"", np.empty(0, np.int64)
@@ -186,41 +168,77 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["src", "dst"]).filter(pa.array(ok, pa.bool_()))
 
 
-def prefixes(src: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
-    """key, node, n, place, blocks: the prefix shingles that several of the nodes' texts have."""
-    counts = small_batches(src).mapInArrow(_common, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def prefixes(profile: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+    """key, node, n, place: the prefix shingles that texts of several classes have."""
+    counts = small_batches(profile.select("words")).mapInArrow(_common, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     common = counts.orderBy(F.desc("n"), "key").limit(COMMON).collect()  # so many rows at most; they set the order only
     common = np.array(sorted((r["key"], r["n"]) for r in common), np.int64).reshape(-1, 2)
     last, weight = common[:, 0].copy(), common[:, 1].copy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(words_of(t.as_py())) for t in b.column("text")]
+            sets = [unpack(w.as_py()) for w in b.column("words")]
             first = [prefix(s, last, weight) if len(s) else s for s in sets]
-            yield pa.record_batch([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["node", "n", "keys"])
+            yield pa.record_batch([b.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["node", "n", "keys"])
 
-    # a repeated doc_id with different texts has a row for each
-    own = src.mapInArrow(run, "node long, n long, keys array<bigint>").join(nodes.select("node").distinct().hint("merge"), "node", "left_semi")
+    own = small_batches(profile.select("row", "words")).mapInArrow(run, "node long, n long, keys array<bigint>")
+    own = stored(own.join(texts.select("node").hint("merge"), "node", "left_semi"), "prefixes")
     rows = own.select(F.posexplode("keys").alias("place", "key"), "node", "n").select("key", "node", "n", F.col("place").cast("long").alias("place"))
-    return stored(rows.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_shared(block), "key long, node long, n long, place long, blocks int"), "prefixes")
+    rooted = rows.select("key", "node").join(found.hint("merge"), "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+    # rows of a key that very many texts have are split by the planner
+    shared = stored(rows.join(several.hint("merge"), "key"), "shared-prefixes")
+    forget(own)
+    return shared
+
+
+def beside(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` (key, node, root, n, place) in blocks of their key: neighbours in one may be alike."""
+    count = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("all")), "key-counts")
+    blocks = F.ceil(F.col("all") / F.lit(block))
+    return rows.join(count, "key").withColumn("pair", F.pmod(F.xxhash64("node", "key"), blocks).cast("long"))
+
 
+def across(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` at all pairs of blocks of their key that hold texts of different classes.
 
-PROFILE = "doc_id long, fp long, hi long, lo long, prints array<bigint>"
+    A key's largest class is never compared with itself: its blocks meet those of
+    the other classes, which meet each other too. So a key of one very large class
+    and a few other texts costs about its size times the number of their blocks.
+    """
+    sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    many = F.ceil(F.col("most.size") / F.lit(block)).cast("int")
+    rest = F.ceil((F.col("all") - F.col("most.size")) / F.lit(block)).cast("int")
+    keys = stored(keys.select("key", F.col("most.root").alias("main"), many.alias("many"), rest.alias("rest")), "key-classes")
+    both = rows.join(keys, "key").withColumn("is_main", F.col("root") == F.col("main"))
+    mine = F.pmod(F.xxhash64("node", "key"), F.when(F.col("is_main"), F.col("many")).otherwise(F.col("rest"))).cast("long")
+    to = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+    with_rest = F.transform(to(F.col("rest")), lambda j: F.col("mine") * 0x7FFFFFFF + j)
+    with_main = F.transform(to(F.col("many")), lambda i: i * 0x7FFFFFFF + F.col("mine"))
+    among = F.transform(to(F.col("rest")), lambda j: -1 - F.least("mine", j) * 0x7FFFFFFF - F.greatest("mine", j))
+    out = both.withColumn("mine", mine)
+    return out.withColumn("pair", F.explode(F.when(F.col("is_main"), with_rest).otherwise(F.concat(with_main, among))))
+
+
+PROFILE = "doc_id long, row long, md5 binary, hi long, lo long, fp long, prints array<bigint>, size long, words binary"
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "fp", "hi", "lo", "prints"]
+    """What is kept of each text: its words, packed, their digest, and fingerprints."""
     for b in batches:
         n = b.num_rows
-        fp, digest, prints = np.empty(n, np.uint64), np.empty((n, 2), np.uint64), np.empty((n, PRINTS), np.int64)
+        fp, digest, prints, size, packed = np.empty(n, np.uint64), np.empty((n, 2), np.uint64), np.empty((n, PRINTS), np.int64), np.empty(n, np.int64), []
         for k, t in enumerate(b.column("text")):
-            text = t.as_py() or ""
-            raw = text.encode("utf-8", "surrogatepass")
-            d = xxhash.xxh3_128_intdigest(raw)
-            fp[k], digest[k], prints[k] = simhash.fingerprint(text), (d >> 64, d & 0xFFFFFFFFFFFFFFFF), word_prints(raw.lower().split())
+            words = words_of(t.as_py())
+            d = xxhash.xxh3_128_intdigest(b" ".join(words))
+            fp[k], digest[k], prints[k] = simhash.fingerprint(t.as_py() or ""), (d >> 64, d & 0xFFFFFFFFFFFFFFFF), word_prints(words)
+            size[k] = max(min(1, len(words)), len(words) - SHINGLE + 1)
+            packed.append(pack(words))
         lists = pa.ListArray.from_arrays(np.arange(0, (n + 1) * PRINTS, PRINTS, dtype=np.int32), pa.array(prints.ravel()))
-        columns = [b.column("doc_id"), *(pa.array(x.view(np.int64)) for x in (fp, digest[:, 0].copy(), digest[:, 1].copy())), lists]
-        yield pa.record_batch(columns, names=names)
+        numbers = [pa.array(x.view(np.int64)) for x in (digest[:, 0].copy(), digest[:, 1].copy(), fp)]
+        columns = [b.column("doc_id"), b.column("row"), b.column("md5"), *numbers, lists, pa.array(size), pa.array(packed, pa.binary())]
+        yield pa.record_batch(columns, names=["doc_id", "row", "md5", "hi", "lo", "fp", "prints", "size", "words"])
 
 
 def alike(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -262,27 +280,30 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["src", "dst"])
 
 
-def copies(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(nodes, (node, root)): the smallest doc_id of each distinct text, and for
-    those that another text stands for, the smallest of their class.
+def digest() -> Column:
+    """A text's own digest, null texts like empty ones."""
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+
+
+def text_classes(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(node, doc_id, md5) of each distinct sequence of words, by its row with the
+    smallest doc_id and then digest; and (node, root) of those that are not the
+    root of their class.
 
     A class joins near copies, and texts whose shingle fingerprints
     (``simhash.fingerprint``) link. Rows with a null doc_id take no part.
     """
-    src = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    src = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), digest().alias("md5"), F.col("text").cast("string"))
     profile = stored(small_batches(src).mapInArrow(_profiles, PROFILE), "profiles")
-    texts = stored(profile.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("prints").alias("prints")), "texts")
+    texts = profile.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "md5", "row")).alias("m"), F.first("fp").alias("fp"), F.first("prints").alias("prints"))
+    texts = stored(texts.select(F.col("m.row").alias("node"), "m.doc_id", "m.md5", "fp", "prints"), "texts")
+    words = profile.select(F.col("row").alias("node"), "size", "words")
     # candidates among distinct texts, and their components
     keyed = texts.select("node", F.posexplode("prints").alias("number", "fp")).select(F.explode(simhash.keys(F.col("fp"), F.col("number"))).alias("key"), "node", "fp")
     near = simhash.components(simhash.links(keyed))
-    members = near.union(near.select(F.col("root").alias("node"), "root").distinct())
-    # whole sets of every text that has a candidate, by fingerprints or by prefixes
-    shared = prefixes(src, texts, block)
-    needed = stored(shared.select("node").union(members.select("node")).distinct(), "needed")
-    packed = small_batches(src.withColumnRenamed("doc_id", "node")).mapInArrow(_packed, "node long, size long, words binary")
-    sets = stored(packed.join(needed.hint("merge"), "node"), "sets")
+    members = stored(near.union(near.select(F.col("root").alias("node"), "root").distinct()), "members")
     # merge joins at every size: what moves is in proportion to the input
-    rooted = sets.join(members.hint("merge"), "node")
+    rooted = stored(words.join(members.hint("merge"), "node"), "candidates")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("size") / F.lit(block * SET_SIZE)))
     size = stored(rooted.groupBy("root").agg(blocks.cast("int").alias("blocks")).where("blocks > 0"), "component-sizes")
     placed = simhash.dealt(rooted.join(size, "root"), ["root"], "node").select("root", "pair", "node", "words")
@@ -292,36 +313,55 @@ def copies(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     least = stored(prints.groupBy("root").agg(F.min("first").alias("dst")), "first-of-prints")
     by_print = texts.select("fp", "node").join(prints.select("fp", "root"), "fp").join(least, "root").select(F.col("node").alias("src"), "dst")
     found = simhash.components(verified.union(by_print))
-    forget(profile, near, needed, size, least)
+    forget(near, members, rooted, size, least)
     # every other pair that is alike shares a shingle of its prefixes: neighbours under a key first, so that
     # dense groups are one class when all pairs of different classes are looked at
-    for reach in (1, None):
+    shared = prefixes(profile, texts, found)
+    sets = stored(words.join(shared.select("node").distinct().hint("merge"), "node").select("node", "words"), "sets")
+    forget(profile)
+    for reach, deal in ((1, beside), (None, across)):
         rooted = shared.join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        placed = simhash.dealt(rooted, ["key"], "node").select("key", "pair", "node", "root", "n", "place")
+        placed = deal(rooted, block).select("key", "pair", "node", "root", "n", "place")
         pairs = placed.repartition("key", "pair").sortWithinPartitions("key", "pair", "n", "node").mapInArrow(_pairs(reach), "src long, dst long")
         pairs = stored(pairs.distinct(), "pairs")
         both = pairs.join(sets.select(F.col("node").alias("src"), F.col("words").alias("a")), "src").join(sets.select(F.col("node").alias("dst"), F.col("words").alias("b")), "dst")
         before, found = found, simhash.components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")).union(both.mapInArrow(_judged, "src long, dst long")))
         forget(before, pairs)
     forget(shared, sets)
-    nodes = texts.select("node")
+    nodes = texts.select("node", "doc_id", "md5")
     nodes._weftline_path = texts._weftline_path
     return nodes, found
 
 
+def kept_of(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """root, doc_id, md5: of each class the text with the smallest doc_id, then digest."""
+    rooted = nodes.join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rooted.groupBy("root").agg(F.min(F.struct("doc_id", "md5")).alias("kept")).select("root", "kept.doc_id", "kept.md5")
+
+
+def copies(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(nodes, (node, root)) by doc_id: the smallest doc_id of each distinct text, and
+    for those that another doc_id stands for, the smallest of their class."""
+    nodes, found = text_classes(docs, block)
+    kept = kept_of(nodes, found).select("root", F.col("doc_id").alias("kept"))
+    rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")).join(kept, "root")
+    return nodes.select(F.col("doc_id").alias("node")), rooted.where("doc_id != kept").select(F.col("doc_id").alias("node"), F.col("kept").alias("root"))
+
+
 def deduplicated(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row of each class of near copies: that with the smallest doc_id.
 
-    Rows that repeat this doc_id go, whatever their text. Rows with a null
-    doc_id cannot be told apart; all of them stay.
+    Texts that share a doc_id are told apart by their digests. Of rows that
+    repeat the kept doc_id and text, any one stays. Rows with a null doc_id
+    cannot be told apart; all of them stay.
     """
-    nodes, found = copies(docs, block)
-    keep = stored(nodes.distinct().join(found.select("node"), "node", "left_anti"), "kept")
+    nodes, found = text_classes(docs, block)
+    keep = stored(kept_of(nodes, found).select(F.col("doc_id").alias("_id"), "md5"), "kept")
     forget(nodes, found)
     # texts move once, at every size
-    rows = docs.join(keep.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    rows = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("_id"), digest().alias("md5")).where(F.col("_id").isNotNull())
+    rows = rows.join(keep.hint("merge"), ["_id", "md5"], "left_semi")
     ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if ids.limit(1).count():
-        one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        rows = rows_again(rows.select(row_of(rows), "doc_id", "text").withColumn("nth", one).where("nth = 1"), docs)
-    return rows.union(docs.where(F.col("doc_id").isNull()))
+        rows = rows.dropDuplicates(["_id", "md5"])
+    return rows_again(rows, docs).union(docs.where(F.col("doc_id").isNull()))
