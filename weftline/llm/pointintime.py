@@ -31,8 +31,6 @@ clicks are fully equal.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -140,14 +138,14 @@ def chunk_of(us: Column) -> Column:
 def grid(rows: DataFrame, windows: tuple[int, ...], ahead: int, chunk: int) -> DataFrame:
     """client, parts: of each client with more than ``chunk`` rows, the days that have more than one part and how many.
 
-    Counts of the days of base, start and t are made first, so a client comes to
-    no more rows than it has such days.
+    The days of base, start and t are counted before anything moves, so a client
+    comes to no more rows than it has such days.
     """
-    daily = rows.groupBy("client", *(day_of(F.col(c)).alias(c) for c in ("base", "start", "t"))).count()
-    many = daily.groupBy("client").agg(F.sum("count").alias("all")).where(F.col("all") > chunk).select("client")
-    seen = F.array_compact(F.array(F.col("start"), F.col("t"), F.col("base"), F.col("base") - ahead, *(F.col("base") + d for d in windows)))
-    days = daily.join(many.hint("shuffle_hash"), "client").select("client", "count", F.explode(F.array_distinct(seen)).alias("day"))
-    days = days.groupBy("client", "day").agg(F.sum("count").alias("count"))
+    each = F.array(*(F.struct(F.lit(k).alias("of"), day_of(F.col(c)).alias("day")) for k, c in enumerate(("base", "start", "t"))))
+    daily = rows.select("client", F.explode(each).alias("x")).where("x.day IS NOT NULL").groupBy("client", "x.of", "x.day").count()
+    many = daily.groupBy("client").agg(F.sum(F.when(F.col("of") == 0, F.col("count"))).alias("all")).where(F.col("all") > chunk).select("client")
+    seen = F.when(F.col("of") == 0, F.array(F.col("day"), F.col("day") - ahead, *(F.col("day") + d for d in windows))).otherwise(F.array("day"))
+    days = daily.select("client", "count", F.explode(seen).alias("day")).groupBy("client", "day").agg(F.sum("count").alias("count")).join(many.hint("shuffle_hash"), "client")
     parts = F.least(F.ceil(F.col("count") / chunk), F.lit(PARTS)).cast("int")
     full = F.when(F.col("count") > chunk, F.struct(F.col("day"), parts.alias("n")))
     return days.groupBy("client").agg(F.map_from_entries(F.sort_array(F.collect_list(full))).alias("parts"))
@@ -239,12 +237,14 @@ def pushed(rows: pa.Table, before: pa.Table, windows: tuple[int, ...], ahead: in
         return total[probe + 1] - total[first[pg]]
 
     # constants of the chunks that have some, zero for the others
-    where = {k: i for i, k in enumerate(zip(client[order][new].tolist(), chunk[order][new].tolist(), strict=True))}
-    held = np.array([where[k] for k in zip(before["client"].to_pylist(), before["chunk"].to_pylist(), strict=True)], np.int64)
+    where, held = {k: i for i, k in enumerate(zip(client[order][new].tolist(), chunk[order][new].tolist(), strict=True))}, np.empty(0, np.int64)
+    if before.num_rows:  # a side without rows comes without columns
+        held = np.array([where[k] for k in zip(before["client"].to_pylist(), before["chunk"].to_pylist(), strict=True)], np.int64)
 
     def constant(name: str) -> np.ndarray:
         out = np.zeros(groups, np.int64)
-        out[held] = numbers(before, name)
+        if len(held):
+            out[held] = numbers(before, name)
         return out[pg]
 
     ahead_in, ahead_out = np.flatnonzero(mask & bit["label_lo"]), np.flatnonzero(mask & bit["label_hi"])
@@ -292,13 +292,15 @@ def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tup
     at, bit = ends(windows, ahead), bits(windows)
     forget(all_rows)
     columns = ["client", "chunk", "mask", "kind", "start", "base", "reach", "n", "cents", "id", "t"]
-    whole = reduce(lambda a, b: a + b, (F.when(c.isNotNull(), F.lit(bit[k])).otherwise(F.lit(0)) for k, c in at.items()))
-    few = few.withColumns({"chunk": F.lit(WHOLE), "mask": whole}).select(*columns)
-    each = F.explode(F.filter(F.array(*(F.struct(F.lit(bit[k]).alias("mask"), c.alias("us")) for k, c in at.items())), lambda e: e["us"].isNotNull()))
-    many = many.withColumn("_end", each).withColumns({"chunk": chunk_of(F.col("_end.us")), "mask": F.col("_end.mask")}).select(*columns)
-    many = stored(many, "ends")
-    deal = F.pmod(F.xxhash64("client", "chunk"), F.lit(max(1, -(-(known.count() + many.count()) // bucket)))).alias("bucket")
-    rows, held = few.unionByName(many).select(deal, "*"), constants(many, windows).select(deal, "*")
+    each = F.filter(F.array(*(F.struct(F.lit(bit[k]).alias("mask"), c.alias("us")) for k, c in at.items())), lambda e: e["us"].isNotNull())
+    whole = F.array(F.struct(F.aggregate(each, F.lit(0), lambda a, e: a + e["mask"]).alias("mask"), F.lit(WHOLE).alias("chunk")))
+    # all ends of a client of one chunk at once, each end of a busy one where it lies
+    places = F.when(F.col("busy"), F.transform(each, lambda e: F.struct(e["mask"].alias("mask"), chunk_of(e["us"]).alias("chunk")))).otherwise(whole)
+    sent = few.unionByName(many).withColumn("_at", F.explode(places)).withColumns({"chunk": F.col("_at.chunk"), "mask": F.col("_at.mask")})
+    sent = stored(sent.select(*columns, "busy"), "ends", "busy")
+    deal = F.pmod(F.xxhash64("client", "chunk"), F.lit(max(1, -(-sent.count() // bucket)))).alias("bucket")
+    rows, held = sent.select(deal, *columns), constants(sent.where("busy"), windows).select(deal, "*")
+    forget(known)
 
     def solve(rows: pa.Table, before: pa.Table) -> pa.Table:
         x = pushed(rows, before, windows, ahead)
