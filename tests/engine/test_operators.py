@@ -183,6 +183,49 @@ def test_identity_by_address_or_content(spark):
     assert ingest.matched(candidate(spark, url="https://q", content_hash="x"), stored).first().old is None
 
 
+def rows_out(plan):
+    """(node, rows) of every join that a plan ran."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.executedPlan()
+    if "QueryStage" in plan.getClass().getSimpleName():
+        plan = plan.plan()
+    out = []
+    if "Join" in plan.nodeName() and plan.metrics().contains("numOutputRows"):
+        out.append((plan.nodeName(), plan.metrics().apply("numOutputRows").value()))
+    kids = plan.children()
+    for k in range(kids.size()):
+        out += rows_out(kids.apply(k))
+    return out
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_content_that_repeats_meets_once(spark, threshold):
+    """Every join puts out at most a row a candidate or stored row, with one content on all of both sides."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        n = 100_000
+        one = candidate(spark)
+        many = one.crossJoin(spark.range(n).select(F.concat(F.lit("https://new/"), F.col("id").cast("string")).alias("_u"))).withColumn("url", F.col("_u")).drop("_u")
+        stored = table(spark, [article(5, content_hash=one.first().content_hash, title=one.first().title, source_name=one.first().source_name)])
+        stored = stored.crossJoin(spark.range(n).withColumnRenamed("id", "_k")).withColumn("id", F.concat(F.lit("s"), F.lpad(F.col("_k").cast("string"), 7, "0"))).withColumn("url", F.concat(F.lit("https://old/"), F.col("_k").cast("string"))).drop("_k")
+        got = ingest.matched(many, stored).select(F.col("old.id").alias("i")).groupBy("i").count()
+        assert [tuple(r) for r in got.collect()] == [("s0000000", n)]
+        found = [r for r in rows_out(got._jdf.queryExecution().executedPlan()) if r[0] != "BroadcastNestedLoopJoin"]
+        assert len(found) >= 4 and max(r for _, r in found) <= 2 * n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_model_cards_and_fallback_cards_write_the_same_rows(spark):
+    rows = ingest.routed(ingest.matched(candidate(spark), table(spark, [])))
+    one = ingest.written(rows, schemas.ARTICLES.names)
+    kept = []
+    two = ingest.written(rows, schemas.ARTICLES.names, lambda df: ingest.fallback_card(df), keep=lambda df: kept.append(df) or df)
+    assert one.collect() == two.collect() and len(kept) == 1
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
+
+
 def test_one_candidate_an_address_a_batch(spark):
     df = spark.createDataFrame([("u", 1, "x"), ("u", 2, "y"), ("v", 1, "z")], "url string, position int, t string")
     assert sorted(r.t for r in ingest.last_of_batch(df).collect()) == ["y", "z"]

@@ -2,14 +2,17 @@
 
 import datetime as dt
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftline import schemas
 from weftline.functions import documents
-from weftline.operators import ingest
+from weftline.operators import collection, ingest
 from weftline.plans import catalog, fixtures
+from weftline.providers import HashedEmbedder
 from weftline.sources import feeds, fetch, html, logs, store
 from weftline.streaming import jobs, windows
 
@@ -110,44 +113,53 @@ def test_fetching_by_partition(spark):
     assert [(r.extraction_status, r.error_code) for r in fetch.failed_entries(failed).collect()] == [("feed_excerpt_only", "http_not_found"), ("title_only", "network_error")]
 
 
-def test_store(spark, tmp_path):
-    t = store.Table(spark, str(tmp_path), "docs")
-    assert t.read() is None
-    t.replace(spark.createDataFrame([("1", "a"), ("2", "b")], "id string, v string"))
+def test_store(spark):
+    rows = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, v string")
     new = spark.createDataFrame([("2", "c"), ("3", "d")], "id string, v string")
-    t.replace(store.upserted(t.read(), new))
-    assert sorted(map(tuple, t.read().collect())) == [("1", "a"), ("2", "c"), ("3", "d")]
-    t.append(spark.createDataFrame([("9", "z")], "id string, v string"))
-    assert t.read().count() == 4
+    merged = store.upserted(rows, new)
+    assert sorted(map(tuple, merged.collect())) == [("1", "a"), ("2", "c"), ("3", "d")]
+    assert store.upserted(None, new) is new
     chunks = spark.createDataFrame([("1", "x"), ("2", "y")], "document_id string, content string").withColumn("content_hash", F.lit("h"))
     out = store.replaced_chunks(chunks, new, spark.createDataFrame([("2", "new")], "document_id string, content string"))
     assert sorted((r.document_id, r.content) for r in out.collect()) == [("1", "x"), ("2", "new")]
-    assert store.cascaded(out, t.read().where("id <> '1'")).count() == 1
+    assert store.cascaded(out, merged.where("id <> '1'")).count() == 1
 
 
-def test_a_change_touches_its_buckets_alone(spark, tmp_path):
-    t = store.KeyedTable(spark, str(tmp_path), "docs", buckets=8)
+def files(path):
+    return {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_a_batch_writes_its_own_rows_alone(spark, tmp_path):
+    t = store.BatchTable(spark, str(tmp_path), "docs")
     rows = lambda *r: spark.createDataFrame(list(r), "id string, v string")
-    assert t.read() is None
-    t.merge(rows(*((str(k), "a") for k in range(50))))
-    before = t.current()
-    t.merge(rows(("7", "b"), ("new", "c")))
-    after = t.current()
-    assert sum(before.get(b) != v for b, v in after.items()) <= 2
+    assert t.read() is None and t.batches() == []
+    t.put(rows(*((str(k), "a") for k in range(50))), 0)
+    before = files(tmp_path)
+    t.put(rows(("7", "b"), ("new", "c")), 1)
+    assert before.items() <= files(tmp_path).items() and t.rows().where("_batch = 1").count() == 2
     got = {r.id: r.v for r in t.read().collect()}
     assert len(got) == 51 and got["7"] == "b" and got["8"] == "a" and got["new"] == "c"
-    t.replace_of(rows(("8", "")).select("id"), rows(("9", "z"), ("9", "y")))
+    # a key may have many rows, or lose all
+    t.put(rows(("9", "z"), ("9", "y")), 2, rows(("8", ""), ("9", "")).select("id"))
     got = sorted((r.id, r.v) for r in t.read().where("id in ('8', '9')").collect())
     assert got == [("9", "y"), ("9", "z")]
-    t.merge(rows().limit(0))
+    t.put(rows().limit(0), 3)
     assert t.read().count() == 51
+    # as of an earlier batch, and written again
+    assert {r.id: r.v for r in t.read(upto=0).collect()} == {str(k): "a" for k in range(50)}
+    t.put(rows(("7", "other")), 1)
+    got = {r.id: r.v for r in t.read().where("id in ('7', 'new')").collect()}
+    assert got == {"7": "other"}
 
 
-def test_old_versions_go(spark, tmp_path):
-    t = store.Table(spark, str(tmp_path), "docs")
+def test_old_batches_go(spark, tmp_path):
+    t = store.BatchTable(spark, str(tmp_path), "docs", "k")
     for k in range(4):
-        t.replace(spark.createDataFrame([(k,)], "k int"))
-    assert len(t.versions()) == 4 and len(t.pruned(2)) == 2 and t.versions()[-1] == t.version and t.read().first().k == 3
+        t.put(spark.createDataFrame([(k, k), (9, k)], "k int, v int"), k)
+    want = sorted(map(tuple, t.read().collect()))
+    assert t.compact(2) == [0, 1] and t.batches() == [2, 3]
+    assert sorted(map(tuple, t.read().collect())) == want == [(0, 0), (1, 1), (2, 2), (3, 3), (9, 3)]
+    assert t.compact(2) == []
 
 
 def test_lock(spark, tmp_path):
@@ -159,6 +171,39 @@ def test_lock(spark, tmp_path):
         assert mine
 
 
+def test_a_dead_runs_lock_is_taken_over(spark, tmp_path):
+    path = tmp_path / "LOCK"
+    path.write_text(json.dumps({"owner": "gone", "token": 41, "expires": time.time() - 1}))
+    with store.run_lock(spark, str(tmp_path)) as mine:
+        assert mine and mine.token > 41
+        mine.check()
+    assert not path.exists()
+    path.write_text("half a li")  # a writer that may still write, and one that died while it wrote
+    with store.run_lock(spark, str(tmp_path)) as mine:
+        assert mine is None
+    os.utime(path, (time.time() - 500,) * 2)
+    with store.run_lock(spark, str(tmp_path)) as mine:
+        assert mine
+    path.write_text(json.dumps({"owner": "alive", "token": 41, "expires": time.time() + 60}))
+    with store.run_lock(spark, str(tmp_path)) as mine:
+        assert mine is None
+    assert json.loads(path.read_text())["owner"] == "alive"
+
+
+def test_a_lease_is_renewed_while_the_run_lives_and_told_when_it_is_lost(spark, tmp_path):
+    with store.run_lock(spark, str(tmp_path), lease=4) as mine:
+        time.sleep(6)
+        with store.run_lock(spark, str(tmp_path)) as other:
+            assert other is None
+        mine.check()
+    with store.run_lock(spark, str(tmp_path), lease=60) as mine:
+        store._put(spark, str(tmp_path / "LOCK"), json.dumps({"owner": "another", "token": mine.token + 1, "expires": time.time() + 60}), overwrite=True)
+        for act in (mine.check, mine.renew):
+            with pytest.raises(RuntimeError, match="another run"):
+                act()
+    assert json.loads((tmp_path / "LOCK").read_text())["owner"] == "another"  # not deleted by who lost it
+
+
 def test_embeddings_need_equal_lengths(spark):
     c = spark.createDataFrame([("1", ["a", "b"])], "document_id string, chunks array<string>")
     v = spark.createDataFrame([("1", [[1.0], [2.0]])], "document_id string, vectors array<array<float>>")
@@ -221,29 +266,59 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("hourly").collect())) == want and want
 
 
+RELEVANCE = lambda df: df.withColumn("tier", F.when(ingest.reuses(), F.col("old.relevance_tier")).otherwise(F.col("answer")))
+
+
 def test_stream_of_candidates_goes_through_the_router(spark, tmp_path):
     new, _ = catalog.stored_and_new(spark, "/root/testdata/sf0.001")
     rows = new.withColumn("position", F.col("doc_id"))
     rows.write.parquet(str(tmp_path / "in"))
-    table = store.KeyedTable(spark, str(tmp_path), "articles")
-    relevance = lambda df: df.withColumn("tier", F.when(ingest.reuses(), F.col("old.relevance_tier")).otherwise(F.col("answer")))
+    articles, chunk_table, run_table = jobs.tables(spark, str(tmp_path))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    jobs.ingesting(stream, str(tmp_path), relevance, str(tmp_path / "cp")).awaitTermination(120)
-    stored = table.read().select(*schemas.ARTICLES.names)
+    jobs.ingesting(stream, str(tmp_path), RELEVANCE, str(tmp_path / "cp")).awaitTermination(120)
+    stored = articles.read().select(*schemas.ARTICLES.names)
     assert stored.count() == rows.select("url").distinct().count()
     assert schemas.violations(stored).count() == 0
     # those with a card of their own have chunks with vectors; the ledger has a row a source
-    chunks = store.KeyedTable(spark, str(tmp_path), "chunks", "document_id").read()
+    chunks = chunk_table.read()
     carded = stored.where("summary_generated_by = 'deterministic-fallback'").select("id")
     assert {r.document_id for r in chunks.select("document_id").distinct().collect()} == {r.id for r in carded.collect()}
     assert chunks.where("size(embedding) = 0 or token_count > 650").count() == 0
-    runs = store.Table(spark, str(tmp_path), "runs").read()
+    runs = run_table.read()
     assert runs.agg(F.sum("matched_items")).first()[0] == stored.count() and runs.agg(F.sum("chunks_written")).first()[0] == chunks.count()
     # the same candidates again change nothing but dates
-    again = ingest.routed(relevance(ingest.matched(rows, stored)))
+    again = ingest.routed(RELEVANCE(ingest.matched(rows, stored)))
     assert {r.status for r in again.select("status").distinct().collect()} <= {"unchanged", "quarantined"}
 
 
+@pytest.mark.parametrize("stops", ["chunks", "articles", "runs", "after"])
+def test_a_run_that_stops_anywhere_and_runs_again_leaves_what_one_leaves(spark, tmp_path, stops):
+    new, _ = catalog.stored_and_new(spark, "/root/testdata/sf0.001")
+    rows = new.withColumn("position", F.col("doc_id")).where("doc_id < 40")
+    both = {}
+    for name in ("once", "twice"):
+        three = jobs.tables(spark, str(tmp_path / name))
+        run = jobs.ingest_batch(*three, RELEVANCE, HashedEmbedder())
+        run(rows.where("doc_id < 30"), 0)
+        if name == "twice":
+            for t, step in zip((three[1], three[0], three[2]), ("chunks", "articles", "runs"), strict=True):
+                if step == stops:
+                    t.put = lambda *a: (_ for _ in ()).throw(OSError("stopped"))
+            try:
+                run(rows.where("doc_id >= 20"), 1)
+                assert stops == "after"
+            except OSError:
+                # what was not committed does not count
+                assert collection.committed(three[2]) == 0
+                assert three[0].read(upto=0).count() == 30
+            three = jobs.tables(spark, str(tmp_path / name))
+            run = jobs.ingest_batch(*three, RELEVANCE, HashedEmbedder())
+        run(rows.where("doc_id >= 20"), 1)
+        assert collection.committed(three[2]) == 1
+        both[name] = [sorted(map(str, t.read().drop("started_at", "finished_at").collect())) for t in three]
+    assert both["once"] == both["twice"] and all(both["once"])
+
+
 def test_silence_is_told_once(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     def write(name, rows):

@@ -16,7 +16,7 @@ from ..functions.chunking import MAX_TOKENS, OVERLAP, TokenCounter, count_words
 from ..functions.chunking import chunks as chunked
 from ..providers import Embedder, embedded
 from ..schemas import ARTICLES, CHUNKS, RUNS
-from ..sources.store import KeyedTable, Table
+from ..sources.store import BatchTable, Lease
 from .ingest import Summarizer, collection_totals, fallback_card, last_of_batch, matched, routed, run_totals, written
 
 # What the ledger says of a source's run, and how much of an error it keeps.
@@ -71,14 +71,25 @@ def collected(
     written rows, which everything else is made from: a run that writes them to
     a table first calls models once.
     """
-    rows = keep(written(routed(relevance(matched(last_of_batch(candidates), stored))), ARTICLES.names, summarize))
+    rows = keep(written(routed(relevance(matched(last_of_batch(candidates), stored))), ARTICLES.names, summarize, keep))
     chunks = keep(new_chunks(rows, embedder, count=count))
     return Run(rows, chunks, ledger(rows, chunks, failures, run_id, started, finished))
 
 
-def stored(run: Run, articles: KeyedTable, chunks: KeyedTable, runs: Table) -> None:
-    """Write a run: articles in place, chunks of touched articles replaced, a ledger row a source."""
-    chunks.replace_of(run.articles.where("drops_chunks").select(F.col("id").alias("document_id")), run.chunks)
-    articles.merge(run.articles.drop("route", "status", "drops_chunks"))
-    runs.append(run.ledger)
+def stored(run: Run, articles: BatchTable, chunks: BatchTable, runs: BatchTable, batch: int, lease: Lease | None = None) -> None:
+    """Write a run as a batch: articles, the chunks of touched ones, and last the ledger, a row a source.
 
+    The ledger's batch makes the others count (``committed``). A batch that is
+    run again, wherever it stopped, replaces what it wrote. With a lease, a run
+    that has lost the lock raises before it commits.
+    """
+    chunks.put(run.chunks, batch, run.articles.where("drops_chunks").select(F.col("id").alias("document_id")))
+    articles.put(run.articles.drop("route", "status", "drops_chunks"), batch)
+    if lease:
+        lease.check()
+    runs.put(run.ledger, batch)
+
+
+def committed(runs: BatchTable) -> int:
+    """The last batch whose run is whole; readers of the other tables read up to it. -1 before the first."""
+    return max(runs.batches(), default=-1)

@@ -43,23 +43,32 @@ def last_of_batch(candidates: DataFrame, position: str = "position") -> DataFram
     return candidates.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
+CONTENT = ["source_name", "title", "content_hash"]
+
+
+def least_ids(stored: DataFrame, by: list[str]) -> DataFrame:
+    """Each key of the stored articles with its smallest id, summed before anything moves."""
+    return stored.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in by))).groupBy(*by).agg(F.min("id").alias("_id"))
+
+
 def matched(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     """Candidates with the stored article they are, as struct ``old``; null if they are new.
 
     By address first, then by source, title and content; of several the smallest
-    id. Two equi-joins over keys alone and a union, never a join on a
-    disjunction; whole stored rows move once, to the candidate they belong to.
+    id. Keys are made distinct on both sides before they meet, so no join puts out
+    more rows than it has candidates, however often a content repeats; a key that
+    very many candidates share is on the side that the planner can split. Whole
+    stored rows move once, to the candidates they belong to.
     """
-    key = F.struct("source_name", "url", "content_hash")  # what a candidate is known by
-    keyed = candidates.withColumn("_key", F.sha2(F.to_json(key, {"ignoreNullFields": "false"}), 256))
-    keys = keyed.select("_key", "source_name", F.substring("title", 1, TITLE_LIMIT).alias("title"), "content_hash", "url")
-    known = stored.select(F.col("id").alias("_id"), F.col("url").alias("_url"), "source_name", "title", "content_hash")
-    by_url = keys.select("_key", F.explode(url_candidates(F.col("url"))).alias("_url")).join(known.select("_id", "_url"), "_url").select("_key", F.lit(0).alias("_way"), "_id")
-    by_content = keys.join(known, ["source_name", "title", "content_hash"]).select("_key", F.lit(1).alias("_way"), "_id")
-    first = by_url.union(by_content).groupBy("_key").agg(F.min(F.struct("_way", "_id"))["_id"].alias("_id"))
-    old = stored.select(F.col("id").alias("_old_id"), F.struct(*stored.columns).alias("old"))
-    found = first.join(old, F.col("_id") == F.col("_old_id")).select("_key", "old")
-    return keyed.join(found, "_key", "left").drop("_key")
+    title = F.substring("title", 1, TITLE_LIMIT)
+    keyed = candidates.withColumn("_key", F.sha2(F.to_json(F.struct("source_name", "url", title.alias("title"), "content_hash"), {"ignoreNullFields": "false"}), 256))
+    keys = keyed.select("_key", "source_name", title.alias("title"), "content_hash", "url").distinct()
+    forms = keys.select("url").distinct().select("url", F.explode(url_candidates(F.col("url"))).alias("_url"))
+    by_url = forms.join(least_ids(stored.select("id", F.col("url").alias("_url")), ["_url"]), "_url").groupBy("url").agg(F.min("_id").alias("_by_url"))
+    by_content = keys.select(*CONTENT).distinct().join(least_ids(stored, CONTENT), CONTENT).withColumnRenamed("_id", "_by_content")
+    first = keys.join(by_url, "url", "left").join(by_content, CONTENT, "left").select("_key", F.coalesce("_by_url", "_by_content").alias("_id")).where("_id IS NOT NULL")
+    old = stored.select(F.col("id").alias("_id"), F.struct(*stored.columns).alias("old"))
+    return keyed.join(first.join(old, "_id").select("_key", "old"), "_key", "left").drop("_key")
 
 
 def _valid(tier: Column) -> Column:
@@ -145,11 +154,12 @@ def model_card(rows: DataFrame, payload: str = "payload", model: str = "model")
     return read.withColumn("card", F.when(any_field, card).otherwise(old)).drop("_got")
 
 
-def written(rows: DataFrame, columns: list[str], summarize: Summarizer = fallback_card) -> DataFrame:
+def written(rows: DataFrame, columns: list[str], summarize: Summarizer = fallback_card, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """The article rows that the routes write, with ``route`` and whether chunks go (``drops_chunks``).
 
-    Routes without a model are one projection; only the rows that need a card
-    are looked at apart.
+    Without a model all routes are one projection. A model looks only at the rows
+    that need a card; ``keep`` (to write or persist them) is then applied to
+    ``rows``, which two branches read.
     """
     old = F.col("old")
     new_id = F.coalesce(old["id"], F.sha2(F.concat_ws("\n", "source_name", "url"), 256))
@@ -191,12 +201,20 @@ def written(rows: DataFrame, columns: list[str], summarize: Summarizer = fallbac
         named = zip((names for names, _, _ in cases), values, strict=True)
         return F.coalesce(*(F.when(F.col("route").isin(*names), v) for names, v in named))
 
-    without = rows.where(F.col("route") != "summarize")
-    one = without.select(*(by_route([values[c] for _, values, _ in cases]).alias(c) for c in columns), "route", "status", by_route([d for _, _, d in cases]).alias("drops_chunks"))
     card, fields = F.col("card"), ("display_headline", "summary", "why_it_matters", "key_points", "primary_topic", "event_types", "summary_generated_by")
     carded = fresh | {"url": kept_url} | managed(base | relevance | {f: card[f] for f in fields})
-    made = summarize(rows.where(F.col("route") == "summarize"))
-    return one.unionByName(made.select(*(carded[c].alias(c) for c in columns), "route", "status", F.lit(True).alias("drops_chunks")))
+    summarized = F.col("route") == "summarize"
+
+    def projected(df: DataFrame) -> DataFrame:
+        return df.select(*(by_route([values[c] for _, values, _ in cases]).alias(c) for c in columns), "route", "status", by_route([d for _, _, d in cases]).alias("drops_chunks"))
+
+    if summarize is fallback_card:
+        cases.append((("summarize",), carded, F.lit(True)))
+        with_card = fallback_card(rows)
+        return projected(with_card.withColumn("card", F.when(summarized, F.col("card"))))
+    rows = keep(rows)
+    made = summarize(rows.where(summarized))
+    return projected(rows.where(~summarized)).unionByName(made.select(*(carded[c].alias(c) for c in columns), "route", "status", F.lit(True).alias("drops_chunks")))
 
 
 def run_totals(rows: DataFrame, by: str = "source_name") -> DataFrame:

@@ -1,7 +1,7 @@
 """Hybrid retrieval: a vector leg, a keyword leg, their mixture, and diversity.
 
-The vector leg is exact. Either leg keeps its best rows per task before anything
-moves; what is joined after that is tens of rows a leg.
+The vector leg is exact. Each leg reads its own columns and keeps its best rows
+per task before anything moves; what is joined after that is tens of rows a leg.
 """
 
 from __future__ import annotations
@@ -81,8 +81,9 @@ def passages(chunks: DataFrame, articles: DataFrame, sources: DataFrame, request
 
 
 def vector_leg(rows: DataFrame, query: DataFrame) -> DataFrame:
-    """Passages with their similarity to the one row of ``query`` (column q)."""
-    return rows.crossJoin(F.broadcast(query.select("q").limit(1))).withColumn("vector_similarity", cosine_similarity(F.col("embedding"), F.col("q"))).drop("q")
+    """Passages that have a vector, with their similarity to the one row of ``query`` (column q)."""
+    both = rows.where("embedding IS NOT NULL").crossJoin(F.broadcast(query.select("q").limit(1)))
+    return both.withColumn("vector_similarity", cosine_similarity(F.col("embedding"), F.col("q"))).drop("q")
 
 
 def keyword_leg(rows: DataFrame, query: str) -> DataFrame:
@@ -98,21 +99,28 @@ def best(rows: DataFrame, score: str, most: int, by: str | None = None) -> DataF
     return rows.withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth")
 
 
-def candidates(rows: DataFrame, query: DataFrame | None, request: SearchRequest) -> DataFrame:
+def candidates(rows: DataFrame, query: DataFrame | None, request: SearchRequest, vectors: DataFrame | None = None) -> DataFrame:
     """Both legs' best, one row a passage, with the scores that it has.
 
-    Source-balanced requests take each leg's best of every source.
+    The vector leg reads ids, sources and vectors alone (``vectors``, or the
+    ``embedding`` of ``rows``) and asks for the contents of its best; the keyword
+    leg never reads a vector. Source-balanced requests take each leg's best of
+    every source.
     """
     balanced = request.retrieval_strategy == "source_balanced"
     by = "source_name" if balanced else None
     most = max(max(2, min(6, request.top_k)) * OVERFETCH, LEAST) if balanced else request.leg
+    texts = rows.drop("embedding")
     legs = []
     if request.search_mode in ("vector", "hybrid") and query is not None:
-        legs.append(best(vector_leg(rows, query), "vector_similarity", most, by).withColumn("keyword_score", F.lit(None).cast("double")))
+        narrow = (rows if vectors is None else vectors).select("chunk_id", "source_name", "embedding")
+        hits = best(vector_leg(narrow, query), "vector_similarity", most, by).select("chunk_id", "vector_similarity")
+        # as many rows as the leg has, of each source if balanced
+        legs.append(texts.join(F.broadcast(hits), "chunk_id").withColumn("keyword_score", F.lit(None).cast("double")))
     if request.search_mode in ("keyword", "hybrid"):
-        legs.append(best(keyword_leg(rows, request.query), "keyword_score", most, by).withColumn("vector_similarity", F.lit(None).cast("double")))
+        legs.append(best(keyword_leg(texts, request.query), "keyword_score", most, by).withColumn("vector_similarity", F.lit(None).cast("double")))
     both = legs[0] if len(legs) == 1 else legs[0].unionByName(legs[1])
-    keep = [c for c in rows.columns if c not in ("chunk_id", "embedding")]
+    keep = [c for c in texts.columns if c != "chunk_id"]
     merged = both.groupBy("chunk_id").agg(*(F.first(c, ignorenulls=True).alias(c) for c in keep), F.max("vector_similarity").alias("vector_similarity"), F.max("keyword_score").alias("keyword_score"))
     return merged.withColumn("recency_score", recency(F.col("published_at"), request.as_of))
 
@@ -144,10 +152,14 @@ def diversified(rows: DataFrame, top_k: int, per_document: int = PER_DOCUMENT) -
     return rest.withColumn("_nth", nth).where(F.col("_nth") <= per_document).orderBy("rank").limit(top_k).drop("_bare", "_more", "_nth")
 
 
-def search(chunks: DataFrame, articles: DataFrame, sources: DataFrame, request: SearchRequest, query: DataFrame | None = None) -> DataFrame:
-    """The passages that a request retrieves, in order."""
+def search(chunks: DataFrame, articles: DataFrame, sources: DataFrame, request: SearchRequest, query: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """The passages that a request retrieves, in order.
+
+    ``vectors`` (chunk_id, document_id, embedding) if the chunks do not hold them.
+    """
     rows = passages(chunks, articles, sources, request)
-    return diversified(ranked(candidates(rows, query, request), request.search_mode), request.top_k)
+    own = None if vectors is None else passages(vectors, articles, sources, request)
+    return diversified(ranked(candidates(rows, query, request, own), request.search_mode), request.top_k)
 
 
 def weak(results: DataFrame, least: float) -> DataFrame:

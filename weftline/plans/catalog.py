@@ -162,7 +162,7 @@ worded AS (
 
 def legs_sql(by: str = "", most: int = 40) -> str:
     part = f"PARTITION BY {by} " if by else ""
-    return f"""vleg AS (SELECT * FROM (SELECT *, row_number() OVER ({part}ORDER BY vs DESC NULLS LAST, chunk_id) AS vn FROM worded) WHERE vn <= {most}),
+    return f"""vleg AS (SELECT * FROM (SELECT *, row_number() OVER ({part}ORDER BY vs DESC NULLS LAST, chunk_id) AS vn FROM worded WHERE vs IS NOT NULL) WHERE vn <= {most}),
 kleg AS (SELECT * FROM (SELECT *, row_number() OVER ({part}ORDER BY ks DESC, chunk_id) AS kn FROM worded WHERE ks > 0) WHERE kn <= {most}),
 found AS (
   SELECT w.chunk_id, w.document_id, w.title, w.source_name, w.url, w.content, w.published, w.recency_score, w.nt, w.nc, v.vs AS vector_similarity, k.ks AS keyword_score
@@ -188,7 +188,12 @@ def request(**more) -> search.SearchRequest:
 
 def rows_for(spark: SparkSession, sf_dir: str, r: search.SearchRequest) -> DataFrame:
     docs, sources = both(spark, sf_dir)
-    return search.passages(X.chunks(spark, sf_dir, docs), docs, sources, r)
+    return search.passages(X.chunks(docs), docs, sources, r)
+
+
+def vectors_for(spark: SparkSession, sf_dir: str, r: search.SearchRequest) -> DataFrame:
+    docs, sources = both(spark, sf_dir)
+    return search.passages(X.vectors(spark, sf_dir, docs), docs, sources, r)
 
 
 def results(rows: DataFrame) -> DataFrame:
@@ -198,7 +203,7 @@ def results(rows: DataFrame) -> DataFrame:
 @query(with_cte(*RETRIEVAL, legs_sql()) + "SELECT chunk_id, document_id, vs AS vector_similarity FROM vleg")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = request()
-    rows = search.vector_leg(rows_for(spark, sf_dir, r), X.query_vector(spark, sf_dir))
+    rows = search.vector_leg(vectors_for(spark, sf_dir, r), X.query_vector(spark, sf_dir))
     return search.best(rows, "vector_similarity", r.leg).select("chunk_id", "document_id", "vector_similarity")
 
 
@@ -211,12 +216,12 @@ def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_cte(*RETRIEVAL, legs_sql()) + RESULT_SQL + "ranked")
 def hybrid_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = request()
-    return results(search.ranked(search.candidates(rows_for(spark, sf_dir, r), X.query_vector(spark, sf_dir), r), "hybrid"))
+    return results(search.ranked(search.candidates(rows_for(spark, sf_dir, r), X.query_vector(spark, sf_dir), r, vectors_for(spark, sf_dir, r)), "hybrid"))
 
 
 def retrieved(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
     docs, sources = both(spark, sf_dir)
-    return search.search(X.chunks(spark, sf_dir, docs), docs, sources, request(**more), X.query_vector(spark, sf_dir))
+    return search.search(X.chunks(docs), docs, sources, request(**more), X.query_vector(spark, sf_dir), X.vectors(spark, sf_dir, docs))
 
 
 @query(with_cte(*RETRIEVAL, legs_sql(), DIVERSE_SQL) + RESULT_SQL + "results")
@@ -239,7 +244,7 @@ def search_by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(retrieved(spark, sf_dir, search_mode="vector"))
 
 
-@query(with_cte(*RETRIEVAL, legs_sql().replace("coalesce(vector_similarity, 0) * CAST(0.60 AS DOUBLE) + share * CAST(0.25 AS DOUBLE) + recency_score * CAST(0.15 AS DOUBLE)", "share").replace("AS vn FROM worded)", "AS vn FROM worded WHERE FALSE)"), DIVERSE_SQL) + RESULT_SQL + "results")
+@query(with_cte(*RETRIEVAL, legs_sql().replace("coalesce(vector_similarity, 0) * CAST(0.60 AS DOUBLE) + share * CAST(0.25 AS DOUBLE) + recency_score * CAST(0.15 AS DOUBLE)", "share").replace("WHERE vs IS NOT NULL", "WHERE FALSE"), DIVERSE_SQL) + RESULT_SQL + "results")
 def search_by_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(retrieved(spark, sf_dir, search_mode="keyword"))
 

@@ -62,18 +62,21 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chunks(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """The title and the whole text of every document as passages: windows of WINDOW characters, STEP apart.
-
-    The first three passages of a document have the vectors of its number, where the table has them.
-    """
-    v = F.col("vec_id")
-    vectors = table(spark, sf_dir, "embeddings").select((F.floor(v / 3) * PER_DOCUMENT + v % 3).cast("long").alias("chunk_id"), "embedding")
+def chunks(docs: DataFrame) -> DataFrame:
+    """The title and the whole text of every document as passages: windows of WINDOW characters, STEP apart."""
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("raw_text") - (WINDOW - STEP)), F.lit(STEP))
     windows = F.transform(starts, lambda s: F.col("raw_text").substr(s, F.lit(WINDOW)))
     rows = docs.select("doc_id", F.col("id").alias("document_id"), F.posexplode(F.concat(F.array("title"), windows)).alias("chunk_index", "content"))
-    rows = rows.select((F.col("doc_id") * PER_DOCUMENT + F.col("chunk_index")).alias("chunk_id"), "document_id", "chunk_index", "content")
-    return rows.join(vectors, "chunk_id", "left")
+    return rows.select((F.col("doc_id") * PER_DOCUMENT + F.col("chunk_index")).alias("chunk_id"), "document_id", "chunk_index", "content")
+
+
+def vectors(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """The vectors of passages: the first three of a document have those of its number, where the table has them."""
+    v = F.col("vec_id")
+    own = table(spark, sf_dir, "embeddings").select(F.floor(v / 3).cast("long").alias("doc_id"), (v % 3).alias("nth"), "embedding")
+    many = 1 + F.size(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("raw_text") - (WINDOW - STEP)), F.lit(STEP)))
+    there = docs.select("doc_id", F.col("id").alias("document_id"), many.alias("many"))
+    return own.join(there, "doc_id").where("nth < many").select((F.col("doc_id") * PER_DOCUMENT + F.col("nth")).alias("chunk_id"), "document_id", "embedding")
 
 
 def query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:

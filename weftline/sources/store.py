@@ -1,19 +1,21 @@
-"""Tables in versioned Parquet folders: scan, upsert, chunk replacement, ledger, lock.
+"""Tables of rows by key in Parquet folders partitioned by batch, and the run lock.
 
-A write goes to a new folder and then becomes the current one by a pointer, so a
-table is never overwritten while it is read. File operations go through the
-cluster's own file system.
+A change is a batch: it writes one partition by Spark's dynamic partition
+overwrite, so running a batch again replaces what it wrote and costs what the
+batch holds, not what the table does. Readers take each key's rows of its latest
+batch. File operations go through the cluster's own file system.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,112 +52,64 @@ def _get(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-class Table:
-    """A named table under a root folder."""
-
-    def __init__(self, spark: SparkSession, root: str, name: str):
-        self.spark, self.path = spark, f"{root.rstrip('/')}/{name}"
-
-    @property
-    def version(self) -> str | None:
-        return _get(self.spark, f"{self.path}/CURRENT")
-
-    def read(self) -> DataFrame | None:
-        v = self.version
-        return self.spark.read.parquet(f"{self.path}/{v}") if v else None
-
-    def replace(self, df: DataFrame) -> str:
-        """Write a new version and make it the current one."""
-        v = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.path}/{v}")
-        self.point(v)
-        return v
-
-    def point(self, version: str) -> None:
-        """Make a version the current one; a reader sees the one before or this one, never half a pointer."""
-        aside = f"{self.path}/_CURRENT-{uuid.uuid4().hex}"
-        _put(self.spark, aside, version, overwrite=False)
-        jvm = self.spark.sparkContext._jvm
-        paths = jvm.org.apache.hadoop.fs
-        _, p = _fs(self.spark, aside)
-        context = paths.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else paths.Path(f"file://{aside}").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(p, paths.Path(f"{self.path}/CURRENT"), options)
-
-    def versions(self) -> list[str]:
-        """All versions' folders, oldest first."""
-        fs, p = _fs(self.spark, self.path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v")) if fs.exists(p) else []
-
-    def pruned(self, keep: int = 2) -> list[str]:
-        """Delete all but the newest versions and the current one; the names of those deleted."""
-        gone = [v for v in self.versions()[:-keep] if v != self.version]
-        for v in gone:
-            fs, p = _fs(self.spark, f"{self.path}/{v}")
-            fs.delete(p, True)
-        return gone
-
-    def append(self, df: DataFrame) -> None:
-        """Add rows to the current version, or make the first."""
-        v = self.version
-        if v:
-            df.write.mode("append").parquet(f"{self.path}/{v}")
-        else:
-            self.replace(df)
-
+class BatchTable:
+    """Rows by key: the rows of the latest batch that touched a key hold.
 
-class KeyedTable:
-    """A table dealt by its key into buckets, each of which has its own current version.
-
-    A change reads and writes the buckets of its keys and no others. The pointer
-    names the version of every bucket, so all of a change shows at once.
+    A key may have one row or many; one that a batch touches without rows is
+    gone from then on. Batches are numbered by their writer, upwards.
     """
 
-    def __init__(self, spark: SparkSession, root: str, name: str, key: str = "id", buckets: int = 64):
-        self.table, self.key, self.buckets = Table(spark, root, name), key, buckets
-        self.spark = spark
-
-    def current(self) -> dict[str, str]:
-        """The version of each bucket that has one."""
-        pointer = self.table.version
-        return json.loads(pointer) if pointer else {}
-
-    def read(self, only: list[int] | None = None) -> DataFrame | None:
-        """The rows of all buckets, or of some."""
-        places = [f"{self.table.path}/{v}/_bucket={b}" for b, v in self.current().items() if only is None or int(b) in only]
-        return self.spark.read.option("mergeSchema", "true").parquet(*places) if places else None
-
-    def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets)).cast("int")
-
-    def touched(self, keys: DataFrame) -> list[int]:
-        """The buckets of some keys: as many numbers as there are buckets, at most."""
-        return [r[0] for r in keys.select(self.bucket()).distinct().collect()]
-
-    def _write(self, df: DataFrame, buckets: list[int]) -> None:
-        if not buckets:
-            return
-        v = f"v{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-        df.withColumn("_bucket", self.bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.table.path}/{v}")
-        fs, p = _fs(self.spark, f"{self.table.path}/{v}")
-        there = {int(s.getPath().getName()[8:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("_bucket=")}
-        now = {b: w for b, w in self.current().items() if int(b) not in buckets} | {str(b): v for b in there}
-        self.table.point(json.dumps(now, sort_keys=True))
-
-    def merge(self, changes: DataFrame) -> None:
-        """Rows in place of those with their keys, or beside them."""
-        hit = self.touched(changes)
-        self._write(upserted(self.read(hit), changes, self.key), hit)
-
-    def replace_of(self, keys: DataFrame, rows: DataFrame) -> None:
-        """All rows of some keys go, and those of ``rows`` come."""
-        hit = sorted({*self.touched(keys), *self.touched(rows)})
-        old = self.read(hit)
-        if old is not None:
-            gone = keys.select(self.key).union(rows.select(self.key)).distinct()
-            rows = old.join(gone, self.key, "left_anti").unionByName(rows, allowMissingColumns=True)
-        self._write(rows, hit)
+    def __init__(self, spark: SparkSession, root: str, name: str, key: str = "id"):
+        self.spark, self.path, self.key = spark, f"{root.rstrip('/')}/{name}", key
+
+    def batches(self) -> list[int]:
+        """The batches that are there, oldest first."""
+        fs, p = _fs(self.spark, self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.removeprefix("_batch=")) for n in names if n.startswith("_batch="))
+
+    def rows(self, upto: int | None = None) -> DataFrame | None:
+        """All rows of all batches, or of those up to one, with ``_batch`` and ``_gone``."""
+        there = [b for b in self.batches() if upto is None or b <= upto]
+        if not there:
+            return None
+        read = self.spark.read.option("basePath", self.path).option("mergeSchema", "true")
+        df = read.parquet(*(f"{self.path}/_batch={b}" for b in there))
+        return df.withColumn("_batch", F.col("_batch").cast("long"))
+
+    def read(self, upto: int | None = None) -> DataFrame | None:
+        """The rows that hold, as of a batch if given.
+
+        Keys alone are summed by batch; the rows then meet their key's latest
+        one. A table of one batch is read as it is.
+        """
+        df = self.rows(upto)
+        if df is None:
+            return None
+        if len([b for b in self.batches() if upto is None or b <= upto]) > 1:
+            latest = df.groupBy(self.key).agg(F.max("_batch").alias("_batch"))
+            df = df.join(latest, [self.key, "_batch"])
+        return df.where(~F.col("_gone")).drop("_batch", "_gone")
+
+    def put(self, rows: DataFrame, batch: int, touched: DataFrame | None = None) -> None:
+        """Write a batch, in place of what it wrote before: its rows, and the keys of ``touched`` that lose theirs."""
+        out = rows.withColumn("_gone", F.lit(False))
+        if touched is not None:
+            gone = touched.select(self.key).distinct().join(rows.select(self.key).distinct(), self.key, "left_anti")
+            out = out.unionByName(gone.withColumn("_gone", F.lit(True)), allowMissingColumns=True)
+        # a large batch becomes many files, a small one few
+        out = out.withColumn("_batch", F.lit(batch).cast("long")).hint("rebalance")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(self.path)
+
+    def compact(self, upto: int) -> list[int]:
+        """Rows that hold as of a batch become that batch; the older ones go. The numbers of those."""
+        older = [b for b in self.batches() if b < upto]
+        if older and upto in self.batches():
+            self.put(self.read(upto), upto)
+            for b in older:
+                fs, p = _fs(self.spark, f"{self.path}/_batch={b}")
+                fs.delete(p, True)
+        return older
 
 
 def upserted(stored: DataFrame | None, changes: DataFrame, key: str = "id") -> DataFrame:
@@ -190,14 +144,106 @@ def with_embeddings(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     return both.select("document_id", F.posexplode(zipped).alias("chunk_index", "z")).select("document_id", "chunk_index", F.col("z.chunks").alias("content"), F.col("z.vectors").alias("embedding"))
 
 
+class Lease:
+    """A held lock: ``token`` grows from holder to holder, ``check`` raises once another has it."""
+
+    def __init__(self, spark: SparkSession, path: str, seconds: float, token: int):
+        self.spark, self.path, self.seconds, self.token = spark, path, seconds, token
+        self.owner = uuid.uuid4().hex
+
+    def text(self) -> str:
+        return json.dumps({"owner": self.owner, "token": self.token, "expires": time.time() + self.seconds})
+
+    def mine(self) -> bool:
+        held = _lock(self.spark, self.path)
+        return held is not None and held["owner"] == self.owner
+
+    def check(self) -> None:
+        if not self.mine():
+            raise RuntimeError("another run holds the lock")
+
+    def renew(self) -> None:
+        """Put the end of the lease off; raises if another run has taken it."""
+        self.check()
+        aside = f"{self.path}-{self.owner}"
+        _put(self.spark, aside, self.text(), overwrite=True)
+        _renamed(self.spark, aside, self.path, overwrite=True)
+
+
+def _lock(spark: SparkSession, path: str, seconds: float = 120.0) -> dict | None:
+    """What a lock file says; one that is half written runs out so long after it was."""
+    try:
+        text = _get(spark, path)
+        if text is None:
+            return None
+        held = json.loads(text)
+        return {"owner": held["owner"], "token": int(held["token"]), "expires": float(held["expires"])}
+    except (ValueError, KeyError, TypeError):
+        fs, p = _fs(spark, path)
+        return {"owner": None, "token": 0, "expires": fs.getFileStatus(p).getModificationTime() / 1000 + seconds} if fs.exists(p) else None
+
+
+def _renamed(spark: SparkSession, path: str, to: str, overwrite: bool) -> bool:
+    """Whether a file could be renamed."""
+    jvm = spark.sparkContext._jvm
+    fs, p = _fs(spark, path)
+    try:
+        full = fs.makeQualified(p)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(full.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE if overwrite else jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        context.rename(full, fs.makeQualified(jvm.org.apache.hadoop.fs.Path(to)), options)
+        return True
+    except Exception:
+        if fs.exists(p):
+            raise
+        return False
+
+
+def _acquired(spark: SparkSession, path: str, seconds: float) -> Lease | None:
+    for _ in range(2):
+        held = _lock(spark, path, seconds)
+        lease = Lease(spark, path, seconds, max(time.time_ns(), (held or {"token": 0})["token"] + 1))
+        if held is None:
+            if _put(spark, path, lease.text(), overwrite=False):
+                return lease
+        elif held["expires"] < time.time():
+            # of several runs that find it so, one can rename it
+            aside = f"{path}-{lease.owner}"
+            if _renamed(spark, path, aside, overwrite=False):
+                fs, p = _fs(spark, aside)
+                fs.delete(p, False)
+        else:
+            return None
+    return lease if lease.mine() else None
+
+
 @contextmanager
-def run_lock(spark: SparkSession, root: str) -> Iterator[bool]:
-    """Whether this run holds the collection's lock; another run's gives False."""
-    path = f"{root.rstrip('/')}/LOCK"
-    mine = _put(spark, path, uuid.uuid4().hex, overwrite=False)
+def run_lock(spark: SparkSession, root: str, lease: float = 120.0) -> Iterator[Lease | None]:
+    """The collection's lock, None if another run holds it.
+
+    It is a lease of so many seconds that a thread renews while the run lives: a
+    run that died leaves a lock that the next one takes over. A run that was cut
+    off for longer finds out by ``check``, before it commits. Needs a file system
+    that creates and renames files at once, such as HDFS or a local one; object
+    stores do not.
+    """
+    held = _acquired(spark, f"{root.rstrip('/')}/LOCK", lease)
+    ended = threading.Event()
+
+    def beat() -> None:
+        while not ended.wait(lease / 3):
+            try:
+                held.renew()
+            except Exception:  # lost, or the session is gone: check() tells the run
+                return
+
+    if held:
+        threading.Thread(target=beat, daemon=True).start()
     try:
-        yield mine
+        yield held
     finally:
-        if mine:
-            fs, p = _fs(spark, path)
+        ended.set()
+        if held and held.mine():
+            fs, p = _fs(spark, held.path)
             fs.delete(p, False)

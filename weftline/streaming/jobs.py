@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import collection
 from ..providers import Embedder, HashedEmbedder
 from ..schemas import ARTICLES
-from ..sources.store import KeyedTable, Table
+from ..sources.store import BatchTable
 
 
 def started(df: DataFrame, path: str, checkpoint: str, mode: str = "append", once: bool = True) -> StreamingQuery:
@@ -22,21 +22,26 @@ def started(df: DataFrame, path: str, checkpoint: str, mode: str = "append", onc
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def ingest_batch(articles: KeyedTable, chunks: KeyedTable, runs: Table, relevance: Callable[[DataFrame], DataFrame], embedder: Embedder) -> Callable[[DataFrame, int], None]:
+def tables(spark: SparkSession, root: str) -> tuple[BatchTable, BatchTable, BatchTable]:
+    """Articles, chunks and ledger under a root folder."""
+    return BatchTable(spark, root, "articles"), BatchTable(spark, root, "chunks", "document_id"), BatchTable(spark, root, "runs", "run_id")
+
+
+def ingest_batch(articles: BatchTable, chunks: BatchTable, runs: BatchTable, relevance: Callable[[DataFrame], DataFrame], embedder: Embedder) -> Callable[[DataFrame, int], None]:
     """What ``foreachBatch`` does with prepared candidates: a collection run into articles, chunks and the ledger.
 
-    ``relevance`` adds ``tier`` to rows; better evidence that is stored stays.
-    Only the buckets of a batch's keys are written again. A batch that is run
-    again after a failure finds its own rows and changes nothing but their dates.
+    ``relevance`` adds ``tier`` to rows; better evidence that is stored stays. A
+    batch sees the articles as of the batch before it, so one that is run again
+    after a failure decides as it did and replaces all that it wrote.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = articles.read()
+        known = articles.read(upto=number - 1)
         now = F.current_timestamp()
         made = collection.collected(batch, known if known is not None else spark.createDataFrame([], ARTICLES), relevance, embedder, f"batch-{number}", now, now, keep=lambda df: df.persist())
         try:
-            collection.stored(made, articles, chunks, runs)
+            collection.stored(made, articles, chunks, runs, number)
         finally:
             made.chunks.unpersist()
             made.articles.unpersist()
@@ -44,11 +49,9 @@ def ingest_batch(articles: KeyedTable, chunks: KeyedTable, runs: Table, relevanc
     return run
 
 
-def ingesting(candidates: DataFrame, root: str, relevance: Callable[[DataFrame], DataFrame], checkpoint: str, embedder: Embedder | None = None, every: str | None = None, buckets: int = 64) -> StreamingQuery:
+def ingesting(candidates: DataFrame, root: str, relevance: Callable[[DataFrame], DataFrame], checkpoint: str, embedder: Embedder | None = None, every: str | None = None) -> StreamingQuery:
     """Candidates go through collection runs into the tables under ``root``: all that are there now, or ``every`` so often."""
-    spark = candidates.sparkSession
-    tables = KeyedTable(spark, root, "articles", "id", buckets), KeyedTable(spark, root, "chunks", "document_id", buckets), Table(spark, root, "runs")
-    writer = candidates.writeStream.foreachBatch(ingest_batch(*tables, relevance, embedder or HashedEmbedder())).option("checkpointLocation", checkpoint)
+    writer = candidates.writeStream.foreachBatch(ingest_batch(*tables(candidates.sparkSession, root), relevance, embedder or HashedEmbedder())).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
