@@ -1,5 +1,9 @@
 """Quote grounding over whole items and all articles."""
 
+import random
+from difflib import SequenceMatcher
+
+from weftline.functions import quotes
 from weftline.functions.quotes import supported
 from weftline.plans import catalog
 from weftline.plans import fixtures as X
@@ -16,3 +20,19 @@ def test_whole_items_and_all_articles(spark):
         assert rows[d].item_supported == (supported(a.title, a.raw_text, items[d]) if d in items else None)
     # a text has its own quotes, unless it has too few words to be quoted
     assert all(rows[d].own_supported for d, a in articles.items() if len(a.raw_text.split()) >= 60)
+
+
+def test_runs_equal_the_longest_first_matching():
+    r = random.Random(8)
+    for _ in range(3000):
+        source = [r.choice("abcdef"[: r.randint(1, 6)]) for _ in range(r.randint(0, 40))]
+        words = [r.choice("abcdefg"[: r.randint(1, 7)]) for _ in range(r.randint(1, 14))]
+        plain = SequenceMatcher(None, words, source, autojunk=False)
+        want = sum(n for _, _, n in plain.get_matching_blocks() if n >= quotes.RUN)
+        assert quotes.covered(quotes.runs(words, quotes.places(" ".join(source)))) == want, (words, source)
+
+
+def test_odd_quotes(spark):
+    df = spark.createDataFrame([("T", "one two three four", ["one two three", None, "", "two ... three", "ONE TWO … three four"]), (None, None, ["a b c"]), ("T", "x", None)], "title string, raw string, q array<string>")
+    got = [r.x for r in df.select(quotes.quotes_supported("title", "raw", "q").alias("x")).collect()]
+    assert got == [[True, False, False, False, True], [False], None]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, display, documents, redact, scores, taxonomy, text, urls
 from ..functions.chunking import chunks as chunked
-from ..functions.quotes import quote_supported
+from ..functions.quotes import quotes_supported
 from ..operators import collection, context, feed, gate, ingest, search
 from ..providers import HashedEmbedder
 from ..schemas import PRIMARY_TOPICS
@@ -741,8 +741,8 @@ def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     # without the words that the cuts go through
     cut = (r"(?U)\w+$", *[r"(?U)^\w+|\w+$"] * 3, r"(?U)^\w+")
     parts = [F.when(size <= 120, F.col("raw_text")).otherwise(F.regexp_replace(F.col("raw_text").substr(p, F.lit(120)), c, "")) for p, c in zip(starts, cut, strict=True)]
-    item = F.when(F.col("item").isNotNull(), quote_supported("title", "raw_text", "item")).alias("item_supported")
-    return rows.select("doc_id", item, quote_supported("title", "raw_text", F.concat_ws(" ... ", *parts)).alias("own_supported"))
+    found = rows.withColumn("found", quotes_supported("title", "raw_text", F.array("item", F.concat_ws(" ... ", *parts))))
+    return found.select("doc_id", F.when(F.col("item").isNotNull(), F.col("found")[0]).alias("item_supported"), F.col("found")[1].alias("own_supported"))
 
 
 def queries() -> dict[str, Query]:
