@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import dates, display, documents, redact, scores, taxonomy, text, urls
 from ..functions.chunking import chunks as chunked
 from ..functions.quotes import quotes_supported
-from ..operators import collection, context, feed, gate, ingest, search
+from ..operators import collection, context, feed, gate, indexes, ingest, search
 from ..providers import HashedEmbedder
 from ..schemas import PRIMARY_TOPICS
-from ..sources import feeds, fetch, html, logs
+from ..sources import feeds, fetch, html, logs, store
 from ..streaming import windows
 from . import fixtures as X
 
@@ -213,6 +213,26 @@ def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.best(search.keyword_leg(rows_for(spark, sf_dir, r), r.query), "keyword_score", r.leg).select("chunk_id", "document_id", "keyword_score")
 
 
+@query(with_cte(*RETRIEVAL, legs_sql()) + "SELECT chunk_id, document_id, ks AS keyword_score FROM kleg")
+def keyword_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``keyword_topk`` from a stored index of all articles' passages."""
+    r = request()
+    docs, sources = both(spark, sf_dir)
+    index = indexes.KeywordIndex.built(X.chunks(docs).join(docs.select(F.col("id").alias("document_id"), "title"), "document_id"), store.scratch(spark, "keywords"))
+    rows = search.passages(index.candidates(r.query).drop("title"), docs, sources, r)
+    return search.best(search.keyword_leg(rows, r.query), "keyword_score", r.leg).select("chunk_id", "document_id", "keyword_score")
+
+
+@query(with_cte(*RETRIEVAL, legs_sql()) + "SELECT chunk_id, document_id, vs AS vector_similarity FROM vleg")
+def vector_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vector_topk`` from a stored index of all vectors."""
+    r = request()
+    docs, sources = both(spark, sf_dir)
+    index = indexes.VectorIndex.built(X.vectors(spark, sf_dir, docs), store.scratch(spark, "vectors"))
+    allowed = search.filtered(docs, sources, r).select(F.col("id").alias("document_id"))
+    return index.best(X.query_vector(spark, sf_dir).first().q, r.leg, allowed).select("chunk_id", "document_id", "vector_similarity")
+
+
 @query(with_cte(*RETRIEVAL, legs_sql()) + RESULT_SQL + "ranked")
 def hybrid_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = request()

@@ -52,6 +52,15 @@ def _get(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path that driver and executors share, gone when the driver ends: in ``spark.checkpoint.dir``, else the warehouse."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, p = _fs(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
 class BatchTable:
     """Rows by key: the rows of the latest batch that touched a key hold.
 
