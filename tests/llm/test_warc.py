@@ -1,5 +1,6 @@
 import glob
 import hashlib
+import random
 import struct
 
 import pytest
@@ -78,3 +79,19 @@ def test_the_dictionary_looks_at_records_wherever_they_stand(spark):
     rows = [(k, f"u{k}", f"<p>{'first' if k < 500 else 'second'} kind of page {k}</p>" * 9) for k in range(1000)]
     d = warc.dictionary_of(warc.routed(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)))
     assert b"first kind" in d and b"second kind" in d
+
+
+def test_archives_roll_over(spark, tmp_path):
+    """By frames and by bytes: every archive starts with the dictionary and can be read alone."""
+    rng = random.Random(3)
+    rows = [(k, f"u{k}", "".join(rng.choice("abcdefghij<> ") for _ in range(rng.choice([0, 40, 3000])))) for k in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for k, (most, size) in enumerate([(50, 1 << 26), (4096, 20_000), (7, 5_000), (2, 1)]):
+        path = str(tmp_path / str(k))
+        warc.write(df, path, most, size)
+        files = [f.read_bytes() for f in (tmp_path / str(k)).glob("part-*")]
+        assert len(files) > 5 and all(f[:4] == warc.DICTIONARY_MAGIC.to_bytes(4, "little") for f in files if f)
+        # the dictionary, the records up to the one that passes the size, and the empty frames
+        assert max(map(len, files)) < warc.DICTIONARY_BYTES + size + 5_000 + 16 * most
+        got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read(spark, path).collect()}
+        assert got == {p: (len(t), hashlib.sha1(t.encode()).hexdigest()) for p, _, t in rows}

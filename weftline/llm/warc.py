@@ -6,8 +6,9 @@ frame of its own, compressed with that dictionary. The records it is built from
 are those whose ids have the smallest hashes, wherever they stand. Spark's text
 writer puts the bytes into the shared file system and commits them, so a lost
 executor only repeats its part. The writer needs a line separator: it is an
-empty skippable frame, which any Zstandard reader passes over. An archive holds
-a partition of the pages, so its size is bounded by that of the input's splits.
+empty skippable frame, which any Zstandard reader passes over. A partition rolls
+over to the next archive after ARCHIVE_FRAMES frames or ARCHIVE_BYTES bytes,
+whatever its size, so an archive stays what one row can hold.
 
 Defined results: null html is an empty payload; a null url is written as an
 empty target URI; a null page_id is kept as null and never the one that others
@@ -38,6 +39,10 @@ REVISIT_BYTES = 1000
 #: Records sampled for the dictionary, and its size in bytes.
 SAMPLES, DICTIONARY_BYTES = 256, 1 << 15
 LEVEL = 3
+#: Frames and bytes after which an archive ends and the next one starts; an archive is read as one row.
+ARCHIVE_FRAMES, ARCHIVE_BYTES = 4096, 1 << 26
+#: A skippable frame without content.
+EMPTY = struct.pack("<II", 0x184D2A51, 0)
 #: Bytes handed to the decompressor at a time; what is over goes to the next record.
 PIECE = 1 << 13
 
@@ -111,25 +116,35 @@ def dictionary_of(routes: DataFrame) -> bytes:
     return build_dictionary([record(*r) for r in sorted(some, key=lambda r: (r["page_id"] is None, r["page_id"] or 0, r["url"]))]).as_bytes()
 
 
-def frames(records: Iterator[bytes], dictionary: bytes) -> Iterator[bytes]:
-    """The archive's frames: the dictionary, then one for each record; none without a record."""
-    coder = None
+def frames(records: Iterator[bytes], dictionary: bytes, most: int = ARCHIVE_FRAMES, size: int = ARCHIVE_BYTES) -> Iterator[bytes]:
+    """Frames of archives, ``most`` to each: the dictionary, then one for each record; none without a record.
+
+    An archive that has come to ``size`` bytes is filled up with empty frames, so
+    that a writer which starts a file every ``most`` frames starts the next one.
+    """
+    coder, count, held = None, 0, 0
     for r in records:
-        if coder is None:
+        while count and count % most and held >= size:
+            yield EMPTY
+            count += 1
+        if count % most == 0:
             yield struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
-            coder = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary_from(dictionary), write_checksum=True)
-        yield coder.compress(r)
+            count, held = count + 1, 0
+        coder = coder or zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary_from(dictionary), write_checksum=True)
+        frame = coder.compress(r)
+        yield frame
+        count, held = count + 1, held + len(frame)
 
 
 def dictionary_from(raw: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT if raw[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def _write_part(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.RecordBatch]:
+def _write_part(batches: Iterator[pa.RecordBatch], dictionary: bytes, most: int = ARCHIVE_FRAMES, archive: int = ARCHIVE_BYTES) -> Iterator[pa.RecordBatch]:
     rows = (record(*(b.column(n)[k].as_py() for n in COLUMNS)) for b in batches for k in range(b.num_rows))
     held: list[bytes] = []
     size = 0
-    for f in frames(rows, dictionary):
+    for f in frames(rows, dictionary, most, archive):
         held.append(f)
         size += len(f)
         if size >= 1 << 22:
@@ -139,16 +154,16 @@ def _write_part(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterato
         yield pa.record_batch([pa.array(held, pa.binary())], names=["frame"])
 
 
-def write(pages: DataFrame, path: str) -> None:
-    """Write the pages as archives, one a partition, into folder ``path``."""
+def write(pages: DataFrame, path: str, most: int = ARCHIVE_FRAMES, size: int = ARCHIVE_BYTES) -> None:
+    """Write the pages as archives into folder ``path``: of each partition, one for every ``most`` frames or ``size`` bytes."""
     routes = routed(pages)
     dictionary = dictionary_of(routes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _write_part(batches, dictionary)
+        return _write_part(batches, dictionary, most, size)
 
     parts = small_batches(routes).mapInArrow(run, "frame binary")
-    parts.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("compression", "none").text(path)
+    parts.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", most).option("compression", "none").text(path)
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
