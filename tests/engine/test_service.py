@@ -16,7 +16,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def tables(spark):
     docs, sources = catalog.both(spark, SF)
-    return service.Tables(docs, X.chunks(spark, SF, docs), sources, lambda _: X.query_vector(spark, SF))
+    chunks = X.chunks(docs).join(X.vectors(spark, SF, docs).select("chunk_id", "embedding"), "chunk_id", "left")
+    return service.Tables(docs, chunks, sources, lambda _: X.query_vector(spark, SF))
 
 
 def test_request_ids_and_times():
@@ -82,3 +83,21 @@ def test_cards_of_a_model(spark, model, names):
     assert out.count() == plain.count() and schemas.violations(out.select(*stored.columns)).count() == 0
     assert {r.summary_generated_by for r in out.where("route = 'summarize'").collect()} <= names
     assert out.where("route <> 'summarize'").select("id", "url", F.col("title")).exceptAll(plain.select("id", "url", "title")).count() == 0
+
+
+def test_request_rules(spark, tables):
+    """Names, defaults, ranges and lists of requests."""
+    ids = lambda **more: [r.chunk_id for r in service.found(tables, X.as_of(), catalog.SEARCH, **({"include_contextual": True, "search_mode": "keyword"} | more)).collect()]
+    plain = ids()
+    assert 0 < len(plain) <= 6 and ids(source_names=[], categories=None, collection="updates") == plain
+    assert ids(source_names=[" SRC2 ", "src2", "Src4"]) == ids(source_names=["src2", "src4"])
+    assert ids(tools=[" tool1 "]) == ids(tools=["tool1"]) != [] and ids(tools=["TOOL1"]) == []
+    assert ids(event_types=["Guide"]) == ids(event_types=["guide"])
+    assert ids(published_after="2024-01-05", published_before="2024-01-20") == ids(start="2024-01-05", end="2024-01-20") != []
+    for bad in ({"top_k": 0}, {"top_k": 21}, {"collection": "other"}, {"other": 1}, {"tools": "tool1"}, {"search_mode": "none"}):
+        with pytest.raises(ValueError):
+            ids(**bad)
+    say = lambda q, c: answer.Generated("It says so [1].", "stop", 10, 5)
+    for bad in ({"min_similarity": 1.1}, {"max_context_tokens": 499}, {"max_context_tokens": 12001}, {"max_completion_tokens": 49}):
+        with pytest.raises(ValueError):
+            service.asked(tables, X.as_of(), catalog.SEARCH, say, **bad)

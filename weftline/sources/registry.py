@@ -71,5 +71,4 @@ def source_type(column: Column) -> Column:
 
 def normalized_list(values: Iterable[str] | None, lower: bool = True) -> list[str] | None:
     """Request lists: stripped, lower-cased, each once; an empty one is none."""
-    tidy = [v.strip().lower() if lower else v.strip() for v in values or ()]
-    return list(dict.fromkeys(v for v in tidy if v)) or None
+    return list(dict.fromkeys(v.strip().lower() if lower else v.strip() for v in values or ())) or None
