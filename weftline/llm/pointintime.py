@@ -279,7 +279,8 @@ def pushed(rows: pa.Table, before: pa.Table, windows: tuple[int, ...], ahead: in
 def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tuple[int, ...] = WINDOWS, ahead: int = AHEAD, known_after: int = KNOWN_AFTER, delay: int = DELAY, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """A row for each sale and window: sale_id, d, t_us, label, SUMS and last_click_id."""
     all_rows = stored(facts(clicks, sales, lines, known_after, delay), "facts")
-    spans = grid(all_rows, windows, ahead, chunk)
+    # a table of its own: rows of a busy client can then be split in the join
+    spans = stored(grid(all_rows, windows, ahead, chunk), "grid")
     known = stored(all_rows.join(spans.hint("shuffle_hash"), "client", "left").withColumn("busy", F.col("parts").isNotNull()), "spans", "busy")
     few, many = known.where(~F.col("busy")), known.where(F.col("busy"))
     item, no_reach = F.col("kind") == ITEM, F.lit(None).cast("long")
@@ -290,7 +291,7 @@ def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tup
     own = reached(own.unionByName(far, allowMissingColumns=True), "client", "item", "chunk").where(F.col("start").isNotNull()).drop("chunk")
     many = many.where(~item).withColumn("reach", no_reach).unionByName(own)
     at, bit = ends(windows, ahead), bits(windows)
-    forget(all_rows)
+    forget(all_rows, spans)
     columns = ["client", "chunk", "mask", "kind", "start", "base", "reach", "n", "cents", "id", "t"]
     each = F.filter(F.array(*(F.struct(F.lit(bit[k]).alias("mask"), c.alias("us")) for k, c in at.items())), lambda e: e["us"].isNotNull())
     whole = F.array(F.struct(F.aggregate(each, F.lit(0), lambda a, e: a + e["mask"]).alias("mask"), F.lit(WHOLE).alias("chunk")))
