@@ -239,6 +239,24 @@ def test_json_fields(spark):
     assert (r.s, r.w, r.o, r.h, r.l) == ({"a": "1"}, {"a": "9", "b": None}, {"b": None}, True, ["1", "2"])
 
 
+def test_nested_documents(spark):
+    rows = ['{"k": 89, "device": {"os": "a", "ver": "4.10"}, "tags": ["a", null, 3]}', '{"k": 4}', '{"k": 4, "dev', None, "[1]", '{"device": 5, "k": null}', '"x"', '{"device": {"in": {"x": 1.50, "y": [true]}}}']
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "i int, j string").withColumn("v", documents.parsed(F.col("j")))
+    v = F.col("v")
+    said = df.select(
+        "i", documents.at(v, "$.k", "long").alias("k"), F.to_json(documents.with_path(v, ["device", "in", "x"], documents.variant(F.lit("s")))).alias("deep"),
+        F.to_json(documents.with_path(v, ["n"], documents.variant(F.lit(2)))).alias("top"), F.to_json(documents.without_path(v, ["device", "os"])).alias("less"), documents.texts(v, "$.tags").alias("tags"),
+    )
+    got = {r.i: (r.k, *(json.loads(x) if x else None for x in (r.deep, r.top, r.less)), r.tags) for r in said.collect()}
+    read = {k: json.loads(r) for k, r in enumerate(rows) if r and k != 2}
+    for i, (k, deep, top, less, tags) in got.items():
+        doc = read.get(i)
+        assert k == (doc.get("k") if isinstance(doc, dict) else None) and tags == (["a"] if i == 0 else None)
+        assert deep == ({"device": {"in": {"x": "s", "y": [True]}}} if i == 7 else doc)
+        assert top == (doc | {"n": 2} if isinstance(doc, dict) else doc)
+        assert less == ({**doc, "device": {"ver": "4.10"}} if i == 0 else doc)
+
+
 def events(spark, rows):
     return spark.createDataFrame([(dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), e, st, v) for s, e, st, v in rows], "ts timestamp, event string, status string, value double")
 

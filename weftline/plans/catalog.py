@@ -675,6 +675,28 @@ def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.col("n").alias("k"), documents.has_any(F.col("more"), "flag", "other").alias("has_flag"), F.array_join(F.array_sort(F.map_keys("more")), ",").alias("keys"), F.array_join(reasons, ",").alias("reasons"))
 
 
+@query(
+    """WITH p AS (SELECT click_id, kind, CASE WHEN json_valid(props) THEN CAST(props AS JSON) END AS j FROM clicks),
+d AS (SELECT *, coalesce(json_type(j, '$.device') = 'OBJECT', FALSE) AS device, coalesce(json_type(j, '$.items') = 'ARRAY', FALSE) AS listed FROM p)
+SELECT click_id, CAST(json_extract_string(j, '$.k') AS BIGINT) AS k, json_extract_string(j, '$.device.os') AS os, CASE WHEN device THEN kind END AS seen,
+  CASE WHEN device THEN json_extract_string(j, '$.device.ver') END AS kept, CASE WHEN device THEN 'os,seen' END AS left_in, json_extract_string(j, '$.tags[0]') AS tag,
+  CASE WHEN listed THEN CAST(json_array_length(j, '$.items') AS INTEGER) END AS n_items, CASE WHEN listed THEN CAST(coalesce(list_sum(CAST(json_extract(j, '$.items[*].qty') AS BIGINT[])), 0) AS BIGINT) END AS quantity FROM d"""
+)
+def props_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested fields of JSON text: typed values read by path, one set and one dropped in an inner object, arrays summed."""
+    rows = X.table(spark, sf_dir, "clicks").withColumn("doc", documents.parsed(F.col("props")))
+    rows = rows.withColumn("with", documents.with_path(F.col("doc"), ["device", "seen"], documents.variant(F.col("kind"))))
+    rows = rows.withColumn("less", documents.without_path(F.col("with"), ["device", "ver"]))
+    doc, more, less = F.col("doc"), F.col("with"), F.col("less")
+    quantity = F.aggregate(documents.elements(doc, "$.items"), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(documents.at(x, "$.qty", "long"), F.lit(0)))
+    left = F.array_join(F.array_sort(F.map_keys(documents.opened(documents.at(less, "$.device")))), ",")
+    return rows.select(
+        "click_id", documents.at(doc, "$.k", "long").alias("k"), documents.at(doc, "$.device.os", "string").alias("os"), documents.at(more, "$.device.seen", "string").alias("seen"),
+        documents.at(more, "$.device.ver", "string").alias("kept"), left.alias("left_in"), documents.at(doc, "$.tags[0]", "string").alias("tag"),
+        F.size(documents.elements(doc, "$.items")).alias("n_items"), quantity.alias("quantity"),
+    )
+
+
 @query("SELECT event_id, regexp_replace(regexp_replace('Bearer abc' || event_id || ', password=' || user_id || '&x=1 /p?q=' || value, '\\bBearer\\s+[^\\s,;]+', 'Bearer [REDACTED]', 'g'), '\\b(api[_-]?key|password|secret|access_token)=([^&\\s]+)', '\\1=[REDACTED]', 'g') AS line FROM (SELECT event_id, user_id, CAST(floor(value) AS BIGINT) AS value FROM events)")
 def redacted_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("Bearer abc"), F.col("event_id").cast("string"), F.lit(", password="), F.col("user_id").cast("string"), F.lit("&x=1 /p?q="), F.floor("value").cast("long").cast("string"))
