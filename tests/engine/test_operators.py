@@ -3,11 +3,12 @@
 import datetime as dt
 import itertools
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from weftline import providers, schemas
-from weftline.functions.chunking import chunk_text, count_words
+from weftline.functions.chunking import BpeCounter, chunk_text, count_words
 from weftline.functions.quotes import supported
 from weftline.operators import context, feed, gate, ingest, search
 from weftline.sources.registry import registry, selected
@@ -118,6 +119,27 @@ def test_context_skips_what_does_not_fit(spark):
     assert context.packed(ordered.where("chunk_id = 3"), 5).first().chunk_ids == ["3"]
 
 
+def test_context_keeps_the_budget_of_a_tokenizer(spark):
+    count = BpeCounter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    words = ["größer", "x9-y", "internationalization", "😀", "a", "it's"]
+    rows = [(k, str(k), f"T{k}", "s", None, "t", f"u{k}", " ".join(words[(k + j) % 6] for j in range(20 + 13 * k % 40))) for k in range(1, 25)]
+    df = spark.createDataFrame(rows, "place int, chunk_id string, title string, source_name string, published string, tool string, url string, content string")
+    for budget in (10, 300, 900, 100_000):
+        got = context.packed(df, budget, counts=context.counted_by(count)).first()
+        blocks = got.context.split(context.JOINT)
+        sizes = [count((context.JOINT if k else "") + b) for k, b in enumerate(blocks)]
+        assert got.tokens == sum(sizes) and (got.tokens <= budget or len(blocks) == 1) and len(blocks) == len(got.chunk_ids)
+        # one by one, as a plain loop takes them
+        ids, tokens = [], 0
+        for r in rows:
+            text = f"[{len(ids) + 1}] {r[2]}\nSource: s\nPublished: unknown\nTool: t\nURL: {r[6]}\n{r[7]}"
+            n = count((context.JOINT if ids else "") + text)
+            if not ids or tokens + n <= budget:
+                ids.append(r[1])
+                tokens += n
+        assert (got.chunk_ids, got.tokens) == (ids, tokens)
+
+
 @pytest.mark.parametrize(
     "detail,extraction,events,codes",
     [

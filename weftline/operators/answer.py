@@ -70,7 +70,7 @@ def checked(answer: Column, passages: Column) -> tuple[Column, Column]:
     return valid_citations(answer, passages), citation_warnings(answer, passages)
 
 
-def ask(results: DataFrame, request: AskRequest, generate: Generator, model: str = "gpt-4.1-mini") -> DataFrame:
+def ask(results: DataFrame, request: AskRequest, generate: Generator, model: str = "gpt-4.1-mini", counts: context.Counts = context.words_counted) -> DataFrame:
     """One row: answer, citations (chunk ids), warnings, context tokens and cost.
 
     ``results`` are a request's retrieved passages, at most tens, in columns
@@ -82,7 +82,7 @@ def ask(results: DataFrame, request: AskRequest, generate: Generator, model: str
     gate = search.weak(results, request.min_similarity).first()
     if warning := weak_warning(gate.top_similarity if gate.passages else None, request.min_similarity):
         return spark.createDataFrame([("", [], [warning], 0, None)], schema)
-    pack = context.packed(placed(results, request), request.max_context_tokens).first()
+    pack = context.packed(placed(results, request), request.max_context_tokens, counts=counts).first()
     got = generate(request.question, pack.context)
     row = spark.createDataFrame([(got.text, pack.chunk_ids, got.prompt_tokens, got.completion_tokens, model)], "answer string, ids array<string>, tokens_in long, tokens_out long, model string")
     valid, warnings = checked(F.col("answer"), F.size("ids"))
