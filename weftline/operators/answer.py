@@ -51,6 +51,7 @@ def weak_warning(top: float | None, least: float) -> str | None:
     if top is None:
         return NOTHING_FOUND
     if top < least:
+        # fixed value: what is said of weak evidence
         return (
             f"The retrieved articles look weak for this question. The top similarity score was {top:.3f}, below the configured threshold of {least:.3f}. "
             "Try lowering the threshold, increasing top-k, changing filters, or collecting more relevant articles."

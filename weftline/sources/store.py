@@ -57,7 +57,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     fs, p = _fs(spark, path)
-    fs.deleteOnExit(p)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)  # of a path that is there
     return path
 
 
