@@ -446,6 +446,30 @@ def exact_dup_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("old.id").alias("stored_id"), F.when(F.col("old").isNotNull(), F.when(by_url, F.lit("address")).otherwise(F.lit("content"))).alias("way"))
 
 
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+@query(
+    with_cte(
+        X.ARTICLES_SQL,
+        f"""entries AS (SELECT id, source_name, CASE WHEN title = '' THEN 'Untitled update' ELSE {_STRIP.format("title")} END AS title,
+  array_to_string([{_STRIP.format("x")} FOR x IN string_split(raw_text, chr(10)) IF regexp_matches(x, '\\S')], chr(10)) AS body_text FROM articles)""",
+        f"cands AS (SELECT *, {_STRIP.format('title || chr(10) || chr(10) || body_text')} AS raw_text FROM entries)",
+        DETAIL_SQL.replace("FROM articles", "FROM cands"),
+    )
+    + f"""SELECT id, source_name, 'https://src.example/' || id AS url, title, sha256(raw_text) AS content_hash, 'source_entry' AS extraction_status, content_detail,
+  {X.excerpt_sql("CASE WHEN body_text = '' THEN title ELSE body_text END")} AS excerpt FROM detailed"""
+)
+def feed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles as a feed's entries, in HTML and with tracked links, prepared as candidates."""
+    plain = F.replace(F.replace(F.replace("raw_text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    html_text = F.concat(F.lit("<div><p>"), plain, F.lit("</p></div>"))
+    link = F.concat(F.lit("https://SRC.example:443/"), F.col("id"), F.lit("?utm_source=feed"))
+    entries = X.articles(spark, sf_dir).select("source_name", "title", link.alias("link"), html_text.alias("html"), "published_at", F.lit(None).cast("string").alias("extraction_status"))
+    rows = feeds.candidates(entries, X.as_of()).withColumn("url", urls.normalize_url("raw_url"))
+    return rows.select(F.regexp_extract("url", "[0-9]+$", 0).alias("id"), "source_name", "url", "title", "content_hash", "extraction_status", "content_detail", "excerpt")
+
+
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     new, stored = stored_and_new(spark, sf_dir)
     rows = ingest.matched(new, stored)
