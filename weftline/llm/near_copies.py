@@ -182,10 +182,11 @@ def prefixes(profile: DataFrame, texts: DataFrame, found: DataFrame) -> DataFram
             yield pa.record_batch([b.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["node", "n", "keys"])
 
     own = small_batches(profile.select("row", "words")).mapInArrow(run, "node long, n long, keys array<bigint>")
-    own = stored(own.join(texts.select("node").hint("merge"), "node", "left_semi"), "prefixes")
+    # both joins by node, so rows move once
+    own = own.join(texts.select("node").hint("merge"), "node", "left_semi").join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = stored(own, "prefixes")
+    several = own.select("root", F.explode("keys").alias("key")).groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
     rows = own.select(F.posexplode("keys").alias("place", "key"), "node", "n").select("key", "node", "n", F.col("place").cast("long").alias("place"))
-    rooted = rows.select("key", "node").join(found.hint("merge"), "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
     # rows of a key that very many texts have are split by the planner
     shared = stored(rows.join(several.hint("merge"), "key"), "shared-prefixes")
     forget(own)
