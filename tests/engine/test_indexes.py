@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,53 @@ def test_more_documents_than_are_named(keywords, monkeypatch):
     assert keywords.candidates("that thing").count() == want
 
 
+def test_postings_are_rows_of_blocks(spark, keywords):
+    """What is dealt out and sorted is a row a gram and block, not a row a gram and document."""
+    rows = spark.read.parquet(f"{keywords.path}/postings")
+    pairs = keywords.passages().select("document_id", F.lower(F.concat_ws("\n", "title", "content")).alias("x"))
+    pairs = pairs.select("document_id", F.explode(F.regexp_extract_all("x", F.lit("(?=([a-z0-9+]{3}))"), F.lit(1))).alias("gram")).distinct().count()
+    assert rows.count() * 5 < pairs
+
+
+def test_passages_of_a_document_that_lie_apart(spark, tmp_path):
+    """Batches and tasks that cut through documents, ids that are numbers, and texts that only together have a gram."""
+    texts = ["xya", "bcx", "Ünïabc", "ABC+", None, "", "a-b-c", "ab", "c", "ab\u212ael", "zz 9+9", "\u00e9abé"]
+    rows = [(k, k % 5, texts[k % 3] if k % 4 else None, texts[k * 7 % len(texts)]) for k in range(120)]
+    df = spark.createDataFrame(rows, "chunk_id long, document_id long, title string, content string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        index = indexes.KeywordIndex.built(df, str(tmp_path / "k"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for query in ("abc", "bke", "abkel", "9+9", "xyab", "c+abc zz", "kel bcx"):
+        every = [set(indexes.grams_of(t)) for t in indexes.query_terms(query)]
+        want = set()
+        for _, d, t, c in rows:
+            text = f"{t or ''}\n{c or ''}".lower()
+            grams = {text[k : k + 3] for k in range(len(text) - 2)}
+            want |= {d for gs in every if gs <= grams}
+        got = {r.document_id for r in index.documents(query).collect()}
+        found = {r.document_id for r in index.candidates(query).where(keyword_score(query, F.col("title"), F.col("content")) > 0).collect()}
+        scored = {r.document_id for r in df.where(keyword_score(query, F.col("title"), F.col("content")) > 0).collect()}
+        assert want <= got <= set(range(5)) and found == scored, query
+
+
+def test_rows_that_share_a_place_have_all_their_grams():
+    ids = pa.array(["a", "a", "b", "a"])
+    with_grams = lambda *columns: pa.record_batch([ids, *(pa.array(c, pa.string()) for c in columns)], names=["document_id", "title", "content"])
+    (out,) = _blocks(with_grams(["tit", "tit", None, "uvw"], ["xab", "cde", "ab", "c"]))
+    places = dict(zip(out["gram"].to_pylist(), out["places"].to_pylist(), strict=True))
+    assert places == {"tit": [0], "xab": [0], "cde": [0], "uvw": [2], None: []}
+    assert out["documents"].to_pylist()[-1] == ["a", "b", "a"]
+    assert [b.num_rows for b in _blocks(with_grams([None] * 4, [None] * 4))] == [1] and _blocks(with_grams([None] * 4, [None] * 4).slice(0, 0)) == []
+
+
+def _blocks(batch):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(indexes.TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})()))
+        return list(indexes.blocks_of(iter([batch])))
+
+
 def vectors(spark, seed, n, d=8):
     rng = np.random.default_rng(seed)
     middle = rng.normal(size=(12, d))

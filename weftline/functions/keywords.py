@@ -20,7 +20,11 @@ FORMS = {"fixed": "fix", "fixes": "fix", "fixing": "fix"}
 
 def normalized(text: Column) -> Column:
     """Lower case, with hyphens, underscores and slashes as blanks, collapsed."""
-    return collapse(F.regexp_replace(F.lower(text), "[-_/]+", " "))
+    return spaced(F.lower(text))
+
+
+def spaced(lower: Column) -> Column:
+    return collapse(F.regexp_replace(lower, "[-_/]+", " "))
 
 
 def normalize_query(query: str) -> str:
@@ -51,10 +55,16 @@ def keyword_score(query: str, title: Column, content: Column) -> Column:
     def share(text: Column) -> Column:
         return reduce(lambda a, b: a + b, (F.when(text.contains(t), 1).otherwise(0) for t in terms)).cast("double") / F.lit(float(len(terms)))
 
-    both = F.struct(normalized(F.coalesce(title, F.lit(""))).alias("t"), normalized(F.coalesce(content, F.lit(""))).alias("c"))
+    def whole(text: Column) -> Column:
+        return reduce(lambda a, b: a & b, (text.contains(t) for t in terms))
+
+    # a term has nothing that blanks replace, so it stands in the lower case as in the normal form
+    both = F.struct(F.lower(F.coalesce(title, F.lit(""))).alias("t"), F.lower(F.coalesce(content, F.lit(""))).alias("c"))
 
     def score(x: Column) -> Column:
-        phrase = F.when(F.concat(x["t"], F.lit("\n"), x["c"]).contains(normalize_query(query)), F.lit(0.5)).otherwise(F.lit(0.0))
+        # where the phrase is, all terms are; the normal form is made only there
+        found = F.concat(spaced(x["t"]), F.lit("\n"), spaced(x["c"])).contains(normalize_query(query))
+        phrase = F.when(whole(x["c"]) | whole(x["t"]), F.when(found, F.lit(0.5)).otherwise(F.lit(0.0))).otherwise(F.lit(0.0))
         return F.round(share(x["c"]) + share(x["t"]) + phrase, 4)
 
     # a lambda's argument is made once, however many terms look at it

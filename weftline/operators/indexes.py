@@ -1,9 +1,10 @@
 """Stored indexes for both retrieval legs; what they let through is scored exactly.
 
 ``KeywordIndex``: which documents hold which three characters in a row, as a table
-of postings by gram, and the passages beside it by document. A term stands in a
-passage only if all its grams do, so the documents that have all grams of some
-term are all that can score; their passages are read and scored as ever.
+of postings by gram and block of documents, and the passages beside it by
+document. A term stands in a passage only if all its grams do, so the documents
+that have all grams of some term are all that can score; their passages are read
+and scored as ever.
 
 ``VectorIndex``: vectors in the cell of their nearest centre, a partition a cell,
 with the widest angle of each. A query reads cells by the highest similarity that
@@ -21,7 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keywords import normalized, query_terms
@@ -30,12 +34,74 @@ from ..functions.scores import cosine_similarity
 GRAM = 3
 #: Folders of postings and of passages; documents that are named in a filter rather than joined.
 SLOTS, PARTS, NAMED = 64, 64, 1000
+#: Documents of a block of postings, and the folder that says which they are.
+BLOCK, DIRECTORY = 1024, -1
+#: What terms are made of, and its number by byte.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789+"
+CODES = np.full(256, len(LETTERS), np.uint8)
+CODES[list(LETTERS.encode())] = np.arange(len(LETTERS))
+
+
+def slot_of(gram: Column) -> Column:
+    return F.when(gram.isNull(), DIRECTORY).otherwise(F.pmod(F.xxhash64(gram), F.lit(SLOTS)).cast("int"))
 
 
 def grams_of(term: str) -> list[str]:
     return sorted({term[k : k + GRAM] for k in range(len(term) - GRAM + 1)})
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of each batch's passages (document_id, title, content; lower case), BLOCK documents at a time.
+
+    A block is a row a gram, with the places of the documents that have it, and a
+    row without gram, the documents by place. Rows of a document that follow each
+    other share a place; others of it get a place of their own, with all grams of
+    their own passages.
+    """
+    task, nth = TaskContext.get().partitionId() << 33, 0
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        ids, title = (rows[c].combine_chunks() for c in ("document_id", "title"))
+        fresh, other = (np.r_[True, pc.not_equal(x[1:], x[:-1]).fill_null(True).to_numpy(zero_copy_only=False)][: len(x)] for x in (ids, title))
+        starts = np.flatnonzero(fresh)
+        document = np.cumsum(fresh) - 1
+        for first in range(0, len(starts), BLOCK):
+            many = min(BLOCK, len(starts) - first)
+            a, b = starts[first], starts[first + many] if first + many < len(starts) else len(ids)
+            held = np.zeros((len(LETTERS) ** GRAM, many), bool)
+            for column, wanted in (("title", np.flatnonzero((fresh | other)[a:b])), ("content", np.arange(b - a))):
+                held[grams_in(rows[column].slice(a, b - a).combine_chunks().take(pa.array(wanted)), document[a:b][wanted] - first)] = True
+            grams = np.flatnonzero(held.any(axis=1))
+            gram, place = np.nonzero(held[grams])
+            ends = np.r_[0, np.cumsum(np.bincount(gram, minlength=len(grams)))].astype(np.int32)
+            names = np.array([LETTERS[g // len(LETTERS) ** 2] + LETTERS[g // len(LETTERS) % len(LETTERS)] + LETTERS[g % len(LETTERS)] for g in grams], object)
+            block = task + nth
+            nth += 1
+            yield pa.record_batch(
+                [
+                    pa.array([*names, None], pa.string()), pa.array(np.full(len(grams) + 1, block), pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.r_[ends, ends[-1:]]), pa.array(place.astype(np.int16))),
+                    pa.array([None] * len(grams) + [ids.take(pa.array(starts[first : first + many])).to_pylist()], pa.list_(pa.string())),
+                ],
+                names=["gram", "block", "places", "documents"],
+            )
+
+
+def grams_in(texts: pa.Array, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the gram, owner) of all grams in texts, repeats included."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(texts) else np.empty(0, np.uint8)
+    code = CODES[data]
+    fine = code < len(LETTERS)
+    at = np.flatnonzero(fine[:-2] & fine[1:-1] & fine[2:]) if len(data) >= GRAM else np.empty(0, np.int64)
+    mine = np.searchsorted(ends - ends[0], at, "right") - 1
+    inside = at + GRAM <= (ends - ends[0])[mine + 1]
+    at, mine = at[inside], mine[inside]
+    code = code.astype(np.int64)
+    return (code[at] * len(LETTERS) + code[at + 1]) * len(LETTERS) + code[at + 2], owner[mine]
+
+
 class KeywordIndex:
     """Postings of grams and passages by document, under one folder."""
 
@@ -46,17 +112,19 @@ class KeywordIndex:
     def built(cls, passages: DataFrame, path: str) -> KeywordIndex:
         """The index of passages (chunk_id, document_id, title, content and more), written once.
 
-        Rows are dealt by ranges, so a gram that all documents have is many files.
+        Folders that grow large are split by size, so each is many files. A
+        gram's postings are a row a block of documents: what moves is a number
+        a document and gram, and no task sees more of a gram than its blocks.
         """
         index = cls(passages.sparkSession, path)
         part = F.pmod(F.xxhash64(F.col("document_id").cast("string")), F.lit(PARTS)).cast("int")
-        rows = passages.withColumn("part", part).repartitionByRange("part", "document_id", "chunk_id").sortWithinPartitions("part", "document_id", "chunk_id")
+        rows = passages.withColumn("part", part).hint("rebalance", "part").sortWithinPartitions("part", "document_id", "chunk_id")
         rows.write.partitionBy("part").parquet(f"{index.path}/passages")
-        text = F.concat_ws("\n", normalized(F.coalesce("title", F.lit(""))), normalized(F.coalesce("content", F.lit(""))))
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=([a-z0-9+]{{{GRAM}}}))"), F.lit(1)))
-        pairs = index.passages().select("document_id", F.explode(found).alias("gram")).distinct()
-        slotted = pairs.withColumn("slot", F.pmod(F.xxhash64("gram"), F.lit(SLOTS)).cast("int")).repartitionByRange("slot", "gram", "document_id")
-        slotted.sortWithinPartitions("slot", "gram", "document_id").write.partitionBy("slot").parquet(f"{index.path}/postings")
+        lower = [F.lower(F.col(c)).alias(c) for c in ("title", "content")]
+        kind = index.passages().schema["document_id"].dataType.simpleString()
+        blocks = index.passages().select(F.col("document_id").cast("string").alias("document_id"), *lower).mapInArrow(blocks_of, "gram string, block long, places array<smallint>, documents array<string>")
+        slotted = blocks.withColumn("documents", F.col("documents").cast(f"array<{kind}>")).withColumn("slot", slot_of(F.col("gram"))).hint("rebalance", "slot")
+        slotted.sortWithinPartitions("slot", "gram", "block").write.partitionBy("slot").parquet(f"{index.path}/postings")
         return index
 
     def passages(self) -> DataFrame:
@@ -67,14 +135,14 @@ class KeywordIndex:
         wanted = [grams_of(t) for t in query_terms(query)]
         every = sorted({g for gs in wanted for g in gs})
         postings = self.spark.read.parquet(f"{self.path}/postings")
+        places = postings.where(F.col("slot") == DIRECTORY).select("block", F.posexplode("documents").alias("place", "document_id"))
         if not every:
-            return postings.select("document_id").limit(0)
-        slots = F.array_distinct(F.array(*(F.pmod(F.xxhash64(F.lit(g)), F.lit(SLOTS)).cast("int") for g in every)))
-        (named,) = self.spark.range(1).select(slots).first()  # the folders of the query's grams
-        rows = postings.where(F.col("slot").isin(named) & F.col("gram").isin(every))
+            return places.select("document_id").limit(0)
+        (named,) = self.spark.range(1).select(F.array_distinct(F.array(*(slot_of(F.lit(g)) for g in every)))).first()  # the folders of the query's grams
+        rows = postings.where(F.col("slot").isin(named) & F.col("gram").isin(every)).select("block", "gram", F.explode("places").alias("place"))
         whole = [F.sum(F.when(F.col("gram").isin(gs), 1).otherwise(0)) == len(gs) for gs in wanted]
-        held = rows.groupBy("document_id").agg(F.array(*whole).alias("whole"))
-        return held.where(F.exists("whole", lambda w: w)).select("document_id")
+        held = rows.groupBy("block", "place").agg(F.array(*whole).alias("whole")).where(F.exists("whole", lambda w: w))
+        return places.join(held.select("block", F.col("place").cast("int").alias("place")), ["block", "place"]).select("document_id").distinct()
 
     def candidates(self, query: str) -> DataFrame:
         """The passages of those documents: by name where they are few, else by a join."""

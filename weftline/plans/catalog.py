@@ -218,9 +218,11 @@ def keyword_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``keyword_topk`` from a stored index of all articles' passages."""
     r = request()
     docs, sources = both(spark, sf_dir)
-    index = indexes.KeywordIndex.built(X.chunks(docs).join(docs.select(F.col("id").alias("document_id"), "title"), "document_id"), store.scratch(spark, "keywords"))
-    rows = search.passages(index.candidates(r.query).drop("title"), docs, sources, r)
-    return search.best(search.keyword_leg(rows, r.query), "keyword_score", r.leg).select("chunk_id", "document_id", "keyword_score")
+    index = indexes.KeywordIndex.built(X.chunks(docs, "title"), store.scratch(spark, "keywords"))
+    allowed = search.filtered(docs, sources, r).select(F.col("id").alias("document_id"))
+    # scored as they are read, so no text moves after that
+    rows = search.keyword_leg(index.candidates(r.query), r.query).select("chunk_id", "document_id", "keyword_score")
+    return search.best(rows.join(allowed, "document_id", "left_semi"), "keyword_score", r.leg).select("chunk_id", "document_id", "keyword_score")
 
 
 @query(with_cte(*RETRIEVAL, legs_sql()) + "SELECT chunk_id, document_id, vs AS vector_similarity FROM vleg")

@@ -62,12 +62,12 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """The title and the whole text of every document as passages: windows of WINDOW characters, STEP apart."""
+def chunks(docs: DataFrame, *more: str) -> DataFrame:
+    """The title and the whole text of every document as passages: windows of WINDOW characters, STEP apart; with ``more`` columns of the document."""
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("raw_text") - (WINDOW - STEP)), F.lit(STEP))
     windows = F.transform(starts, lambda s: F.col("raw_text").substr(s, F.lit(WINDOW)))
-    rows = docs.select("doc_id", F.col("id").alias("document_id"), F.posexplode(F.concat(F.array("title"), windows)).alias("chunk_index", "content"))
-    return rows.select((F.col("doc_id") * PER_DOCUMENT + F.col("chunk_index")).alias("chunk_id"), "document_id", "chunk_index", "content")
+    rows = docs.select("doc_id", F.col("id").alias("document_id"), *more, F.posexplode(F.concat(F.array("title"), windows)).alias("chunk_index", "content"))
+    return rows.select((F.col("doc_id") * PER_DOCUMENT + F.col("chunk_index")).alias("chunk_id"), "document_id", *more, "chunk_index", "content")
 
 
 def vectors(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
