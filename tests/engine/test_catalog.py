@@ -40,3 +40,10 @@ def test_query(spark, duck, name):
         assert got == tidy(duck.sql(f"SELECT {order} FROM ({catalog.ORACLES[name]})").fetchall())
     else:
         assert got or name == "page_links"
+
+
+def test_ingestion_hashes_a_text_once_a_scan(spark):
+    """No filter makes a join's key a second time, and no field of a card that is not asked for is made."""
+    plan = catalog.ingest_written(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(sha2(" not in plan and "isnotnull(coalesce(sha2(" not in plan
+    assert "struct(display_headline" not in plan and "key_points" not in plan.replace("key_points, array()", "")

@@ -224,3 +224,10 @@ def test_vectors_and_scores(spark):
     assert value(spark, scores.recency(F.lit(dt.datetime(2024, 3, 1)), now), t="") == 1.0
     assert value(spark, scores.recency(F.lit(None).cast("timestamp"), now), t="") == 0.0
     assert value(spark, scores.importance(F.lit(None).cast("double"), F.lit(dt.datetime(2024, 2, 1)), F.lit("x" * 2000), now), t="") == 0.95
+
+
+def test_white_space_is_cut_as_the_patterns_say(spark):
+    rows = [(x,) for x in ["  a b \n", "\u00a0\u3000x y \u0085", "", " \t\n ", None, "\x1c a \u200b", "\u00e9 \r\n", "a \u2028", "\x0b\x0c\u205f\u1680b"]]
+    df = spark.createDataFrame(rows, "x string")
+    same = text.strip(F.col("x")).eqNullSafe(F.regexp_replace("x", r"(?U)^\s+|\s+$", "")) & text.rstrip(F.col("x")).eqNullSafe(F.regexp_replace("x", r"(?U)\s+$", ""))
+    assert df.where(~same).collect() == []

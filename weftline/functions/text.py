@@ -18,17 +18,19 @@ INSUFFICIENT = (
     "no information about",
     "cannot be determined from the context",
 )
+#: White space, as (?U)\\s has it.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: From a run's first word character to its last; the run may hold + # . and - besides.
 WORD = r"(?U)\w(?:[\w+#.-]*\w)?"
 
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+$", "")
+    return F.rtrim(text, F.lit(WHITE))
 
 
 def collapse(text: Column) -> Column:

@@ -61,7 +61,8 @@ def matched(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     stored rows move once, to the candidates they belong to.
     """
     title = F.substring("title", 1, TITLE_LIMIT)
-    keyed = candidates.withColumn("_key", F.sha2(F.to_json(F.struct("source_name", "url", title.alias("title"), "content_hash"), {"ignoreNullFields": "false"}), 256))
+    key = F.sha2(F.to_json(F.struct("source_name", "url", title.alias("title"), "content_hash"), {"ignoreNullFields": "false"}), 256)
+    keyed = candidates.withColumn("_key", F.coalesce(key, F.lit("")))  # never null, so no join filters by it
     keys = keyed.select("_key", "source_name", title.alias("title"), "content_hash", "url").distinct()
     forms = keys.select("url").distinct().select("url", F.explode(url_candidates(F.col("url"))).alias("_url"))
     by_url = forms.join(least_ids(stored.select("id", F.col("url").alias("_url")), ["_url"]), "_url").groupBy("url").agg(F.min("_id").alias("_by_url"))
@@ -116,18 +117,20 @@ def routed(rows: DataFrame) -> DataFrame:
 Summarizer = Callable[[DataFrame], DataFrame]
 
 
+def fallback_fields() -> dict[str, Column]:
+    """A candidate's card from its first sentences, field by field."""
+    t, raw = F.col("title"), F.col("raw_text")
+    return {
+        "display_headline": shorten(t, 90), "summary": fallback_summary(t, raw), "why_it_matters": F.lit(WHY_IT_MATTERS),
+        "key_points": fallback_points(t, raw), "primary_topic": F.col("provisional_topic"),
+        "event_types": F.when(F.size("provisional_events") > 0, F.col("provisional_events")).otherwise(F.array(F.lit("analysis"))),
+        "summary_generated_by": F.lit("deterministic-fallback"),
+    }
+
+
 def fallback_card(rows: DataFrame) -> DataFrame:
     """The card of a candidate from its first sentences, without a model."""
-    t, raw = F.col("title"), F.col("raw_text")
-    return rows.withColumn(
-        "card",
-        F.struct(
-            shorten(t, 90).alias("display_headline"), fallback_summary(t, raw).alias("summary"), F.lit(WHY_IT_MATTERS).alias("why_it_matters"),
-            fallback_points(t, raw).alias("key_points"), F.col("provisional_topic").alias("primary_topic"),
-            F.when(F.size("provisional_events") > 0, F.col("provisional_events")).otherwise(F.array(F.lit("analysis"))).alias("event_types"),
-            F.lit("deterministic-fallback").alias("summary_generated_by"),
-        ),
-    )
+    return rows.withColumn("card", F.struct(*(v.alias(f) for f, v in fallback_fields().items())))
 
 
 PAYLOAD = "display_headline string, summary string, why_it_matters string, key_points array<string>, primary_topic string, event_type string, event_types array<string>"
@@ -202,16 +205,16 @@ def written(rows: DataFrame, columns: list[str], summarize: Summarizer = fallbac
         return F.coalesce(*(F.when(F.col("route").isin(*names), v) for names, v in named))
 
     card, fields = F.col("card"), ("display_headline", "summary", "why_it_matters", "key_points", "primary_topic", "event_types", "summary_generated_by")
-    carded = fresh | {"url": kept_url} | managed(base | relevance | {f: card[f] for f in fields})
+    made_here = summarize is fallback_card
+    carded = fresh | {"url": kept_url} | managed(base | relevance | (fallback_fields() if made_here else {f: card[f] for f in fields}))
     summarized = F.col("route") == "summarize"
 
     def projected(df: DataFrame) -> DataFrame:
         return df.select(*(by_route([values[c] for _, values, _ in cases]).alias(c) for c in columns), "route", "status", by_route([d for _, _, d in cases]).alias("drops_chunks"))
 
-    if summarize is fallback_card:
+    if made_here:  # field by field, so only those that are asked for are made
         cases.append((("summarize",), carded, F.lit(True)))
-        with_card = fallback_card(rows)
-        return projected(with_card.withColumn("card", F.when(summarized, F.col("card"))))
+        return projected(rows)
     rows = keep(rows)
     made = summarize(rows.where(summarized))
     return projected(rows.where(~summarized)).unionByName(made.select(*(carded[c].alias(c) for c in columns), "route", "status", F.lit(True).alias("drops_chunks")))

@@ -422,7 +422,8 @@ old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY way
 def stored_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two thirds of the documents as stored articles, all of them as candidates at new addresses."""
     d = F.col("doc_id")
-    docs = X.articles(spark, sf_dir).withColumn("content_hash", F.sha2(F.encode("raw_text", "UTF-8"), 256))
+    # never null, so no join asks for it a second time
+    docs = X.articles(spark, sf_dir).withColumn("content_hash", F.coalesce(F.sha2(F.encode("raw_text", "UTF-8"), 256), F.lit("")))
     old_url = F.when(d % 3 == 0, F.concat(F.lit("https://example.com/a/"), d.cast("string"), F.when(d % 2 == 0, F.lit("/")).otherwise(F.lit("")))).otherwise(F.concat(F.lit("https://old.example.com/"), d.cast("string")))
     policy = F.when(d % 4 == 0, F.lit("old-policy")).otherwise(F.lit(ingest.POLICY_VERSION))
     stored = docs.where(d % 3 < 2).select(

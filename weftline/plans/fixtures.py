@@ -47,8 +47,9 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("line", F.substring_index(text, "\n", 1))
     docs = docs.withColumn("title", F.substring("line", 1, 500))
     # all that follows the title, whether the first line goes on or ends there
-    rest = F.regexp_replace(text.substr(F.length("title") + 1, F.length(text)), r"^\n", "")
-    docs = docs.withColumn("raw_text", F.regexp_replace(F.concat("title", F.lit("\n\n"), rest), r"^\s+|\s+$", ""))
+    after = F.length("title") + 1
+    rest = text.substr(F.when(text.substr(after, F.lit(1)) == "\n", after + 1).otherwise(after), F.length(text))
+    docs = docs.withColumn("raw_text", F.btrim(F.concat("title", F.lit("\n\n"), rest), F.lit(" \t\n\x0b\f\r")))
     published = F.when(d % 50 != 49, F.timestamp_seconds(F.lit(FIRST) + (d * 7919 % 43200) * 60))
     return docs.select(
         d.cast("string").alias("id"), d.alias("doc_id"), F.col("source").alias("source_name"), "title", F.concat(F.lit("https://src.example/"), d.cast("string")).alias("url"),
