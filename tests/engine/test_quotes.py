@@ -36,3 +36,23 @@ def test_odd_quotes(spark):
     df = spark.createDataFrame([("T", "one two three four", ["one two three", None, "", "two ... three", "ONE TWO … three four"]), (None, None, ["a b c"]), ("T", "x", None)], "title string, raw string, q array<string>")
     got = [r.x for r in df.select(quotes.quotes_supported("title", "raw", "q").alias("x")).collect()]
     assert got == [[True, False, False, False, True], [False], None]
+
+
+def test_quotes_as_they_are_need_no_places(monkeypatch):
+    def never(*texts):
+        raise AssertionError("looked up")
+
+    monkeypatch.setattr(quotes, "places", never)
+    assert supported("A title", "Straße one,\ntwo-three four", "title STRASSE one ... two three FOUR")
+
+
+def test_either_way_finds_the_same():
+    r = random.Random(9)
+    seen = set()
+    for _ in range(3000):
+        text = " ".join(r.choice(["a", "b", "ab", "c.", "d", "-"]) for _ in range(r.randint(0, 25)))
+        words = [r.choice(["a", "b", "ab", "c", "d"]) for _ in range(r.randint(2, 7))]
+        found = quotes.covered(quotes.runs(words, quotes.places(text))) / len(words) >= quotes.COVERAGE
+        assert quotes.Source(text).has(words) == found, (text, words)
+        seen.add((found, f" {' '.join(words)} " in quotes.Source(text).words))
+    assert len(seen) == 3  # found as they are, found in parts, not found
